@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import decontam
+from sensorloom.llm import decontam, token_store
 from sensorloom.session import table
 
 
@@ -15,5 +15,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(found)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination}
+def tokenizer_file(name: str) -> str:
+    """A file of the installed public tokenizers; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_store.new_store(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), out, tokenizer_file("byte_bpe_50k.json"))
+    return token_store.read_tokens(spark, out, arrays=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op3_token_store": op3_token_store,
+}
 ORACLE_SQL: dict[str, str] = {}
