@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import decontam, token_store
+from sensorloom.llm import decontam, ngram_join, token_store
 from sensorloom.session import table
 
 
@@ -28,8 +28,13 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, out, arrays=False)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_token_store": op3_token_store,
+    "op4_ngram_join": op4_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {}
