@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import decontam, ngram_join, token_store
+from sensorloom.llm import decontam, ngram_join, pii, token_store
 from sensorloom.session import table
 
 
@@ -32,9 +32,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_token_store": op3_token_store,
     "op4_ngram_join": op4_ngram_join,
+    "op7_pii": op7_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
