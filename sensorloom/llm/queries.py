@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import decontam, ngram_join, pii, token_store
+from sensorloom.llm import decontam, licenses, media, ngram_join, pii, token_store
 from sensorloom.session import table
 
 
@@ -36,10 +36,20 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.encode_media(table(spark, sf_dir, "documents")), arrays=False)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_token_store": op3_token_store,
     "op4_ngram_join": op4_ngram_join,
     "op7_pii": op7_pii,
+    "op9_media": op9_media,
+    "op10_licenses": op10_licenses,
 }
 ORACLE_SQL: dict[str, str] = {}
