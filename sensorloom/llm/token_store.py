@@ -19,6 +19,7 @@ text; a null id comes first. Long texts make larger frames; a block closes at ``
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import struct
@@ -43,8 +44,10 @@ DICTIONARY_BYTES = 16_384
 BLOCK_DOCS = 1_000
 BLOCK_BYTES = 2_000_000
 SLICE_BYTES = 2_000_000
-#: Distinct pieces a task keeps the ids of.
-CACHE = 300_000
+#: A table of so many shards (12 bytes each) is sent to all tasks; a longer one is joined by a shuffle.
+BROADCAST_SHARDS = 200_000
+#: Distinct pieces a Python worker keeps the ids of.
+CACHE = 400_000
 _HEAD = struct.Struct("<4sBBH32sI")
 
 
@@ -73,6 +76,12 @@ class PieceEncoder:
         return [b"".join(map(get, pieces[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+@functools.cache
+def encoder_of(path: str) -> PieceEncoder:
+    """One encoder for each Python worker, so that its tasks share what it has encoded."""
+    return PieceEncoder(path)
+
+
 def pack(rows: list[tuple[int | None, int, bytes]], width: int, sha: bytes) -> bytes:
     """A block of (document id, number of ids, frame)."""
     sizes = np.array([len(f) for _, _, f in rows], np.int64)
@@ -137,7 +146,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col:
     schema = "shard int, block int, n_docs int, n_ids bigint, ids_before bigint, first_id bigint, last_id bigint, payload binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = encoder_of(path)
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
         writer = zstandard.ZstdCompressor(level=3, dict_data=as_dictionary(dictionary))
         shard, held, size, block, before = TaskContext.get().partitionId(), [], 0, 0, 0
@@ -183,7 +192,10 @@ def read_tokens(spark: SparkSession, out: str, arrays: bool = True) -> DataFrame
     blocks, dictionary = _blocks(spark, out)
     # A row for each shard, which is one writing task: their number doesn't follow the documents in a shard.
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("shard_start", F.sum("n").over(Window.orderBy("shard")) - F.col("n"))
-    placed = blocks.join(totals.select("shard", "shard_start"), "shard").select((F.col("shard_start") + F.col("ids_before")).alias("start"), "payload")
+    totals = totals.select("shard", "shard_start")
+    if totals.count() <= BROADCAST_SHARDS:
+        totals = F.broadcast(totals)
+    placed = blocks.join(totals, "shard").select((F.col("shard_start") + F.col("ids_before")).alias("start"), "payload")
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * arrays
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
