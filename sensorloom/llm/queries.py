@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sensorloom.llm import decontam, licenses, media, ngram_join, pii, token_store
+from sensorloom.llm import decontam, licenses, media, ngram_join, pii, token_store, toxicity
 from sensorloom.session import table
 
 
@@ -15,6 +16,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(found)
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """The production model: learns from labelled rows that aren't held out."""
+    return toxicity.fit(docs, labels, train=~toxicity.held_out(F.col("doc_id")))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def tokenizer_file(name: str) -> str:
     """A file of the installed public tokenizers; the operators take the path as a parameter."""
     import public_tokenizers
@@ -46,6 +58,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op3_token_store": op3_token_store,
     "op4_ngram_join": op4_ngram_join,
     "op7_pii": op7_pii,
