@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("series_queries", "cohort_queries")
+
+
+def _all(name: str) -> dict:
+    found: dict = {}
+    for module in MODULES:
+        found |= getattr(importlib.import_module(f"sensorloom.plans.{module}"), name)
+    return found
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
