@@ -28,7 +28,7 @@ def right_wins(left: DataFrame, right: DataFrame, key: str, how: str = "left") -
     return left.drop(*both).join(right, key, how)
 
 
-def lookup(df: DataFrame, column: str, pairs: Mapping) -> Column:
+def lookup(column: str, pairs: Mapping) -> Column:
     """The value of each code, null for unknown codes."""
     flat = [F.lit(x) for kv in pairs.items() for x in kv]
     return F.element_at(F.create_map(*flat), F.col(column))

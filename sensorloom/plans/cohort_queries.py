@@ -49,7 +49,7 @@ def derived_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, h = (i % 200) / 1000.0, 4.0 + (i % 40) / 10.0
     return analysis(spark, sf_dir).select(
         "person_id",
-        cohort.lookup(None, "segment", SEGMENTS).alias("short"),
+        cohort.lookup("segment", SEGMENTS).alias("short"),
         F.when(low.startswith("build"), "first").when(low.contains("house"), "second").otherwise("other").alias("rule"),
         fx.effect_band(x).alias("band"), fx.stars(x).alias("mark"), fx.hba1c_band(h).alias("hba1c"),
         (bal * fx.INSULIN_UNITS).alias("insulin"), (bal * fx.HOMA_UNITS).alias("homa"),
