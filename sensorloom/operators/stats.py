@@ -4,14 +4,13 @@ Ranks come from counts of distinct values and running sums over them, one window
 statistic is an aggregate over those counts. Only the last step, from statistic to p, runs on summary rows on the driver.
 """
 
-from __future__ import annotations
-
 import functools
 import math
 import operator
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +76,6 @@ def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str, first
 
 def two_sided(rows: DataFrame, z: str = "z", name: str = "p") -> DataFrame:
     """Adds the two-sided normal p of a summary table's z."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def tail(x: pd.Series) -> pd.Series:
