@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, decontam, licenses, media, ngram_join, pii, token_store, toxicity, url_lists
+from sensorloom.llm import bpe, decontam, licenses, line_dedup, media, ngram_join, pii, sql, token_store, toxicity, url_lists
 from sensorloom.session import table
 
 
@@ -89,6 +89,12 @@ FROM shots s LEFT JOIN met m USING (page_id)
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.drop_repeated_lines(docs, counts=("n_lines", "n_removed"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -111,9 +117,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_ngram_join": op4_ngram_join,
     "op5_url_lists": op5_url_lists,
+    "op6_line_dedup": op6_line_dedup,
     "op7_pii": op7_pii,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_media": op9_media,
     "op10_licenses": op10_licenses,
 }
-ORACLE_SQL: dict[str, str] = {"op5_url_lists": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": sql.DECONTAMINATION,
+    "op4_ngram_join": sql.NGRAM_JOIN,
+    "op5_url_lists": OP5_SQL,
+    "op6_line_dedup": sql.LINE_DEDUP,
+    "op7_pii": sql.PII,
+}
