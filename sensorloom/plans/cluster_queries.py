@@ -209,7 +209,7 @@ def logistic_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boosted_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof = classify.out_of_fold(_classes(spark, sf_dir).where("fold < 2"), "vec_id", DIMS, "y", lambda n: classify.boosted(2, 3))
+    oof = classify.out_of_fold(_classes(spark, sf_dir), "vec_id", DIMS, "y", lambda n: classify.boosted(2, 3))
     return classify.class_metrics(oof, "actual", "predicted")
 
 
