@@ -68,7 +68,7 @@ def _matched(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """A written row for each document with lines to remove: id, print (hash of its text), lines (places from 0)."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.posexplode(F.split(text_col, "\n")).alias("line", "text"))
-    found = token_table(rows, k, num, den, short=False, drop_empty=True, width=5).withColumn("place", _order(""))
+    found = token_table(rows, k, num, den, short=False, drop_empty=True, width=5, orders=1).withColumn("place", _order(""))
     classes = found.groupBy("f1", "f2").agg(F.min("place").alias("first"))
     # Only lines that go and lines that may have a near copy are needed from here on.
     named = found.join(classes, ["f1", "f2"]).where("place > first or (place = first and p1 is not null)")
