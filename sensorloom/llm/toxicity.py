@@ -62,7 +62,7 @@ def word_features(word: bytes) -> tuple[int, ...]:
     """Buckets of a word and of its beginnings."""
     known = _known()
     if word not in known:
-        if len(known) > 500_000:
+        if len(known) > 150_000:
             known.clear()
         text = word.decode("utf-8", "replace").lower()
         names = [text, *(text[:k] + "*" for k in range(4, min(8, len(text))))]
@@ -106,7 +106,7 @@ class Model:
         own = self.met.get(word)
         if own is None:
             own = tuple(b for b in word_features(word) if b in self.used)
-            if len(self.met) > 500_000:
+            if len(self.met) > 150_000:
                 self.met.clear()
             self.met[word] = own
         return own
