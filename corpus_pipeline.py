@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; every document stays."""
-    return _counted(line_dedup.drop_repeated_lines(docs))
+    """Lines that match an earlier line go, short ones only as its repeats; every document stays."""
+    return _counted(line_dedup.drop_repeated_lines(docs, short=True))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct shingles of ``K`` words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased); lines with fewer words
-are never matched, as they say too little. Two lines match at a Jaccard similarity of ``NUM / DEN`` or more. Lines are
+A line's tokens are its distinct shingles of ``K`` words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased). With fewer words the
+whole sequence is the one token where ``short`` is set, so that such a line matches only its repeats; without it (the
+rule of op6's SQL) these lines are never matched. A line without words never matches. Two lines match at a Jaccard similarity of ``NUM / DEN`` or more. Lines are
 ordered by document id (null first), a hash of the document's text, and place. A line is removed when a line before it
 matches it, removed or not.
 
@@ -65,10 +66,10 @@ def _matched(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     return both.where(den * shared >= num * (F.col("ra.n") + F.col("rb.n") - shared)).select(F.col("a").alias("key")).distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN, short: bool = False) -> DataFrame:
     """A written row for each document with lines to remove: id, print (hash of its text), lines (places from 0)."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.posexplode(F.split(text_col, "\n")).alias("line", "text"))
-    found = token_table(rows, k, num, den, short=False, drop_empty=True, width=5, orders=1).withColumn("place", _order(""))
+    found = token_table(rows, k, num, den, short=short, drop_empty=True, width=5, orders=1).withColumn("place", _order(""))
     classes = found.groupBy("f1", "f2").agg(F.min("place").alias("first"))
     # Only lines that go and lines that may have a near copy are needed from here on.
     named = found.join(classes, ["f1", "f2"]).where("place > first or (place = first and p1 is not null)")

@@ -68,3 +68,23 @@ def test_equal_rows_and_empty(spark):
     got = sorted((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(docs).collect())
     assert got == [(5, line), (5, line), (6, ""), (7, line + " " + line)]
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_short_lines_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\nhome\n\none two three four"), (2, "all  rights reserved.\nHOME\n \nhome page\n\none two three five"), (3, "home\nreserved. rights all\none two three four five"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: " \nhome page\n\none two three five", 3: "reserved. rights all\none two three four five", 4: None}
+
+
+def test_short_lines_of_the_given_table(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = table(spark, sf_dir, "documents")
+    words = lambda line: tuple(re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)))
+    before, after = ({r.doc_id: r.text for r in d.collect()} for d in (docs, corpus_pipeline.drop_lines(spark, docs, sf_dir)))
+    short = lambda texts: [w for i in sorted(texts) for line in (texts[i] or "").split("\n") if 0 < len(w := words(line)) < 5]
+    assert len(short(before)) > len(set(short(before)))
+    assert short(after) == list(dict.fromkeys(short(before)))
