@@ -9,7 +9,8 @@ through the wavelet tree's ranks, occurrences are located by sampled suffix posi
 removal spans.
 
 Items are a query set: they are taken in blocks of at most ``ITEM_WORDS`` words, each a bounded broadcast and one more
-narrow pass over the documents; there is no shuffle. A null text has no words and matches nothing; an item without id
+narrow pass over the documents; there is no shuffle. Removal over several blocks writes the documents once, and then
+those that were cut, until no block finds a window. A null text has no words and matches nothing; an item without id
 or words is ignored; several texts under one item id count as one item; a repeated document row is judged by itself.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.fm_index import FMIndex
 from sensorloom.llm.text import ALNUM, alnum_words, byte_values, in_slices
+from sensorloom.session import written
 
 WINDOW = 10
 ITEM_WORDS = 2_000_000
@@ -155,6 +157,7 @@ def _merged(a: list[dict] | None, b: np.ndarray) -> list[dict]:
 
 
 _SPANS = "array<struct<first:bigint,last:bigint>>"
+_FOUND = "benchmark spans"
 
 
 def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -186,25 +189,64 @@ def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     return now.withColumnRenamed("id", id_col)
 
 
-def remove_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with all columns, the words of every window of an item cut out of the text. A null text stays null."""
-    sc = docs.sparkSession.sparkContext
-    fields = docs.columns
-    for block in item_blocks(items, item_id, item_text, window):
-        shared = sc.broadcast(block)
+def _cut_once(docs: DataFrame, text_col: str, blocks: list) -> DataFrame:
+    """``docs``, the spans of all blocks on the same text cut at once, and whether the text was cut."""
+    at, spans_at, width = docs.columns.index(text_col), len(docs.columns), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    now = docs.withColumn(_FOUND, F.lit(None).cast(_SPANS))
+    cut_schema = docs.withColumn(_FOUND, F.lit(False)).schema
+    for k, block in enumerate(blocks):
 
-        def cut(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], block=block, final=k == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.schema.get_field_index("text" if text_col not in batch.schema.names else text_col)
-                texts, was = byte_values(batch.column(at)), batch.column(at).is_null().to_pylist()
+                texts = byte_values(batch.column(at))
                 for a, b in in_slices(texts, SHARD_BYTES):
-                    new = cleaned(texts[a:b], shared.value)
-                    column = pa.array([None if w else x.decode() for x, w in zip(new, was[a:b], strict=True)], pa.string())
                     part = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([column if k == at else part.column(k) for k in range(part.num_columns)], part.schema.names)
-
-        docs = docs.mapInArrow(cut, docs.schema)
-    return docs.select(*fields)
+                    _, spans, _ = shard_hits(texts[a:b], block.value)
+                    merged = [_merged(x, y) for x, y in zip(part.column(spans_at).to_pylist(), spans, strict=True)]
+                    columns = part.columns
+                    if final:
+                        new = [cut_words(t, np.array([(x["first"], x["last"]) for x in m])) if m else t for t, m in zip(texts[a:b], merged, strict=True)]
+                        was = columns[at].is_null().to_pylist()
+                        columns[at] = pa.array([None if w else x.decode() for x, w in zip(new, was, strict=True)], pa.string())
+                        columns[spans_at] = pa.array([bool(m) for m in merged], pa.bool_())
+                    else:
+                        columns[spans_at] = pa.array(merged, width)
+                    yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+        now = now.mapInArrow(search, cut_schema if k == len(blocks) - 1 else now.schema)
+    return now
+
+
+def remove_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, words: int = ITEM_WORDS) -> DataFrame:
+    """``docs`` with all columns, the words of every window of an item cut out of the text. A null text stays null.
+
+    Blocks don't show in the result: the spans of all are cut at once, and texts that were cut are searched again by all
+    until none changes. One block does that inside its tasks; several write each round."""
+    sc = docs.sparkSession.sparkContext
+    fields = docs.columns
+    blocks = [sc.broadcast(block) for block in item_blocks(items, item_id, item_text, window, words)]
+    if len(blocks) > 1:
+        done = None
+        while True:
+            round_ = written(_cut_once(docs, text_col, blocks), "cut")
+            whole = round_.where(~F.col(_FOUND)).select(*fields)
+            done = whole if done is None else done.unionByName(whole)
+            docs = round_.where(F.col(_FOUND)).select(*fields)
+            if docs.isEmpty():
+                return done
+    shared = blocks[0]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts, was = byte_values(batch.column(at)), batch.column(at).is_null().to_pylist()
+            for a, b in in_slices(texts, SHARD_BYTES):
+                new = cleaned(texts[a:b], shared.value)
+                column = pa.array([None if w else x.decode() for x, w in zip(new, was[a:b], strict=True)], pa.string())
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([column if k == at else part.column(k) for k in range(part.num_columns)], part.schema.names)
+
+    return docs.mapInArrow(cut, docs.schema).select(*fields)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

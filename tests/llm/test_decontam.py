@@ -88,3 +88,22 @@ def test_empty_tables(spark):
     assert [tuple(r)[:4] for r in decontam.digest(decontam.find_benchmark(d, none)).collect()] == [(1, 2, 0, 0)]
     assert decontam.find_benchmark(d.limit(0), none).count() == 0
     assert decontam.remove_benchmark(d, none).collect() == d.collect()
+
+
+def test_removal_does_not_depend_on_blocks(spark):
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.choice([3, 10, 14])))) for k in range(14)]
+    # Windows of two blocks that overlap; and one of the first block that only a cut of the last brings together.
+    own = [f"q{k}" for k in range(25)]
+    items = [(100, " ".join(own[:15])), *items, (101, " ".join(own[5:20])), (102, " ".join(own[20:]))]
+    half = items[0][1].split()[:5], items[0][1].split()[5:10]
+    docs = [(0, None), (1, "a " + " ".join(own[:20]) + " z"), (2, " ".join([*half[0], *own[20:], *half[1], "end"])), (3, "")]
+    docs += [(k, ", ".join(sum((rng.choice(items)[1].split()[: rng.choice([4, 9, 14])] for _ in range(12)), []))) for k in range(4, 40)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    assert len(list(decontam.item_blocks(b, "item_id", "text", 10, words=60))) > 2
+    one, many = ({r.doc_id: r.text for r in decontam.remove_benchmark(d, b, **more).collect()} for more in ({}, {"words": 60}))
+    assert many == one and len(many) == len(docs)
+    assert words(many[1]) == ["a", "z"] and words(many[2]) == ["end"] and many[0] is None
+    again = decontam.digest(decontam.find_benchmark(spark.createDataFrame(list(many.items()), d.schema), b))
+    assert again.where("contaminated").count() == 0
