@@ -2,15 +2,16 @@
 
 A line's tokens are its distinct shingles of ``K`` words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased). With fewer words the
 whole sequence is the one token where ``short`` is set, so that such a line matches only its repeats; without it (the
-rule of op6's SQL) these lines are never matched. A line without words never matches. Two lines match at a Jaccard similarity of ``NUM / DEN`` or more. Lines are
-ordered by document id (null first), a hash of the document's text, and place. A line is removed when a line before it
-matches it, removed or not.
+rule of op6's SQL) these lines are never matched. A line without words never matches. Two lines match at a Jaccard
+similarity of ``NUM / DEN`` or more. Lines are ordered by document id (null first), a hash of the document's text, and
+place. A line is removed when a line before it matches it, removed or not.
 
 Tokens are ordered by rarity (frequency over all lines, then a hash), so that only the first few of each line, its
 prefix, are joined on; length and positional filters drop pairs before their sets are compared. Lines with equal sets
-count once, by the first. Of the others each meets, in two rounds, the one earlier line that it shares the most prefix
-tokens with (of the first and of the nearest earlier holder of each token); only lines that are still undecided meet all
-earlier holders. So a large group of near copies doesn't make all its pairs.
+count once, by the first, and are known by two 64-bit prints; the tokens that other pairs share, by 40 bits and their
+bucket. Of the others each meets, in two rounds, the one earlier line that it shares the most prefix tokens with (of the
+first and of the nearest earlier holder of each token); only lines that are still undecided meet all earlier holders. So
+a large group of near copies doesn't make all its pairs.
 
 Null text stays null, empty text empty; a text whose lines all go is empty. Rows equal in id and text are one document:
 they lose the same lines. Other columns stay as they are.
@@ -63,7 +64,9 @@ def _matched(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     side = lambda c: reps.select(F.col("key").alias(c), F.struct("n", "tokens").alias(f"r{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("ra.tokens", "rb.tokens")).cast("bigint")
-    return both.where(den * shared >= num * (F.col("ra.n") + F.col("rb.n") - shared)).select(F.col("a").alias("key")).distinct()
+    # Lines with equal sets have one representative: where all tokens of two agree, it is by their shortened hashes only.
+    other = (shared < F.col("ra.n")) | (shared < F.col("rb.n"))
+    return both.where(other & (den * shared >= num * (F.col("ra.n") + F.col("rb.n") - shared))).select(F.col("a").alias("key")).distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN, short: bool = False) -> DataFrame:

@@ -88,3 +88,10 @@ def test_short_lines_of_the_given_table(spark, sf_dir):
     short = lambda texts: [w for i in sorted(texts) for line in (texts[i] or "").split("\n") if 0 < len(w := words(line)) < 5]
     assert len(short(before)) > len(set(short(before)))
     assert short(after) == list(dict.fromkeys(short(before)))
+
+
+def test_tokens_that_collide_are_no_match(spark):
+    # Representatives differ in their sets, so 1 and 2 (one token each) can agree by shortened hashes only; 4 and 5 share 6 of 7.
+    reps = spark.createDataFrame([(1, 1, [9]), (2, 1, [9]), (4, 7, [1, 2, 3, 4, 5, 6]), (5, 7, [1, 2, 3, 4, 5, 6]), (6, 6, [1, 2, 3, 4, 5, 6])], "key long, n long, tokens array<long>")
+    pairs = spark.createDataFrame([(2, 1), (5, 4), (6, 5)], "a long, b long")
+    assert sorted(r.key for r in line_dedup._matched(pairs, reps, 3, 4).collect()) == [5, 6]
