@@ -212,7 +212,8 @@ def gaussian_copula_draws(df: DataFrame, key: str, columns: Sequence[str], draws
     """(rep, row, columns): draws with the columns' own marginals and the correlation of their normal scores.
 
     Normal scores come from mid-ranks; the small covariance is factored on the driver; normals are drawn by Spark and go
-    back through each column's quantiles, of which ``QUANTILES`` evenly spaced ones are kept and joined by lines.
+    back through each column's quantiles, of which ``QUANTILES`` evenly spaced ones are kept and joined by lines. Tasks map
+    and sum on Arrow batches: as expressions, the query over 64 columns did not end in 170 seconds on 500 rows here.
     """
     from statistics import NormalDist
 
@@ -222,31 +223,49 @@ def gaussian_copula_draws(df: DataFrame, key: str, columns: Sequence[str], draws
     normal = NormalDist()
     points = [normal.inv_cdf(min(max(p, 1e-6), 1 - 1e-6)) for p in steps]
 
-    def to_normal(c: str) -> Column:
-        return _piecewise(F.col(c), list(quantiles[c]), points)
+    width, names = len(columns), list(columns)
+    own = [list(quantiles[c]) for c in columns]
 
-    z = df.select(*(to_normal(c).alias(c) for c in columns))
-    row = z.agg(*(F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j)).head()
-    m = np.eye(len(columns))
-    for i in range(len(columns)):
-        for j in range(i + 1, len(columns)):
-            m[i, j] = m[j, i] = row[f"{i}_{j}"] or 0.0
-    low = np.linalg.cholesky(m + 1e-9 * np.eye(len(columns)))
-    base = df.sparkSession.range(draws * n).select((F.col("id") / n).cast("bigint").alias("rep"), (F.col("id") % n).alias("row"), *(F.randn(seed + k).alias(f"e{k}") for k in range(len(columns))))
-    mixed = base.select("rep", "row", *(functools.reduce(operator.add, (F.col(f"e{j}") * float(low[i, j]) for j in range(i + 1))).alias(f"z{i}") for i in range(len(columns))))
-    return mixed.select("rep", "row", *(_piecewise(F.col(f"z{i}"), points, list(quantiles[c])).alias(c) for i, c in enumerate(columns)))
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per task and pair of columns, over rows with both: count, sums, sums of squares, sum of products of scores."""
+        total = np.zeros((4, width, width))
+        for batch in batches:
+            x = np.stack([_doubles(batch.column(k)) for k in range(width)], 1)
+            z = np.stack([_interpolated(x[:, k], own[k], points) for k in range(width)], 1)
+            there = ~np.isnan(z)
+            z, there = np.where(there, z, 0.0), there.astype(float)
+            total += np.stack([there.T @ there, z.T @ there, (z * z).T @ there, z.T @ z])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
+
+    parts = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(sums, "s array<double>")
+    at = {r.pos: r.v for r in parts.select(F.posexplode("s").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).collect()}
+    count, one, square, product = np.array([at.get(k, 0.0) for k in range(4 * width * width)]).reshape(4, width, width)
+    spread = np.sqrt(np.maximum(count * square - one**2, 0.0))
+    both = spread * spread.T
+    m = np.where(both > 0, (count * product - one * one.T) / np.where(both > 0, both, 1.0), 0.0)
+    np.fill_diagonal(m, 1.0)
+    low = np.linalg.cholesky(m + 1e-9 * np.eye(width))
+    base = df.sparkSession.range(draws * n).select((F.col("id") / n).cast("bigint").alias("rep"), (F.col("id") % n).alias("row"), *(F.randn(seed + k).alias(f"e{k}") for k in range(width)))
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.stack([_doubles(batch.column(k + 2)) for k in range(width)], 1) @ low.T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(_interpolated(z[:, k], points, own[k])) for k in range(width))], ["rep", "row", *names])
+
+    return base.mapInArrow(mixed, "rep bigint, row bigint, " + ", ".join(f"`{c}` double" for c in names))
 
 
 QUANTILES = 64
 
 
-def _piecewise(x: Column, at: Sequence[float], to: Sequence[float]) -> Column:
+def _doubles(column: pa.Array) -> np.ndarray:
+    """Null as NaN."""
+    return column.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _interpolated(x: np.ndarray, at: Sequence[float], to: Sequence[float]) -> np.ndarray:
     """Linear interpolation between fixed points, constant outside."""
-    out = F.lit(float(to[-1]))
-    for a, b, u, v in reversed(list(zip(at, at[1:], to, to[1:]))):
-        if b > a:
-            out = F.when(x < float(b), float(u) + (x - float(a)) * ((float(v) - float(u)) / (float(b) - float(a)))).otherwise(out)
-    return F.when(x.isNull(), F.lit(None)).when(x <= float(at[0]), F.lit(float(to[0]))).otherwise(out)
+    return np.where(x <= at[0], float(to[0]), np.interp(x, at, to))
 
 
 def principal_components(df: DataFrame, key: str, columns: Sequence[str], anchor: str, k: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from sensorloom.session import table
 QUERIES, SQL = {}, {}
 query = register(QUERIES, SQL)
 
+#: The components that the queries with SQL read; those without SQL read the whole vectors.
 DIMS = tuple(f"x{k}" for k in range(4))
 V = "WITH v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(4)) + " FROM embeddings)"
 
@@ -22,6 +23,13 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(4)))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The vectors with all components of their arrays, and the columns of these."""
+    d = table(spark, sf_dir, "embeddings")
+    dims = [f"x{k}" for k in range(d.agg(F.max(F.size("embedding"))).head()[0] or 0)]
+    return d.select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(dims))), dims
+
+
 _CENTRES = [[0.0, 0.0, 0.0, 0.0], [0.1, 0.1, 0.0, 0.0], [-0.1, 0.0, 0.1, 0.0]]
 _DIST = [" + ".join(f"(x{k} - ({c[k]})) * (x{k} - ({c[k]}))" for k in range(4)) for c in _CENTRES]
 
@@ -92,32 +100,35 @@ def kmeans_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def selection_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.selection_sweep(_vectors(spark, sf_dir), DIMS, range(2, 5)).withColumn("sizes", F.array_join("sizes", ","))
+    return cluster.selection_sweep(*_whole(spark, sf_dir), range(2, 5)).withColumn("sizes", F.array_join("sizes", ","))
 
 
 @query()
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _vectors(spark, sf_dir)
-    seeds = cluster.seed_stability(d, "vec_id", DIMS, 3, range(3)).select(F.lit("seed").alias("kind"), F.col("seed").alias("rep"), "ari")
-    boot = cluster.resample_stability(d, "vec_id", DIMS, 3, 2).select(F.lit("bootstrap").alias("kind"), "rep", "ari")
-    return seeds.unionByName(boot).unionByName(cluster.resample_stability(d, "vec_id", DIMS, 3, 2, half=True).select(F.lit("half").alias("kind"), "rep", "ari"))
+    d, dims = _whole(spark, sf_dir)
+    seeds = cluster.seed_stability(d, "vec_id", dims, 3, range(3)).select(F.lit("seed").alias("kind"), F.col("seed").alias("rep"), "ari")
+    boot = cluster.resample_stability(d, "vec_id", dims, 3, 2).select(F.lit("bootstrap").alias("kind"), "rep", "ari")
+    return seeds.unionByName(boot).unionByName(cluster.resample_stability(d, "vec_id", dims, 3, 2, half=True).select(F.lit("half").alias("kind"), "rep", "ari"))
 
 
 @query()
 def label_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.permutation_null(_vectors(spark, sf_dir), "vec_id", DIMS, "label", 3)
+    d, dims = _whole(spark, sf_dir)
+    return cluster.permutation_null(d, "vec_id", dims, "label", 3)
 
 
 @query()
 def copula_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = cluster.gaussian_copula_draws(_vectors(spark, sf_dir), "vec_id", DIMS, 2)
-    return draws.groupBy("rep").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in DIMS))
+    d, dims = _whole(spark, sf_dir)
+    draws = cluster.gaussian_copula_draws(d, "vec_id", dims, 2)
+    return draws.groupBy("rep").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in dims))
 
 
 @query()
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = cohort.standard_scores(_vectors(spark, sf_dir), DIMS)
-    return cluster.principal_components(z, "vec_id", DIMS, "x0")[1]
+    d, dims = _whole(spark, sf_dir)
+    z = cohort.standard_scores(d, dims)
+    return cluster.principal_components(z, "vec_id", dims, "x0")[1]
 
 
 _FOLD = f"""WITH l AS (SELECT doc_id, toxic, rep, {portable_hash_sql('doc_id', 'rep')} AS h FROM labels, (SELECT unnest([0, 1]) AS rep)),
@@ -196,35 +207,38 @@ def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.balanced_weights(_guesses(spark, sf_dir), "actual").select("doc_id", "weight")
 
 
-def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _vectors(spark, sf_dir).withColumn("y", F.col("label") % 3)
-    return classify.stratified_folds(d, "vec_id", "y", 3)
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    d, dims = _whole(spark, sf_dir)
+    return classify.stratified_folds(d.withColumn("y", F.col("label") % 3), "vec_id", "y", 3), dims
 
 
 @query()
 def logistic_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof = classify.out_of_fold(_classes(spark, sf_dir), "vec_id", DIMS, "y", classify.logistic)
+    d, dims = _classes(spark, sf_dir)
+    oof = classify.out_of_fold(d, "vec_id", dims, "y", classify.logistic)
     return classify.class_metrics(oof, "actual", "predicted")
 
 
 @query()
 def boosted_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof = classify.out_of_fold(_classes(spark, sf_dir), "vec_id", DIMS, "y", lambda n: classify.boosted(2, 3))
+    d, dims = _classes(spark, sf_dir)
+    oof = classify.out_of_fold(d, "vec_id", dims, "y", lambda n: classify.boosted(2, 3))
     return classify.class_metrics(oof, "actual", "predicted")
 
 
 @query()
 def forest_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof = classify.out_of_fold(_classes(spark, sf_dir), "vec_id", DIMS, "y", lambda n: classify.forest(20))
+    d, dims = _classes(spark, sf_dir)
+    oof = classify.out_of_fold(d, "vec_id", dims, "y", lambda n: classify.forest(20))
     return classify.class_metrics(oof, "actual", "predicted")
 
 
 @query()
 def membership_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _vectors(spark, sf_dir)
+    d, dims = _whole(spark, sf_dir)
     runs = None
     for seed in range(3):
-        one = cluster.assign(d, DIMS, cluster.fit_centres(d, DIMS, 3, (seed,))[0])
+        one = cluster.assign(d, dims, cluster.fit_centres(d, dims, 3, (seed,))[0])
         small = one.groupBy("cluster").count().orderBy("count", "cluster").limit(1).select("cluster").withColumn("is_small", F.lit(True))
         flagged = one.join(small, "cluster", "left").select("vec_id", F.coalesce("is_small", F.lit(False)).alias("flag"))
         runs = flagged if runs is None else runs.unionByName(flagged)
