@@ -40,7 +40,7 @@ LINE_DEDUP = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM d),
 w AS (SELECT doc_id, no, row_number() OVER (ORDER BY doc_id NULLS FIRST, no) AS r, regexp_extract_all({_low('line')}, {_WORDS}) AS w FROM x),
-s AS (SELECT doc_id, no, r, CASE WHEN len(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS t FROM w),
+s AS (SELECT doc_id, no, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS t FROM w),
 u AS (SELECT r, len(t) AS n, unnest(t) AS y FROM s),
 o AS (SELECT a.r AS a, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.y = b.y AND b.r < a.r GROUP BY a.r, b.r),
 g AS (SELECT DISTINCT s.doc_id, s.no FROM o JOIN s ON o.a = s.r WHERE 4 * c >= 3 * (na + nb - c)),

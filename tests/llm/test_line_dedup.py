@@ -1,13 +1,13 @@
 import random
 import re
 
-from sensorloom.llm import line_dedup
+from sensorloom.llm import line_dedup, token_table
 from sensorloom.session import table
 
 
 def tokens(line):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line))
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
 def brute(rows):
@@ -70,28 +70,30 @@ def test_equal_rows_and_empty(spark):
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
-def test_short_lines_of_the_pipeline(spark):
-    import corpus_pipeline
-
+def test_short_lines(spark):
     rows = [(1, "All rights reserved.\nhome\n\none two three four"), (2, "all  rights reserved.\nHOME\n \nhome page\n\none two three five"), (3, "home\nreserved. rights all\none two three four five"), (4, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    got = {r.doc_id: r.text for r in check(spark, rows)}
     assert got == {1: rows[0][1], 2: " \nhome page\n\none two three five", 3: "reserved. rights all\none two three four five", 4: None}
 
 
-def test_short_lines_of_the_given_table(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = table(spark, sf_dir, "documents")
-    words = lambda line: tuple(re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)))
-    before, after = ({r.doc_id: r.text for r in d.collect()} for d in (docs, corpus_pipeline.drop_lines(spark, docs, sf_dir)))
-    short = lambda texts: [w for i in sorted(texts) for line in (texts[i] or "").split("\n") if 0 < len(w := words(line)) < 5]
-    assert len(short(before)) > len(set(short(before)))
-    assert short(after) == list(dict.fromkeys(short(before)))
-
-
-def test_tokens_that_collide_are_no_match(spark):
-    # Representatives differ in their sets, so 1 and 2 (one token each) can agree by shortened hashes only; 4 and 5 share 6 of 7.
-    reps = spark.createDataFrame([(1, 1, [9]), (2, 1, [9]), (4, 7, [1, 2, 3, 4, 5, 6]), (5, 7, [1, 2, 3, 4, 5, 6]), (6, 6, [1, 2, 3, 4, 5, 6])], "key long, n long, tokens array<long>")
-    pairs = spark.createDataFrame([(2, 1), (5, 4), (6, 5)], "a long, b long")
-    assert sorted(r.key for r in line_dedup._matched(pairs, reps, 3, 4).collect()) == [5, 6]
+def test_many_near_lines_and_a_long_text(spark):
+    rng = random.Random(3)
+    vocab = [f"w{k}" for k in range(500)]
+    base = rng.choices(vocab, k=60)
+    rows = []
+    for doc in range(300):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((doc, " ".join(w) + "\nthe line that everybody has\n" + " ".join(rng.choices(vocab, k=12))))
+    # One text far beyond a slice, with lines of every length.
+    rows.append((400, "\n".join(" ".join(rng.choices(vocab, k=rng.choice([1, 3, 8, 300]))) for _ in range(6000))))
+    assert len(rows[-1][1]) > token_table.SLICE_BYTES
+    check(spark, rows)
+
+
+def test_shortened_hashes_only_propose(spark, monkeypatch):
+    # With one byte for each token nearly all lines look alike; words decide.
+    real = token_table.token_table
+    monkeypatch.setattr(line_dedup, "token_table", lambda *a, **k: real(*a, **{**k, "width": 1}))
+    test_near_lines(spark)
