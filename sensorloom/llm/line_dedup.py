@@ -7,10 +7,9 @@ document's text, and place. A line is removed when a line before it matches it,
 
 Lines with equal sets count once, by the first; two 64-bit prints of independent hashes tell them. The tokens of the
 others are ordered by rarity (frequency over all lines, then a hash), so that only the first few of each line, its prefix,
-are joined on; length, positional and sketch filters drop pairs before they are compared. Each line then meets the one earlier
-line that it shares the most prefix tokens with (of the first and of the nearest earlier holder of each token), those that
-stay undecided several holders picked by hash, and those that are still undecided all earlier holders. So a large group
-of near copies doesn't make all its pairs. Tokens are shortened hashes while they look for partners only: a pair is
+are joined on; length, positional and sketch filters drop pairs before they are compared. Each line then meets the few
+earlier lines that it shares the most prefix tokens with (of the first and of the nearest earlier holder of each token),
+and those that are still undecided all earlier holders. So a large group of near copies doesn't make all its pairs. Tokens are shortened hashes while they look for partners only: a pair is
 verified on the words of both lines.
 
 Null text stays null, empty text empty; a text whose lines all go is empty. Rows equal in id and text are one document:
@@ -33,8 +32,8 @@ from sensorloom.session import written
 BROADCAST = (200_000, 2_000_000)
 #: Holders of a token that look for their nearest earlier one in one group.
 GROUP = 1_000
-#: Holders of a token that undecided lines meet, and how many of all that it meets a line is compared with.
-HUBS, COMPARED = 6, 8
+#: Of the earlier holders of its tokens that a line meets first, how many it is compared with.
+COMPARED = 4
 #: Words of 64 bits that sketch a set.
 SKETCH = 2
 _BITS = [f"s{j}" for j in range(SKETCH)]
@@ -65,7 +64,7 @@ def _most_met(met: DataFrame, most: int) -> DataFrame:
     counted = met.groupBy(F.col("own.key").alias("a"), F.col("hub.key").alias("b")).agg(F.count("*").alias("c"))
     one = F.struct("c", "b")
     # A line has no more hubs than its prefix tokens have.
-    best = counted.groupBy("a").agg((F.array(F.max(one)) if most == 1 else F.slice(F.sort_array(F.collect_list(one), asc=False), 1, most)).alias("best"))
+    best = counted.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(one), asc=False), 1, most).alias("best"))
     return best.select("a", F.explode("best.b").alias("b"))
 
 
@@ -73,14 +72,7 @@ def _first_or_nearest(holders: DataFrame, num: int, den: int) -> DataFrame:
     tops = holders.groupBy("token").agg(F.min("own").alias("first"), F.count("*").alias("c")).where("c > 1")
     by = Window.partitionBy("token", F.pmod(F.xxhash64("own.key"), F.ceil(F.col("c") / GROUP))).orderBy("own.place")
     met = holders.join(tops, "token").select("own", "first", F.lag("own").over(by).alias("nearest")).select("own", F.explode(F.array("first", "nearest")).alias("hub"))
-    return _most_met(met.where(_may_match("own", "hub", num, den)), 1)
-
-
-def _some_partners(holders: DataFrame, num: int, den: int) -> DataFrame:
-    picked = [F.min(F.struct(F.xxhash64("own.key", F.lit(r)).alias("h"), F.col("own").alias("hub"))).alias(f"h{r}") for r in range(HUBS)]
-    hubs = holders.groupBy("token").agg(F.max("own.undecided").alias("open"), F.count("*").alias("c"), *picked).where("open and c > 1")
-    hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*(F.col(f"h{r}.hub") for r in range(HUBS))))).alias("hub"))
-    return _most_met(holders.where("own.undecided").join(hubs, "token").where(_may_match("own", "hub", num, den)), COMPARED)
+    return _most_met(met.where(_may_match("own", "hub", num, den)), COMPARED)
 
 
 def _all_partners(holders: DataFrame, num: int, den: int) -> DataFrame:
@@ -136,7 +128,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _texts(docs, reps, id_col, text_col)
     side = lambda key, name: texts.select(F.col("key").alias(key), F.col("text").alias(name))
     decided = None
-    for partners in (_first_or_nearest, _some_partners, _all_partners):
+    for partners in (_first_or_nearest, _all_partners):
         now = reps.withColumn("undecided", F.lit(True)) if decided is None else reps.join(decided.withColumn("gone", F.lit(True)), "key", "left").withColumn("undecided", F.col("gone").isNull())
         pairs = partners(_holders(now), num, den).join(side("a", "x"), "a").join(side("b", "y"), "b")
         new = pairs.select("a", "x", "y").mapInArrow(_similar(k, num, den), "a bigint").select(F.col("a").alias("key")).distinct()

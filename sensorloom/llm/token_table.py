@@ -37,7 +37,7 @@ from sensorloom.session import written
 
 K = 5
 NUM, DEN = 3, 4
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 2_000_000
 #: Holders in one slice from which on a token is summed up before it is sent.
 HOT = 8
 #: Buckets for each input partition.
@@ -62,7 +62,7 @@ _BASE = 0xA24BAED4963EE407
 
 @functools.cache
 def _slice_powers() -> tuple[np.ndarray, np.ndarray]:
-    return _powers(2 * SLICE_BYTES)
+    return _powers(SLICE_BYTES)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +74,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of words that don't depend on each other: sums of value[byte] * base ** place over a word's
     bytes, mixed, for two tables of values."""
-    up, down = _slice_powers() if len(raw) <= 2 * SLICE_BYTES else _powers(len(raw))
+    up, down = _slice_powers() if len(raw) <= SLICE_BYTES else _powers(len(raw))
     up, down, later, out = up[: len(raw)], down[begin], begin > 0, []
     for salt in (1, 2):
         # Upper case has the values of lower case.
