@@ -4,7 +4,7 @@ Layout of a store (a folder that any Spark reader reaches; every file is Parquet
 write to a shared store only through Spark):
 
 * ``dictionary``: one row (sha256, bytes): the shared dictionary, trained on the serialized id arrays of at most
-  ``TRAIN_DOCS`` documents (those whose hashed id and text come first; the first ``TRAIN_CHARS`` characters of each).
+  ``TRAIN_DOCS`` whole documents (those whose hashed id comes first, one for each id).
 * ``blocks``: rows (shard, block, n_docs, n_ids, ids_before, first_id, last_id, payload), in ascending document id.
 
 A payload is little-endian: magic ``SLTK``, version (1 byte), bytes an id (1 byte), 2 zero bytes, the dictionary's
@@ -23,8 +23,10 @@ import functools
 import hashlib
 import os
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,6 @@ from sensorloom.llm.text import in_slices
 from sensorloom.session import shared_dir
 
 TRAIN_DOCS = 256
-TRAIN_CHARS = 2_000
 DICTIONARY_BYTES = 16_384
 BLOCK_DOCS = 1_000
 BLOCK_BYTES = 2_000_000
@@ -51,6 +52,14 @@ CACHE = 400_000
 _HEAD = struct.Struct("<4sBBH32sI")
 
 
+def id_bytes(ids: list[int], width: int) -> bytes:
+    """Ids as little-endian unsigned integers of 2 or 4 bytes."""
+    out = array("H" if width == 2 else "I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct piece of the pre-tokenizer's pattern once."""
 
@@ -69,9 +78,8 @@ class PieceEncoder:
         if len(self.known) > CACHE:
             self.known.clear()
         new = list(set(pieces).difference(self.known))
-        kind = f"<u{self.width}"
         for piece, got in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(got.ids, kind).tobytes()
+            self.known[piece] = id_bytes(got.ids, self.width)
         get = self.known.__getitem__
         return [b"".join(map(get, pieces[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
@@ -123,11 +131,25 @@ def as_dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(raw)
 
 
+def sampled_texts(docs: DataFrame, id_col: str, text_col: str, count: int) -> DataFrame:
+    """``text`` of the documents whose hashed id comes first, one for each id, without null and empty ones.
+
+    Ids are chosen by themselves, so that no text moves but the chosen ones.
+    """
+    chosen = docs.select(F.col(id_col).alias("own")).distinct().orderBy(F.xxhash64("own"), "own").limit(count)
+    met = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).where("text <> ''").join(F.broadcast(chosen), "own")
+    return met.dropDuplicates(["own"]).select("text")
+
+
 def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) -> bytes:
     """The shared dictionary from a bounded sample; raw content where there are too few ids to train on."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.select(key.alias("k"), F.substring(F.col(text_col), 1, TRAIN_CHARS).alias("t")).where("t <> ''").orderBy("k", "t").limit(TRAIN_DOCS).collect()
-    samples = PieceEncoder(path).encode([r.t for r in rows])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(encoder_of(path).encode(batch["text"].to_pylist()), pa.binary())], ["ids"])
+
+    rows = sampled_texts(docs, id_col, text_col, TRAIN_DOCS).mapInArrow(encode, "ids binary")
+    samples = sorted(bytes(r.ids) for r in rows.collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:

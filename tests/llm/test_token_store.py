@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sensorloom.llm import token_store
@@ -28,7 +29,7 @@ def stored(spark, docs):
 
 
 def test_whole_table(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumnRenamed("lang", "id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("x").alias("id"), F.lit(1).alias("shard"), F.lit(2).alias("start"), F.lit(3).alias("own"))
     out, got = stored(spark, docs)
     want = expected(sorted((r.doc_id, r.text) for r in docs.collect()))
     assert sorted(tuple(r)[:4] + (list(r.ids),) for r in got.collect()) == want
@@ -39,10 +40,13 @@ def test_whole_table(spark, sf_dir):
 def test_edges(spark):
     rows = [(None, "x"), (3, None), (4, ""), (4, "b a"), (5, "<|endoftext|> é\n\n漢 it's"), (5, "<|endoftext|> é\n\n漢 it's"), (9, "word " * 30_000)]
     _, got = stored(spark, spark.createDataFrame(rows[::-1], "doc_id long, text string"))
-    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start), tuple(r)) for r in got.collect())
-    assert {r[1][:4] for r in got} == {x[:4] for x in expected(rows)} or [r[1][2] for r in got] == [x[2] for x in expected(rows)]
-    starts = sorted((r[1][1], r[1][2]) for r in got)
-    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    got = sorted(got.collect(), key=lambda r: r.start)
+    # In order of ids, null first; rows under one id may come in any order, one after another.
+    assert [r.doc_id for r in got] == [i for i, _ in rows]
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    each = {i: sorted((w[2], w[3], w[4]) for t in [t for d, t in rows if d == i] for w in expected([(i, t)])) for i, _ in rows}
+    for i, want in each.items():
+        assert sorted((r.n_tokens, r.ids_crc32, list(r.ids)) for r in got if r.doc_id == i) == want
 
 
 def test_empty(spark):
