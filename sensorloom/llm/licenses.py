@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,19 +194,37 @@ def _gate() -> re.Pattern:
     return re.compile("|".join(sorted((re.escape(k) for k, _ in _compiled()), key=len, reverse=True)).encode())
 
 
+def _maximal(found: np.ndarray) -> np.ndarray:
+    """Which of the rows (priority, rule, begin, end) stay: those inside no other of higher priority, nor of the same
+    priority that is longer or, if equal, comes first. Being inside is transitive, so only what stays has to be asked."""
+    order = np.lexsort((found[:, 1], -found[:, 3], found[:, 2], -found[:, 0]))
+    stays: list[np.ndarray] = []
+    begins, reach = np.empty(0, np.int64), np.empty(0, np.int64)
+    for own in np.split(order, np.flatnonzero(np.diff(found[order, 0])) + 1):
+        begin, end = found[own, 2], found[own, 3]
+        # The furthest end of earlier ones that begin here or before; within a priority rows are sorted by begin, longest first.
+        before = np.r_[np.int64(-1), reach][np.searchsorted(begins, begin, "right")]
+        inside = np.maximum(before, np.r_[np.int64(-1), np.maximum.accumulate(end)[:-1]]) >= end
+        stays.append(own[~inside])
+        kept = np.concatenate(stays)
+        kept = kept[np.argsort(found[kept, 2], kind="stable")]
+        begins, reach = found[kept, 2], np.maximum.accumulate(found[kept, 3])
+    return np.concatenate(stays)
+
+
 def detections(text: bytes) -> list[tuple[int, int, Rule]]:
     """Kept matches (first and last byte in the joined words, rule), in order of place."""
     found = []
     for keyword, own in _compiled():
         if keyword.encode() in text:
             for k, rule, pattern in own:
-                found += [(k, m.start(), m.end(), rule) for m in pattern.finditer(text)]
-    found.sort(key=lambda x: (-x[3].priority, x[1] - x[2], x[1], x[0]))
-    kept: list[tuple[int, int, Rule]] = []
-    for _, a, b, rule in found:
-        if not any(x <= a and b <= y for x, y, _ in kept):
-            kept.append((a, b, rule))
-    return sorted(kept, key=lambda x: x[:2])
+                found += [(rule.priority, k, *m.span()) for m in pattern.finditer(text)]
+    if not found:
+        return []
+    rows = np.array(found, np.int64)
+    rows = rows[_maximal(rows)]
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 3], rows[:, 2]))]
+    return [(a, b, rules()[k]) for _, k, a, b in rows.tolist()]
 
 
 def base_places(text: bytes) -> list[tuple[int, str]]:
@@ -224,8 +243,13 @@ def scan(text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int,
     joined = b" " + b" ".join(words) + b" "
     base = base_places(joined)
     found = detections(joined) if _gate().search(joined) else []
-    word = lambda at: joined.count(b" ", 0, at) - 1
-    return len(words), [(word(a), label) for a, label in base], [(word(a), word(b) + 1, rule) for a, b, rule in found]
+    if not base and not found:
+        return len(words), [], []
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    word = lambda at: (np.searchsorted(blanks, np.array(at, np.int64)) - 1).tolist()
+    firsts, lasts = word([a for a, _, _ in found]), word([b for _, b, _ in found])
+    placed = list(zip(word([a for a, _ in base]), (label for _, label in base), strict=True))
+    return len(words), placed, [(a, b + 1, rule) for a, b, (_, _, rule) in zip(firsts, lasts, found, strict=True)]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
