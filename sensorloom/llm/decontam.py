@@ -9,8 +9,8 @@ through the wavelet tree's ranks, occurrences are located by sampled suffix posi
 removal spans.
 
 Items are a query set: they are taken in blocks of at most ``ITEM_WORDS`` words, each a bounded broadcast and one more
-narrow pass over the documents; there is no shuffle. Removal over several blocks writes the documents once, and then
-those that were cut, until no block finds a window. A null text has no words and matches nothing; an item without id
+narrow pass over the documents; there is no shuffle. With several blocks each pass is written, so that one block at a
+time is at the driver. Removal over several blocks goes on with the texts that were cut until no block finds a window. A null text has no words and matches nothing; an item without id
 or words is ignored; several texts under one item id count as one item; a repeated document row is judged by itself.
 """
 
@@ -52,18 +52,24 @@ class Block:
         self.shortest = min(self.by_length, default=0)
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int, words: int = ITEM_WORDS) -> Iterator[Block]:
-    """Items in blocks that hold at most ``words`` words, or one item."""
-    held, count = [], 0
+def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int, words: int = ITEM_WORDS) -> Iterator[tuple[Block, bool]]:
+    """Blocks of items that hold at most ``words`` words, and whether a block is the last; there is one at least.
+
+    An item of more words comes in parts that overlap by a window less one word, so each window is whole in one of them.
+    """
+    held, count, words = [], 0, max(words, window)
     rows = items.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     for item, text in rows.toLocalIterator():
-        n = text.count(" ") + text.count("\n") + 1
-        if held and count + n > words:
-            yield Block(held, window)
-            held, count = [], 0
-        held.append((item, text.encode()))
-        count += n
-    yield Block(held, window)
+        own = alnum_words(text.encode())
+        step = max(1, words - window + 1)
+        for k in range(0, max(1, len(own) - window + 1), step) if len(own) > words else (0,):
+            part = own[k : k + words] if len(own) > words else own
+            if held and count + len(part) > words:
+                yield Block(held, window), False
+                held, count = [], 0
+            held.append((item, b" ".join(part)))
+            count += len(part)
+    yield Block(held, window), True
 
 
 def shard_hits(texts: list[bytes], block: Block) -> tuple[np.ndarray, list[np.ndarray], list[set[str]]]:
@@ -157,64 +163,62 @@ def _merged(a: list[dict] | None, b: np.ndarray) -> list[dict]:
 
 
 _SPANS = "array<struct<first:bigint,last:bigint>>"
-_FOUND = "benchmark spans"
+_SPAN_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs``: id, n_words, spans (words first..last-1 inside windows of items), items (sorted item ids)."""
-    blocks = list(item_blocks(items, item_id, item_text, window)) if not isinstance(items, list) else items
-    sc = docs.sparkSession.sparkContext
-    id_type = docs.schema[id_col].dataType.simpleString()
-    now = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.lit(None).cast(_SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    for k, block in enumerate(blocks):
-        shared, final = sc.broadcast(block), k == len(blocks) - 1
-        schema = f"id {id_type}, " + ("" if final else "text string, ") + f"n_words bigint, spans {_SPANS}, items array<string>"
+def _searched(docs: DataFrame, text_col: str, blocks: Iterator[tuple[Block, bool]]) -> DataFrame:
+    """``docs`` and what all blocks find: ``benchmark words``, ``benchmark spans`` and ``benchmark items``.
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, final=final) -> Iterator[pa.RecordBatch]:
+    One block at a time is at the driver and at the tasks: before the next one comes, what was found is written.
+    """
+    sc, names = docs.sparkSession.sparkContext, docs.columns
+    at = names.index(text_col)
+    now = docs.withColumns({"benchmark words": F.lit(0).cast("bigint"), "benchmark spans": F.lit(None).cast(_SPANS), "benchmark items": F.lit(None).cast("array<string>")})
+    schema = now.schema
+    for block, last in blocks:
+        shared = sc.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = byte_values(batch["text"])
+                texts = byte_values(batch.column(at))
                 for a, b in in_slices(texts, SHARD_BYTES):
                     counts, spans, found = shard_hits(texts[a:b], shared.value)
                     part = batch.slice(a, b - a)
-                    seen, had = part["spans"].to_pylist(), part["items"].to_pylist()
-                    out = {"id": part["id"]} | ({} if final else {"text": part["text"]})
-                    out |= {
-                        "n_words": pa.array(counts, pa.int64()),
-                        "spans": pa.array([_merged(x, y) for x, y in zip(seen, spans, strict=True)], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                        "items": pa.array([sorted({*(x or ()), *y}) for x, y in zip(had, found, strict=True)], pa.list_(pa.string())),
-                    }
-                    yield pa.RecordBatch.from_pydict(out)
+                    seen, had = (part.column(len(names) + k).to_pylist() for k in (1, 2))
+                    out = [
+                        pa.array(counts, pa.int64()),
+                        pa.array([_merged(x, y) for x, y in zip(seen, spans, strict=True)], _SPAN_TYPE),
+                        pa.array([sorted({*(x or ()), *y}) for x, y in zip(had, found, strict=True)], pa.list_(pa.string())),
+                    ]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *out], part.schema.names)
 
         now = now.mapInArrow(search, schema)
-    return now.withColumnRenamed("id", id_col)
+        if not last:
+            now = written(now, "searched")
+            shared.destroy()
+    return now
 
 
-def _cut_once(docs: DataFrame, text_col: str, blocks: list) -> DataFrame:
-    """``docs``, the spans of all blocks on the same text cut at once, and whether the text was cut."""
-    at, spans_at, width = docs.columns.index(text_col), len(docs.columns), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    now = docs.withColumn(_FOUND, F.lit(None).cast(_SPANS))
-    cut_schema = docs.withColumn(_FOUND, F.lit(False)).schema
-    for k, block in enumerate(blocks):
+def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, words: int = ITEM_WORDS) -> DataFrame:
+    """Per row of ``docs``: id, n_words, spans (words first..last-1 inside windows of items), items (sorted item ids)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = _searched(rows, "text", item_blocks(items, item_id, item_text, window, words))
+    return found.select(F.col("id").alias(id_col), F.col("benchmark words").alias("n_words"), F.col("benchmark spans").alias("spans"), F.col("benchmark items").alias("items"))
 
-        def search(batches: Iterator[pa.RecordBatch], block=block, final=k == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = byte_values(batch.column(at))
-                for a, b in in_slices(texts, SHARD_BYTES):
-                    part = batch.slice(a, b - a)
-                    _, spans, _ = shard_hits(texts[a:b], block.value)
-                    merged = [_merged(x, y) for x, y in zip(part.column(spans_at).to_pylist(), spans, strict=True)]
-                    columns = part.columns
-                    if final:
-                        new = [cut_words(t, np.array([(x["first"], x["last"]) for x in m])) if m else t for t, m in zip(texts[a:b], merged, strict=True)]
-                        was = columns[at].is_null().to_pylist()
-                        columns[at] = pa.array([None if w else x.decode() for x, w in zip(new, was, strict=True)], pa.string())
-                        columns[spans_at] = pa.array([bool(m) for m in merged], pa.bool_())
-                    else:
-                        columns[spans_at] = pa.array(merged, width)
-                    yield pa.RecordBatch.from_arrays(columns, part.schema.names)
-
-        now = now.mapInArrow(search, cut_schema if k == len(blocks) - 1 else now.schema)
-    return now
+
+def _cut_once(docs: DataFrame, text_col: str, blocks: Iterator[tuple[Block, bool]]) -> DataFrame:
+    """``docs``, the spans of all blocks on the same text cut at once, and ``was cut``."""
+    found = _searched(docs, text_col, blocks).drop("benchmark words", "benchmark items")
+    at = docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, spans = batch.columns[:-1], batch.column(batch.num_columns - 1).to_pylist()
+            texts = [None if t is None else cut_words(t.encode(), np.array([(x["first"], x["last"]) for x in m])).decode() if m else t for t, m in zip(columns[at].to_pylist(), spans, strict=True)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(m) for m in spans], pa.bool_())], [*batch.schema.names[:-1], "was cut"])
+
+    return found.mapInArrow(cut, docs.withColumn("was cut", F.lit(False)).schema)
 
 
 def remove_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, words: int = ITEM_WORDS) -> DataFrame:
@@ -224,17 +228,18 @@ def remove_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text",
     until none changes. One block does that inside its tasks; several write each round."""
     sc = docs.sparkSession.sparkContext
     fields = docs.columns
-    blocks = [sc.broadcast(block) for block in item_blocks(items, item_id, item_text, window, words)]
-    if len(blocks) > 1:
+    blocks = lambda: item_blocks(items, item_id, item_text, window, words)
+    first, only = next(blocks())
+    if not only:
         done = None
         while True:
-            round_ = written(_cut_once(docs, text_col, blocks), "cut")
-            whole = round_.where(~F.col(_FOUND)).select(*fields)
+            round_ = written(_cut_once(docs, text_col, blocks()), "cut")
+            whole = round_.where("not `was cut`").select(*fields)
             done = whole if done is None else done.unionByName(whole)
-            docs = round_.where(F.col(_FOUND)).select(*fields)
+            docs = round_.where("`was cut`").select(*fields)
             if docs.isEmpty():
                 return done
-    shared = blocks[0]
+    shared = sc.broadcast(first)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
