@@ -2,16 +2,19 @@
 
 Features are the lower-cased words of a text and their beginnings of 4 to 7 letters, hashed to ``BUCKETS``; each says
 that a word or beginning occurs at least once, or twice, or four times (``LEVELS``). Of them, those most tied to the label in the training rows are kept (``FEATURES``), and those of the identity terms always.
-A logistic model is fitted to these, with a penalty on the squared change of the score when identity terms of a labelled
-text are swapped for others (a text without any gets a neutral mention, which is swapped). So a mention of a group by
-itself moves the score little, whatever company it keeps in the training rows.
+A logistic model is fitted to these, with a penalty on the squared change of the score's log-odds when identity terms of a
+labelled text are swapped for others (a text without any gets a neutral mention, which is swapped). So a mention of a
+group by itself moves the score little, whatever company it keeps in the training rows.
+
+``FEATURES`` and ``LEAST_TIE`` bound the model: it holds at most so many weights, and none that chance could explain.
 
 The classifier is fitted on at most ``TRAIN_ROWS`` labelled rows, those whose hashed id comes first; feature counts and
 the model come from them by Spark aggregation and a bounded fit. Scoring covers every whole text in one narrow pass.
 
 A null or empty text has no features and gets the score of the bias. Conflicting labels of an id count as toxic; null
 labels and ids are not learned from. With one class or no rows to learn from, all scores are the share of that class,
-smoothed. Repeated rows repeat their score; a null id is not held out.
+smoothed. Repeated rows repeat their score; of several rows under one id one is learned from (the smallest text). A null
+id is not held out.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ LEAST_TIE = 5.0
 PENALTY = 1.0
 RIDGE = 2e-4
 STEPS = 400
+#: Words that a task keeps the buckets of; dropped at its end.
+CACHE = 100_000
 
 #: Words that name groups of people, by kind; a swap stays inside a kind.
 IDENTITY = (
@@ -58,16 +63,22 @@ def _known() -> dict[bytes, tuple[int, ...]]:
     return {}
 
 
-def word_features(word: bytes) -> tuple[int, ...]:
+def buckets_of(word: bytes) -> tuple[int, ...]:
     """Buckets of a word and of its beginnings."""
+    text = word.decode("utf-8", "replace").lower()
+    names = [text, *(text[:k] + "*" for k in range(4, min(8, len(text))))]
+    return tuple(sorted({xxhash.xxh32_intdigest(x) % BUCKETS for x in names}))
+
+
+def word_features(word: bytes) -> tuple[int, ...]:
+    """``buckets_of``, kept for the words a fitting task meets again."""
     known = _known()
-    if word not in known:
-        if len(known) > 150_000:
+    own = known.get(word)
+    if own is None:
+        if len(known) > CACHE:
             known.clear()
-        text = word.decode("utf-8", "replace").lower()
-        names = [text, *(text[:k] + "*" for k in range(4, min(8, len(text))))]
-        known[word] = tuple(sorted({xxhash.xxh32_intdigest(x) % BUCKETS for x in names}))
-    return known[word]
+        own = known[word] = buckets_of(word)
+    return own
 
 
 def features(words: Counter) -> set[int]:
@@ -105,8 +116,8 @@ class Model:
         """The word's buckets that have a weight, kept for the words a worker meets again."""
         own = self.met.get(word)
         if own is None:
-            own = tuple(b for b in word_features(word) if b in self.used)
-            if len(self.met) > 150_000:
+            own = tuple(b for b in buckets_of(word) if b in self.used)
+            if len(self.met) > CACHE:
                 self.met.clear()
             self.met[word] = own
         return own
@@ -126,6 +137,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(byte_values(batch["text"]), batch["label"].to_pylist(), strict=True):
             total[label, list(features(Counter(alnum_words(text))))] += 1
+    _known().clear()
     at = np.flatnonzero(total.sum(0))
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["bucket", "clean", "toxic"])
 
@@ -149,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     named = named.orderBy(F.xxhash64("own"), "own").limit(rows)
     # The limit bounds what is broadcast.
     chosen = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(named), "own")
-    chosen = written(chosen, "toxicity")
+    # Of the rows under one id one is learned from, so that ``rows`` bounds rows.
+    chosen = written(chosen.groupBy("own", "label").agg(F.min("text").alias("text")), "toxicity")
     sizes = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_clean or not n_toxic:
@@ -169,6 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 for out, w in ((plain, words), (one, a), (two, b)):
                     out.append(sorted(features(w) & shared.value))
             yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(x, pa.list_(pa.int32())) for x in (plain, one, two))], ["label", "plain", "one", "two"])
+        _known().clear()
 
     got = chosen.select("label", "text").mapInArrow(sparse, "label int, plain array<int>, one array<int>, two array<int>").toArrow()
     return _descend(got, sorted(kept), penalty)
@@ -212,6 +226,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shared.value.score(t) for t in byte_values(batch["text"])], pa.float64())], ["id", "score"])
+        shared.value.met.clear()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
@@ -224,5 +239,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", least: flo
         for batch in batches:
             texts = byte_values(batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([shared.value.score(t) < least for t in texts], pa.bool_()))
+        shared.value.met.clear()
 
     return docs.mapInArrow(run, docs.schema)
