@@ -8,7 +8,7 @@ frames; pairs that move at least one bin are kept. A pair is one integer: frame,
 ordered by time.
 
 Each row is a function of its own text, so equal texts give equal values, a null id passes and repeated rows repeat.
-There is no shuffle; a task holds one batch of payloads and the frames of one payload.
+There is no shuffle; a task holds one batch of payloads and ``CHUNK`` frames of one payload.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.text import byte_values
+from sensorloom.llm.text import byte_values, in_slices
 
 UNIT = 192
 RATE = 8_000
 FRAME = 256
 REACH = 2
+#: Frames transformed at once.
+CHUNK = 1_024
+SLICE_BYTES = 4_000_000
 #: Bins of each band: first, and one past the last.
 BANDS = ((2, 8), (8, 20), (20, 48), (48, 129))
 
@@ -55,17 +58,27 @@ def from_wav(media: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
+def _peaks(samples: np.ndarray) -> np.ndarray:
+    """The strongest bin of each band of each frame; frames are transformed ``CHUNK`` at a time."""
+    n = max(1, -(-(len(samples) - FRAME) // UNIT) + 1)
+    window = np.hanning(FRAME).astype(np.float32)
+    out = np.empty((n, len(BANDS)), np.int64)
+    for first in range(0, n, CHUNK):
+        last = min(n, first + CHUNK)
+        part = samples[first * UNIT : (last - 1) * UNIT + FRAME].astype(np.float32) - 128
+        whole = np.zeros((last - first - 1) * UNIT + FRAME, np.float32)
+        whole[: len(part)] = part
+        power = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(whole, FRAME)[::UNIT] * window, axis=1))
+        level = np.round(np.log1p(power), 3)
+        for k, (a, b) in enumerate(BANDS):
+            out[first:last, k] = a + level[:, a:b].argmax(1)
+    return out
+
+
 def fingerprint(payload: bytes) -> np.ndarray:
     """Time-coded peak pairs: frame * 2**20 + bin * 2**12 + later bin * 2**4 + distance, ascending in time."""
-    samples = np.frombuffer(payload, np.uint8).astype(np.float32) - 128
-    n = max(1, -(-(len(samples) - FRAME) // UNIT) + 1)
-    whole = np.zeros((n - 1) * UNIT + FRAME, np.float32)
-    whole[: len(samples)] = samples
-    frames = np.lib.stride_tricks.sliding_window_view(whole, FRAME)[::UNIT] * np.hanning(FRAME).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames, axis=1))
-    level = np.round(np.log1p(power), 3)
-    peaks = np.stack([a + level[:, a:b].argmax(1) for a, b in BANDS], 1)
-    pairs = []
+    peaks = _peaks(np.frombuffer(payload, np.uint8))
+    n, pairs = len(peaks), []
     for distance in range(1, REACH + 1):
         if n > distance:
             here, later = peaks[:-distance], peaks[distance:]
@@ -82,7 +95,8 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_values(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(t) for t in texts], pa.int64()), pa.array([to_wav(padded(t)) for t in texts], pa.binary())], ["id", "n_bytes", "media"])
+            for a, b in in_slices(texts, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), pa.array([len(t) for t in texts[a:b]], pa.int64()), pa.array([to_wav(padded(t)) for t in texts[a:b]], pa.binary())], ["id", "n_bytes", "media"])
 
     return rows.mapInArrow(run, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
@@ -96,7 +110,7 @@ def media_features(media: DataFrame, id_col: str = "doc_id", arrays: bool = True
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for stored in batch["media"].to_pylist():
+            for stored in map(pa.Scalar.as_py, batch["media"]):
                 payload = from_wav(stored)
                 prints = fingerprint(payload)
                 said = f"{len(prints)}:{hashlib.sha256(prints.astype('<i8').tobytes()).hexdigest()[:32]}"

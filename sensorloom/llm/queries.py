@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm import bpe, decontam, licenses, line_dedup, media, ngram_join, pii, sql, token_store, toxicity, url_lists
-from sensorloom.session import table
+from sensorloom.session import table, written
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.encode_media(table(spark, sf_dir, "documents")), arrays=False)
+    stored = written(media.encode_media(table(spark, sf_dir, "documents")), "media")
+    return media.media_features(stored, arrays=False)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -37,3 +38,25 @@ def test_peaks_follow_tones():
     codes = media.fingerprint(moved)
     assert ((codes >> 12 & 255 == 25) & (codes >> 4 & 255 == 40)).any()
     assert (np.diff(codes >> 20) >= 0).all()
+
+
+def test_chunks_agree(monkeypatch):
+    payload = np.random.default_rng(1).integers(0, 256, 192 * 301, np.uint8).tobytes()
+    whole = media.fingerprint(payload)
+    for chunk in (1, 7, 300, 301):
+        monkeypatch.setattr(media, "CHUNK", chunk)
+        assert (media.fingerprint(payload) == whole).all()
+
+
+def test_fingerprint_by_its_definition():
+    rng = random.Random(8)
+    text = "".join(rng.choices("abc DEF\n.", k=4_000)).encode()
+    payload = media.padded(text)
+    samples = [b - 128 for b in payload] + [0] * media.FRAME
+    peaks = []
+    for at in range(0, max(1, len(payload) - media.FRAME + media.UNIT), media.UNIT):
+        frame = np.array(samples[at : at + media.FRAME], np.float32) * np.hanning(media.FRAME).astype(np.float32)
+        power = np.abs(np.fft.rfft(frame))
+        peaks.append([a + int(np.round(np.log1p(power), 3)[a:b].argmax()) for a, b in media.BANDS])
+    want = [(k << 20) + (p << 12) + (q << 4) + d for k, own in enumerate(peaks) for d in range(1, media.REACH + 1) if k + d < len(peaks) for p, q in zip(own, peaks[k + d]) if p != q]
+    assert media.fingerprint(payload).tolist() == sorted(want)
