@@ -3,31 +3,27 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import portable_hash
-from sensorloom.operators import stats
+from sensorloom.operators import replicates, stats
 from sensorloom.operators.cluster import vectors
+from sensorloom.session import written
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, repeats: int = 1, seed: int = 0) -> DataFrame:
-    """(…, rep, fold): each repeat deals the rows of each class evenly over folds, in the order of a hash.
-
-    Places come from counts of hash buckets and from ranks inside a bucket, so a large class isn't ranked by one task.
-    """
+    """(…, rep, fold): each repeat deals the rows of each class evenly over folds, in the order of a hash."""
     d = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    d = d.withColumn("_h", portable_hash(F.col(key), F.col("rep"), seed)).withColumn("_b", (F.col("_h") / 10_000).cast("int"))
-    counts = d.groupBy("rep", label, "_b").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_s", F.sum("_c").over(Window.partitionBy("rep", label).orderBy("_b")) - F.col("_c")).drop("_c")
-    own = F.row_number().over(Window.partitionBy("rep", label, "_b").orderBy("_h", key)) - 1
-    d = d.join(before, ["rep", label, "_b"]).withColumn("fold", ((F.col("_s") + own) % folds).cast("int"))
-    return d.drop("_h", "_b", "_s")
+    d = replicates.places(d, key, ["rep", label], portable_hash(F.col(key), F.col("rep"), seed))
+    return d.withColumn("fold", ((F.col("place") - 1) % folds).cast("int")).drop("place")
 
 
 def fold_scores(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("rep",), fold: str = "fold") -> DataFrame:
@@ -46,19 +42,14 @@ def fold_scores(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("r
     return d.select(*(out.get(c, F.col(c)) for c in df.columns))
 
 
-def logistic(n_train: int, weight: str | None = None) -> Estimator:
-    """Multinomial logistic regression whose ridge equals one unit of inverse strength."""
-    more = {"weightCol": weight} if weight else {}
-    return LogisticRegression(family="multinomial", regParam=1.0 / max(1, n_train), elasticNetParam=0.0, standardization=False, maxIter=100, **more)
-
-
 def boosted(min_leaf: int = 2, iterations: int = 20) -> Estimator:
     """Gradient-boosted trees, one against the rest."""
     return OneVsRest(classifier=GBTClassifier(maxIter=iterations, maxDepth=3, minInstancesPerNode=min_leaf, seed=0))
 
 
-def forest(trees: int = 100) -> Estimator:
-    return RandomForestClassifier(numTrees=trees, seed=0)
+def forest(trees: int = 100, weight: str | None = None, seed: int = 0) -> Estimator:
+    more = {"weightCol": weight} if weight else {}
+    return RandomForestClassifier(numTrees=trees, seed=seed, **more)
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -69,20 +60,52 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     return df.withColumn(name, weight)
 
 
+def logistic_out_of_fold(df: DataFrame, key: str, columns: Sequence[str], label: str, folds: int, balanced: bool = False) -> DataFrame:
+    """(key, rep, fold, actual, predicted, probability) by multinomial logistic regression of unit inverse strength, all
+    repeats and folds in shared passes; ``df`` has rep and fold. Labels are codes 0..k-1."""
+    d = df.select(key, "rep", "fold", F.col(label).cast("int").alias("y"), *columns)
+    classes = 1 + (d.agg(F.max("y")).head()[0] or 0)
+    rows = replicates.points(d, key, columns, "rep", ["y", "fold"])
+    out = replicates.out_of_fold_shares(rows, replicates.logistic_runs(rows, classes, folds, balanced))
+    return out.select(F.col("key").alias(key), F.col("run").alias("rep"), "fold", "actual", "predicted", "probability")
+
+
+def _shares(model: DataFrame) -> Column:
+    """Class shares of a fitted model's rows; of one-against-rest trees, the logistic of each margin, over their sum."""
+    if "probability" in model.columns:
+        return vector_to_array("probability")
+    each = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-2 * v)))
+    return F.transform(each, lambda v: v / F.aggregate(each, F.lit(0.0), lambda a, x: a + x))
+
+
 def out_of_fold(df: DataFrame, key: str, columns: Sequence[str], label: str, make: Callable[[int], Estimator], keep: Sequence[str] = ()) -> DataFrame:
     """Pooled predictions of rows by models of the other folds; ``df`` has rep and fold. Labels are codes 0..k-1."""
-    d = vectors(fold_scores(df, columns), columns).withColumn("label", F.col(label).cast("double")).cache()
-    parts = d.select("rep", "fold").distinct().orderBy("rep", "fold").collect()
+    d = written(vectors(fold_scores(df, columns), columns).withColumn("label", F.col(label).cast("double")), "folds")
+    sizes = {(r["rep"], r["fold"]): r["count"] for r in d.groupBy("rep", "fold").count().collect()}
     out = []
-    for rep, fold in parts:
+    for rep, fold in sorted(sizes):
         train = d.where((F.col("rep") == rep) & (F.col("fold") != fold))
-        model = make(train.count()).fit(train)
+        model = make(sum(n for (r, f), n in sizes.items() if r == rep and f != fold)).fit(train)
         got = model.transform(d.where((F.col("rep") == rep) & (F.col("fold") == fold)))
-        share = vector_to_array("probability") if "probability" in got.columns else F.lit(None).cast("array<double>")
-        out.append(got.select(key, "rep", "fold", F.col(label).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"), share.alias("probability"), *keep))
+        out.append(got.select(key, "rep", "fold", F.col(label).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"), _shares(got).alias("probability"), *keep))
     return functools.reduce(DataFrame.unionByName, out)
 
 
+def out_of_bag(df: DataFrame, key: str, columns: Sequence[str], label: str, weight: str, bags: int = 5, trees: int = 50, seed: int = 0) -> DataFrame:
+    """(key, actual, predicted): each row by the forests of the bags it isn't in, by their mean shares. A bag draws rows with
+    replacement (Poisson) and grows a forest; trees of one bag share its rows, so a row is out of whole forests, which
+    Spark ML's own trees don't tell."""
+    d = written(vectors(df, columns).withColumn("label", F.col(label).cast("double")), "bags")
+    votes = None
+    for b in range(bags):
+        times = poisson_weight(F.col(key), F.lit(b), seed)
+        model = forest(trees, "_w", seed + b).fit(d.withColumn("_w", F.col(weight) * times).where(times > 0))
+        got = model.transform(d.where(times == 0)).select(key, F.col(label).cast("int").alias("actual"), F.posexplode(vector_to_array("probability")).alias("c", "p"))
+        votes = got if votes is None else votes.unionByName(got)
+    mean = votes.groupBy(key, "actual", "c").agg(F.avg("p").alias("p"))
+    return mean.groupBy(key, "actual").agg(F.max_by("c", F.struct("p", -F.col("c"))).cast("int").alias("predicted"))
+
+
 def class_metrics(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """(keys, class, support, predicted, hits, recall, precision); 0 where a class is never predicted or absent."""
     w = F.lit(1) if weight is None else weight
@@ -112,12 +135,18 @@ def roc_auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ())
     return g.select(*(k for k in keys if k != "_all"), "n_pos", "n_neg", auc.alias("auc"))
 
 
+def macro_auc(df: DataFrame, actual: str, share: str, classes: int) -> DataFrame:
+    """One row: the mean over classes of the area of each against the rest, and how many classes have one."""
+    d = df.select(F.col(actual).alias("_a"), F.posexplode(share).alias("_c", "_p")).where(F.col("_c") < classes)
+    each = roc_auc(d.withColumn("_is", F.col("_a") == F.col("_c")), "_p", F.col("_is"), ["_c"])
+    return each.agg(F.avg("auc").alias("macro_auc"), F.count("auc").alias("n_classes"))
+
+
 def poisson_weight(key: Column, rep: Column, seed: int = 0) -> Column:
     """Poisson(1) by the inverse of its distribution function from a portable hash."""
     h = portable_hash(key, rep, seed)
-    cuts = (367_879, 735_759, 919_699, 981_012, 996_340, 999_406)
-    out = F.lit(len(cuts))
-    for k, cut in reversed(list(enumerate(cuts))):
+    out = F.lit(len(replicates.POISSON))
+    for k, cut in reversed(list(enumerate(replicates.POISSON))):
         out = F.when(h < cut, k).otherwise(out)
     return out
 
@@ -125,12 +154,22 @@ def poisson_weight(key: Column, rep: Column, seed: int = 0) -> Column:
 def bootstrap_interval(df: DataFrame, key: str, actual: str, predicted: str, reps: int, seed: int = 0) -> DataFrame:
     """One row: 2.5 and 97.5 percentiles of balanced accuracy over Poisson-weighted replicates.
 
-    Rows are first summed to (actual, hit) cells by replicate; only cells are shuffled.
+    Tasks sum weights to cells (replicate, class); rows aren't repeated for the replicates.
     """
-    d = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", poisson_weight(F.col(key), F.col("b"), seed))
-    recall = d.groupBy("b", actual).agg((F.sum(F.when(F.col(actual) == F.col(predicted), F.col("w")).otherwise(0)) / F.nullif(F.sum("w"), F.lit(0))).alias("r"))
-    each = recall.groupBy("b").agg(F.avg("r").alias("acc"))
-    return each.agg(F.percentile("acc", F.lit(0.025)).alias("ci_low"), F.percentile("acc", F.lit(0.975)).alias("ci_high"), F.count("*").alias("reps"))
+    classes = [r[0] for r in df.select(actual).where(F.col(actual).isNotNull()).distinct().orderBy(actual).collect()]
+    code = F.array_position(F.array(*map(F.lit, classes)), F.col(actual)) - 1
+    rows = df.where(F.col(actual).isNotNull()).select(F.col(key).cast("bigint").alias("key"), code.cast("int").alias("c"), F.coalesce(F.col(actual) == F.col(predicted), F.lit(False)).alias("hit"))
+    draws, k = replicates.poisson_draws(seed), len(classes)
+
+    def step(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        keys, c, hit = (batch[n].to_numpy(zero_copy_only=False) for n in ("key", "c", "hit"))
+        for r in range(reps):
+            w = draws(keys, r)
+            yield r, np.r_[np.bincount(c, w * hit, k), np.bincount(c, w, k)]
+
+    each = [(r, float(np.mean(v[:k][v[k:] > 0] / v[k:][v[k:] > 0]))) for r, v in replicates.sums_by_run(rows, step).items() if v[k:].any()]
+    out = df.sparkSession.createDataFrame(each, "b int, acc double")
+    return out.agg(F.percentile("acc", F.lit(0.025)).alias("ci_low"), F.percentile("acc", F.lit(0.975)).alias("ci_high"), F.count("*").alias("reps"))
 
 
 def empirical_p(null: DataFrame, value: str, observed: float, plus_one: bool = True) -> DataFrame:
@@ -139,6 +178,50 @@ def empirical_p(null: DataFrame, value: str, observed: float, plus_one: bool = T
     return null.agg(((n + (1 if plus_one else 0)) / (F.count("*") + 1)).alias("p"), F.count("*").alias("reps"))
 
 
+def permutation_test(df: DataFrame, key: str, columns: Sequence[str], label: str, reps: int = 1_000, folds: int = 5, balanced: bool = False, baseline: float | None = None, seed: int = 0) -> DataFrame:
+    """One row: cross-validated balanced accuracy with its bootstrap interval, p by refits on permuted labels (one added
+    to both), the grade, and whether the classes are large enough to judge. All refits share their passes.
+
+    Rows with a missing feature are left out. The baseline is one over the number of classes where none is given.
+    """
+    d = df.select(key, F.col(label).cast("int").alias("y"), *columns).dropna()
+    labels = replicates.permuted(d.select(key, "y"), key, "y", reps, seed).unionByName(d.select(F.lit(-1).alias("run"), key, "y"))
+    dealt = replicates.places(labels, key, ["run", "y"], portable_hash(F.col(key), F.col("run") + 1, seed + 1))
+    dealt = dealt.withColumn("fold", ((F.col("place") - 1) % folds).cast("int")).drop("place")
+    rows = replicates.points(dealt.join(d.drop("y"), key), key, columns, "run", ["y", "fold"])
+    classes = 1 + d.agg(F.max("y")).head()[0]
+    oof = written(replicates.out_of_fold_shares(rows, replicates.logistic_runs(rows, classes, folds, balanced)), "oof")
+    each = written(balanced_accuracy(class_metrics(oof, "actual", "predicted", ["run"]), ["run"]), "accuracy")
+    own = each.where("run = -1")
+    p = empirical_p(each.where("run >= 0"), "balanced_accuracy", own.head()["balanced_accuracy"]).head()
+    ci = bootstrap_interval(oof.where("run = -1"), "key", "actual", "predicted", 2_000, seed).head()
+    base = F.lit(1 / classes if baseline is None else baseline)
+    out = own.select("balanced_accuracy", "min_recall", "accuracy", "smallest", F.lit(ci["ci_low"]).alias("ci_low"), F.lit(ci["ci_high"]).alias("ci_high"), F.lit(p["p"]).alias("p"), F.lit(p["reps"]).alias("reps"))
+    return out.select("*", evaluable(F.col("smallest")).alias("status"), verdict(F.col("balanced_accuracy"), F.col("ci_low"), F.col("p"), F.col("min_recall"), base).alias("verdict"))
+
+
+def arms(df: DataFrame, sets: Mapping[str, Sequence[str]]) -> list[tuple[str, DataFrame, list[str]]]:
+    """(arm, rows, columns): each set of features and all together on the rows that are complete in all of them; and, as a
+    control, the first set on every row that is complete in its own."""
+    every = list(dict.fromkeys(c for own in sets.values() for c in own))
+    same = df.dropna(subset=every)
+    first = next(iter(sets))
+    return [*((name, same, list(own)) for name, own in sets.items()), ("both", same, every), (f"{first}, all rows", df.dropna(subset=list(sets[first])), list(sets[first]))]
+
+
+def compare_arms(df: DataFrame, key: str, sets: Mapping[str, Sequence[str]], label: str, reps: int = 39, folds: int = 5, seed: int = 0) -> DataFrame:
+    """A row for each arm of ``arms``: its graded accuracy, the branch of its interval against the first arm's, whether all
+    together beats each arm by itself, and which arm leads."""
+    rows = [{"arm": name, "n_features": len(columns), **permutation_test(d, key, columns, label, reps, folds, seed=seed).head().asDict()} for name, d, columns in arms(df, sets)]
+    spark = df.sparkSession
+    d = spark.createDataFrame(rows)
+    by = {r["arm"]: r for r in rows}
+    first = by[next(iter(sets))]
+    beats = all(by["both"]["ci_low"] > by[name]["ci_high"] for name in sets)
+    lead = max(sets.keys() | {"both"}, key=lambda name: (by[name]["balanced_accuracy"], name))
+    return d.withColumns({"branch": branch(F.lit(first["ci_low"]), F.lit(first["ci_high"]), F.col("ci_low"), F.col("ci_high")), "beats_each": (F.col("arm") == "both") & F.lit(beats), "leads": F.col("arm") == lead})
+
+
 def verdict(bacc: Column, low: Column, p: Column, min_recall: Column, baseline: Column) -> Column:
     """Grade of a test: above chance needs both its interval and its p; claims on individuals need every class recalled."""
     above = (low > baseline) & (p < 0.05)

@@ -13,12 +13,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.functions.columns import portable_hash
+from sensorloom.operators import cohort, replicates
 
 BLOCK = 2_000
 
@@ -37,17 +37,10 @@ def nearest(columns: Sequence[Column], centres: Sequence[Sequence[float]]) -> Co
     return F.array_min(options)["k"]
 
 
-def fit_centres(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[int] = (0,)) -> tuple[list[list[float]], float]:
-    """Centres of the best of several seeded runs, and their cost."""
-    d = vectors(df, columns).select("features").cache()
-    best: tuple[list[list[float]], float] | None = None
-    for seed in seeds:
-        model = KMeans(k=k, seed=seed, maxIter=50).fit(d)
-        cost = float(model.summary.trainingCost)
-        if best is None or cost < best[1] - 1e-12:
-            best = [list(map(float, c)) for c in model.clusterCenters()], cost
-    d.unpersist()
-    return best
+def fit_centres(df: DataFrame, key: str, columns: Sequence[str], k: int, starts: int = 20, seed: int = 0) -> tuple[list[list[float]], float]:
+    """Centres of the best of several starts, and their cost."""
+    fit = replicates.fit_runs(replicates.points(df, key, columns), [0], k, starts, seed=seed)[0]
+    return fit.centres.tolist(), fit.cost
 
 
 def assign(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]], name: str = "cluster") -> DataFrame:
@@ -76,9 +69,10 @@ def dispersion_indices(df: DataFrame, columns: Sequence[str], cluster: str) -> D
     centre = {r[cluster]: [r[x] for x in columns] for r in rows}
     mean = [sum(r["n"] * r[x] for r in rows) / n for x in columns]
     between = sum(r["n"] * sum((a - b) ** 2 for a, b in zip(centre[r[cluster]], mean, strict=True)) for r in rows)
-    cols = [F.col(x) for x in columns]
-    own = functools.reduce(lambda acc, kv: F.when(F.col(cluster) == kv[0], squared_distance(cols, kv[1])).otherwise(acc), centre.items(), F.lit(None).cast("double"))
-    spread = {r[cluster]: (r["w"], r["s"]) for r in df.groupBy(cluster).agg(F.sum(own).alias("w"), F.avg(F.sqrt(own)).alias("s")).collect()}
+    centres = df.sparkSession.createDataFrame(list(centre.items()), f"`{cluster}` {df.schema[cluster].dataType.simpleString()}, _c array<double>")
+    met = df.select(cluster, F.array(*columns).cast("array<double>").alias("_x")).join(F.broadcast(centres), cluster)
+    own = F.aggregate(F.zip_with("_x", "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+    spread = {r[cluster]: (r["w"], r["s"]) for r in met.select(cluster, own.alias("d")).groupBy(cluster).agg(F.sum("d").alias("w"), F.avg(F.sqrt("d")).alias("s")).collect()}
     within = sum(w for w, _ in spread.values())
     far = lambda a, b: math.dist(centre[a], centre[b])
     db = sum(max((spread[a][1] + spread[b][1]) / far(a, b) for b in centre if b != a) for a in centre) / k
@@ -90,29 +84,32 @@ def silhouettes(df: DataFrame, key: str, columns: Sequence[str], cluster: str) -
     """(key, cluster, silhouette) by Euclidean distances; 0 in a cluster of one row.
 
     Rows are dealt into blocks of bounded size. Each block meets every other one inside a task, where sums of distances by
-    cluster are made, never pairs; what is shuffled grows with rows times blocks. For many rows use ``squared_silhouette``.
+    cluster are made, never pairs. The work is that of all distances and what is shuffled grows with rows times blocks: this
+    is for thousands of rows; for many use ``squared_silhouette``.
     """
     rows = df.select(F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
     blocks = max(1, math.ceil(df.count() / BLOCK))
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     packed = dealt.groupBy("b").agg(F.collect_list(F.struct("key", "cluster", "x")).alias("rows"))
-    targets = packed.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("t", F.col("rows").alias("other"))
+    targets = packed.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("t", F.col("b").alias("from"), F.col("rows").alias("other"))
     pairs = packed.join(targets, packed["b"] == targets["t"])
     kind = df.schema[key].dataType.simpleString()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = lambda s: s.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1)
         for batch in batches:
-            for own, other in zip(batch["rows"], batch["other"], strict=True):
+            for same, own, other in zip(batch["same"].to_pylist(), batch["rows"], batch["other"], strict=True):
                 a, b = own.values, other.values
-                x = np.array(a.field("x").to_pylist())
-                y = np.array(b.field("x").to_pylist())
+                x, y = matrix(a), matrix(b)
                 labels = np.array(b.field("cluster").to_pylist())
-                d = np.sqrt(np.maximum(0, ((x[:, None, :] - y[None, :, :]) ** 2).sum(2)))
+                d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)))
+                if same:
+                    np.fill_diagonal(d, 0.0)
                 for c in np.unique(labels).tolist():
                     m = labels == c
                     yield pa.RecordBatch.from_arrays([a.field("key"), a.field("cluster").cast(pa.int32()), pa.array([c] * len(x), pa.int32()), pa.array(d[:, m].sum(1)), pa.array([int(m.sum())] * len(x), pa.int64())], ["key", "cluster", "other", "total", "n"])
 
-    each = pairs.select("rows", "other").mapInArrow(sums, f"key {kind}, cluster int, other int, total double, n bigint")
+    each = pairs.select("rows", "other", (F.col("b") == F.col("from")).alias("same")).mapInArrow(sums, f"key {kind}, cluster int, other int, total double, n bigint")
     each = each.groupBy("key", "cluster", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     own = F.col("cluster") == F.col("other")
     d = each.groupBy("key", "cluster").agg(F.sum(F.when(own, F.col("total") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
@@ -121,20 +118,9 @@ def silhouettes(df: DataFrame, key: str, columns: Sequence[str], cluster: str) -
 
 
 def squared_silhouette(df: DataFrame, columns: Sequence[str], cluster: str) -> DataFrame:
-    """(rows, mean squared-Euclidean silhouette) from sums by cluster: one pass, no pairs."""
-    x = [F.col(c) for c in columns]
-    norm = functools.reduce(operator.add, (c * c for c in x))
-    stats = df.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(norm).alias("q"), *(F.sum(c).alias(f"s{k}") for k, c in enumerate(x))).collect()
-
-    def mean_to(r, less: int) -> Column:
-        dot = functools.reduce(operator.add, (c * float(r[f"s{k}"]) for k, c in enumerate(x)))
-        return (r["n"] * norm + float(r["q"]) - 2 * dot) / F.lit(float(max(1, r["n"] - less)))
-
-    own = F.coalesce(*(F.when(F.col(cluster) == r[cluster], mean_to(r, 1)) for r in stats))
-    other = F.least(*(F.when(F.col(cluster) != r[cluster], mean_to(r, 0)) for r in stats))
-    single = F.coalesce(*(F.when(F.col(cluster) == r[cluster], F.lit(r["n"] == 1)) for r in stats))
-    s = F.when(single, 0.0).otherwise((other - own) / F.greatest(own, other))
-    return df.agg(F.count("*").alias("n"), F.avg(s).alias("silhouette"))
+    """(rows, mean squared-Euclidean silhouette) from sums by cluster: no pairs."""
+    d = df.select(F.lit(1).alias("_all"), cluster, F.array(*(F.col(c).cast("double") for c in columns)).alias("_x"))
+    return squared_silhouettes(d, "_x", cluster, ["_all"]).select("n", "silhouette")
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
@@ -151,77 +137,112 @@ def adjusted_rand(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Data
     return s.select(*(k for k in keys if k != "_all"), "n", ari.alias("ari"))
 
 
-def selection_sweep(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seeds: Sequence[int] = (0,)) -> DataFrame:
-    """For each k: cost, sizes, number of clusters under 5 % and squared silhouette."""
+def selection_sweep(df: DataFrame, key: str, columns: Sequence[str], ks: Sequence[int], starts: int = 20, medians: Sequence[str] = ()) -> DataFrame:
+    """For each k and cluster: the k's cost, validity indices and number of clusters under 5 %, the cluster's size and its
+    medians of the columns named, which may be others than those clustered."""
+    rows = replicates.points(df, key, columns, extra=medians)
+    fits = replicates.fit_runs(rows, list(ks), {k: k for k in ks}, starts)
+    found = replicates.quality(rows, fits)
+    tiny = {k: sum(n < 0.05 * sum(q.sizes) for n in q.sizes) for k, q in found.items()}
+    whole = df.sparkSession.createDataFrame([(k, fits[k].cost, q.silhouette, q.calinski_harabasz, q.davies_bouldin, tiny[k]) for k, q in found.items()], "k int, cost double, silhouette double, calinski_harabasz double, davies_bouldin double, n_tiny int")
+    each = replicates.assigned(rows, fits, medians).groupBy(F.col("run").alias("k"), "cluster").agg(F.count("*").alias("n"), *(F.median(c).alias(c) for c in medians))
+    return each.join(F.broadcast(whole), "k")
+
+
+def stability(df: DataFrame, key: str, columns: Sequence[str], k: int, seeds: int = 20, draws: int = 200, splits: int = 50, starts: int = 5, seed: int = 0) -> DataFrame:
+    """(kind, rep, ari): labels of other seeds and of fits on resamples (rows drawn with replacement) against those of all
+    rows, over all rows; and of fits on one half of the rows, over the other half. Each kind is fitted in shared passes."""
+    rows = replicates.points(df, key, columns)
+    base = replicates.fit_runs(rows, [0], k, starts, seed=seed)
+    if not base:
+        return df.sparkSession.createDataFrame([], "kind string, rep int, ari double")
     out = []
-    for k in ks:
-        centres, cost = fit_centres(df, columns, k, seeds)
-        d = assign(df, columns, centres)
-        sizes = d.groupBy("cluster").count()
-        total = F.sum("count")
-        row = sizes.agg(F.lit(k).alias("k"), F.lit(cost).alias("cost"), F.array_sort(F.collect_list("count")).alias("sizes"), total.alias("n"))
-        tiny = F.size(F.filter("sizes", lambda s: s < 0.05 * F.col("n")))
-        out.append(row.select("k", "cost", "sizes", tiny.alias("n_tiny")).join(squared_silhouette(d, columns, "cluster").select("silhouette")))
-    return functools.reduce(DataFrame.unionByName, out)
-
-
-def seed_stability(df: DataFrame, key: str, columns: Sequence[str], k: int, seeds: Sequence[int]) -> DataFrame:
-    """ARI of each seed's labels against those of the first."""
-    runs = [assign(df, columns, fit_centres(df, columns, k, (s,))[0]).select(key, F.lit(s).alias("seed"), "cluster") for s in seeds]
-    first = runs[0].select(key, F.col("cluster").alias("base"))
-    return adjusted_rand(functools.reduce(DataFrame.unionByName, runs[1:]).join(first, key), "cluster", "base", ["seed"])
-
-
-def resample_stability(df: DataFrame, key: str, columns: Sequence[str], k: int, reps: int, half: bool = False, seed: int = 0) -> DataFrame:
-    """ARI of labels from resamples against those of all rows. ``half``: fit on one half, compare on the other; else fit on
-    rows drawn by Poisson weights and compare on all."""
-    base = assign(df, columns, fit_centres(df, columns, k, (seed,))[0], "base")
-    out = []
-    for rep in range(reps):
-        h = portable_hash(F.col(key), rep, seed) / 1_000_003
-        if half:
-            sample, rest = df.where(h < 0.5), base.where(h >= 0.5)
-        else:
-            times = F.when(h < 0.3679, 0).when(h < 0.7358, 1).when(h < 0.9197, 2).otherwise(3)
-            sample, rest = df.withColumn("_t", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(times > 0), base
-        out.append(assign(rest, columns, fit_centres(sample, columns, k, (seed,))[0]).select(F.lit(rep).alias("rep"), "cluster", "base"))
-    return adjusted_rand(functools.reduce(DataFrame.unionByName, out), "cluster", "base", ["rep"])
+    for kind, reps, drawn, judged in (("seed", seeds, None, None), ("bootstrap", draws, replicates.poisson_draws(seed), None), ("half", splits, replicates.halves(seed), replicates.halves(seed, True))):
+        fits = replicates.fit_runs(rows, range(reps), k, 1 if kind == "seed" else starts, drawn, seed=seed + 1)
+        out += [(kind, r, a) for r, a in replicates.agreement(rows, fits, base[0], judged).items()]
+    return df.sparkSession.createDataFrame(out, "kind string, rep int, ari double")
+
+
+def interval(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Per group: replicates, mean, deviation, and the interval that holds 95 % of them."""
+    return df.groupBy(by).agg(F.count("*").alias("reps"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
 
 
 def permutation_null(df: DataFrame, key: str, columns: Sequence[str], cluster: str, reps: int, seed: int = 0) -> DataFrame:
-    """Squared silhouette of the labels and of permuted ones: (rep, silhouette), rep -1 for the labels themselves.
+    """(run, silhouette, p): the squared silhouette of the labels (run -1) and of labels dealt anew to all rows; p is the
+    share of runs, with the labels' own, that reach it."""
+    labels = replicates.permuted(df, key, cluster, reps, seed).unionByName(df.select(F.lit(-1).alias("run"), key, cluster))
+    d = labels.join(df.select(key, F.array(*(F.col(c).cast("double") for c in columns)).alias("x")), key)
+    each = squared_silhouettes(d, "x", cluster, ["run"])
+    own = each.where("run = -1").head()["silhouette"]
+    p = F.sum((F.col("silhouette") >= own).cast("int")).over(Window.partitionBy(F.lit(0))) / F.count("*").over(Window.partitionBy(F.lit(0)))
+    return each.select("run", "silhouette", p.alias("p"))
 
-    Labels move along the order of a hash, dealt again inside chunks of that order, so that no task ranks all rows.
-    """
-    out = [squared_silhouette(df, columns, cluster).select(F.lit(-1).alias("rep"), "silhouette")]
-    for rep in range(reps):
-        out.append(squared_silhouette(shuffled(df, key, cluster, rep, seed), columns, cluster).select(F.lit(rep).alias("rep"), "silhouette"))
-    return functools.reduce(DataFrame.unionByName, out)
 
+def squared_silhouettes(df: DataFrame, vector: str, cluster: str, by: Sequence[str]) -> DataFrame:
+    """(by, n, silhouette) as ``squared_silhouette``, for many labelings at once; ``vector`` is an array column.
 
-def shuffled(df: DataFrame, key: str, column: str, rep: int, seed: int = 0, chunks: int = 64) -> DataFrame:
-    """``df`` with the column's values dealt to other rows: chunks by one hash, places inside a chunk by two more."""
-    chunk = F.pmod(portable_hash(F.col(key), rep, seed), F.lit(chunks))
-    place = lambda k: F.row_number().over(Window.partitionBy("_c").orderBy(portable_hash(F.col(key), rep, seed + k), key))
-    d = df.withColumn("_c", chunk)
-    values = d.select("_c", place(1).alias("_p"), F.col(column).alias("_v"))
-    return d.withColumn("_p", place(2)).join(values, ["_c", "_p"]).select(*(F.col("_v").alias(c) if c == column else c for c in df.columns))
+    Sums by cluster are few for each labeling and join its rows.
+    """
+    norm = F.aggregate(vector, F.lit(0.0), lambda a, v: a + v * v)
+    d = df.withColumn("_q", norm)
+    width = df.select(F.size(vector)).head()
+    sums = d.groupBy(*by, cluster).agg(F.count("*").alias("n"), F.sum("_q").alias("q"), F.array(*(F.sum(F.col(vector)[k]) for k in range(width[0] if width else 0))).alias("s"))
+    packed = sums.groupBy(*by).agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "q", "s")).alias("all"))
+    met = d.join(packed, list(by))
+    dot = lambda s: F.aggregate(F.zip_with(F.col(vector), s, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    far = F.transform("all", lambda o: F.struct((o["c"] == F.col(cluster)).alias("own"), o["n"].alias("n"), (o["n"] * F.col("_q") + o["q"] - 2 * dot(o["s"])).alias("t")))
+    met = met.select(*by, far.alias("far"))
+    own = F.filter("far", lambda o: o["own"])[0]
+    other = F.array_min(F.transform(F.filter("far", lambda o: ~o["own"]), lambda o: o["t"] / o["n"]))
+    met = met.select(*by, own["n"].alias("n"), (own["t"] / F.greatest(own["n"] - 1, F.lit(1))).alias("a"), other.alias("b"))
+    s = F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return met.groupBy(*by).agg(F.count("*").alias("n"), F.avg(s).alias("silhouette"))
+
+
+def _null_summary(spark, observed: float, null: dict[int, float], plus_one: bool) -> DataFrame:
+    """One row: observed value, mean and deviation of the null, z, and the share of the null that reaches it."""
+    values = list(null.values())
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    reach = F.count_if(F.col("v") >= observed)
+    return d.agg(F.lit(observed).alias("observed"), F.avg("v").alias("null_mean"), F.stddev_pop("v").alias("null_sd"), ((observed - F.avg("v")) / F.nullif(F.stddev_pop("v"), F.lit(0.0))).alias("z"), ((reach + int(plus_one)) / (F.count("*") + 1)).alias("p"), F.count("*").alias("reps"))
+
+
+def shuffle_null(df: DataFrame, key: str, columns: Sequence[str], k: int, reps: int = 100, starts: int = 5, seed: int = 0) -> DataFrame:
+    """Silhouette of k-means against tables whose columns are shuffled one by one, each fitted anew (no one is added to the
+    share's numerator)."""
+    own = replicates.points(df, key, columns)
+    observed = replicates.quality(own, replicates.fit_runs(own, [0], k, starts, seed=seed))[0].silhouette
+    rows = replicates.points(replicates.shuffled_columns(df.dropna(subset=list(columns)), key, columns, reps, seed), key, columns, "run")
+    found = replicates.quality(rows, replicates.fit_runs(rows, range(reps), k, starts, seed=seed))
+    return _null_summary(df.sparkSession, observed, {r: q.silhouette for r, q in found.items()}, False)
+
+
+def copula_null(df: DataFrame, key: str, columns: Sequence[str], k: int, draws: int = 200, starts: int = 5, seed: int = 0) -> DataFrame:
+    """Silhouette of k-means against draws with the columns' marginals and correlation but no clusters, each fitted anew."""
+    own = replicates.points(df, key, columns)
+    observed = replicates.quality(own, replicates.fit_runs(own, [0], k, starts, seed=seed))[0].silhouette
+    rows = replicates.points(gaussian_copula_draws(df, key, columns, draws, seed), "row", columns, "rep")
+    found = replicates.quality(rows, replicates.fit_runs(rows, range(draws), k, starts, seed=seed))
+    return _null_summary(df.sparkSession, observed, {r: q.silhouette for r, q in found.items()}, True)
 
 
 def gaussian_copula_draws(df: DataFrame, key: str, columns: Sequence[str], draws: int, seed: int = 0) -> DataFrame:
     """(rep, row, columns): draws with the columns' own marginals and the correlation of their normal scores.
 
-    Normal scores come from mid-ranks; the small covariance is factored on the driver; normals are drawn by Spark and go
-    back through each column's quantiles, of which ``QUANTILES`` evenly spaced ones are kept and joined by lines. Tasks map
-    and sum on Arrow batches: as expressions, the query over 64 columns did not end in 170 seconds on 500 rows here.
+    Normal scores come from places among each column's quantiles; the small covariance is factored on the driver; normals
+    are drawn by Spark and go back through the quantiles, joined by lines. Quantiles are all values where rows are
+    ``QUANTILES`` or fewer, else so many evenly spaced ones. Tasks map and sum on Arrow batches: as expressions, the query
+    over 64 columns did not end in 170 seconds on 500 rows here.
     """
     from statistics import NormalDist
 
     n = df.count()
-    steps = [k / QUANTILES for k in range(QUANTILES + 1)]
+    knots = max(2, min(n, QUANTILES))
+    steps = [k / (knots - 1) for k in range(knots)]
     quantiles = df.agg(*(F.percentile(c, F.array(*map(F.lit, steps))).alias(c) for c in columns)).head()
     normal = NormalDist()
-    points = [normal.inv_cdf(min(max(p, 1e-6), 1 - 1e-6)) for p in steps]
+    points = [normal.inv_cdf((k + 0.5) / knots) for k in range(knots)]
 
     width, names = len(columns), list(columns)
     own = [list(quantiles[c]) for c in columns]
@@ -255,7 +276,7 @@ def gaussian_copula_draws(df: DataFrame, key: str, columns: Sequence[str], draws
     return base.mapInArrow(mixed, "rep bigint, row bigint, " + ", ".join(f"`{c}` double" for c in names))
 
 
-QUANTILES = 64
+QUANTILES = 1_024
 
 
 def _doubles(column: pa.Array) -> np.ndarray:
@@ -279,7 +300,75 @@ def principal_components(df: DataFrame, key: str, columns: Sequence[str], anchor
     return scores, df.sparkSession.createDataFrame(rows, "pc int, variable string, loading double, explained double")
 
 
+def top_loadings(loadings: DataFrame, n: int = 5) -> DataFrame:
+    """The n greatest absolute loadings of each component, with their place; ties by name."""
+    by = Window.partitionBy("pc").orderBy(F.desc(F.abs("loading")), "variable")
+    return loadings.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n)
+
+
+def quartiles(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
+    """(by, variable, n, median, iqr) of each column in each group."""
+    d = df.unpivot([by], list(columns), "variable", "value")
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return d.groupBy(by, "variable").agg(F.count("value").alias("n"), q.alias("q")).select(by, "variable", "n", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+
+
+def frozen(df: DataFrame, key: str, columns: Sequence[str], k: int, lows: str, highs: str, starts: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """What another cohort needs to be placed by this one's clusters, as two tables: scaler (variable, mean, sd) and
+    centres (cluster, name, variable, value)."""
+    filled = cohort.fill_medians(df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)), columns)
+    row = filled.agg(*(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop)))).head()
+    scale = [(c, row[f"{c}_m"], row[f"{c}_s"] or 1.0) for c in columns]
+    spark = df.sparkSession
+    z = filled.select(key, *((F.col(c) - m) / s for c, m, s in scale)).toDF(key, *columns)
+    centres, _ = fit_centres(z, key, columns, k, starts, seed)
+    named = name_clusters(assign(z, columns, centres).select(key, "cluster").join(filled, key), "cluster", lows, highs)
+    values = spark.createDataFrame([(j, c, float(v)) for j, centre in enumerate(centres) for c, v in zip(columns, centre, strict=True)], "cluster int, variable string, value double")
+    return spark.createDataFrame(scale, "variable string, mean double, sd double"), values.join(F.broadcast(named), "cluster").select("cluster", "name", "variable", "value")
+
+
+def projected(df: DataFrame, key: str, scaler: DataFrame, centres: DataFrame) -> DataFrame:
+    """(key, name): the name of the nearest frozen centre; a missing feature counts as this cohort's own median."""
+    scale = scaler.orderBy("variable").collect()
+    columns = [r["variable"] for r in scale]
+    at: dict[tuple[int, str], dict[str, float]] = {}
+    for r in centres.collect():
+        at.setdefault((r["cluster"], r["name"]), {})[r["variable"]] = r["value"]
+    filled = cohort.fill_medians(df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)), columns)
+    z = [(F.col(r["variable"]) - r["mean"]) / r["sd"] for r in scale]
+    names = sorted(at)
+    which = nearest(z, [[at[c][v] for v in columns] for c in names])
+    return filled.select(key, F.element_at(F.array(*(F.lit(name) for _, name in names)), which + 1).alias("name"))
+
+
+def membership_runs(df: DataFrame, key: str, sets: Sequence[Sequence[str]], k: int, lows: str, seeds: int = 20, mixtures: int = 5, seed: int = 0) -> DataFrame:
+    """(arm, run, key, flag): in every run whether a row is in the cluster with the greatest median of ``lows``.
+
+    Arms: k-means by seed for each set of features; the first set without one feature after another; a hierarchical one
+    (bisecting k-means); and Gaussian mixtures by seed. Columns are standard scores; all k-means runs share their passes.
+    """
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    rows = replicates.points(df, key, columns, extra=["_low"] if "_low" in df.columns else [lows])
+    held = rows.columns[-1]
+    masks, arms = {}, {}
+    for j, chosen in enumerate(sets):
+        for _ in range(seeds):
+            arms[len(masks)], masks[len(masks)] = f"set {j + 1}", np.array([c in chosen for c in columns])
+    for left in sets[0]:
+        arms[len(masks)], masks[len(masks)] = "leave one out", np.array([c in sets[0] and c != left for c in columns])
+    labels = replicates.assigned(rows, replicates.fit_runs(rows, list(masks), k, masks=masks, seed=seed), [held])
+    first = rows.select("key", held, *(F.col("x")[columns.index(c)].alias(c) for c in sets[0]))
+    more = [("bisecting", BisectingKMeans(k=k, seed=seed))] + [("mixture", GaussianMixture(k=k, seed=seed + j)) for j in range(mixtures)]
+    ready = vectors(first, sets[0])
+    for run, (arm, estimator) in enumerate(more, len(masks)):
+        arms[run] = arm
+        labels = labels.unionByName(estimator.fit(ready).transform(ready).select(F.lit(run).alias("run"), "key", F.col("prediction").alias("cluster"), held))
+    named = df.sparkSession.createDataFrame(list(arms.items()), "run int, arm string")
+    m = labels.groupBy("run", "cluster").agg(F.median(held).alias("m")).groupBy("run").agg(F.max_by("cluster", F.struct("m", -F.col("cluster"))).alias("chosen"))
+    return labels.join(m, "run").join(F.broadcast(named), "run").select("arm", "run", F.col("key").alias(key), (F.col("cluster") == F.col("chosen")).alias("flag"))
+
+
 def recurrence(runs: DataFrame, key: str, flag: str, core: float = 0.8) -> DataFrame:
-    """Share of runs in which each row has the flag, and whether it reaches the core share."""
+    """Share of runs in which each row has the flag, whether it reaches the core share, and whether runs differ on it."""
     d = runs.groupBy(key).agg(F.avg(F.col(flag).cast("double")).alias("frequency"), F.count("*").alias("n_runs"))
-    return d.withColumn("core", F.col("frequency") >= core)
+    return d.withColumns({"core": F.col("frequency") >= core, "crosses": (F.col("frequency") > 0) & (F.col("frequency") < 1)})

@@ -48,10 +48,16 @@ def attribute(eav: DataFrame, entity: str, concept: str, value: str, wanted: obj
 
 
 def not_preceded(events: DataFrame, others: DataFrame, key: str, at: str, other_at: str, before: int, until: int) -> DataFrame:
-    """Events without another one of the same key in [at - before, at - until] (both ends count)."""
-    e, o = events.alias("e"), others.alias("o")
-    near = (F.col(f"e.{key}") == F.col(f"o.{key}")) & F.col(f"o.{other_at}").between(F.col(f"e.{at}") - before, F.col(f"e.{at}") - until)
-    return e.join(o, near, "left_anti")
+    """Events without another one of the same key in [at - before, at - until] (both ends count).
+
+    The join is on key and a bucket as long as that interval: another one counts for its own bucket and the next.
+    """
+    long = max(1, before - until)
+    bucket = lambda c: F.floor(c / long)
+    e = events.withColumn("_bucket", bucket(F.col(at) - until)).alias("e")
+    o = others.withColumn("_bucket", F.explode(F.array(bucket(F.col(other_at)), bucket(F.col(other_at)) + 1))).alias("o")
+    near = (F.col(f"e.{key}") == F.col(f"o.{key}")) & (F.col("e._bucket") == F.col("o._bucket")) & F.col(f"o.{other_at}").between(F.col(f"e.{at}") - before, F.col(f"e.{at}") - until)
+    return e.join(o, near, "left_anti").drop("_bucket")
 
 
 def count_with_zero(everyone: DataFrame, rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -100,6 +106,22 @@ def extreme_levels(df: DataFrame, key: str, score: str, few: Column, share: floa
     return d.withColumn("level", F.when(few, "few").when(F.col("_top"), "extreme").otherwise("mild")).drop("_top")
 
 
+def label_sets(df: DataFrame, key: str, code: str, level: str) -> DataFrame:
+    """(labels, key, label) of the tasks that classes are told apart in: classes 0 and 1; all three; extreme and mild rows;
+    the rare class, extreme, mild and class 1 as four; the rare class against the rest. Rows that a task leaves out are none
+    of its."""
+    c, x = F.col(code), F.col(level)
+    sets = {
+        "pair": F.when(c < 2, c),
+        "three": c,
+        "extremes": F.when(x == "extreme", 1).when(x == "mild", 0),
+        "four": F.when(x == "few", 3).when(x == "extreme", 2).when(c == 1, 1).otherwise(0),
+        "rare": (x == "few").cast("int"),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("labels"), v.cast("int").alias("label")) for name, v in sets.items())))
+    return df.select(key, each.alias("s")).where("s.label is not null").select("s.labels", key, "s.label")
+
+
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
     """Counts by row and column value, with the share of each in its row."""
     d = df.groupBy(row).agg(*(F.count_if(F.col(column) == v).alias(f"n_{v}") for v in values))
@@ -107,6 +129,14 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFram
     return d.select("*", *((F.col(f"n_{v}") / F.nullif(total, F.lit(0))).alias(f"share_{v}") for v in values))
 
 
+def composition(df: DataFrame, row: str, column: str) -> DataFrame:
+    """(row, column, n, share, baseline, difference): the share of each value in each row against its share of all."""
+    cells = df.groupBy(row, column).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(row))
+    base = F.sum("n").over(Window.partitionBy(column)) / F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return cells.select(row, column, "n", (F.col("n") / total).alias("share"), base.alias("baseline")).withColumn("difference", F.col("share") - F.col("baseline"))
+
+
 def daily_coverage(df: DataFrame, pid: str, ts: str, value: Column) -> DataFrame:
     """Per participant and date of the timestamp: rows, hours with rows, usable (over 0), zero and hundred values."""
     return df.groupBy(pid, F.to_date(ts).alias("day")).agg(
@@ -163,3 +193,26 @@ def artifact_flags(df: DataFrame, step: float = 40.0, minutes: float = 60.0, fla
     square = (F.col("step_down") >= step) & (F.col("step_up") >= step)
     compression = F.col("nocturnal") & (F.col("dur_min") >= minutes) & (F.col("within_range") <= flat)
     return df.withColumns({"square_wave": square, "compression": compression, "artifact": square | compression})
+
+
+def matched_medians(a: DataFrame, b: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
+    """(by, variable, rows and median in either cohort, gap): how a group's features correspond between two cohorts."""
+    side = lambda d, n, m: d.unpivot([by], list(columns), "variable", "value").groupBy(by, "variable").agg(F.count("value").alias(n), F.median("value").alias(m))
+    d = side(a, "n_first", "first").join(side(b, "n_second", "second"), [by, "variable"])
+    return d.withColumn("gap", F.col("second") - F.col("first"))
+
+
+def agreement(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(variable, n, r, mad, least): correlation and median absolute difference of each feature by two extractors, and
+    which correlates least."""
+    side = lambda d, name: d.unpivot([key], list(columns), "variable", name)
+    d = side(a, "x").join(side(b, "y"), [key, "variable"]).where("x is not null and y is not null")
+    d = d.groupBy("variable").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.median(F.abs(F.col("x") - F.col("y"))).alias("mad"))
+    return d.withColumn("least", F.col("r") == F.min("r").over(Window.partitionBy(F.lit(0))))
+
+
+def against_published(row: DataFrame, published: Mapping[str, float], tolerance: float) -> DataFrame:
+    """(what, value, published, gap, within_tolerance) of a one-row table's columns."""
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("value"), F.lit(float(v)).alias("published")) for c, v in published.items())))
+    gap = F.abs(F.col("value") - F.col("published"))
+    return row.select(rows.alias("r")).select("r.*").withColumns({"gap": gap, "within_tolerance": gap <= tolerance})

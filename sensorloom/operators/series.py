@@ -1,11 +1,15 @@
 """Operators on ordered series of readings (pid, ts, rid, g): windows over each participant's time order.
 
 ``rid`` breaks ties of one time, so every result is deterministic. Null readings are left out first, each with its own
-hour. The readings of a participant are one window partition, sorted by Spark with spilling; no Python runs.
+hour. The readings of a participant are one window partition, sorted by Spark with spilling; only the walls of peaks are
+found by Python, batch by batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +33,12 @@ def sign_reversals(df: DataFrame, gap_minutes: float = 10.0, rise: float = 25.0,
     minutes = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 60e6
     up, after = F.col(G) - F.lag(G).over(w), F.lead(G).over(w) - F.col(G)
     near = (minutes(F.lag(TS).over(w), F.col(TS)) <= gap_minutes) & (minutes(F.col(TS), F.lead(TS).over(w)) <= gap_minutes)
-    return df.withColumn("reversal", F.when(near & (up > rise) & (after < -fall), "peak").when(near & (up < -rise) & (after > fall), "valley"))
+    return df.where(F.col(G).isNotNull()).withColumn("reversal", F.when(near & (up > rise) & (after < -fall), "peak").when(near & (up < -rise) & (after > fall), "valley"))
 
 
 def rate_flags(df: DataFrame, limit: float = 25.0) -> DataFrame:
     """Rows whose change from the reading before is over the limit, with ``delta`` in single precision."""
-    g = F.col(G).cast("float")
+    df, g = df.where(F.col(G).isNotNull()), F.col(G).cast("float")
     delta = g - F.lag(g).over(by_time())
     return df.withColumn("delta", delta).where(F.abs("delta") > limit)
 
@@ -46,7 +50,8 @@ def change_rates(df: DataFrame, minutes: float = 5.0) -> DataFrame:
 
 
 def crossing(limit: float = 140.0, count_initial: bool = False) -> Column:
-    """Whether a reading climbs over the limit; a first reading over it counts only with ``count_initial``."""
+    """Whether a reading climbs over the limit; a first reading over it counts only with ``count_initial``. An expression:
+    null readings have to be left out before."""
     before = F.lag(G).over(by_time())
     inside = before <= limit
     return (F.col(G) > limit) & (inside | before.isNull() if count_initial else F.coalesce(inside, F.lit(False)))
@@ -179,28 +184,73 @@ def hourly_offsets(df: DataFrame, hour: Column, columns: tuple[str, ...]) -> Dat
     return d.groupBy(PID, "hour").agg(*((F.avg(c) - F.first(f"_{c}")).alias(c) for c in columns))
 
 
+def _prominences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pid, a, b, g, prominence) of the tops among points (pid, a, b, g, top) that come by participant and time.
+
+    A point waits until a higher one comes, which is its wall to the right; the one that waits before it is its wall to the
+    left. What waits is as many points as fall from the last maximum on, whatever the length of the series. Of a waiting
+    point are kept: participant, ends, height, whether a top, the least between its left wall and it, the least since.
+    """
+    waits: list[list] = []
+
+    def done(out: list[tuple]) -> float:
+        pid, a, b, g, top, left, since = waits.pop()
+        if top:
+            out.append((pid, a, b, g, g - max(left, min(since, g))))
+        low = min(g, left, since)
+        if waits:
+            waits[-1][6] = min(waits[-1][6], g, since)
+        return low
+
+    def packed(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], schema.field(c).type) for k, c in enumerate(("pid", "a", "b", G))] + [pa.array([float(r[4]) for r in out], pa.float64())], ["pid", "a", "b", G, "prominence"])
+
+    schema = None
+    for batch in batches:
+        schema, out = batch.schema, []
+        for point in zip(*(batch[c].to_pylist() for c in ("pid", "a", "b", G, "top")), strict=True):
+            if waits and waits[-1][0] != point[0]:
+                while waits:
+                    done(out)
+            g = low = point[3]
+            while waits and waits[-1][3] < g:
+                low = min(low, done(out))
+            if waits and waits[-1][3] == g:
+                low = min(low, waits[-1][5], waits[-1][6])
+            waits.append([*point, low, g])
+        yield packed(out, schema)
+    if schema is not None:
+        out = []
+        while waits:
+            done(out)
+        yield packed(out, schema)
+
+
 def peaks(df: DataFrame, height: float = 140.0, prominence: float = 30.0) -> DataFrame:
     """Peaks (pid, idx, g, prominence) of at least that height and prominence. A plateau is one peak, at its middle.
 
-    The prominence is the height over the higher of the two lowest points between the peak and the next higher reading
-    of each side. Plateaus are joined to one point first; a peak then only meets points of its own participant.
+    The prominence is the height over the higher of the two lowest points between the peak and the next higher reading of
+    each side. Plateaus are joined to one point first; then one pass over each participant's points in order of time, batch
+    by batch, finds the walls of all of them.
     """
     w = by_time()
     d = df.where(F.col(G).isNotNull()).withColumn("idx", F.row_number().over(w) - 1)
     d = runs(d, F.col(G)).groupBy(PID, "run").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.min(G).alias(G))
     by_run = Window.partitionBy(PID).orderBy("run")
     top = (F.col(G) > F.lag(G).over(by_run)) & (F.col(G) > F.lead(G).over(by_run)) & (F.col(G) >= height)
-    d = d.withColumn("top", F.coalesce(top, F.lit(False)))
-    p, q = d.where("top").alias("p"), d.alias("q")
-    walls = p.join(q, (F.col(f"p.{PID}") == F.col(f"q.{PID}")) & (F.col(f"q.{G}") > F.col(f"p.{G}")), "left").groupBy(f"p.{PID}", "p.run", "p.a", "p.b", f"p.{G}").agg(
-        F.max(F.when(F.col("q.run") < F.col("p.run"), F.col("q.run"))).alias("lo"), F.min(F.when(F.col("q.run") > F.col("p.run"), F.col("q.run"))).alias("hi")
-    )
-    inside = (F.col(f"w.{PID}") == F.col(f"r.{PID}")) & (F.col("r.run") > F.coalesce("w.lo", F.lit(-1))) & (F.col("r.run") < F.coalesce("w.hi", F.lit(1 << 60)))
-    found = walls.alias("w").join(d.alias("r"), inside).groupBy(f"w.{PID}", "w.run", "w.a", "w.b", f"w.{G}").agg(
-        F.min(F.when(F.col("r.run") <= F.col("w.run"), F.col(f"r.{G}"))).alias("left"), F.min(F.when(F.col("r.run") >= F.col("w.run"), F.col(f"r.{G}"))).alias("right")
-    )
-    drop = F.col(G) - F.greatest("left", "right")
-    return found.select(PID, F.floor((F.col("a") + F.col("b")) / 2).cast("bigint").alias("idx"), G, drop.alias("prominence")).where(F.col("prominence") >= prominence)
+    points = d.select(PID, "a", "b", G, F.coalesce(top, F.lit(False)).alias("top")).repartition(PID).sortWithinPartitions(PID, "a")
+    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in (PID, "a", "b", G))
+    found = points.mapInArrow(_prominences, f"{kinds}, prominence double")
+    return found.where(F.col("prominence") >= prominence).select(PID, F.floor((F.col("a") + F.col("b")) / 2).cast("bigint").alias("idx"), G, "prominence")
+
+
+def peak_hours(df: DataFrame, hour: Column, local_day: Column, height: float = 140.0, prominence: float = 30.0) -> DataFrame:
+    """(pid, hour, n, rate, size): peaks by hour of day, by day with readings, and their mean prominence."""
+    d = df.where(F.col(G).isNotNull()).withColumns({"idx": (F.row_number().over(by_time()) - 1).cast("bigint"), "hour": hour, "_day": local_day})
+    days = d.groupBy(PID).agg(F.greatest(F.countDistinct("_day"), F.lit(1)).alias("days"))
+    met = peaks(df, height, prominence).select(PID, "idx", "prominence").join(d.select(PID, "idx", "hour"), [PID, "idx"])
+    each = met.groupBy(PID, "hour").agg(F.count("*").alias("n"), F.avg("prominence").alias("size"))
+    return each.join(days, PID).select(PID, "hour", "n", (F.col("n") / F.col("days")).alias("rate"), "size")
 
 
 def fill_edges(df: DataFrame, column: str) -> DataFrame:

@@ -1,33 +1,48 @@
 """Rank statistics, effect sizes, false-discovery control, regressions.
 
-Ranks come from counts of distinct values and running sums over them, one window partition for each variable; a
-statistic is an aggregate over those counts. Only the last step, from statistic to p, runs on summary rows on the driver.
+Ranks come from counts of distinct values and running sums over them: values are dealt to tasks by ranges, each sums its
+own range, and the totals of the ranges before are added. A statistic is an aggregate over those counts. Only the last
+step, from statistic to p, is Python, on summary rows.
 """
 
 import functools
 import math
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.session import written
+
 
 def unpivot(df: DataFrame, ids: Sequence[str], variables: Sequence[str]) -> DataFrame:
     """(ids, variable, value) of non-null values."""
     return df.unpivot(list(ids), list(variables), "variable", "value").where(F.col("value").isNotNull())
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Per ``by`` and distinct value: its count (ties) and mid-rank.
+def running_sums(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
+    """``df`` (a row for each value inside ``by``) with ``<sum>_upto``: the sum over it and all values before it.
 
-    A window runs over distinct values only; partial counts come before the shuffle.
+    Ranges of values are written, so that their numbers stay; only a row for each range, and each ``by`` in it, is summed
+    in order as a whole.
     """
+    order = F.desc(value) if descending else F.asc(value)
+    ranged = written(df.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    each = ranged.groupBy("_range", *by).agg(*(F.sum(c).alias(f"{c}_t") for c in sums))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.select("_range", *by, *(F.coalesce(F.sum(f"{c}_t").over(before), F.lit(0)).alias(f"{c}_b") for c in sums))
+    inside = Window.partitionBy("_range", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = ranged.withColumns({f"{c}_o": F.sum(c).over(inside) for c in sums}).join(offsets, ["_range", *by])
+    return d.select(*df.columns, *((F.col(f"{c}_o") + F.col(f"{c}_b")).alias(f"{c}_upto") for c in sums))
+
+
+def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Per ``by`` and distinct value: its count (ties) and mid-rank."""
     counted = df.groupBy(*by, value).agg(F.count("*").alias("ties"))
-    upto = F.sum("ties").over(Window.partitionBy(*by).orderBy(value))
-    return counted.withColumn("rank", upto - (F.col("ties") - 1) / 2)
+    return running_sums(counted, by, value, ["ties"]).withColumn("rank", F.col("ties_upto") - (F.col("ties") - 1) / 2).drop("ties_upto")
 
 
 def mid_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "rank") -> DataFrame:
@@ -74,14 +89,48 @@ def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str, first
     return d.select(*by, "n1", "n2", "u", (1 - 2 * F.col("u") / (n1 * n2)).alias("rank_biserial"), (2 * F.col("u") / (n1 * n2) - 1).alias("cliffs_delta"), z.alias("z"))
 
 
-def two_sided(rows: DataFrame, z: str = "z", name: str = "p") -> DataFrame:
-    """Adds the two-sided normal p of a summary table's z."""
+def normal_p(z: float) -> float:
+    """Two-sided."""
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def student_p(t: float, df: float) -> float:
+    """Two-sided p of Student's t: the regularised incomplete beta function of df / (df + t * t) at (df / 2, 1 / 2), by
+    Simpson's rule after a substitution that leaves a smooth integrand."""
+    if df <= 0 or math.isnan(t):
+        return math.nan
+    # With x = sqrt(df) * tan(u) the density is a constant times cos(u) ** (df - 1), on [0, pi / 2).
+    const = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    end = math.atan(abs(t) / math.sqrt(df))
+    u = np.linspace(end, math.pi / 2, 4_001)
+    f = np.maximum(np.cos(u), 0.0) ** (df - 1)
+    step = (math.pi / 2 - end) / 4_000
+    return min(1.0, float(2 * const * step / 3 * (f[0] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum() + f[-1])))
+
+
+def student_quantile(p: float, df: float) -> float:
+    """The t that leaves p in both tails together."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if student_p(middle, df) > p else (low, middle)
+    return low
+
 
-    @F.pandas_udf("double")
-    def tail(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
+def with_p(rows: DataFrame, p: Callable[..., float], inputs: Sequence[str], name: str = "p") -> DataFrame:
+    """Adds p of a summary table's columns; null where one is null. For summary rows only: each calls a Python function."""
 
-    return rows.withColumn(name, tail(z))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            own = d[list(inputs)].astype(float)
+            yield d.assign(**{name: [None if any(math.isnan(v) for v in r) else p(*r) for r in own.itertuples(index=False)]})
+
+    return rows.mapInPandas(run, rows.withColumn(name, F.lit(None).cast("double")).schema)
+
+
+def two_sided(rows: DataFrame, z: str = "z", name: str = "p") -> DataFrame:
+    """Adds the two-sided normal p of a summary table's z."""
+    return with_p(rows, normal_p, [z], name)
 
 
 def exact_u(n1: int, n2: int) -> list[float]:
@@ -118,6 +167,12 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
     return d.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("rho")).drop("_all")
 
 
+def spearman_p(rho: DataFrame) -> DataFrame:
+    """Adds t and its two-sided p to rows (n, rho)."""
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0)))
+    return with_p(rho.withColumns({"t": t, "df": F.col("n") - 2}), student_p, ["t", "df"])
+
+
 def cohens_d(value: str, group: Column) -> Column:
     """Difference of means of both sides of a condition over the pooled standard deviation; null below two rows a side."""
     v = F.col(value)
@@ -146,6 +201,7 @@ def odds_ratio(a: Column, b: Column) -> dict[str, Column]:
 
 def fisher_exact(n11: int, n10: int, n01: int, n00: int) -> float:
     """Two-sided p: the probability of all tables with the same margins that are at most as likely."""
+    n11, n10, n01, n00 = map(int, (n11, n10, n01, n00))
     row, col, n = n11 + n10, n11 + n01, n11 + n10 + n01 + n00
     log = lambda k: math.lgamma(k + 1)
     base = log(row) + log(n - row) + log(col) + log(n - col) - log(n)
@@ -154,8 +210,9 @@ def fisher_exact(n11: int, n10: int, n01: int, n00: int) -> float:
     return min(1.0, sum(math.exp(chance(k)) for k in range(max(0, row + col - n), min(row, col) + 1) if chance(k) <= own + 1e-7))
 
 
-def least_squares(df: DataFrame, y: str, terms: dict[str, Column]) -> dict[str, tuple[float, float]]:
-    """Coefficient and standard error of an intercept and each term, from one aggregation of cross-products.
+def least_squares(df: DataFrame, y: str, terms: dict[str, Column]) -> dict[str, tuple[float, float, int]]:
+    """Coefficient, standard error and degrees of freedom of an intercept and each term, from one aggregation of
+    cross-products.
 
     Rows with a null in any term are left out. The terms are few, so the system solved on the driver is small.
     """
@@ -171,18 +228,25 @@ def least_squares(df: DataFrame, y: str, terms: dict[str, Column]) -> dict[str,
     beta = np.linalg.solve(xx, xy)
     rest = max(0.0, row["yy"] - beta @ xy) / max(1, row["n"] - k)
     error = np.sqrt(np.diag(np.linalg.inv(xx)) * rest)
-    return {name: (float(b), float(e)) for name, b, e in zip(names, beta, error, strict=True)}
+    return {name: (float(b), float(e), row["n"] - k) for name, b, e in zip(names, beta, error, strict=True)}
 
 
-def threshold_sweep(df: DataFrame, value: str, label: Column) -> DataFrame:
-    """For each distinct cutoff (>= selects): number selected, hits, Jaccard, precision, recall against a label.
+def coefficients(df: DataFrame, y: str, terms: dict[str, Column]) -> DataFrame:
+    """(term, beta, se, t, p, low, high) of ``least_squares``, with the 95 % interval."""
+    rows = []
+    for name, (beta, se, free) in least_squares(df, y, terms).items():
+        half = student_quantile(0.05, free) * se
+        rows.append((name, beta, se, beta / se if se else None, student_p(beta / se, free) if se else None, beta - half, beta + half))
+    return df.sparkSession.createDataFrame(rows, "term string, beta double, se double, t double, p double, low double, high double")
 
-    One running sum over distinct values from the top.
-    """
+
+def threshold_sweep(df: DataFrame, value: str, label: Column) -> DataFrame:
+    """For each distinct cutoff (>= selects): number selected, hits, Jaccard, precision, recall against a label, by running
+    sums over distinct values from the top."""
     each = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"), F.count_if(label).alias("h"))
     positives = df.agg(F.count_if(label)).head()[0]
-    down = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
-    d = each.select(F.col(value).alias("cutoff"), F.sum("c").over(down).alias("n_selected"), F.sum("h").over(down).alias("hits"))
+    d = running_sums(each, [], value, ["c", "h"], descending=True)
+    d = d.select(F.col(value).alias("cutoff"), F.col("c_upto").alias("n_selected"), F.col("h_upto").alias("hits"))
     any_ = F.col("n_selected") + positives - F.col("hits")
     return d.select("*", (F.col("hits") / any_).alias("jaccard"), (F.col("hits") / F.col("n_selected")).alias("precision"), (F.col("hits") / F.nullif(F.lit(positives), F.lit(0))).alias("recall"))
 

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.functions.columns import portable_hash, portable_hash_sql
+from sensorloom.functions.columns import local_hour, portable_hash, portable_hash_sql
 from sensorloom.operators import classify, cluster, cohort, features
 from sensorloom.plans.registering import register
-from sensorloom.plans.views import LABEL3, label3, readings
-from sensorloom.session import table
+from sensorloom.plans.views import ANALYSIS, LABEL3, analysis, label3, offset, readings
+from sensorloom.session import table, written
 
 QUERIES, SQL = {}, {}
 query = register(QUERIES, SQL)
 
-#: The components that the queries with SQL read; those without SQL read the whole vectors.
-DIMS = tuple(f"x{k}" for k in range(4))
-V = "WITH v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(4)) + " FROM embeddings)"
+#: Fixed value: components of a vector of the given table, for SQL that names each of them.
+WIDTH = 64
+DIMS = [f"x{k}" for k in range(WIDTH)]
+V = "WITH v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(WIDTH)) + " FROM embeddings)"
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(4)))
+def _each(pattern: str, joint: str = ", ") -> str:
+    """The pattern for every component, ``#`` standing for its number."""
+    return joint.join(pattern.replace("#", str(k)) for k in range(WIDTH))
 
 
 def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -30,13 +34,18 @@ def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     return d.select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(dims))), dims
 
 
-_CENTRES = [[0.0, 0.0, 0.0, 0.0], [0.1, 0.1, 0.0, 0.0], [-0.1, 0.0, 0.1, 0.0]]
-_DIST = [" + ".join(f"(x{k} - ({c[k]})) * (x{k} - ({c[k]}))" for k in range(4)) for c in _CENTRES]
+def _centre(c: int, k: int) -> float:
+    """Component k of a fixed centre c."""
+    return 0.1 * c * ((k % (c + 1)) - c / 2) if c else 0.0
+
+
+_DIST = [" + ".join(f"(x{k} - ({_centre(c, k)})) * (x{k} - ({_centre(c, k)}))" for k in range(WIDTH)) for c in range(3)]
 
 
 @query(f"{V}, d AS (SELECT vec_id, {', '.join(f'{x} AS d{k}' for k, x in enumerate(_DIST))} FROM v) SELECT vec_id, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster FROM d")
 def nearest_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.assign(_vectors(spark, sf_dir), DIMS, _CENTRES).select("vec_id", "cluster")
+    d, dims = _whole(spark, sf_dir)
+    return cluster.assign(d, dims, [[_centre(c, k) for k in range(len(dims))] for c in range(3)]).select("vec_id", "cluster")
 
 
 _FEATURES = f"WITH r AS (SELECT user_id AS pid, 45 + value AS g FROM events), f AS (SELECT pid, count(*) FILTER (g < 70) AS lows, count(*) FILTER (g > 140) AS spikes, {LABEL3} AS c FROM r GROUP BY pid)"
@@ -49,72 +58,121 @@ def cluster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.name_clusters(d, "c", "lows", "spikes")
 
 
-@query(f"""{V}, c AS (SELECT label, count(*) AS n, {', '.join(f'avg(x{k}) AS m{k}' for k in range(4))} FROM v GROUP BY 1), g AS (SELECT {', '.join(f'avg(x{k}) AS g{k}' for k in range(4))}, count(*) AS nn FROM v),
-w AS (SELECT v.label, {' + '.join(f'(x{k} - m{k}) ** 2' for k in range(4))} AS d2 FROM v JOIN c USING (label)), s AS (SELECT label, sum(d2) AS w, avg(sqrt(d2)) AS s FROM w GROUP BY 1),
-b AS (SELECT sum(n * ({' + '.join(f'(m{k} - g{k}) ** 2' for k in range(4))})) AS between_ss, count(*) AS k FROM c, g),
-p AS (SELECT a.label, max((sa.s + sb.s) / sqrt({' + '.join(f'(a.m{k} - b.m{k}) ** 2' for k in range(4))})) AS r FROM c a JOIN c b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY 1)
+@query(f"""{V}, c AS (SELECT label, count(*) AS n, {_each('avg(x#) AS m#')} FROM v GROUP BY 1), g AS (SELECT {_each('avg(x#) AS g#')}, count(*) AS nn FROM v),
+w AS (SELECT v.label, {_each('(x# - m#) ** 2', ' + ')} AS d2 FROM v JOIN c USING (label)), s AS (SELECT label, sum(d2) AS w, avg(sqrt(d2)) AS s FROM w GROUP BY 1),
+b AS (SELECT sum(n * ({_each('(m# - g#) ** 2', ' + ')})) AS between_ss, count(*) AS k FROM c, g),
+p AS (SELECT a.label, max((sa.s + sb.s) / sqrt({_each('(a.m# - b.m#) ** 2', ' + ')})) AS r FROM c a JOIN c b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY 1)
 SELECT nn AS n, round(between_ss / (k - 1) / ((SELECT sum(w) FROM s) / (nn - k)), 6) AS calinski_harabasz, round((SELECT avg(r) FROM p), 6) AS davies_bouldin FROM b, g""")
 def dispersion_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.dispersion_indices(_vectors(spark, sf_dir), DIMS, "label")
+    return cluster.dispersion_indices(*_whole(spark, sf_dir), "label")
 
 
-@query(f"""{V}, d AS (SELECT a.vec_id, a.label, b.label AS other, sum(sqrt({' + '.join(f'(a.x{k} - b.x{k}) ** 2' for k in range(4))})) AS t, count(*) AS n FROM v a, v b GROUP BY 1, 2, 3),
+_GAP = _each("(a.x# - b.x#) ** 2", " + ")
+
+
+@query(f"""{V}, d AS (SELECT a.vec_id, a.label, b.label AS other, sum(sqrt({_GAP})) AS t, count(*) AS n FROM v a, v b GROUP BY 1, 2, 3),
 s AS (SELECT vec_id, label, max(t / nullif(n - 1, 0)) FILTER (label = other) AS a, min(t / n) FILTER (label <> other) AS b FROM d GROUP BY 1, 2)
 SELECT vec_id, label, round(coalesce((b - a) / greatest(a, b), 0), 6) AS silhouette FROM s""")
 def silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.silhouettes(_vectors(spark, sf_dir), "vec_id", DIMS, "label")
+    d, dims = _whole(spark, sf_dir)
+    return cluster.silhouettes(d, "vec_id", dims, "label")
 
 
-@query(f"""{V}, d AS (SELECT a.vec_id, a.label, b.label AS other, sum({' + '.join(f'(a.x{k} - b.x{k}) ** 2' for k in range(4))}) AS t, count(*) AS n FROM v a, v b GROUP BY 1, 2, 3),
+@query(f"""{V}, d AS (SELECT a.vec_id, a.label, b.label AS other, sum({_GAP}) AS t, count(*) AS n FROM v a, v b GROUP BY 1, 2, 3),
 s AS (SELECT vec_id, label, max(t / nullif(n - 1, 0)) FILTER (label = other) AS a, min(t / n) FILTER (label <> other) AS b FROM d GROUP BY 1, 2)
 SELECT count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s""")
 def squared_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.squared_silhouette(_vectors(spark, sf_dir), DIMS, "label")
+    return cluster.squared_silhouette(*_whole(spark, sf_dir), "label")
 
 
 _ARI = """c AS (SELECT a, b, count(*) AS c FROM l GROUP BY 1, 2), ij AS (SELECT sum(c * (c - 1) / 2) AS v, sum(c) AS n FROM c), i AS (SELECT sum(m * (m - 1) / 2) AS v FROM (SELECT sum(c) AS m FROM c GROUP BY a)), j AS (SELECT sum(m * (m - 1) / 2) AS v FROM (SELECT sum(c) AS m FROM c GROUP BY b))
 SELECT ij.n::BIGINT AS n, round((ij.v - i.v * j.v / (ij.n * (ij.n - 1) / 2)) / ((i.v + j.v) / 2 - i.v * j.v / (ij.n * (ij.n - 1) / 2)), 6) AS ari FROM ij, i, j"""
+#: A second labeling: whether most components are positive.
+_MOST = "CASE WHEN len(list_filter(embedding, lambda x: x > 0)) * 2 > len(embedding) THEN 1 ELSE 0 END"
 
 
-@query(f"{V}, l AS (SELECT label AS a, CASE WHEN x0 > 0 THEN 1 ELSE 0 END AS b FROM v), {_ARI}")
+def _signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "embeddings")
+    return d.select("label", (F.size(F.filter("embedding", lambda x: x > 0)) * 2 > F.size("embedding")).cast("int").alias("most"))
+
+
+@query(f"WITH l AS (SELECT label AS a, {_MOST} AS b FROM embeddings), {_ARI}")
 def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _vectors(spark, sf_dir).withColumn("b", (F.col("x0") > 0).cast("int"))
-    return cluster.adjusted_rand(d, "label", "b")
+    return cluster.adjusted_rand(_signs(spark, sf_dir), "label", "most")
 
 
-@query(f"{V}, l AS (SELECT label % 3 AS a, CASE WHEN x0 > 0 THEN label % 3 ELSE label % 2 END AS b FROM v) SELECT a, b, count(*) AS n, count(*) FILTER (a <> b) AS n_changed FROM l GROUP BY 1, 2")
+@query(f"WITH l AS (SELECT label % 3 AS a, CASE WHEN {_MOST} = 1 THEN label % 3 ELSE label % 2 END AS b FROM embeddings) SELECT a, b, count(*) AS n, count(*) FILTER (a <> b) AS n_changed FROM l GROUP BY 1, 2")
 def label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _vectors(spark, sf_dir).select((F.col("label") % 3).alias("a"), F.when(F.col("x0") > 0, F.col("label") % 3).otherwise(F.col("label") % 2).alias("b"))
+    d = _signs(spark, sf_dir).select((F.col("label") % 3).alias("a"), F.when(F.col("most") == 1, F.col("label") % 3).otherwise(F.col("label") % 2).alias("b"))
     return d.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("n_changed"))
 
 
+#: What cohorts are clustered on; all but the number of readings.
+FEATURES = [
+    "mean_glucose", "glucose_sd", "glucose_cv", "pct_above_140", "pct_above_180", "pct_below_70", "pct_below_54", "n_lows_70", "n_lows_54",
+    "avg_rise_rate", "avg_fall_rate", "n_spikes_140", "n_reactive_events", "noct_nadir", "noct_tbr70",
+]
+
+
+def cohort_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written row for each participant with enough readings: the features as doubles; nights may be missing."""
+    r = readings(spark, sf_dir)
+    night = features.nocturnal_features(r, local_hour(F.col("ts"), offset())).select("pid", "noct_nadir", "noct_tbr70")
+    d = features.core_features(r).join(night, "pid", "left")
+    return written(d.select("pid", *(F.col(c).cast("double").alias(c) for c in FEATURES)), "cohort")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The features with medians for what is missing, and their standard scores."""
+    raw = cohort.fill_medians(cohort_features(spark, sf_dir), FEATURES)
+    return raw, cohort.standard_scores(raw, FEATURES)
+
+
 @query()
 def kmeans_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features.core_features(readings(spark, sf_dir))
-    columns = ["mean_glucose", "glucose_sd", "n_lows_70", "n_spikes_140"]
-    z = cohort.standard_scores(f.select("pid", *(F.col(c).cast("double").alias(c) for c in columns)), columns)
-    d = cluster.assign(z, columns, cluster.fit_centres(z, columns, 3, seeds=range(5))[0])
-    raw = d.select("pid", "cluster").join(f.select("pid", "n_lows_70", "n_spikes_140"), "pid")
-    return raw.join(cluster.name_clusters(raw, "cluster", "n_lows_70", "n_spikes_140"), "cluster").select("pid", "name")
+    raw, z = _scored(spark, sf_dir)
+    labels = cluster.assign(z, FEATURES, cluster.fit_centres(z, "pid", FEATURES, 3)[0]).select("pid", "cluster")
+    named = labels.join(raw.select("pid", "n_lows_70", "n_spikes_140"), "pid")
+    return labels.join(F.broadcast(cluster.name_clusters(named, "cluster", "n_lows_70", "n_spikes_140")), "cluster").select("pid", "name")
 
 
 @query()
 def selection_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.selection_sweep(*_whole(spark, sf_dir), range(2, 5)).withColumn("sizes", F.array_join("sizes", ","))
+    raw, z = _scored(spark, sf_dir)
+    both = z.join(raw.select("pid", F.col("n_lows_70").alias("lows"), F.col("n_spikes_140").alias("spikes"), F.col("mean_glucose").alias("level")), "pid")
+    return cluster.selection_sweep(both, "pid", FEATURES, range(2, 9), medians=("lows", "spikes", "level"))
 
 
 @query()
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, dims = _whole(spark, sf_dir)
-    seeds = cluster.seed_stability(d, "vec_id", dims, 3, range(3)).select(F.lit("seed").alias("kind"), F.col("seed").alias("rep"), "ari")
-    boot = cluster.resample_stability(d, "vec_id", dims, 3, 2).select(F.lit("bootstrap").alias("kind"), "rep", "ari")
-    return seeds.unionByName(boot).unionByName(cluster.resample_stability(d, "vec_id", dims, 3, 2, half=True).select(F.lit("half").alias("kind"), "rep", "ari"))
+    return cluster.interval(cluster.stability(_scored(spark, sf_dir)[1], "pid", FEATURES, 3), "kind", "ari")
 
 
-@query()
+REPS = 99
+
+
+@query(f"""{V}, o AS (SELECT vec_id, label, run, row_number() OVER (PARTITION BY run ORDER BY h // 10000, h, vec_id) AS place FROM (SELECT vec_id, label, run, {portable_hash_sql('vec_id', 'run')} AS h FROM v, (SELECT unnest(range({REPS})) AS run))),
+e AS (SELECT label, sum(count(*)) OVER (ORDER BY label) AS last, sum(count(*)) OVER (ORDER BY label) - count(*) AS before FROM v GROUP BY label),
+l AS (SELECT run, vec_id, e.label AS label FROM o JOIN e ON place > before AND place <= last UNION ALL SELECT -1, vec_id, label FROM v),
+d AS (SELECT l.run, l.label, v.vec_id, {_each('x#')}, {_each('x# * x#', ' + ')} AS q FROM l JOIN v USING (vec_id)),
+s AS (SELECT run, label, count(*) AS n, sum(q) AS q, {_each('sum(x#) AS s#')} FROM d GROUP BY 1, 2),
+t AS (SELECT d.run, d.vec_id, d.label, s.label AS other, s.n, s.n * d.q + s.q - 2 * ({_each('x# * s#', ' + ')}) AS t FROM d JOIN s ON d.run = s.run),
+m AS (SELECT run, vec_id, max(t / greatest(n - 1, 1)) FILTER (label = other) AS a, max(n) FILTER (label = other) AS n, min(t / n) FILTER (label <> other) AS b FROM t GROUP BY 1, 2),
+r AS (SELECT run, avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM m GROUP BY 1)
+SELECT run, round(silhouette, 6) AS silhouette, round((SELECT count(*) FILTER (silhouette >= (SELECT silhouette FROM r WHERE run = -1)) / count(*) FROM r), 6) AS p FROM r""")
 def label_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, dims = _whole(spark, sf_dir)
-    return cluster.permutation_null(d, "vec_id", dims, "label", 3)
+    return cluster.permutation_null(d, "vec_id", dims, "label", REPS)
+
+
+@query()
+def shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.shuffle_null(_scored(spark, sf_dir)[1], "pid", FEATURES, 3)
+
+
+@query()
+def copula_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.copula_null(_scored(spark, sf_dir)[1], "pid", FEATURES, 3)
 
 
 @query()
@@ -131,6 +189,49 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.principal_components(z, "vec_id", dims, "x0")[1]
 
 
+@query()
+def component_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top loadings of each component, and the components' medians and spread in each cohort."""
+    raw, z = _scored(spark, sf_dir)
+    scores, loadings = cluster.principal_components(z, "pid", FEATURES, "mean_glucose")
+    top = cluster.top_loadings(loadings).select(F.lit("loading").alias("kind"), F.col("pc").cast("string").alias("of"), "variable", F.col("loading").alias("value"), F.col("explained").alias("other"))
+    groups = cluster.quartiles(scores.withColumn("c", label3()), "c", ["pc1", "pc2"])
+    return top.unionByName(groups.select(F.lit("group").alias("kind"), F.col("c").cast("string").alias("of"), "variable", F.col("median").alias("value"), F.col("iqr").alias("other")))
+
+
+@query()
+def frozen_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the participants outside of class 2, with their scaler and names as tables, applied to those in it."""
+    d = cohort_features(spark, sf_dir).withColumn("c", label3())
+    scaler, centres = (written(t, "frozen") for t in cluster.frozen(d.where("c <> 2"), "pid", FEATURES, 3, "n_lows_70", "n_spikes_140"))
+    return cluster.projected(d.where("c = 2"), "pid", scaler, centres)
+
+
+_BY = f"SELECT pid, {LABEL3} AS c, pid % 2 AS half, g FROM (SELECT user_id AS pid, 45 + value AS g FROM events)"
+
+
+@query(f"""WITH f AS (SELECT pid, c, half, avg(g) AS mean_glucose, stddev_pop(g) AS glucose_sd, count(*) FILTER (g < 70)::DOUBLE AS n_lows_70, count(*) FILTER (g > 140)::DOUBLE AS n_spikes_140 FROM ({_BY}) GROUP BY 1, 2, 3),
+l AS (UNPIVOT f ON mean_glucose, glucose_sd, n_lows_70, n_spikes_140 INTO NAME variable VALUE v),
+m AS (SELECT c, variable, half, median(v) AS m, count(*) AS n FROM l GROUP BY 1, 2, 3)
+SELECT a.c, a.variable, a.n AS n_first, b.n AS n_second, round(a.m, 6) AS first, round(b.m, 6) AS second, round(b.m - a.m, 6) AS gap FROM m a JOIN m b ON a.c = b.c AND a.variable = b.variable AND a.half = 0 AND b.half = 1""")
+def cohort_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of each class's features in two cohorts, side by side."""
+    g = F.col("g")
+    f = readings(spark, sf_dir).groupBy("pid").agg(F.avg(g).alias("mean_glucose"), F.stddev_pop(g).alias("glucose_sd"), F.count_if(g < 70).cast("double").alias("n_lows_70"), F.count_if(g > 140).cast("double").alias("n_spikes_140"))
+    f = f.withColumns({"c": label3(), "half": F.pmod("pid", F.lit(2))})
+    return cohort.matched_medians(f.where("half = 0"), f.where("half = 1"), "c", ["mean_glucose", "glucose_sd", "n_lows_70", "n_spikes_140"])
+
+
+@query("""WITH f AS (SELECT user_id AS pid, event_id % 2 AS part, avg(value) AS level, stddev_pop(value) AS spread, max(value) AS peak FROM events GROUP BY 1, 2),
+l AS (UNPIVOT f ON level, spread, peak INTO NAME variable VALUE v), p AS (SELECT a.variable, a.v AS x, b.v AS y FROM l a JOIN l b ON a.pid = b.pid AND a.variable = b.variable AND a.part = 0 AND b.part = 1),
+r AS (SELECT variable, count(*) AS n, corr(x, y) AS r, median(abs(x - y)) AS mad FROM p GROUP BY 1)
+SELECT variable, n, round(r, 6) AS r, round(mad, 6) AS mad, r = (SELECT min(r) FROM r) AS least FROM r""")
+def extractor_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two extractors of the same features (here over readings of even and odd number): agreement of each, and the least."""
+    f = lambda part: readings(spark, sf_dir).where(F.col("rid") % 2 == part).groupBy("pid").agg(F.avg(F.col("g") - 45).alias("level"), F.stddev_pop(F.col("g") - 45).alias("spread"), F.max(F.col("g") - 45).alias("peak"))
+    return cohort.agreement(f(0), f(1), "pid", ["level", "spread", "peak"])
+
+
 _FOLD = f"""WITH l AS (SELECT doc_id, toxic, rep, {portable_hash_sql('doc_id', 'rep')} AS h FROM labels, (SELECT unnest([0, 1]) AS rep)),
 f AS (SELECT doc_id, toxic, rep, ((row_number() OVER (PARTITION BY rep, toxic ORDER BY h // 10000, h, doc_id) - 1) % 5)::INT AS fold FROM l)"""
 
@@ -209,37 +310,81 @@ def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     d, dims = _whole(spark, sf_dir)
-    return classify.stratified_folds(d.withColumn("y", F.col("label") % 3), "vec_id", "y", 3), dims
+    return classify.stratified_folds(d.withColumn("y", F.col("label") % 3), "vec_id", "y", 5), dims
 
 
 @query()
 def logistic_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and precision, plain and class-balanced, with the macro one-versus-rest area."""
     d, dims = _classes(spark, sf_dir)
-    oof = classify.out_of_fold(d, "vec_id", dims, "y", classify.logistic)
-    return classify.class_metrics(oof, "actual", "predicted")
+    out = []
+    for arm, balanced in (("plain", False), ("balanced", True)):
+        oof = written(classify.logistic_out_of_fold(d, "vec_id", dims, "y", 5, balanced), "oof")
+        auc = classify.macro_auc(oof, "actual", "probability", 3).select("macro_auc")
+        out.append(classify.class_metrics(oof, "actual", "predicted").withColumns({"arm": F.lit(arm), "macro_auc": F.lit(auc.head()[0])}))
+    return out[0].unionByName(out[1])
+
+
+@query()
+def accuracy_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced accuracy of classes told from cohort features, its interval, and p by refits on permuted labels."""
+    d = _scored(spark, sf_dir)[1].withColumn("y", label3())
+    return classify.permutation_test(d, "pid", FEATURES, "y", reps=100)
+
+
+_ARMS = {"account": ["bal"], "orders": ["n_orders", "mean_price", "max_price"]}
+
+
+@query(f"""WITH a AS ({ANALYSIS}), c AS (SELECT *, bal IS NOT NULL AND n_orders IS NOT NULL AND mean_price IS NOT NULL AND max_price IS NOT NULL AS whole FROM a)
+SELECT arm, count(*) AS n, sum(person_id)::BIGINT AS ids FROM (
+SELECT 'account' AS arm, person_id FROM c WHERE whole UNION ALL SELECT 'orders', person_id FROM c WHERE whole UNION ALL SELECT 'both', person_id FROM c WHERE whole UNION ALL SELECT 'account, all rows', person_id FROM c WHERE bal IS NOT NULL) GROUP BY 1""")
+def arm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each arm: the same complete ones, and the control on all rows its own columns allow."""
+    arms = classify.arms(analysis(spark, sf_dir), _ARMS)
+    return functools.reduce(DataFrame.unionByName, (rows.agg(F.lit(name).alias("arm"), F.count("*").alias("n"), F.sum("person_id").alias("ids")) for name, rows, _ in arms))
+
+
+@query()
+def feature_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each arm's accuracy on identical rows, its interval, grade, and whether both together beat each alone."""
+    d = analysis(spark, sf_dir).withColumn("y", F.pmod(F.col("nation"), F.lit(3)).cast("int"))
+    return classify.compare_arms(d, "person_id", _ARMS, "y")
 
 
 @query()
 def boosted_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, dims = _classes(spark, sf_dir)
-    oof = classify.out_of_fold(d, "vec_id", dims, "y", lambda n: classify.boosted(2, 3))
-    return classify.class_metrics(oof, "actual", "predicted")
+    """Both leaf sizes where the rare class is small in a fold; recall, precision and macro area from the trees' shares."""
+    d = classify.stratified_folds(_scored(spark, sf_dir)[1].withColumn("y", label3()), "pid", "y", 3)
+    rare = d.groupBy("y").count().agg(F.min("count").alias("n")).select(classify.leaf_sizes(F.col("n") * 2 / 3).alias("sizes")).head()
+    out = []
+    for leaf in rare["sizes"] if rare else []:
+        oof = written(classify.out_of_fold(d, "pid", FEATURES, "y", lambda n, leaf=leaf: classify.boosted(leaf, 5)), "oof")
+        auc = classify.macro_auc(oof, "actual", "probability", 3).head()
+        out.append(classify.class_metrics(oof, "actual", "predicted").withColumns({"leaf": F.lit(leaf), "macro_auc": F.lit(auc["macro_auc"])}))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 @query()
 def forest_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, dims = _classes(spark, sf_dir)
-    oof = classify.out_of_fold(d, "vec_id", dims, "y", lambda n: classify.forest(20))
-    return classify.class_metrics(oof, "actual", "predicted")
+    """Recall of a class-balanced forest over folds and out of bag."""
+    d = classify.stratified_folds(_scored(spark, sf_dir)[1].withColumn("y", label3()), "pid", "y", 3)
+    weighed = classify.balanced_weights(d, "y")
+    folds = classify.class_metrics(classify.out_of_fold(weighed, "pid", FEATURES, "y", lambda n: classify.forest(50, "weight")), "actual", "predicted")
+    bags = classify.class_metrics(classify.out_of_bag(weighed, "pid", FEATURES, "y", "weight"), "actual", "predicted")
+    return folds.withColumn("kind", F.lit("folds")).unionByName(bags.withColumn("kind", F.lit("bags")))
 
 
 @query()
 def membership_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, dims = _whole(spark, sf_dir)
-    runs = None
-    for seed in range(3):
-        one = cluster.assign(d, dims, cluster.fit_centres(d, dims, 3, (seed,))[0])
-        small = one.groupBy("cluster").count().orderBy("count", "cluster").limit(1).select("cluster").withColumn("is_small", F.lit(True))
-        flagged = one.join(small, "cluster", "left").select("vec_id", F.coalesce("is_small", F.lit(False)).alias("flag"))
-        runs = flagged if runs is None else runs.unionByName(flagged)
-    return cluster.recurrence(runs, "vec_id", "flag")
+    raw, z = _scored(spark, sf_dir)
+    d = z.join(raw.select("pid", F.col("n_lows_70").alias("_low")), "pid")
+    runs = cluster.membership_runs(d, "pid", [FEATURES, FEATURES[:10]], 3, "_low")
+    return cluster.recurrence(written(runs, "runs"), "pid", "flag")
+
+
+@query("""WITH a AS (SELECT count(*) AS n, corr(l_extendedprice, l_quantity) ** 2 AS r2, avg(l_discount) AS discount FROM lineitem), v AS (SELECT 'r2' AS what, r2 AS value, 0.85 AS published FROM a UNION ALL SELECT 'discount', discount, 0.05 FROM a UNION ALL SELECT 'share', 0.2, 0.5 FROM a)
+SELECT what, round(value, 6) AS value, published, round(abs(value - published), 6) AS gap, abs(value - published) <= 0.01 AS within_tolerance FROM v""")
+def tolerance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values against published ones, reported and not enforced."""
+    a = table(spark, sf_dir, "lineitem").agg(F.pow(F.corr("l_extendedprice", "l_quantity"), F.lit(2)).alias("r2"), F.avg("l_discount").cast("double").alias("discount"), F.lit(0.2).alias("share"))
+    return cohort.against_published(a, {"r2": 0.85, "discount": 0.05, "share": 0.5}, 0.01)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import columns as fx
-from sensorloom.operators import cohort
+from sensorloom.operators import cohort, stats
 from sensorloom.plans.registering import register
 from sensorloom.plans.views import ANALYSIS, HOUR, LABEL3, READINGS, analysis, label3, offset, readings
 from sensorloom.session import table
@@ -281,6 +281,24 @@ def severity_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.extreme_levels(d, "person_id", "bal", F.col("person_id") % 50 == 0).select("person_id", "level")
 
 
+@query(f"""{A}, c AS (SELECT segment, {LABEL3.replace('pid', 'person_id')} AS c, count(*) AS n FROM a GROUP BY 1, 2), w AS (SELECT *, n / sum(n) OVER (PARTITION BY segment) AS share, sum(n) OVER (PARTITION BY c) / sum(n) OVER () AS baseline FROM c)
+SELECT segment, c, n, round(share, 6) AS share, round(baseline, 6) AS baseline, round(share - baseline, 6) AS difference FROM w""")
+def stage_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.composition(analysis(spark, sf_dir).withColumn("c", label3("person_id")), "segment", "c")
+
+
+@query(f"""{A}, z AS (SELECT person_id, {LABEL3.replace('pid', 'person_id')} AS c, {_Z.format('bal')} AS s, person_id % 50 = 0 AS few FROM a),
+n AS (SELECT greatest(count(*) FILTER (few), round_even(0.03 * count(*), 0)::BIGINT) AS n FROM z), k AS (SELECT *, row_number() OVER (ORDER BY round(s, 9) DESC, person_id) AS rk FROM z),
+x AS (SELECT person_id, c, CASE WHEN few THEN 'few' WHEN rk <= n THEN 'extreme' ELSE 'mild' END AS level FROM k, n),
+l AS (SELECT 'pair' AS labels, c AS label FROM x WHERE c < 2 UNION ALL SELECT 'three', c FROM x UNION ALL SELECT 'extremes', (level = 'extreme')::INT FROM x WHERE level <> 'few' UNION ALL
+SELECT 'four', CASE WHEN level = 'few' THEN 3 WHEN level = 'extreme' THEN 2 WHEN c = 1 THEN 1 ELSE 0 END FROM x UNION ALL SELECT 'rare', (level = 'few')::INT FROM x)
+SELECT labels, label, count(*) AS n FROM l GROUP BY 1, 2""")
+def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the classes of every task."""
+    level = severity_levels(spark, sf_dir).withColumn("c", label3("person_id"))
+    return cohort.label_sets(level, "person_id", "c", "level").groupBy("labels", "label").agg(F.count("*").alias("n"))
+
+
 @query("""WITH d AS (SELECT l_suppkey AS pid, count(*) AS n, avg((l_returnflag <> 'R')::INT) AS pass_frac, count(DISTINCT l_shipdate::DATE) AS n_days FROM lineitem GROUP BY 1)
 SELECT pid, n, round(pass_frac, 6) AS pass_frac, n_days FROM d WHERE n >= 5 AND pass_frac >= 0.6 AND n_days >= 2 ORDER BY n DESC, pid LIMIT 10""")
 def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,4 +361,4 @@ def tagged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT v AS value, count(*) AS n, sum(count(*)) OVER (ORDER BY v)::BIGINT AS upto FROM (SELECT l_quantity AS v FROM lineitem) GROUP BY 1""")
 def sorted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("value")).agg(F.count("*").alias("n"))
-    return d.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
+    return stats.running_sums(d, [], "value", ["n"]).withColumnRenamed("n_upto", "upto")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("series_queries", "cohort_queries", "stats_queries", "cluster_queries")
+MODULES = ("series_queries", "cohort_queries", "stats_queries", "cluster_queries", "source_queries")
 
 
 def _all(name: str) -> dict:

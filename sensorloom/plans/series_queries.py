@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions.columns import in_hours, local_hour, local_time
 from sensorloom.operators import features, series
 from sensorloom.plans.registering import register
-from sensorloom.plans.views import HOUR, LABEL3, READINGS, label3, offset, readings
+from sensorloom.plans.views import HOUR, LABEL3, OFFSET, READINGS, label3, offset, readings
 from sensorloom.session import table
 
 QUERIES, SQL = {}, {}
@@ -174,6 +174,22 @@ def excursion_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.peaks(readings(spark, sf_dir))
 
 
+PEAKS = f"""i AS (SELECT *, row_number() OVER ({ORD}) - 1 AS idx FROM r),
+c AS (SELECT *, CASE WHEN lag(g) OVER ({ORD}) IS DISTINCT FROM g THEN 1 ELSE 0 END AS n FROM i),
+k AS (SELECT *, sum(n) OVER ({ORD} ROWS UNBOUNDED PRECEDING) AS run FROM c),
+d AS (SELECT pid, run, min(idx) AS a, max(idx) AS b, min(g) AS g FROM k GROUP BY 1, 2),
+t AS (SELECT *, g > lag(g) OVER (PARTITION BY pid ORDER BY run) AND g > lead(g) OVER (PARTITION BY pid ORDER BY run) AND g >= 140 AS top FROM d),
+w AS (SELECT p.pid, p.run, p.a, p.b, p.g, max(q.run) FILTER (q.run < p.run) AS lo, min(q.run) FILTER (q.run > p.run) AS hi FROM (SELECT * FROM t WHERE top) p LEFT JOIN d q ON p.pid = q.pid AND q.g > p.g GROUP BY ALL),
+f AS (SELECT w.pid, w.run, w.a, w.b, w.g, min(d.g) FILTER (d.run <= w.run) AS l, min(d.g) FILTER (d.run >= w.run) AS rr FROM w JOIN d ON w.pid = d.pid AND d.run > coalesce(w.lo, -1) AND d.run < coalesce(w.hi, 1::BIGINT << 60) GROUP BY ALL),
+z AS (SELECT pid, ((a + b) // 2)::BIGINT AS idx, g - greatest(l, rr) AS prominence FROM f WHERE g - greatest(l, rr) >= 30)"""
+
+
+@query(f"""{R}, {PEAKS}, y AS (SELECT pid, count(DISTINCT (ts + to_hours({OFFSET}))::DATE) AS days FROM r GROUP BY 1)
+SELECT z.pid, {HOUR.replace('pid', 'z.pid')}::INT AS hour, count(*) AS n, round(count(*) / any_value(days), 6) AS rate, round(avg(prominence), 6) AS size FROM z JOIN i ON z.pid = i.pid AND z.idx = i.idx JOIN y ON z.pid = y.pid GROUP BY 1, 2""")
+def peak_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.peak_hours(readings(spark, sf_dir), local_hour(F.col("ts"), offset()), F.to_date(local_time(F.col("ts"), offset())))
+
+
 @query(f"""{R}, d AS (SELECT pid, rid, ts, CASE WHEN event_id % 2 = 0 AND row_number() OVER (PARTITION BY user_id ORDER BY r.ts, rid) > 3 THEN g END AS v FROM r JOIN events ON rid = event_id),
 x AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ts, rid ROWS UNBOUNDED PRECEDING) AS b,
       first_value(v IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ts, rid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM d)

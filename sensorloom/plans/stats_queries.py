@@ -73,6 +73,11 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.spearman(analysis(spark, sf_dir).select("nation", "bal", "max_price"), "bal", "max_price", ["nation"])
 
 
+@query()
+def spearman_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.spearman_p(stats.spearman(analysis(spark, sf_dir).select("nation", "bal", "max_price"), "bal", "max_price", ["nation"]))
+
+
 @query(f"""{LONG} SELECT variable, round(CASE WHEN count(*) FILTER (c = 2) >= 2 THEN (avg(value) FILTER (c = 2) - avg(value) FILTER (c <> 2)) /
   sqrt(((count(*) FILTER (c = 2) - 1) * var_samp(value) FILTER (c = 2) + (count(*) FILTER (c <> 2) - 1) * var_samp(value) FILTER (c <> 2)) / (count(*) - 2)) END, 6) AS d FROM l GROUP BY 1""")
 def cohens_d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +98,11 @@ def odds_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis(spark, sf_dir).groupBy("nation").agg(*(c.alias(k) for k, c in cells.items()))
 
 
+@query()
+def fisher_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.with_p(odds_ratios(spark, sf_dir), stats.fisher_exact, ["n11", "n10", "n01", "n00"])
+
+
 @query(f"""WITH a AS ({ANALYSIS}), f AS (SELECT bal, (person_id % 3 = 0)::INT AS g, n_orders AS x FROM a WHERE n_orders IS NOT NULL),
 s AS (SELECT regr_slope(bal, g) AS crude, covar_pop(bal, g) AS yg, covar_pop(bal, x) AS yx, var_pop(g) AS gg, var_pop(x) AS xx, covar_pop(g, x) AS gx FROM f)
 SELECT round(crude, 6) AS crude, round((yg * xx - yx * gx) / (gg * xx - gx * gx), 6) AS adjusted, round((1 - abs((yg * xx - yx * gx) / (gg * xx - gx * gx)) / abs(crude)) * 100, 4) AS explained_pct FROM s""".replace("100, 4)", "100, 6)"))
@@ -106,11 +116,22 @@ def ancova(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH a AS ({ANALYSIS}), f AS (SELECT bal, {L} AS c FROM a)
-SELECT round(avg(bal) FILTER (c = 1), 6) AS intercept, round(avg(bal) FILTER (c = 0) - avg(bal) FILTER (c = 1), 6) AS level0, round(avg(bal) FILTER (c = 2) - avg(bal) FILTER (c = 1), 6) AS level2 FROM f""")
+, s AS (SELECT sqrt(sum(v) / (sum(n) - 3)) AS s, max(n) FILTER (c = 0) AS n0, max(n) FILTER (c = 1) AS n1, max(n) FILTER (c = 2) AS n2 FROM (SELECT c, count(*) AS n, var_pop(bal) * count(*) AS v FROM f GROUP BY 1))
+SELECT round(avg(bal) FILTER (c = 1), 6) AS intercept, round(avg(bal) FILTER (c = 0) - avg(bal) FILTER (c = 1), 6) AS level0, round(avg(bal) FILTER (c = 2) - avg(bal) FILTER (c = 1), 6) AS level2,
+round(any_value(s) * sqrt(1 / any_value(n0) + 1 / any_value(n1)), 6) AS level0_se, round(any_value(s) * sqrt(1 / any_value(n2) + 1 / any_value(n1)), 6) AS level2_se FROM f, s""")
 def treatment_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = analysis(spark, sf_dir).withColumn("c", label3("person_id"))
     b = stats.least_squares(d, "bal", {"level0": (F.col("c") == 0).cast("int"), "level2": (F.col("c") == 2).cast("int")})
-    return d.agg(*(F.lit(b[k][0]).alias(k) for k in ("intercept", "level0", "level2")), F.count("*").alias("n")).drop("n")
+    return d.agg(*(F.lit(b[k][0]).alias(k) for k in ("intercept", "level0", "level2")), *(F.lit(b[k][1]).alias(f"{k}_se") for k in ("level0", "level2")), F.count("*").alias("n")).drop("n")
+
+
+@query()
+def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models with standard errors, p and intervals."""
+    d = analysis(spark, sf_dir).where("n_orders is not null").withColumn("c", label3("person_id"))
+    level = lambda k: (F.col("c") == k).cast("int")
+    crude = stats.coefficients(d, "bal", {"level0": level(0), "level2": level(2)}).withColumn("model", F.lit("crude"))
+    return crude.unionByName(stats.coefficients(d, "bal", {"level0": level(0), "level2": level(2), "n_orders": F.col("n_orders")}).withColumn("model", F.lit("adjusted")))
 
 
 SWEEP = f"""WITH r AS (SELECT user_id AS pid, count(*) FILTER (45 + value < 70) AS v FROM events GROUP BY 1), e AS (SELECT v, count(*) AS c, count(*) FILTER ({LABEL3} = 2) AS h FROM r GROUP BY 1),
@@ -127,10 +148,16 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sweep(spark, sf_dir)
 
 
-@query(f"{SWEEP}, j AS (SELECT max(hits / (n + pos - hits)) AS best, max(hits / pos) AS reach FROM d), v AS (SELECT * FROM j) SELECT 'T2' AS rule, round(best, 6) AS value, round(0.7, 6) AS limit_value, best < 0.7 AS tripped FROM v UNION ALL SELECT 'T3', round(reach, 6), round(0.3, 6), reach > 0.3 FROM v")
+@query(f"{SWEEP}, j AS (SELECT max(hits / (n + pos - hits)) AS best, max(hits / pos) AS reach FROM d), v AS (SELECT * FROM j), q AS (SELECT user_id, avg((45 + value < 70)::INT) AS low, bool_or(45 + value < 54 AND event_id % 2 = 0) AS a, bool_or(45 + value < 54 AND event_id % 2 = 1) AS b FROM events GROUP BY 1) SELECT 'T2' AS rule, round(best, 6) AS value, round(0.7, 6) AS limit_value, best < 0.7 AS tripped FROM v UNION ALL SELECT 'T3', round(reach, 6), round(0.3, 6), reach > 0.3 FROM v UNION ALL SELECT 'T1', round(avg((low >= 0.3)::INT), 6), round(0.7, 6), avg((low >= 0.3)::INT) < 0.7 FROM q UNION ALL SELECT 'T4', round(avg((a AND b)::INT), 6), round(0.6, 6), avg((a AND b)::INT) < 0.6 FROM q")
 def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 recurrence of the core, T2 best rule, T3 share of artifacts, T4 share present in both halves; shares of the given
+    readings stand for them."""
     v = _sweep(spark, sf_dir).agg(F.max("jaccard").alias("best"), F.max("recall").alias("reach"))
-    return stats.decisions(v, {"T2": (F.col("best"), 0.7, True), "T3": (F.col("reach"), 0.3, False)})
+    g = F.col("g")
+    r = readings(spark, sf_dir).groupBy("pid").agg(F.avg((g < 70).cast("double")).alias("low"), F.max((g < 54) & (F.col("rid") % 2 == 0)).alias("even"), F.max((g < 54) & (F.col("rid") % 2 == 1)).alias("odd"))
+    w = r.agg(F.avg((F.col("low") >= 0.3).cast("double")).alias("recurrence"), F.avg((F.col("even") & F.col("odd")).cast("double")).alias("both")).head()
+    rules = {"T1": (F.lit(w["recurrence"]), 0.7, True), "T2": (F.col("best"), 0.7, True), "T3": (F.col("reach"), 0.3, False), "T4": (F.lit(w["both"]), 0.6, True)}
+    return stats.decisions(v, rules)
 
 
 _SITE = f"""{R}, {GRID}, {BASE}, h AS (SELECT pid, {HOUR} AS hour, baseline, g - baseline AS excursion FROM base), o AS (SELECT pid, avg(baseline) AS mb, avg(excursion) AS me FROM h GROUP BY 1),

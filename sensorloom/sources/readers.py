@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -94,8 +95,17 @@ def activity_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def subject_files(spark: SparkSession, path: str, first: str, second: str, least: int = 50, pattern: str = r"(\d+)") -> DataFrame:
     """(pid, ts, g) of per-subject CSVs: the first sensor's column where a subject has more than ``least`` values of it,
-    else the second's."""
-    raw = spark.read.csv(path, header=True).withColumn("pid", subject_id(pattern))
+    else the second's.
+
+    Files may have their columns in another order, or lack some: those with one header are read together, by its names.
+    A file is one subject's, so its text fits a row while headers are looked for.
+    """
+    heads = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.rtrim(F.regexp_replace(F.substring_index("value", "\n", 1), "\r", "")).alias("head"))
+    kinds = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    parts = [spark.read.csv(sorted(k["files"]), header=True, enforceSchema=False).withColumn("pid", subject_id(pattern)) for k in kinds if k["head"]]
+    raw = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    missing = [c for c in (first, second, "Timestamp") if c not in raw.columns]
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in missing})
     a, b = numeric(F.col(f"`{first}`")), numeric(F.col(f"`{second}`"))
     own = F.count(a).over(Window.partitionBy("pid")) > least
     return raw.select("pid", F.try_to_timestamp("Timestamp").alias("ts"), F.when(own, a).otherwise(b).alias("g")).where(F.col("g").isNotNull())

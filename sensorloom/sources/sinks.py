@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +11,18 @@ from pyspark.sql.utils import AnalysisException
 from sensorloom.operators.cohort import GuardError
 
 
-def whole_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def whole_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",") -> None:
     writer = df.write.mode("overwrite")
-    writer.csv(path, header=True) if fmt == "csv" else writer.format(fmt).save(path)
+    writer.csv(path, header=True, sep=sep) if fmt == "csv" else writer.format(fmt).save(path)
+
+
+def computed_once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; where there is none, what ``make`` gives is written there first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        whole_table(make(), path)
+        return spark.read.parquet(path)
 
 
 def publish_checked(df: DataFrame, path: str, ours: str, theirs: str, least: float = 0.999) -> float:

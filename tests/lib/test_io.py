@@ -21,6 +21,7 @@ def test_csv_and_tsv(spark, tmp_path):
     assert readers.trimmed_header(spark, str(tmp_path / "h.csv")).columns == ["a", "b"]
 
 
+# Field names of the device documents.
 def test_documents(spark, tmp_path):
     item = lambda v: {"effective_time_frame": {"time_interval": {"start_date_time": "2024-01-01T00:00:00Z"}}, "blood_glucose": {"unit": "mg/dL", "value": v}}
     (tmp_path / "12_DEX.json").write_text(json.dumps({"header": {"timezone": "PST"}, "body": {"cgm": [item(101), item("low"), item("??")]}}))
@@ -38,6 +39,34 @@ def test_subject_files(spark, tmp_path):
     assert {(r.pid, r.n, r.g) for r in got} == {(1, 3, 100.0), (2, 4, 200.0)}
 
 
+def test_subject_files_with_other_columns(spark, tmp_path):
+    (tmp_path / "S-1.csv").write_text("Timestamp,A GL,B GL\n2024-01-01 00:00:00,1,2\n")
+    (tmp_path / "S-2.csv").write_text("B GL,Timestamp,Note,A GL\n20,2024-01-01 00:00:00,x,10\n")
+    (tmp_path / "S-3.csv").write_text("Timestamp,B GL\n2024-01-01 00:00:00,200\n")
+    got = readers.subject_files(spark, str(tmp_path), "A GL", "B GL", least=0).collect()
+    assert sorted((r.pid, r.g) for r in got) == [(1, 1.0), (2, 10.0), (3, 200.0)]
+
+
+def test_computed_once(spark, tmp_path):
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    for _ in range(2):
+        assert sinks.computed_once(spark, str(tmp_path / "once"), make).count() == 3
+    assert made == [1]
+
+
+def test_written_tables_can_go(spark):
+    from sensorloom.session import discard, written
+
+    d = written(spark.range(5), "some")
+    files = d.inputFiles()
+    assert d.count() == 5 and files
+    discard(d)
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([(k, float(k), float(2 * k)) for k in range(5)], "k long, a double, b double")
     assert sinks.publish_checked(d, str(tmp_path / "ok"), "a", "b") > 0.999 and spark.read.parquet(str(tmp_path / "ok")).count() == 5

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sensorloom.operators import classify, cluster, cohort, stats
@@ -57,19 +58,73 @@ def planted(spark):
 def test_planted_clusters(spark):
     d = planted(spark)
     z = cohort.standard_scores(d, ["a", "b"])
-    got = cluster.assign(z, ["a", "b"], cluster.fit_centres(z, ["a", "b"], 3, range(3))[0])
+    got = cluster.assign(z, ["a", "b"], cluster.fit_centres(z, "id", ["a", "b"], 3)[0])
     assert cluster.adjusted_rand(got, "y", "cluster").head().ari == 1.0
     s = cluster.silhouettes(d, "id", ["a", "b"], "y")
     assert s.where("silhouette < 0.8 or silhouette > 1").count() == 0
-    p = cluster.shuffled(d, "id", "y", 1)
-    assert p.count() == 90 and p.groupBy("y").count().where("count <> 30").count() == 0
 
 
 def test_planted_classes(spark):
     d = classify.stratified_folds(planted(spark), "id", "y", 3)
     assert d.groupBy("y", "fold").count().where("count <> 10").count() == 0
-    oof = classify.out_of_fold(d, "id", ["a", "b"], "y", classify.logistic)
-    assert classify.balanced_accuracy(classify.class_metrics(oof, "actual", "predicted")).head().balanced_accuracy == 1.0
+    for oof in (classify.logistic_out_of_fold(d, "id", ["a", "b"], "y", 3, True), classify.out_of_fold(d, "id", ["a", "b"], "y", lambda n: classify.boosted(2, 2))):
+        assert classify.balanced_accuracy(classify.class_metrics(oof, "actual", "predicted")).head().balanced_accuracy > 0.95
+        assert classify.macro_auc(oof, "actual", "probability", 3).head().macro_auc > 0.99
+        assert all(abs(sum(r.probability) - 1) < 1e-9 for r in oof.collect())
+    weighed = classify.balanced_weights(d, "y")
+    assert classify.balanced_accuracy(classify.class_metrics(classify.out_of_bag(weighed, "id", ["a", "b"], "y", "weight", 3, 5), "actual", "predicted")).head().balanced_accuracy == 1.0
+
+
+def test_permutations_of_planted_and_random_labels(spark):
+    rng = random.Random(4)
+    d = planted(spark)
+    got = classify.permutation_test(d, "id", ["a", "b"], "y", reps=19, folds=3).head()
+    assert got.balanced_accuracy == 1.0 and got.p == 1 / 20 and got.ci_low == 1.0 and got.reps == 19
+    noise = spark.createDataFrame([(k, k % 2, rng.random(), rng.random()) for k in range(80)], "id long, y int, a double, b double")
+    assert classify.permutation_test(noise, "id", ["a", "b"], "y", reps=19, folds=4).head().p > 0.05
+
+
+def test_arms_use_the_same_rows(spark):
+    rows = [(k, k % 2, float(k % 2) + 0.01 * k, None if k % 5 == 0 else 1.0 * k) for k in range(60)]
+    d = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    found = {name: {r.id for r in some.collect()} for name, some, _ in classify.arms(d, {"a": ["a"], "b": ["b"]})}
+    assert found["a"] == found["b"] == found["both"] == {k for k in range(60) if k % 5} and found["a, all rows"] == set(range(60))
+    out = {r.arm: r for r in classify.compare_arms(d, "id", {"a": ["a"], "b": ["b"]}, "y", reps=3, folds=3).collect()}
+    assert len(out) == 4 and out["a"].branch == "A" and sum(r.leads for r in out.values()) == 1
+
+
+def test_boosted_bootstrap_is_the_same_as_by_rows(spark):
+    from sensorloom.operators import replicates
+
+    rng = random.Random(6)
+    rows = [(k, rng.randrange(3), rng.randrange(3)) for k in range(70)]
+    got = classify.bootstrap_interval(spark.createDataFrame(rows, "id long, a int, p int"), "id", "a", "p", 40).head()
+    each = []
+    for r in range(40):
+        w = replicates.poisson_draws()(np.array([k for k, _, _ in rows]), r)
+        each.append(np.mean([sum(x for x, (_, a, p) in zip(w, rows) if a == c == p) / sum(x for x, (_, a, _) in zip(w, rows) if a == c) for c in range(3)]))
+    assert abs(got.ci_low - np.quantile(each, 0.025)) < 1e-12 and abs(got.ci_high - np.quantile(each, 0.975)) < 1e-12
+
+
+def test_p_of_t_and_intervals(spark):
+    # Student's t: with one degree of freedom it is Cauchy's, with two it has a closed form.
+    assert abs(stats.student_p(1.0, 1) - 0.5) < 1e-6
+    for t in (0.3, 1.7, 4.0):
+        assert abs(stats.student_p(t, 2) - (1 - t / math.sqrt(2 + t * t))) < 1e-6
+    assert abs(stats.student_p(2.0, 10_000) - stats.normal_p(2.0)) < 1e-4
+    assert abs(stats.student_quantile(0.05, 10) - 2.228139) < 1e-4
+    d = spark.createDataFrame([(float(x), 2.0 * x + (-1) ** x) for x in range(20)], "x double, y double")
+    got = {r.term: r for r in stats.coefficients(d, "y", {"x": F.col("x")}).collect()}
+    assert got["x"].low < 2 < got["x"].high and got["x"].p < 1e-6 and abs(got["x"].t - got["x"].beta / got["x"].se) < 1e-9
+
+
+def test_running_sums_over_many_ranges(spark):
+    rng = random.Random(8)
+    rows = list({(rng.choice("ab"), rng.randrange(500)): rng.randrange(1, 9) for _ in range(400)}.items())
+    d = spark.createDataFrame([(b, v, n) for (b, v), n in rows], "b string, v int, n long")
+    for down in (False, True):
+        got = {(r.b, r.v): r.n_upto for r in stats.running_sums(d, ["b"], "v", ["n"], down).collect()}
+        assert got == {(b, v): sum(m for (c, w), m in rows if c == b and (w >= v if down else w <= v)) for (b, v), _ in rows}
 
 
 def test_class_never_predicted(spark):
