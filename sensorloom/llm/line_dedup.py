@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.text import byte_values, space_words
 from sensorloom.llm.token_table import DEN, NUM, K, may_be_similar, token_table
-from sensorloom.session import written
+from sensorloom.session import discard, written
 
 #: A list of lines up to this size (documents, lines) is sent to all tasks; a longer one is joined by a shuffle.
 BROADCAST = (200_000, 2_000_000)
@@ -135,7 +135,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         decided = written(new if decided is None else decided.unionByName(new).distinct(), "matched")
     near = reps.join(decided, "key", "left_semi").select("place.*")
     gone = named.where("place > first").select("place.*").unionByName(near)
-    return written(gone.groupBy("id", "print").agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
+    lists = written(gone.groupBy("id", "print").agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
+    discard(found, named, reps, texts, decided)
+    return lists
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None, **more: int) -> DataFrame:

@@ -18,6 +18,11 @@ def shingles(text):
 def test_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     columns = docs.columns
+    # The same words in other lines: line dedup leaves them, and one of both goes as a near copy.
+    words = [f"plain{k}" for k in range(60)]
+    planted = [(10**6, " ".join(words)), (10**6 + 1, "\n".join(" ".join(words[k : k + 6]) for k in range(0, 60, 6)))]
+    more = spark.createDataFrame(planted, "doc_id long, text string").withColumns({c: F.lit(None).cast(docs.schema[c].dataType) for c in columns if c not in ("doc_id", "text", "n_chars")})
+    docs = docs.unionByName(more.withColumn("n_chars", F.length("text")).select(*(F.col(c).cast(docs.schema[c].dataType) for c in columns)))
     seen = []
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, written(stage(spark, docs, sf_dir), "test")
