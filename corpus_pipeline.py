@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm import bpe, decontam, line_dedup, ngram_join, toxicity
 from sensorloom.llm.queries import tokenizer_file, toxicity_model
-from sensorloom.session import table, written
+from sensorloom.session import bounded_batches, table, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -23,27 +23,32 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.7 or more go; it learns from the labelled rows of the documents given."""
+    bounded_batches(spark)
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line go; every document stays."""
+    bounded_batches(spark)
     return _counted(line_dedup.drop_repeated_lines(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; documents without words stay."""
+    bounded_batches(spark)
     return ngram_join.keep_firsts(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside windows of benchmark items are cut out of the texts; every document stays."""
+    bounded_batches(spark)
     return _counted(decontam.remove_benchmark(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each text's ids and of what they decode to."""
+    bounded_batches(spark)
     return bpe.encode_documents(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
