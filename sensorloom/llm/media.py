@@ -110,7 +110,7 @@ def media_features(media: DataFrame, id_col: str = "doc_id", arrays: bool = True
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for stored in map(pa.Scalar.as_py, batch["media"]):
+            for stored in (x.as_py() for x in batch["media"]):
                 payload = from_wav(stored)
                 prints = fingerprint(payload)
                 said = f"{len(prints)}:{hashlib.sha256(prints.astype('<i8').tobytes()).hexdigest()[:32]}"
