@@ -159,7 +159,7 @@ s AS (SELECT run, label, count(*) AS n, sum(q) AS q, {_each('sum(x#) AS s#')} FR
 t AS (SELECT d.run, d.vec_id, d.label, s.label AS other, s.n, s.n * d.q + s.q - 2 * ({_each('x# * s#', ' + ')}) AS t FROM d JOIN s ON d.run = s.run),
 m AS (SELECT run, vec_id, max(t / greatest(n - 1, 1)) FILTER (label = other) AS a, max(n) FILTER (label = other) AS n, min(t / n) FILTER (label <> other) AS b FROM t GROUP BY 1, 2),
 r AS (SELECT run, avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM m GROUP BY 1)
-SELECT run, round(silhouette, 6) AS silhouette, round((SELECT count(*) FILTER (silhouette >= (SELECT silhouette FROM r WHERE run = -1)) / count(*) FROM r), 6) AS p FROM r""")
+SELECT run::INT AS run, round(silhouette, 6) AS silhouette, round((SELECT count(*) FILTER (silhouette >= (SELECT silhouette FROM r WHERE run = -1)) / count(*) FROM r), 6) AS p FROM r""")
 def label_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, dims = _whole(spark, sf_dir)
     return cluster.permutation_null(d, "vec_id", dims, "label", REPS)
@@ -382,7 +382,7 @@ def membership_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.recurrence(written(runs, "runs"), "pid", "flag")
 
 
-@query("""WITH a AS (SELECT count(*) AS n, corr(l_extendedprice, l_quantity) ** 2 AS r2, avg(l_discount) AS discount FROM lineitem), v AS (SELECT 'r2' AS what, r2 AS value, 0.85 AS published FROM a UNION ALL SELECT 'discount', discount, 0.05 FROM a UNION ALL SELECT 'share', 0.2, 0.5 FROM a)
+@query("""WITH a AS (SELECT count(*) AS n, corr(l_extendedprice, l_quantity) ** 2 AS r2, avg(l_discount) AS discount FROM lineitem), v AS (SELECT 'r2' AS what, r2 AS value, 0.85::DOUBLE AS published FROM a UNION ALL SELECT 'discount', discount, 0.05::DOUBLE FROM a UNION ALL SELECT 'share', 0.2::DOUBLE, 0.5::DOUBLE FROM a)
 SELECT what, round(value, 6) AS value, published, round(abs(value - published), 6) AS gap, abs(value - published) <= 0.01 AS within_tolerance FROM v""")
 def tolerance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values against published ones, reported and not enforced."""
