@@ -80,13 +80,13 @@ def sums_by_run(rows: DataFrame, step: Callable[[pa.RecordBatch], Iterator[tuple
                 total[run] = total[run] + values if run in total else values
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["run", "sums"])
 
-    def add(table: pa.Table) -> pa.Table:
-        whole = np.sum([np.array(v.values) for v in table["sums"]], axis=0)
-        return pa.table({"run": table["run"].slice(0, 1), "sums": pa.array([whole.tolist()], pa.list_(pa.float64()))})
-
-    schema = "run int, sums array<double>"
-    got = rows.mapInArrow(partial, schema).groupBy("run").applyInArrow(add, schema).toArrow()
-    return {r: np.array(v.values) for r, v in zip(got["run"].to_pylist(), got["sums"], strict=True)}
+    parts = rows.mapInArrow(partial, "run int, sums array<double>").select("run", F.posexplode("sums").alias("at", "v"))
+    got = parts.groupBy("run", "at").agg(F.sum("v").alias("v")).toArrow()
+    run, at, v = (got[c].to_numpy() for c in ("run", "at", "v"))
+    order = np.lexsort((at, run))
+    run, v = run[order], v[order]
+    names, first = np.unique(run, return_index=True)
+    return dict(zip(names.tolist(), np.split(v, first[1:]), strict=True)) if len(names) else {}
 
 
 class Fit(NamedTuple):
