@@ -47,6 +47,7 @@ def in_hours(hour: Column, first: int, last: int) -> Column:
     return (hour >= first) & (hour < last) if first <= last else (hour >= first) | (hour < last)
 
 
+# Fixed values in the next three: cut points of effect sizes, p values and HbA1c.
 def effect_band(effect: Column) -> Column:
     return F.when(effect >= 0.14, "large").when(effect >= 0.06, "medium").when(effect >= 0.01, "small").otherwise("negligible")
 

@@ -222,6 +222,7 @@ def compare_arms(df: DataFrame, key: str, sets: Mapping[str, Sequence[str]], lab
     return d.withColumns({"branch": branch(F.lit(first["ci_low"]), F.lit(first["ci_high"]), F.col("ci_low"), F.col("ci_high")), "beats_each": (F.col("arm") == "both") & F.lit(beats), "leads": F.col("arm") == lead})
 
 
+# The grades and their limits.
 def verdict(bacc: Column, low: Column, p: Column, min_recall: Column, baseline: Column) -> Column:
     """Grade of a test: above chance needs both its interval and its p; claims on individuals need every class recalled."""
     above = (low > baseline) & (p < 0.05)

@@ -47,6 +47,7 @@ def assign(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[flo
     return df.withColumn(name, nearest([F.col(c) for c in columns], centres))
 
 
+# The three names.
 def name_clusters(df: DataFrame, cluster: str, lows: str, highs: str) -> DataFrame:
     """(cluster, name): the greatest median of ``lows`` is Hypo-Prone, of the rest the greatest of ``highs`` Spiker, then
     Stable; ties go to the lower number."""
