@@ -249,8 +249,8 @@ def _send(buckets: int, k: int, num: int, den: int, lines: bool, width: int, ske
 
     def rows_of(base: int, head: pa.RecordBatch, sets: Sets) -> Iterator[tuple[int, int, int, bytes]]:
         n = head.num_rows
-        # Sets that only equal sets can be similar to send nothing: prints tell those.
-        sent = sets.new() & (sets.sizes > -(-sets.sizes * num // den))
+        # Sets that only equal sets can be similar to send nothing: prints tell those. A partner can have fewer or more tokens.
+        sent = sets.new() & ((sets.sizes > -(-sets.sizes * num // den)) | (sets.sizes * den // num > sets.sizes))
         mask = sets.distinct & sent[sets.owner]
         ranked = sets.order[mask[sets.order]]
         values = sets.tokens[ranked]

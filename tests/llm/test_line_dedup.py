@@ -92,6 +92,20 @@ def test_many_near_lines_and_a_long_text(spark):
     check(spark, rows)
 
 
+def test_all_small_sizes(spark):
+    rows, n = [], 0
+    for one in range(1, 11):
+        for two in range(1, 11):
+            for shared in range(1, min(one, two) + 1):
+                a = [f"q{n}x{k}" for k in range(one + 4)]
+                more = [f"q{n}y{k}" for k in range(two - shared)]
+                b = a[-(shared + 4) :] + more if n % 2 else more + a[: shared + 4]
+                rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b))]
+                n += 1
+    out = {r.doc_id: r.n_removed for r in check(spark, [*rows, (10**6, "a b c d e f g"), (10**6 + 1, "a b c d e f g h"), (10**6 + 2, "0 a b c d e f g")])}
+    assert out[10**6 + 1] == out[10**6 + 2] == 1
+
+
 def test_shortened_hashes_only_propose(spark, monkeypatch):
     # With one byte for each token nearly all lines look alike; words decide.
     real = token_table.token_table

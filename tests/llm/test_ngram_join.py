@@ -105,5 +105,27 @@ def test_common_passage_and_large_group(spark):
     run(spark, rows)
 
 
+def overlapping(most=12):
+    """Word lists in pairs: all sizes of two sets up to ``most`` with every number of common shingles, at either end."""
+    out, n = [], 0
+    for one in range(1, most + 1):
+        for two in range(1, most + 1):
+            for shared in range(1, min(one, two) + 1):
+                a = [f"q{n}x{k}" for k in range(one + 4)]
+                more = [f"q{n}y{k}" for k in range(two - shared)]
+                out.append((a, a[-(shared + 4) :] + more if n % 2 else more + a[: shared + 4]))
+                n += 1
+    return out
+
+
+def test_all_small_sizes(spark):
+    rows = [(2 * k + j, " ".join(w)) for k, pair in enumerate(overlapping()) for j, w in enumerate(pair)]
+    words = "a b c d e f g h".split()
+    rows += [(10_000, " ".join(words[:7])), (10_001, " ".join(words)), (10_010, "1 " + " ".join(words[1:])), (10_011, " ".join(words[1:]))]
+    out, _ = run(spark, rows)
+    linked = {r.doc_id: r.component_id for r in out}
+    assert linked[10_001] == 10_000 and linked[10_011] == linked[10_010]
+
+
 def test_empty(spark):
     assert run(spark, [])[0] == []

@@ -52,6 +52,13 @@ def test_stages(spark, sf_dir):
     assert docs.count() == before.count() and len(seen) == 5
 
 
+def test_superset_of_one_more_word(spark):
+    texts = ["a b c d e f g", "a b c d e f g h", "9 8 7 6 5 4 3 2", "8 7 6 5 4 3 2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2]
+    assert [r.text for r in corpus_pipeline.drop_lines(spark, docs, "").orderBy("doc_id").collect()] == [texts[0], "", texts[2], ""]
+
+
 def test_copies_of_one_row(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(1, text, "x"), (1, text, "y"), (2, text, "z"), (3, "", "u"), (3, "", "v"), (None, None, "w"), (None, text, "n")], "doc_id long, text string, source string")
