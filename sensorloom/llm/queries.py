@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, decontam, licenses, line_dedup, media, ngram_join, pii, sql, token_store, toxicity, url_lists
+from sensorloom.llm import bpe, decontam, licenses, line_dedup, media, ngram_join, pii, sql, substring, token_store, toxicity, url_lists
 from sensorloom.session import table, written
 
 
@@ -112,6 +112,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.digest(substring.find_repeats(docs, kept=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_media": op9_media,
     "op10_licenses": op10_licenses,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATION,
@@ -130,4 +136,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_lists": OP5_SQL,
     "op6_line_dedup": sql.LINE_DEDUP,
     "op7_pii": sql.PII,
+    "op12_substring_dedup": sql.SUBSTRING_DEDUP,
 }

@@ -91,3 +91,15 @@ z AS (SELECT *, kind || ':' || a || ':' || b AS said, least(1.0, CASE kind {' '.
 k AS (SELECT r, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ('email', 'ip', 'card', 'phone'))}, string_agg(said, ',' ORDER BY place, a) FILTER (kind <> 'iban') AS base, string_agg(said, ',' ORDER BY place, a) AS spans, sum(score) AS score FROM z GROUP BY 1)
 SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ('email', 'ip', 'card', 'phone'))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, round(coalesce(score, 0), 6) AS score_sum FROM d LEFT JOIN k USING (r)
 """
+
+SUBSTRING_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT r, k, md5(array_to_string(w[k:k + 34], ' ')) AS p FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)),
+often AS (SELECT p FROM starts GROUP BY p HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS k FROM starts SEMI JOIN often USING (p)),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS t FROM words ANTI JOIN gone USING (r, k) GROUP BY r),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)
+"""

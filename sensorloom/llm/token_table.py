@@ -71,20 +71,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of words that don't depend on each other: sums of value[byte] * base ** place over a word's
-    bytes, mixed, for two tables of values."""
+def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, salts: tuple[int, ...] = (1, 2), lower: bool = True) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of words, by default two that don't depend on each other: sums of value[byte] * base ** place over a
+    word's bytes, mixed, for a table of values each."""
     up, down = _slice_powers() if len(raw) <= SLICE_BYTES else _powers(len(raw))
     up, down, later, out = up[: len(raw)], down[begin], begin > 0, []
-    for salt in (1, 2):
-        # Upper case has the values of lower case.
-        sums = mix(np.arange(256, dtype=np.uint64), salt)[_LOW][raw]
+    for salt in salts:
+        # Upper case has the values of lower case, unless it counts.
+        values = mix(np.arange(256, dtype=np.uint64), salt)
+        sums = (values[_LOW] if lower else values)[raw]
         sums *= up
         np.cumsum(sums, out=sums)
         own = sums[end - 1]
         own[later] -= sums[begin[later] - 1]
         out.append(mix(own * down, salt))
-    return out[0], out[1]
+    return tuple(out)
 
 
 def line_starts(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
