@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, decontam, licenses, line_dedup, media, ngram_join, pii, sql, substring, token_store, toxicity, url_lists
+from sensorloom.llm import bpe, collocations, decontam, licenses, line_dedup, media, ngram_join, pii, sql, substring, token_store, toxicity, url_lists
 from sensorloom.session import table, written
 
 
@@ -117,6 +117,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.find_repeats(docs, kept=True))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -129,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": op9_media,
     "op10_licenses": op10_licenses,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATION,
@@ -137,4 +142,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": sql.LINE_DEDUP,
     "op7_pii": sql.PII,
     "op12_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op13_collocations": sql.COLLOCATIONS,
 }

@@ -105,7 +105,7 @@ def _send(tokens_of: TokensOf, buckets: int, width: int):
     return run
 
 
-def _count(least: int, width: int):
+def _count(least: int, width: int, first: bool):
     def run(table: pa.Table) -> pa.Table:
         tokens, counts, sizes = [], [], []
         for payload in table["payload"].to_pylist():
@@ -124,23 +124,29 @@ def _count(least: int, width: int):
         often = np.empty(len(token), bool)
         often[order] = np.repeat(enough, np.diff(np.r_[heads, len(token)]))
         bits = [np.packbits(x).tobytes() for x in np.split(often, np.cumsum(sizes)[:-1])]
-        return pa.Table.from_arrays([table["base"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(bits, pa.binary())], ["base", "bucket", "bits"])
+        columns = [table["base"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(bits, pa.binary())]
+        if first:
+            # Of equal tokens the one of the first row.
+            mark = np.zeros(len(token), bool)
+            mark[np.minimum.reduceat(order, heads)] = True
+            columns.append(pa.array([np.packbits(x).tobytes() for x in np.split(mark, np.cumsum(sizes)[:-1])], pa.binary()))
+        return pa.Table.from_arrays(columns, ["base", "bucket", "bits", "firsts"][: len(columns)])
 
     return run
 
 
-def frequent(slices: DataFrame, tokens_of: TokensOf, least: int, buckets: int, width: int = 8) -> DataFrame:
+def frequent(slices: DataFrame, tokens_of: TokensOf, least: int, buckets: int, width: int = 8, first: bool = False) -> DataFrame:
     """Rows (base, bucket, bits): which tokens of each slice come to ``least`` in all slices. ``width``: bytes of a token that
     are compared inside a bucket, beside the high bits that the bucket tells; with fewer than 8, more tokens may seem
-    frequent, but none that is frequent is lost."""
+    frequent, but none that is frequent is lost. With ``first`` also firsts: for each token, one slice of those that have it."""
     sent = slices.mapInArrow(_send(tokens_of, buckets, width), "bucket int, base bigint, payload binary")
-    return sent.groupBy("bucket").applyInArrow(_count(least, width), "base bigint, bucket int, bits binary")
+    return sent.groupBy("bucket").applyInArrow(_count(least, width, first), "base bigint, bucket int, bits binary" + ", firsts binary" * first)
 
 
-def bits_of(found: pa.Table, tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Whether each token of a slice is frequent, from what came back to it."""
+def bits_of(found: pa.Table, tokens: np.ndarray, buckets: int, column: str = "bits") -> np.ndarray:
+    """Whether each token of a slice is frequent (or first), from what came back to it."""
     bounds, often = _bounds(tokens, buckets), np.zeros(len(tokens), bool)
-    for j, bits in zip(found["bucket"].to_pylist(), found["bits"].to_pylist(), strict=True):
+    for j, bits in zip(found["bucket"].to_pylist(), found[column].to_pylist(), strict=True):
         a, b = bounds[j], bounds[j + 1]
         often[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
     return often
