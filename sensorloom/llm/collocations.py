@@ -239,7 +239,7 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     counts = _counted(slices, tries)
     spelled = tries.where("number >= 0").select("block", "number", "lang", "phrase", (F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1).alias("k"))
     if counts is None:
-        return spelled.select("lang", "phrase", "k", F.lit(0).cast("bigint").alias("f")), sizes
+        return spelled.select("lang", "phrase", "k", F.lit(None).cast("bigint").alias("f")), sizes
     phrases = written(spelled.join(counts, ["block", "number"]).where(f"k = 1 or f >= {least}").select("lang", "phrase", "k", "f"), "phrases")
     discard(found, slices)
     return phrases, sizes

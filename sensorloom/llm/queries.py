@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, collocations, decontam, licenses, line_dedup, media, ngram_join, pii, sql, substring, token_store, toxicity, url_lists
+from sensorloom.llm import alignment, bpe, collocations, decontam, licenses, line_dedup, media, ngram_join, pii, sql, substring, token_store, toxicity, url_lists
 from sensorloom.session import table, written
 
 
@@ -112,6 +112,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.digest(substring.find_repeats(docs, kept=True))
@@ -132,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_media": op9_media,
     "op10_licenses": op10_licenses,
+    "op11_alignment": op11_alignment,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_collocations": op13_collocations,
 }
