@@ -2,13 +2,14 @@
 
 ``rid`` breaks ties of one time, so every result is deterministic. Null readings are left out first, each with its own
 hour. The readings of a participant are one window partition, sorted by Spark with spilling; only the walls of peaks are
-found by Python, batch by batch.
+found by NumPy, on chunks of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,64 +185,119 @@ def hourly_offsets(df: DataFrame, hour: Column, columns: tuple[str, ...]) -> Dat
     return d.groupBy(PID, "hour").agg(*((F.avg(c) - F.first(f"_{c}")).alias(c) for c in columns))
 
 
-def _prominences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pid, a, b, g, prominence) of the tops among points (pid, a, b, g, top) that come by participant and time.
+#: Points of a chunk that a task takes at once, and points whose tables it holds together.
+CHUNK, HELD = 4_096, 200_000
 
-    A point waits until a higher one comes, which is its wall to the right; the one that waits before it is its wall to the
-    left. What waits is as many points as fall from the last maximum on, whatever the length of the series. Of a waiting
-    point are kept: participant, ends, height, whether a top, the least between its left wall and it, the least since.
-    """
-    waits: list[list] = []
-
-    def done(out: list[tuple]) -> float:
-        pid, a, b, g, top, left, since = waits.pop()
-        if top:
-            out.append((pid, a, b, g, g - max(left, min(since, g))))
-        low = min(g, left, since)
-        if waits:
-            waits[-1][6] = min(waits[-1][6], g, since)
-        return low
 
-    def packed(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], schema.field(c).type) for k, c in enumerate(("pid", "a", "b", G))] + [pa.array([float(r[4]) for r in out], pa.float64())], ["pid", "a", "b", G, "prominence"])
+def _left_walls(g: np.ndarray, at: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the points ``at``: the least value from each back to the next higher point before it, and that point's place.
 
-    schema = None
+    By doubling: maxima and minima of 1, 2, 4 ... points that end at each point; then all points step back at once, by the
+    longest stretch without a higher point. ``g`` begins with a point higher than all.
+    """
+    tops, lows = [g], [g]
+    while 1 << len(tops) <= longest:
+        step = 1 << len(tops) - 1
+        tops.append(np.r_[tops[-1][:step], np.maximum(tops[-1][step:], tops[-1][:-step])])
+        lows.append(np.r_[lows[-1][:step], np.minimum(lows[-1][step:], lows[-1][:-step])])
+    own, low, place = g[at], g[at], at - 1
+    for top, least, step in zip(tops[::-1], lows[::-1], (1 << k for k in range(len(tops) - 1, -1, -1)), strict=True):
+        for _ in range(2):
+            free = top[place] <= own
+            low = np.where(free, np.minimum(low, least[place]), low)
+            place = np.where(free, place - step, place)
+    return low, place
+
+
+def _walled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tops of chunks: the least value to each side inside the chunk, up to a higher point or the chunk's end, and whether the
+    next chunk of that side has to say more."""
     for batch in batches:
-        schema, out = batch.schema, []
-        for point in zip(*(batch[c].to_pylist() for c in ("pid", "a", "b", G, "top")), strict=True):
-            if waits and waits[-1][0] != point[0]:
-                while waits:
-                    done(out)
-            g = low = point[3]
-            while waits and waits[-1][3] < g:
-                low = min(low, done(out))
-            if waits and waits[-1][3] == g:
-                low = min(low, waits[-1][5], waits[-1][6])
-            waits.append([*point, low, g])
-        yield packed(out, schema)
-    if schema is not None:
-        out = []
-        while waits:
-            done(out)
-        yield packed(out, schema)
-
-
-def peaks(df: DataFrame, height: float = 140.0, prominence: float = 30.0) -> DataFrame:
-    """Peaks (pid, idx, g, prominence) of at least that height and prominence. A plateau is one peak, at its middle.
+        points = batch["points"]
+        sizes = np.diff(points.offsets.to_numpy())
+        ends = np.cumsum(sizes)
+        for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(ends // HELD)) + 1):
+            if not len(rows):
+                continue
+            part, n = points.slice(int(rows[0]), len(rows)), sizes[rows]
+            flat = part.flatten()
+            # A point higher than all between chunks, at the begin and at the end.
+            place = np.arange(len(flat)) + np.repeat(np.arange(len(n)), n) + 1
+            g = np.full(len(flat) + len(n) + 1, np.inf)
+            g[place] = flat.field(G).to_numpy(zero_copy_only=False)
+            top = np.flatnonzero(flat.field("top").to_numpy(zero_copy_only=False))
+            at, longest = place[top], int(n.max())
+            left, before = _left_walls(g, at, longest)
+            right, after = _left_walls(g[::-1], len(g) - 1 - at, longest)
+            own = np.repeat(rows, n)[top]
+            chunk, chunks = (batch[c].to_numpy()[own] for c in ("chunk", "chunks"))
+            open_left, open_right = np.isinf(g[before]) & (chunk > 0), np.isinf(g[::-1][after]) & (chunk + 1 < chunks)
+            take = pa.array(top)
+            yield pa.RecordBatch.from_arrays(
+                [batch[PID].take(pa.array(own)), pa.array(chunk), flat.field("a").take(take), flat.field("b").take(take), flat.field(G).take(take), pa.array(left), pa.array(right), pa.array(open_left), pa.array(open_right)],
+                [PID, "chunk", "a", "b", G, "left", "right", "open_left", "open_right"],
+            )
+
+
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least value between a chunk's edge and its point next to it that is higher than a top of another chunk."""
+    for batch in batches:
+        low = []
+        for side, top, values, so_far in zip(batch["side"].to_pylist(), batch[G].to_pylist(), batch["values"], batch["low"].to_pylist(), strict=True):
+            v = values.values.to_numpy(zero_copy_only=False)
+            higher = np.flatnonzero(v > top)
+            rest = v[higher[-1] + 1 :] if side == "left" else v[: higher[0]]
+            low.append(min(so_far, float(rest.min(initial=so_far))))
+        yield pa.RecordBatch.from_arrays([batch[PID], batch["a"], batch["side"], pa.array(low, pa.float64())], [PID, "a", "side", "low"])
 
-    The prominence is the height over the higher of the two lowest points between the peak and the next higher reading of
-    each side. Plateaus are joined to one point first; then one pass over each participant's points in order of time, batch
-    by batch, finds the walls of all of them.
-    """
+
+def _plateaus(df: DataFrame, height: float) -> DataFrame:
+    """(pid, run, a, b, g, top, points): plateaus as one point from reading a to b, whether a local maximum of that height."""
     w = by_time()
     d = df.where(F.col(G).isNotNull()).withColumn("idx", F.row_number().over(w) - 1)
     d = runs(d, F.col(G)).groupBy(PID, "run").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.min(G).alias(G))
     by_run = Window.partitionBy(PID).orderBy("run")
     top = (F.col(G) > F.lag(G).over(by_run)) & (F.col(G) > F.lead(G).over(by_run)) & (F.col(G) >= height)
-    points = d.select(PID, "a", "b", G, F.coalesce(top, F.lit(False)).alias("top")).repartition(PID).sortWithinPartitions(PID, "a")
-    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in (PID, "a", "b", G))
-    found = points.mapInArrow(_prominences, f"{kinds}, prominence double")
-    return found.where(F.col("prominence") >= prominence).select(PID, F.floor((F.col("a") + F.col("b")) / 2).cast("bigint").alias("idx"), G, "prominence")
+    return d.withColumns({"top": F.coalesce(top, F.lit(False)), "points": F.count("*").over(Window.partitionBy(PID))})
+
+
+def peaks(df: DataFrame, height: float = 140.0, prominence: float = 30.0, chunk: int = CHUNK) -> DataFrame:
+    """Peaks (pid, idx, g, prominence) of at least that height and prominence. A plateau is one peak, at its middle.
+
+    The prominence is the height over the higher of the two lowest points between the peak and the next higher reading of
+    each side. Plateaus are joined to one point first. Points go in chunks of ``chunk`` that follow each other, each to some
+    task, which finds the walls of all its tops at once. A top whose wall is in another chunk passes by the chunks whose
+    maximum isn't higher, taking their minimum, and asks the first one that is; so a long series is the work of many tasks.
+    Without readings there are no peaks; a series of one chunk asks nothing.
+    """
+    points = _plateaus(df, height)
+    number = F.floor((F.col("run") - 1) / chunk).cast("int")
+    packed = points.withColumns({"chunk": number, "chunks": F.ceil(F.col("points") / chunk).cast("int"), G: F.col(G).cast("double")})
+    packed = packed.groupBy(PID, "chunk", "chunks").agg(F.array_sort(F.collect_list(F.struct("run", G, "a", "b", "top"))).alias("points"))
+    kind = df.schema[PID].dataType.simpleString()
+    found = packed.mapInArrow(_walled, f"{PID} {kind}, chunk int, a {points.schema['a'].dataType.simpleString()}, b {points.schema['b'].dataType.simpleString()}, {G} double, `left` double, `right` double, open_left boolean, open_right boolean")
+    # What is too low by the wall of one side can't rise by another chunk.
+    found = found.where((F.col("open_left") | (F.col(G) - F.col("left") >= prominence)) & (F.col("open_right") | (F.col(G) - F.col("right") >= prominence)))
+    many = packed.where("chunks > 1").select(PID, "chunk", F.transform("points", lambda p: p[G]).alias("values"))
+    summaries = many.groupBy(PID).agg(F.array_sort(F.collect_list(F.struct("chunk", F.array_max("values").alias("hi"), F.array_min("values").alias("lo")))).alias("all"))
+    sides = [found.where(f"open_{s}").select(PID, "chunk", "a", G, F.lit(s).alias("side"), F.col(s).alias("low")) for s in ("left", "right")]
+    asked = sides[0].unionByName(sides[1]).join(summaries, PID)
+    left = F.col("side") == "left"
+    beyond = F.filter("all", lambda x: F.when(left, x["chunk"] < F.col("chunk")).otherwise(x["chunk"] > F.col("chunk")))
+    asked = asked.withColumn("beyond", beyond)
+    higher = F.transform(F.filter("beyond", lambda x: x["hi"] > F.col(G)), lambda x: x["chunk"])
+    asked = asked.withColumn("wall", F.when(left, F.array_max(higher)).otherwise(F.array_min(higher)))
+    passed = F.filter("beyond", lambda x: F.col("wall").isNull() | F.when(left, x["chunk"] > F.col("wall")).otherwise(x["chunk"] < F.col("wall")))
+    asked = asked.select(PID, "a", G, "side", "wall", F.least("low", F.array_min(F.transform(passed, lambda x: x["lo"]))).alias("low"))
+    met = asked.where("wall is not null").join(many.withColumnRenamed("chunk", "wall"), [PID, "wall"]).select(PID, "a", G, "side", "low", "values")
+    answers = met.mapInArrow(_inside, f"{PID} {kind}, a {points.schema['a'].dataType.simpleString()}, side string, low double").unionByName(asked.where("wall is null").select(PID, "a", "side", "low"))
+    lows = answers.groupBy(PID, "a").agg(*(F.min(F.when(F.col("side") == s, F.col("low"))).alias(f"far_{s}") for s in ("left", "right")))
+    closed = ~(F.col("open_left") | F.col("open_right"))
+    whole = found.where(closed).select(PID, "a", "b", G, "left", "right").unionByName(
+        found.where(~closed).join(lows, [PID, "a"]).select(PID, "a", "b", G, F.coalesce("far_left", "left").alias("left"), F.coalesce("far_right", "right").alias("right"))
+    )
+    size = F.col(G) - F.greatest("left", "right")
+    return whole.where(size >= prominence).select(PID, F.floor((F.col("a") + F.col("b")) / 2).cast("bigint").alias("idx"), F.col(G).cast(df.schema[G].dataType).alias(G), size.alias("prominence"))
 
 
 def peak_hours(df: DataFrame, hour: Column, local_day: Column, height: float = 140.0, prominence: float = 30.0) -> DataFrame:
