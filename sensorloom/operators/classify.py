@@ -159,15 +159,17 @@ def bootstrap_interval(df: DataFrame, key: str, actual: str, predicted: str, rep
     classes = [r[0] for r in df.select(actual).where(F.col(actual).isNotNull()).distinct().orderBy(actual).collect()]
     code = F.array_position(F.array(*map(F.lit, classes)), F.col(actual)) - 1
     rows = df.where(F.col(actual).isNotNull()).select(F.col(key).cast("bigint").alias("key"), code.cast("int").alias("c"), F.coalesce(F.col(actual) == F.col(predicted), F.lit(False)).alias("hit"))
+    rows = written(rows.hint("rebalance"), "hits")
     draws, k = replicates.poisson_draws(seed), len(classes)
 
-    def step(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    def step(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
         keys, c, hit = (batch[n].to_numpy(zero_copy_only=False) for n in ("key", "c", "hit"))
-        for r in range(reps):
-            w = draws(keys, r)
-            yield r, np.r_[np.bincount(c, w * hit, k), np.bincount(c, w, k)]
+        cell = c * 2 + hit
+        for r in mine:
+            missed, met = np.bincount(cell, draws(keys, r), 2 * k).reshape(k, 2).T
+            yield r, np.r_[met, met + missed]
 
-    each = [(r, float(np.mean(v[:k][v[k:] > 0] / v[k:][v[k:] > 0]))) for r, v in replicates.sums_by_run(rows, step).items() if v[k:].any()]
+    each = [(r, float(np.mean(v[:k][v[k:] > 0] / v[k:][v[k:] > 0]))) for r, v in replicates.sums_by_run(rows, range(reps), step).items() if v[k:].any()]
     out = df.sparkSession.createDataFrame(each, "b int, acc double")
     return out.agg(F.percentile("acc", F.lit(0.025)).alias("ci_low"), F.percentile("acc", F.lit(0.975)).alias("ci_high"), F.count("*").alias("reps"))
 
@@ -182,24 +184,45 @@ def permutation_test(df: DataFrame, key: str, columns: Sequence[str], label: str
     """One row: cross-validated balanced accuracy with its bootstrap interval, p by refits on permuted labels (one added
     to both), the grade, and whether the classes are large enough to judge. All refits share their passes.
 
-    Rows with a missing feature are left out. The baseline is one over the number of classes where none is given.
+    Rows with a missing feature are left out. The baseline is one over the number of classes where none is given. Features
+    are written once, whatever ``reps`` is; each run's labels and folds follow from hashes, and only its counts of labels
+    and predictions come back.
     """
     d = df.select(key, F.col(label).cast("int").alias("y"), *columns).dropna()
-    labels = replicates.permuted(d.select(key, "y"), key, "y", reps, seed).unionByName(d.select(F.lit(-1).alias("run"), key, "y"))
-    dealt = replicates.places(labels, key, ["run", "y"], portable_hash(F.col(key), F.col("run") + 1, seed + 1))
-    dealt = dealt.withColumn("fold", ((F.col("place") - 1) % folds).cast("int")).drop("place")
-    rows = replicates.points(dealt.join(d.drop("y"), key), key, columns, "run", ["y", "fold"])
-    classes = 1 + d.agg(F.max("y")).head()[0]
-    oof = written(replicates.out_of_fold_shares(rows, replicates.logistic_runs(rows, classes, folds, balanced)), "oof")
-    each = written(balanced_accuracy(class_metrics(oof, "actual", "predicted", ["run"]), ["run"]), "accuracy")
-    own = each.where("run = -1")
-    p = empirical_p(each.where("run >= 0"), "balanced_accuracy", own.head()["balanced_accuracy"]).head()
-    ci = bootstrap_interval(oof.where("run = -1"), "key", "actual", "predicted", 2_000, seed).head()
+    rows = replicates.points(d, key, columns, extra=["y"])
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    classes, runs = 1 + max(counts, default=0), range(-1, reps)
+    sizes = [counts.get(c, 0) for c in range(classes)]
+    labels = replicates.dealt_labels(rows, sizes, reps, seed)
+    cases = replicates.dealt_cases(labels, replicates.dealt_folds(rows, labels, runs, sizes, folds, seed + 1))
+    model = replicates.logistic_runs(rows, classes, folds, balanced, runs=runs, cases=cases)
+    cells = replicates.confusions(rows, model, runs, cases)
+    recalls = {r: np.diag(v)[v.sum(1) > 0] / v.sum(1)[v.sum(1) > 0] for r, v in cells.items()}
+    accuracy = {r: float(v.mean()) for r, v in recalls.items()}
+    reached = sum(accuracy[r] >= accuracy[-1] - 1e-12 for r in range(reps))
+    # The rows of the labels' own run, for its interval.
+    said = written(rows.mapInArrow(_said(model, cases), "key bigint, actual int, predicted int"), "oof")
+    ci = bootstrap_interval(said, "key", "actual", "predicted", 2_000, seed).head()
+    own = df.sparkSession.createDataFrame([(accuracy[-1], float(recalls[-1].min()), float(np.trace(cells[-1]) / cells[-1].sum()), min(n for n in sizes if n))], "balanced_accuracy double, min_recall double, accuracy double, smallest bigint")
     base = F.lit(1 / classes if baseline is None else baseline)
-    out = own.select("balanced_accuracy", "min_recall", "accuracy", "smallest", F.lit(ci["ci_low"]).alias("ci_low"), F.lit(ci["ci_high"]).alias("ci_high"), F.lit(p["p"]).alias("p"), F.lit(p["reps"]).alias("reps"))
+    out = own.select("balanced_accuracy", "min_recall", "accuracy", "smallest", F.lit(ci["ci_low"]).alias("ci_low"), F.lit(ci["ci_high"]).alias("ci_high"), F.lit((reached + 1) / (reps + 1)).alias("p"), F.lit(reps).cast("bigint").alias("reps"))
     return out.select("*", evaluable(F.col("smallest")).alias("status"), verdict(F.col("balanced_accuracy"), F.col("ci_low"), F.col("p"), F.col("min_recall"), base).alias("verdict"))
 
 
+def _said(model: replicates.Logistic, cases: replicates.Cases) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, actual, predicted) of run -1 out of fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, x, y, fold in cases(batch, [-1]):
+                said = np.empty(len(y), np.int32)
+                for f in np.unique(fold).tolist():
+                    said[fold == f] = model.shares(r, f, x[fold == f]).argmax(1)
+                yield pa.RecordBatch.from_arrays([batch["key"], pa.array(y.astype(np.int32)), pa.array(said)], ["key", "actual", "predicted"])
+
+    return run
+
+
 def arms(df: DataFrame, sets: Mapping[str, Sequence[str]]) -> list[tuple[str, DataFrame, list[str]]]:
     """(arm, rows, columns): each set of features and all together on the rows that are complete in all of them; and, as a
     control, the first set on every row that is complete in its own."""

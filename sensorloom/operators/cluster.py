@@ -171,13 +171,25 @@ def interval(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def permutation_null(df: DataFrame, key: str, columns: Sequence[str], cluster: str, reps: int, seed: int = 0) -> DataFrame:
     """(run, silhouette, p): the squared silhouette of the labels (run -1) and of labels dealt anew to all rows; p is the
-    share of runs, with the labels' own, that reach it."""
-    labels = replicates.permuted(df, key, cluster, reps, seed).unionByName(df.select(F.lit(-1).alias("run"), key, cluster))
-    d = labels.join(df.select(key, F.array(*(F.col(c).cast("double") for c in columns)).alias("x")), key)
-    each = squared_silhouettes(d, "x", cluster, ["run"])
-    own = each.where("run = -1").head()["silhouette"]
-    p = F.sum((F.col("silhouette") >= own).cast("int")).over(Window.partitionBy(F.lit(0))) / F.count("*").over(Window.partitionBy(F.lit(0)))
-    return each.select("run", "silhouette", p.alias("p"))
+    share of runs, with the labels' own, that reach it.
+
+    Features are written once, whatever the number of runs; each run's labels follow from a hash. Runs until it returns.
+    """
+    sizes = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n")).orderBy(cluster).collect()
+    code = F.coalesce(*(F.when(F.col(cluster) == r[cluster], F.lit(k)) for k, r in enumerate(sizes)), F.lit(None).cast("int")) if sizes else F.lit(None).cast("int")
+    rows = replicates.points(df.withColumn("y", code).where("y is not null"), key, columns, extra=["y"])
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    labels = replicates.dealt_labels(rows, [counts.get(k, 0) for k in range(len(sizes))], reps, seed)
+
+    def labelled(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        x, keys, y = replicates.matrix(batch["x"]), batch["key"].to_numpy(), batch["y"].to_numpy()
+        for r in mine:
+            yield r, x, labels.of(keys, y, r)
+
+    found = replicates.validity(rows, dict.fromkeys(range(-1, reps), len(sizes)), labelled)
+    each = {r: q.silhouette for r, q in found.items()}
+    p = sum(v >= each[-1] for v in each.values()) / len(each) if each else None
+    return df.sparkSession.createDataFrame([(r, v, p) for r, v in each.items()], "run int, silhouette double, p double")
 
 
 def squared_silhouettes(df: DataFrame, vector: str, cluster: str, by: Sequence[str]) -> DataFrame:
@@ -211,11 +223,15 @@ def _null_summary(spark, observed: float, null: dict[int, float], plus_one: bool
 
 def shuffle_null(df: DataFrame, key: str, columns: Sequence[str], k: int, reps: int = 100, starts: int = 5, seed: int = 0) -> DataFrame:
     """Silhouette of k-means against tables whose columns are shuffled one by one, each fitted anew (no one is added to the
-    share's numerator)."""
+    share's numerator).
+
+    Features are written once, in blocks of random rows; each run shuffles a block's columns by a seed in the task that
+    reads it. Values change rows inside a block, which is the whole table up to ``replicates.TASK_ROWS`` rows.
+    """
     own = replicates.points(df, key, columns)
     observed = replicates.quality(own, replicates.fit_runs(own, [0], k, starts, seed=seed))[0].silhouette
-    rows = replicates.points(replicates.shuffled_columns(df.dropna(subset=list(columns)), key, columns, reps, seed), key, columns, "run")
-    found = replicates.quality(rows, replicates.fit_runs(rows, range(reps), k, starts, seed=seed))
+    rows, deal = replicates.in_blocks(own), replicates.shuffled_columns(seed)
+    found = replicates.quality(rows, replicates.fit_runs(rows, range(reps), k, starts, seed=seed, deal=deal), deal)
     return _null_summary(df.sparkSession, observed, {r: q.silhouette for r, q in found.items()}, False)
 
 

@@ -3,29 +3,39 @@
 Resamples, permutations and nulls need a fit for each replicate. A job for each would read the rows as often; here every
 pass over the rows serves all runs. Tasks add up small arrays for each run (sizes and sums of clusters, gradients), Spark
 sums them by run, and only these sums come to the driver: runs times features, whatever the number of rows. What differs
-between runs is a weight from a hash of the row's key, a mask of features, a start, or a ``run`` column of the rows.
+between runs is a weight from a hash of the row's key, a mask of features, a start, labels or column values dealt anew, or
+a ``run`` column of the rows.
+
+Features are stored once. Labels of a run follow from the hash of a row's key and the run's cut points (``dealt_labels``:
+a few numbers a run), shuffled columns from a seed and the block of rows (``in_blocks``), so neither is ever written. A
+small table is scanned by several tasks at once, each for some of the runs.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.functions.columns import portable_hash
 from sensorloom.session import written
 
-#: Rows of a run that starting centres are picked from, and rows of a task.
+#: Rows of a run that starting centres are picked from, and rows of a block.
 SAMPLE, TASK_ROWS = 256, 50_000
 #: The distribution function of Poisson(1), in millionths and a little.
 POISSON = (367_879, 735_759, 919_699, 981_012, 996_340, 999_406)
 
 Weight = Callable[[np.ndarray, int], np.ndarray]
+#: Features of a run, from keys, features and the run.
+Deal = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+#: What one batch adds to the runs given.
+Step = Callable[[pa.RecordBatch, Sequence[int]], Iterator[tuple[int, np.ndarray]]]
 
 
 def hashes(keys: np.ndarray, rep: int, seed: int = 0) -> np.ndarray:
@@ -46,47 +56,238 @@ def halves(seed: int = 0, second: bool = False) -> Weight:
 
 
 def points(df: DataFrame, key: str, columns: Sequence[str], run: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
-    """A written table (key, x, extra and run if given) in tasks of about ``TASK_ROWS`` rows. Rows with a null are left out."""
+    """A written table (key, x, extra and run if given), dealt evenly. Rows with a null are left out."""
     x = F.array(*(F.col(c).cast("double") for c in columns))
     d = df.select(F.col(key).cast("bigint").alias("key"), x.alias("x"), *([F.col(run).cast("int").alias("run")] if run else []), *extra)
-    d = written(d.where(~F.exists("x", lambda v: v.isNull())), "points")
-    return d.coalesce(max(1, math.ceil(d.count() / TASK_ROWS)))
+    return written(d.where(~F.exists("x", lambda v: v.isNull())).hint("rebalance"), "points")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _parts(batch: pa.RecordBatch, runs: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(run, places of its rows in the batch): all rows for each run, or those that name it."""
+    """(run, places of its rows in the batch) of the runs given: all rows for each, or those that name it."""
     if "run" not in batch.schema.names:
         every = np.arange(batch.num_rows)
         yield from ((r, every) for r in runs)
         return
-    own = batch["run"].to_numpy()
+    own, runs = batch["run"].to_numpy(), set(runs)
     order = np.argsort(own, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
-        if len(part):
+        if len(part) and int(own[part[0]]) in runs:
             yield int(own[part[0]]), part
 
 
-def sums_by_run(rows: DataFrame, step: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
-    """The sum of ``step``'s arrays for each run: first inside tasks, then by run."""
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """A written row for each block of about ``TASK_ROWS`` random rows of ``points``, ordered by key."""
+    blocks = max(1, math.ceil(rows.count() / TASK_ROWS))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.select(["key", "x"]).sort_by("key").combine_chunks()
+        return pa.Table.from_arrays([pa.array([_ipc(table.to_batches()[0])], pa.binary())], ["packed"])
+
+    dealt = rows.select("key", "x", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"))
+    return written(dealt.groupBy("block").applyInArrow(pack, "packed binary"), "blocks")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows; of a table ``in_blocks``, its blocks."""
+    for batch in batches:
+        if "packed" not in batch.schema.names:
+            yield batch
+            continue
+        for k, packed in enumerate(batch["packed"]):
+            block = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+            yield block.append_column("_g", batch["_g"].slice(k, 1).take(pa.array(np.zeros(block.num_rows, np.int32)))) if "_g" in batch.schema.names else block
+
+
+def shuffled_columns(seed: int = 0) -> Deal:
+    """Each column's values are dealt anew to the rows of a block, by themselves; any arrangement can come up."""
+
+    def deal(keys: np.ndarray, x: np.ndarray, run: int) -> np.ndarray:
+        out = np.empty_like(x)
+        for j in range(x.shape[1]):
+            out[:, j] = x[np.random.default_rng([seed, run, j, int(keys[0]) % (1 << 32)]).permutation(len(x)), j]
+        return out
+
+    return deal
+
+
+class Spread(NamedTuple):
+    """Rows to scan for runs: ``groups`` scans side by side, each for the runs of its turn."""
+
+    rows: DataFrame
+    groups: int
+    alone: bool
+
+    @classmethod
+    def of(cls, rows: DataFrame, runs: int) -> Spread:
+        """As many scans as there are tasks free, where the rows are fewer tasks than that. Nothing is copied."""
+        parts = max(1, rows.rdd.getNumPartitions())
+        groups = max(1, min(runs, rows.sparkSession.sparkContext.defaultParallelism // parts))
+        scans = [rows.withColumn("_g", F.lit(g)) for g in range(groups)]
+        return cls(functools.reduce(DataFrame.union, scans), groups, parts == 1)
+
+    def sums(self, runs: Sequence[int], step: Step) -> dict[int, np.ndarray]:
+        """The sum of ``step``'s arrays for each run: inside tasks, then by run as whole arrays. Rows of a single task need
+        no second sum."""
+        turns = [list(runs)[g :: self.groups] for g in range(self.groups)]
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in _pieces(batches):
+                turn = batch["_g"].to_numpy()
+                for g in np.unique(turn).tolist():
+                    own = batch if (turn == g).all() else batch.filter(pa.array(turn == g))
+                    for run, values in step(own, turns[g]):
+                        total[run] = total[run] + values if run in total else values
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<f8").tobytes() for v in total.values()], pa.binary())], ["run", "sums"])
+
+        def whole(key: tuple, table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(v.as_buffer(), "<f8") for v in table["sums"])
+            return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["run", "sums"])
+
+        parts = self.rows.mapInArrow(partial, "run int, sums binary")
+        got = (parts if self.alone else parts.groupBy("run").applyInArrow(whole, "run int, sums binary")).toArrow()
+        return {run: np.frombuffer(v, "<f8") for run, v in sorted(zip(got["run"].to_pylist(), got["sums"].to_pylist(), strict=True))}
+
+
+def sums_by_run(rows: DataFrame, runs: Sequence[int], step: Step) -> dict[int, np.ndarray]:
+    """One pass of ``Spread.sums``."""
+    return Spread.of(rows, len(runs)).sums(runs, step)
+
+
+class Cuts(NamedTuple):
+    """Where the order of rows by (hash, key) is cut: hashes and keys of the last rows before each cut."""
+
+    hashes: np.ndarray
+    keys: np.ndarray
+
+    def part(self, h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """How many cuts each row lies behind."""
+        out = np.zeros(len(h), np.int64)
+        for at, key in zip(self.hashes.tolist(), self.keys.tolist(), strict=True):
+            out += (h > at) | ((h == at) & (keys > key))
+        return out
+
+
+#: A hash of keys, a group's number of keys and their labels, for a run.
+HashOf = Callable[[np.ndarray, int], np.ndarray]
+GroupOf = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+_ALL = np.iinfo(np.int64).max
+
+
+def order_cuts(rows: DataFrame, runs: Sequence[int], hash_of: HashOf, group_of: GroupOf, groups: int, wanted: dict[int, list[int]]) -> dict[tuple[int, int], Cuts]:
+    """Cuts of each run's order inside each group: after the places ``wanted`` of the group (from 1; 0: before all).
+
+    ``rows``: key and y. Three passes count hashes by ever smaller ranges, so a few counts a run come to the driver and no
+    rank is made of any row. Rows of one hash at a cut are ordered by key: those keys are looked for only where a cut falls
+    between them.
+    """
+    spread = Spread.of(rows.select("key", "y"), len(runs))
+    cells = [(g, p) for g in range(groups) for p in wanted.get(g, ())]
+    low = {r: np.zeros(len(cells), np.int64) for r in runs}
+    left = {r: np.array([p for _, p in cells], np.int64) for r in runs}
+    many = {r: np.zeros(len(cells), np.int64) for r in runs}
+    for wide in (10_000, 100, 1):
+
+        def step(batch: pa.RecordBatch, mine: Sequence[int], wide=wide, low=low) -> Iterator[tuple[int, np.ndarray]]:
+            keys, y = batch["key"].to_numpy(), batch["y"].to_numpy()
+            for r in mine:
+                h, g = hash_of(keys, r), group_of(keys, y, r)
+                if wide == 10_000:
+                    by = np.bincount(g * 101 + h // wide, minlength=groups * 101).reshape(groups, 101)
+                    yield r, np.stack([by[group] for group, _ in cells]).astype(float).ravel()
+                else:
+                    out = np.zeros((len(cells), 101))
+                    for k, (group, _) in enumerate(cells):
+                        at = (h - low[r][k]) // wide
+                        out[k, :100] = np.bincount(at[(g == group) & (at >= 0) & (at < 100)], minlength=100)
+                    yield r, out.ravel()
+
+        for r, v in spread.sums(runs, step).items():
+            counts = v.reshape(len(cells), -1).astype(np.int64)
+            ends = np.cumsum(counts, 1)
+            for k in range(len(cells)):
+                at = int(np.searchsorted(ends[k], max(left[r][k], 1)))
+                low[r][k] += at * wide
+                left[r][k] -= ends[k][at - 1] if at else 0
+                many[r][k] = counts[k][min(at, counts.shape[1] - 1)]
+    tied = {(r, k): int(left[r][k]) for r in runs for k in range(len(cells)) if 0 < left[r][k] < many[r][k]}
+    keys_at = _tied_keys(rows, low, tied, hash_of, group_of, cells) if tied else {}
+    out = {}
+    for r in runs:
+        for g in range(groups):
+            own = [k for k, (group, _) in enumerate(cells) if group == g]
+            hs = np.array([low[r][k] if cells[k][1] else -1 for k in own], np.int64)
+            out[r, g] = Cuts(hs, np.array([keys_at.get((r, k), _ALL) for k in own], np.int64))
+    return out
+
+
+def _tied_keys(rows: DataFrame, low: dict[int, np.ndarray], tied: dict[tuple[int, int], int], hash_of: HashOf, group_of: GroupOf, cells: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """The key at a place among the rows of one hash, for each cut that falls between them."""
+    by_run: dict[int, list[int]] = {}
+    for r, k in tied:
+        by_run.setdefault(r, []).append(k)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run, values in step(batch):
-                total[run] = total[run] + values if run in total else values
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["run", "sums"])
+            keys, y = batch["key"].to_numpy(), batch["y"].to_numpy()
+            for r, own in by_run.items():
+                h, g = hash_of(keys, r), group_of(keys, y, r)
+                for k in own:
+                    met = keys[(h == low[r][k]) & (g == cells[k][0])]
+                    if len(met):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), r, np.int32)), pa.array(np.full(len(met), k, np.int32)), pa.array(met), pa.array(np.full(len(met), tied[r, k]))], ["run", "k", "key", "place"])
+
+    met = rows.select("key", "y").mapInArrow(run, "run int, k int, key bigint, place bigint")
+    ranked = met.withColumn("at", F.row_number().over(Window.partitionBy("run", "k").orderBy("key"))).where("at = place")
+    return {(r["run"], r["k"]): r["key"] for r in ranked.toLocalIterator()}
+
+
+class Labels(NamedTuple):
+    """Labels of each run from keys and own labels (of run -1)."""
+
+    cuts: dict[tuple[int, int], Cuts]
+    seed: int
+
+    def of(self, keys: np.ndarray, y: np.ndarray, run: int) -> np.ndarray:
+        return y if run < 0 else self.cuts[run, 0].part(hashes(keys, run, self.seed), keys)
+
+
+class Folds(NamedTuple):
+    """Folds of each run: equal parts of the rows of each label, in the order of a hash."""
 
-    parts = rows.mapInArrow(partial, "run int, sums array<double>").select("run", F.posexplode("sums").alias("at", "v"))
-    got = parts.groupBy("run", "at").agg(F.sum("v").alias("v")).toArrow()
-    run, at, v = (got[c].to_numpy() for c in ("run", "at", "v"))
-    order = np.lexsort((at, run))
-    run, v = run[order], v[order]
-    names, first = np.unique(run, return_index=True)
-    return dict(zip(names.tolist(), np.split(v, first[1:]), strict=True)) if len(names) else {}
+    cuts: dict[tuple[int, int], Cuts]
+    seed: int
+
+    def of(self, keys: np.ndarray, label: np.ndarray, run: int) -> np.ndarray:
+        h, out = hashes(keys, run + 1, self.seed), np.zeros(len(keys), np.int64)
+        for c in np.unique(label).tolist():
+            own = label == c
+            out[own] = self.cuts[run, c].part(h[own], keys[own])
+        return out
+
+
+def dealt_labels(rows: DataFrame, sizes: Sequence[int], reps: int, seed: int = 0) -> Labels:
+    """Labels of runs 0 .. reps - 1 dealt anew to all rows, by the order of a hash: the first places get the least label, as
+    many as have it, and so on, so every arrangement can come up. ``rows``: key and y (codes of ``sizes`` rows each)."""
+    places = np.cumsum(sizes)[:-1].tolist()
+    return Labels(order_cuts(rows, range(reps), lambda keys, r: hashes(keys, r, seed), lambda keys, y, r: np.zeros(len(keys), np.int64), 1, {0: places}) if places else {(r, 0): Cuts(np.empty(0, np.int64), np.empty(0, np.int64)) for r in range(reps)}, seed)
+
+
+def dealt_folds(rows: DataFrame, labels: Labels, runs: Sequence[int], sizes: Sequence[int], folds: int, seed: int = 0) -> Folds:
+    """Folds of the runs, stratified by their labels."""
+    wanted = {c: [n * f // folds for f in range(1, folds)] for c, n in enumerate(sizes)}
+    return Folds(order_cuts(rows, runs, lambda keys, r: hashes(keys, r + 1, seed), labels.of, len(sizes), wanted), seed)
 
 
 class Fit(NamedTuple):
@@ -117,49 +318,54 @@ def _starts(sample: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.nd
     return np.array(picked)
 
 
-def fit_runs(rows: DataFrame, runs: Sequence[int], k: int | dict[int, int], starts: int = 1, weight: Weight | None = None, masks: dict[int, np.ndarray] | None = None, iterations: int = 50, seed: int = 0) -> dict[int, Fit]:
+def fit_runs(rows: DataFrame, runs: Sequence[int], k: int | dict[int, int], starts: int = 1, weight: Weight | None = None, masks: dict[int, np.ndarray] | None = None, iterations: int = 50, seed: int = 0, deal: Deal | None = None) -> dict[int, Fit]:
     """K-means of every run, the best of several starts by cost, all runs and starts in the same passes.
 
-    ``rows`` is what ``points`` makes; ``k`` may differ between runs. A cluster that gets no row keeps its centre.
+    ``rows`` is what ``points`` makes, or ``in_blocks`` with ``deal``; ``k`` may differ between runs. A cluster that gets no
+    row keeps its centre.
     """
     masks, number = masks or {}, k if isinstance(k, dict) else dict.fromkeys(runs, k)
-    d = rows.select("key", "x", *(["run"] if "run" in rows.columns else []))
-    if "run" in rows.columns:
+    d = rows if "packed" in rows.columns else rows.select("key", "x", *(["run"] if "run" in rows.columns else []))
+    if "packed" in rows.columns:
+        sample = d.mapInArrow(_pieces, "key bigint, x array<double>").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toArrow()
+    elif "run" in rows.columns:
         ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy("run").orderBy(F.xxhash64("key"), "key"))).where(F.col("_r") <= SAMPLE)
         sample = ranked.drop("_r").toArrow()
     else:
         sample = d.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toArrow()
     if not sample.num_rows:
         return {}
-    x, keys = _matrix(sample["x"].combine_chunks()), sample["key"].to_numpy()
+    x, keys = matrix(sample["x"].combine_chunks()), sample["key"].to_numpy()
     of = sample["run"].to_numpy() if "run" in rows.columns else None
     now: dict[tuple[int, int], np.ndarray] = {}
     for r in runs:
         own = np.ones(len(keys), bool) if of is None else of == r
         w = np.ones(own.sum()) if weight is None else weight(keys[own], r)
-        m = masks.get(r)
+        m, of_run = masks.get(r), x[own] if deal is None else deal(keys, x, r)
         for s in range(starts):
-            now[r, s] = _starts(x[own] * (1.0 if m is None else m), w if w.sum() > 0 else np.ones(len(w)), number[r], hash((seed, r, s)) % (1 << 32))
+            now[r, s] = _starts(of_run * (1.0 if m is None else m), w if w.sum() > 0 else np.ones(len(w)), number[r], hash((seed, r, s)) % (1 << 32))
     cost = dict.fromkeys(now, math.inf)
-    active = set(now)
+    active, spread = set(now), Spread.of(d, len(now))
     for _ in range(iterations):
-        by_run: dict[int, list[tuple[int, Fit]]] = {}
-        for r, s in sorted(active):
-            by_run.setdefault(r, []).append((s, Fit(now[r, s], 0.0, masks.get(r))))
+        fits = {r * starts + s: Fit(now[r, s], 0.0, masks.get(r)) for r, s in sorted(active)}
 
-        def step(batch: pa.RecordBatch, by_run=by_run) -> Iterator[tuple[int, np.ndarray]]:
-            whole, keys = _matrix(batch["x"]), batch["key"].to_numpy()
+        def step(batch: pa.RecordBatch, mine: Sequence[int], fits=fits) -> Iterator[tuple[int, np.ndarray]]:
+            whole, keys = matrix(batch["x"]), batch["key"].to_numpy()
+            by_run: dict[int, list[int]] = {}
+            for one in mine:
+                by_run.setdefault(one // starts, []).append(one)
             for r, at in _parts(batch, list(by_run)):
-                own = whole[at]
+                own = whole[at] if deal is None else deal(keys, whole, r)
                 w = np.ones(len(at)) if weight is None else weight(keys[at], r)
-                for s, fit in by_run.get(r, ()):
+                for one in by_run[r]:
+                    fit = fits[one]
                     far = fit.distances(own)
                     near = far.argmin(1)
                     held = np.zeros((len(fit.centres), len(at)))
                     held[near, np.arange(len(at))] = w
-                    yield r * starts + s, np.r_[(w * far[np.arange(len(at)), near]).sum(), held.sum(1), (held @ own).ravel()]
+                    yield one, np.r_[(w * far[np.arange(len(at)), near]).sum(), held.sum(1), (held @ own).ravel()]
 
-        for run, got in sums_by_run(d, step).items():
+        for run, got in spread.sums(list(fits), step).items():
             at = divmod(run, starts)
             n = len(now[at])
             sizes, sums = got[1 : n + 1], got[n + 1 :].reshape(n, -1)
@@ -180,7 +386,7 @@ def assigned(rows: DataFrame, fits: dict[int, Fit], extra: Sequence[str] = ()) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = _matrix(batch["x"])
+            whole = matrix(batch["x"])
             for r, at in _parts(batch, list(fits)):
                 if r in fits:
                     near = fits[r].distances(whole[at]).argmin(1)
@@ -198,25 +404,33 @@ class Quality(NamedTuple):
     sizes: list[int]
 
 
-def quality(rows: DataFrame, fits: dict[int, Fit]) -> dict[int, Quality]:
+def quality(rows: DataFrame, fits: dict[int, Fit], deal: Deal | None = None) -> dict[int, Quality]:
     """Validity of every run: sums by cluster in one pass, what is averaged over rows in another."""
 
-    def labelled(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        whole = _matrix(batch["x"])
-        for r, at in _parts(batch, list(fits)):
-            if r in fits:
-                x = whole[at] if fits[r].mask is None else whole[at][:, fits[r].mask]
-                near = fits[r].distances(whole[at]).argmin(1)
-                yield r, x, near, (near == np.arange(len(fits[r].centres))[:, None]).astype(float)
+    def labelled(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        whole = matrix(batch["x"])
+        for r, at in _parts(batch, mine):
+            x = whole[at] if deal is None else deal(batch["key"].to_numpy(), whole, r)
+            yield r, x if fits[r].mask is None else x[:, fits[r].mask], fits[r].distances(x).argmin(1)
 
-    def sums(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for r, x, _, held in labelled(batch):
+    return validity(rows, {r: len(f.centres) for r, f in fits.items()}, labelled)
+
+
+def validity(rows: DataFrame, sizes: dict[int, int], labelled: Callable[[pa.RecordBatch, Sequence[int]], Iterator[tuple[int, np.ndarray, np.ndarray]]]) -> dict[int, Quality]:
+    """The same for any labels below ``sizes``: (run, x, labels) of a batch."""
+    spread, runs = Spread.of(rows, len(sizes)), list(sizes)
+    hot = lambda near, k: (near == np.arange(k)[:, None]).astype(float)
+
+    def sums(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+        for r, x, near in labelled(batch, mine):
+            held = hot(near, sizes[r])
             yield r, np.c_[held.sum(1), held @ (x * x).sum(1), held @ x].ravel()
 
-    by = {r: v.reshape(len(fits[r].centres), -1) for r, v in sums_by_run(rows, sums).items()}
+    by = {r: v.reshape(sizes[r], -1) for r, v in spread.sums(runs, sums).items()}
 
-    def mean(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for r, x, near, held in labelled(batch):
+    def mean(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+        for r, x, near in labelled(batch, mine):
+            held = hot(near, sizes[r])
             n, q, s = by[r][:, 0], by[r][:, 1], by[r][:, 2:]
             total = n * (x * x).sum(1)[:, None] + q - 2 * x @ s.T
             at = np.arange(len(x))
@@ -229,7 +443,7 @@ def quality(rows: DataFrame, fits: dict[int, Fit]) -> dict[int, Quality]:
             yield r, np.r_[value.sum(), held @ np.sqrt(((x - middle[near]) ** 2).sum(1))]
 
     out = {}
-    for r, v in sums_by_run(rows, mean).items():
+    for r, v in spread.sums(runs, mean).items():
         there = by[r][:, 0] > 0
         n, q, s = by[r][there, 0], by[r][there, 1], by[r][there, 2:]
         middle, k, total = s / n[:, None], len(n), n.sum()
@@ -254,15 +468,16 @@ def rand_index(cells: np.ndarray) -> float:
 def agreement(rows: DataFrame, fits: dict[int, Fit], base: Fit, weight: Weight | None = None) -> dict[int, float]:
     """Adjusted Rand index of every run's clusters and those of ``base``, over the rows that have a weight."""
 
-    def cells(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        x, keys = _matrix(batch["x"]), batch["key"].to_numpy()
+    def cells(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+        x, keys = matrix(batch["x"]), batch["key"].to_numpy()
         first = base.distances(x).argmin(1)
-        for r, fit in fits.items():
+        for r in mine:
+            fit = fits[r]
             there = np.ones(len(x), bool) if weight is None else weight(keys, r) > 0
             k = len(fit.centres)
             yield r, np.bincount(first[there] * k + fit.distances(x[there]).argmin(1), minlength=len(base.centres) * k).astype(float)
 
-    return {r: rand_index(v.reshape(len(base.centres), -1)) for r, v in sums_by_run(rows, cells).items()}
+    return {r: rand_index(v.reshape(len(base.centres), -1)) for r, v in sums_by_run(rows, list(fits), cells).items()}
 
 
 def places(df: DataFrame, key: str, by: Sequence[str], order: Column) -> DataFrame:
@@ -277,28 +492,6 @@ def places(df: DataFrame, key: str, by: Sequence[str], order: Column) -> DataFra
     return d.join(before, [*by, "_b"]).withColumn("place", F.col("_s") + own).drop("_h", "_b", "_s")
 
 
-def permuted(df: DataFrame, key: str, label: str, reps: int, seed: int = 0) -> DataFrame:
-    """(run, key, label): the labels of each run dealt anew to all rows, by the order of a hash.
-
-    The first places of the order get the least label, as many as have it, and so on: every arrangement can come up.
-    """
-    sizes = df.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).collect()
-    ends = np.cumsum([r["n"] for r in sizes]).tolist()
-    d = df.select(key).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    d = places(d, key, ["run"], portable_hash(F.col(key), F.col("run"), seed))
-    own = F.coalesce(*(F.when(F.col("place") <= end, F.lit(r[label])) for end, r in zip(ends, sizes, strict=True)))
-    return d.select("run", key, own.cast(df.schema[label].dataType).alias(label))
-
-
-def shuffled_columns(df: DataFrame, key: str, columns: Sequence[str], reps: int, seed: int = 0) -> DataFrame:
-    """(run, key, columns): in each run the values of each column are dealt anew to all rows, by themselves."""
-    long = df.unpivot([key], list(columns), "column", "value").withColumn("_j", F.array_position(F.array(*map(F.lit, columns)), F.col("column")).cast("bigint"))
-    values = places(long, key, ["column"], portable_hash(F.col(key), F.col("_j"), seed + 1)).select("column", "place", "value")
-    rows = long.select(key, "column", "_j").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    to = places(rows, key, ["run", "column"], portable_hash(F.col(key), F.col("run") * 1_000 + F.col("_j"), seed)).select("run", key, "column", "place")
-    return to.join(values, ["column", "place"]).groupBy("run", key).pivot("column", list(columns)).agg(F.first("value"))
-
-
 class Logistic(NamedTuple):
     """Weights (classes x features, and intercept) and scales of each (run, fold)."""
 
@@ -314,26 +507,51 @@ class Logistic(NamedTuple):
         return p / p.sum(1, keepdims=True)
 
 
-def logistic_runs(rows: DataFrame, classes: int, folds: int, balanced: bool = False, ridge: float = 1.0, iterations: int = 25) -> Logistic:
+#: (run, features, labels, folds) of a batch for the runs given.
+Cases = Callable[[pa.RecordBatch, Sequence[int]], Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def own_cases(batch: pa.RecordBatch, runs: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows that name their run, label and fold."""
+    x, y, fold = matrix(batch["x"]), batch["y"].to_numpy(), batch["fold"].to_numpy()
+    for r, at in _parts(batch, runs):
+        yield r, x[at], y[at], fold[at]
+
+
+def dealt_cases(labels: Labels, folds: Folds) -> Cases:
+    """All rows in each run, with the labels and folds of the run."""
+
+    def of(batch: pa.RecordBatch, runs: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        x, keys, own = matrix(batch["x"]), batch["key"].to_numpy(), batch["y"].to_numpy()
+        for r in runs:
+            y = labels.of(keys, own, r)
+            yield r, x, y, folds.of(keys, y, r)
+
+    return of
+
+
+def logistic_runs(rows: DataFrame, classes: int, folds: int, balanced: bool = False, ridge: float = 1.0, iterations: int = 25, runs: Sequence[int] | None = None, cases: Cases | None = None) -> Logistic:
     """Multinomial logistic regression for every run and fold left out, by Newton steps in shared passes.
 
-    ``rows``: key, x, run, y (0 .. classes - 1) and fold. Features are standardised by the rows of the other folds; the loss
+    ``rows``: key, x, run, y (0 .. classes - 1) and fold; or key, x and y, where ``cases`` makes each run's labels and folds.
+    Features are standardised by the rows of the other folds; the loss
     is the sum over rows plus ``ridge`` / 2 times the squared weights without intercepts. ``balanced`` weighs a row by
     n / (classes * rows of its class). A step that doesn't lower the loss is halved.
     """
-    d = rows.select("x", "run", "y", "fold")
+    cases = cases or own_cases
+    runs = [r["run"] for r in rows.select("run").distinct().toLocalIterator()] if runs is None else list(runs)
+    spread = Spread.of(rows, len(runs))
 
-    def moments(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        x, y, fold = _matrix(batch["x"]), batch["y"].to_numpy(), batch["fold"].to_numpy()
-        for r, at in _parts(batch, ()):
+    def moments(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+        for r, x, y, fold in cases(batch, mine):
             out = np.zeros((folds, classes + 2 * x.shape[1]))
             for f in range(folds):
-                own = at[fold[at] == f]
+                own = fold == f
                 out[f] = np.r_[np.bincount(y[own], minlength=classes), x[own].sum(0), (x[own] ** 2).sum(0)]
             yield r, out.ravel()
 
     model, counts = Logistic({}, {}, {}, classes), {}
-    for r, v in sums_by_run(d, moments).items():
+    for r, v in spread.sums(runs, moments).items():
         own = v.reshape(folds, -1)
         for f in range(folds):
             rest = own.sum(0) - own[f]
@@ -350,11 +568,10 @@ def logistic_runs(rows: DataFrame, classes: int, folds: int, balanced: bool = Fa
         if not active:
             break
 
-        def step(batch: pa.RecordBatch, model=model, active=frozenset(active)) -> Iterator[tuple[int, np.ndarray]]:
-            x, y, fold = _matrix(batch["x"]), batch["y"].to_numpy(), batch["fold"].to_numpy()
-            for r, at in _parts(batch, ()):
+        def step(batch: pa.RecordBatch, mine: Sequence[int], model=model, active=frozenset(active)) -> Iterator[tuple[int, np.ndarray]]:
+            for r, x, y, fold in cases(batch, mine):
                 for f in range(folds):
-                    own = at[fold[at] != f]
+                    own = np.flatnonzero(fold != f)
                     if (r, f) in active:
                         p = model.shares(r, f, x[own])
                         z = np.c_[(x[own] - model.mean[r, f]) / model.spread[r, f], np.ones(len(own))]
@@ -364,12 +581,12 @@ def logistic_runs(rows: DataFrame, classes: int, folds: int, balanced: bool = Fa
                         slope = ((p - hot) * w[:, None]).T @ z
                         bend = np.empty((classes, width, classes, width))
                         for a in range(classes):
-                            for b in range(classes):
-                                bend[a, :, b] = z.T @ (z * (w * p[:, a] * ((a == b) - p[:, b]))[:, None])
+                            for b in range(a + 1):
+                                bend[a, :, b] = bend[b, :, a] = z.T @ (z * (w * p[:, a] * ((a == b) - p[:, b]))[:, None])
                         loss = -(w * np.log(np.maximum(p[np.arange(len(own)), y[own]], 1e-300))).sum()
                         yield r * folds + f, np.r_[loss, slope.ravel(), bend.ravel()]
 
-        for run, got in sums_by_run(d, step).items():
+        for run, got in spread.sums(sorted({r for r, _ in active}), step).items():
             at = divmod(run, folds)
             w = model.weights[at].ravel()
             loss = got[0] + ridge / 2 * (keep * w * w).sum()
@@ -389,15 +606,29 @@ def logistic_runs(rows: DataFrame, classes: int, folds: int, balanced: bool = Fa
     return model
 
 
+def confusions(rows: DataFrame, model: Logistic, runs: Sequence[int], cases: Cases) -> dict[int, np.ndarray]:
+    """Counts (actual, predicted) of every run out of fold; predictions are not kept."""
+    k = model.classes
+
+    def step(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+        for r, x, y, fold in cases(batch, mine):
+            said = np.empty(len(y), np.int64)
+            for f in np.unique(fold).tolist():
+                said[fold == f] = model.shares(r, f, x[fold == f]).argmax(1)
+            yield r, np.bincount(y * k + said, minlength=k * k).astype(float)
+
+    return {r: v.reshape(k, k) for r, v in sums_by_run(rows, runs, step).items()}
+
+
 def out_of_fold_shares(rows: DataFrame, model: Logistic, extra: Sequence[str] = ()) -> DataFrame:
     """(run, key, fold, actual, predicted, probability, extra): each row by the model of the other folds of its run."""
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, fold = _matrix(batch["x"]), batch["fold"].to_numpy()
+            x, fold = matrix(batch["x"]), batch["fold"].to_numpy()
             p = np.empty((len(x), model.classes))
-            for r, at in _parts(batch, ()):
+            for r, at in _parts(batch, np.unique(batch["run"].to_numpy()).tolist()):
                 for f in np.unique(fold[at]).tolist():
                     own = at[fold[at] == f]
                     p[own] = model.shares(r, f, x[own])

@@ -288,11 +288,11 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POISSON = "CASE WHEN h < 367879 THEN 0 WHEN h < 735759 THEN 1 WHEN h < 919699 THEN 2 WHEN h < 981012 THEN 3 WHEN h < 996340 THEN 4 WHEN h < 999406 THEN 5 ELSE 6 END"
 
 
-@query(f"""{_GUESS}, b AS (SELECT b, actual, predicted, {portable_hash_sql('doc_id', 'b')} AS h FROM g, (SELECT unnest(range(50)) AS b)), w AS (SELECT b, actual, predicted, {_POISSON} AS w FROM b),
+@query(f"""{_GUESS}, b AS (SELECT b, actual, predicted, {portable_hash_sql('doc_id', 'b')} AS h FROM g, (SELECT unnest(range(2000)) AS b)), w AS (SELECT b, actual, predicted, {_POISSON} AS w FROM b),
 r AS (SELECT b, actual, sum(CASE WHEN actual = predicted THEN w ELSE 0 END) / nullif(sum(w), 0) AS r FROM w GROUP BY 1, 2), e AS (SELECT b, avg(r) AS acc FROM r GROUP BY 1)
 SELECT round(quantile_cont(acc, 0.025), 6) AS ci_low, round(quantile_cont(acc, 0.975), 6) AS ci_high, count(*) AS reps FROM e""")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.bootstrap_interval(_guesses(spark, sf_dir), "doc_id", "actual", "predicted", 50)
+    return classify.bootstrap_interval(_guesses(spark, sf_dir), "doc_id", "actual", "predicted", 2_000)
 
 
 @query(f"{_GUESS}, h AS (SELECT rep, avg((CASE WHEN {portable_hash_sql('doc_id', 'rep', 5)} % 9 = 0 THEN 1 ELSE 0 END = actual)::INT) AS acc FROM g, (SELECT unnest(range(20)) AS rep) GROUP BY 1) SELECT round((count(*) FILTER (acc >= 0.78) + 1) / (count(*) + 1), 6) AS p, count(*) AS reps FROM h")

@@ -59,28 +59,82 @@ def test_quality_is_that_of_the_operators(spark):
         assert abs(replicates.agreement(p, {k: fit}, fits[3])[k] - ari) < 1e-12
 
 
-def test_permuted_labels_go_to_all_rows(spark):
-    n = 400
-    d = spark.createDataFrame([(k, k % 4) for k in range(n)], "id long, y int")
-    got = replicates.permuted(d, "id", "y", 30).collect()
-    assert len(got) == 30 * n
-    kept = [sum(r.y == r.id % 4 for r in got if r.run == run) for run in range(30)]
-    assert all(sorted(r.y for r in got if r.run == run) == sorted([0, 1, 2, 3] * 100) for run in range(3))
+def test_labels_are_dealt_by_the_order_of_a_hash(spark):
+    # Keys that agree modulo 1,000,003 have equal hashes in all runs: cuts fall between them by key.
+    keys = [*range(400), *(7 + 1_000_003 * j for j in range(1, 120))]
+    own = {k: i % 4 for i, k in enumerate(keys)}
+    d = spark.createDataFrame([(k, y) for k, y in own.items()], "key long, y int").repartition(3)
+    sizes = [sum(y == c for y in own.values()) for c in range(4)]
+    labels = replicates.dealt_labels(d, sizes, 30)
+    folds = replicates.dealt_folds(d, labels, range(-1, 30), sizes, 5, 1)
+    x, y = np.array(keys), np.array(list(own.values()))
+    kept = []
+    for run in range(30):
+        got = labels.of(x, y, run)
+        order = sorted(keys, key=lambda k: (int(replicates.hashes(np.array([k]), run)[0]), k))
+        want = dict(zip(order, np.repeat(range(4), sizes).tolist()))
+        assert got.tolist() == [want[k] for k in keys]
+        kept.append((got == y).mean())
     # By chance a quarter of the rows keeps its label; no run is near the whole.
-    assert abs(np.mean(kept) - n / 4) < 10 and max(kept) < n / 2
+    assert abs(np.mean(kept) - 0.25) < 0.03 and max(kept) < 0.5
+    for run in (-1, 0, 7):
+        label = labels.of(x, y, run)
+        fold = folds.of(x, label, run)
+        assert all(max(n) - min(n) <= 1 for n in (np.bincount(fold[label == c], minlength=5).tolist() for c in range(4)))
+    one = spark.createDataFrame([(1, 0)], "key long, y int")
+    assert replicates.dealt_labels(one, [1], 2).of(np.array([1]), np.array([0]), 1).tolist() == [0]
 
 
 def test_shuffled_columns_keep_values_and_lose_ties(spark):
     rng = random.Random(2)
     rows = [(k, [(v := rng.gauss(0, 1)), 2 * v, -v]) for k in range(200)]
-    d = table_of(spark, rows)
-    got = replicates.shuffled_columns(d, "id", ["x0", "x1", "x2"], 3).collect()
+    x = np.array([v for _, v in rows])
+    deal = replicates.shuffled_columns(3)
     for run in range(3):
-        own = [r for r in got if r.run == run]
-        for j in range(3):
-            assert sorted(r[f"x{j}"] for r in own) == sorted(x[j] for _, x in rows)
-            assert sum(r[f"x{j}"] == rows[r.id][1][j] for r in own) < 10
-        assert abs(np.corrcoef([r.x0 for r in own], [r.x1 for r in own])[0, 1]) < 0.3
+        own = deal(np.arange(200), x, run)
+        assert (own == deal(np.arange(200), x, run)).all()
+        assert (np.sort(own, 0) == np.sort(x, 0)).all() and ((own == x).sum(0) < 10).all()
+        assert abs(np.corrcoef(own[:, 0], own[:, 1])[0, 1]) < 0.3
+    blocks = replicates.in_blocks(replicates.points(table_of(spark, rows), "id", ["x0", "x1", "x2"]))
+    got = sorted((r.key, r.x) for r in blocks.mapInArrow(replicates._pieces, "key bigint, x array<double>").collect())
+    assert got == rows
+
+
+def test_features_are_written_once(spark, monkeypatch):
+    """What the nulls write doesn't grow with the number of runs."""
+    from sensorloom.operators import classify
+    from sensorloom.session import written
+
+    cols, sizes = ["x0", "x1", "x2"], []
+    d = table_of(spark, blobs(90)).withColumn("y", (F.col("id") % 3).cast("int"))
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(replicates, "written", counted)
+    monkeypatch.setattr(classify, "written", counted)
+    for null in (lambda n: cluster.permutation_null(d, "id", cols, "y", n), lambda n: cluster.shuffle_null(d, "id", cols, 3, n, 2), lambda n: classify.permutation_test(d, "id", cols, "y", n)):
+        seen = []
+        for reps in (2, 40):
+            sizes.clear()
+            assert null(reps).count() > 0
+            seen.append(list(sizes))
+        assert seen[0] == seen[1] and all(n <= 90 for _, n in seen[0])
+
+
+def test_permuted_refits_of_planted_and_of_no_classes(spark):
+    from sensorloom.operators import classify
+
+    cols = ["x0", "x1", "x2"]
+    d = table_of(spark, blobs(150)).withColumn("y", (F.col("id") % 3).cast("int"))
+    found = classify.permutation_test(d, "id", cols, "y", 200).head()
+    assert found.balanced_accuracy > 0.95 and found.p == 1 / 201 and found.reps == 200 and found.verdict == "separable: strong" and found.status == "ok"
+    rng = random.Random(11)
+    noise = table_of(spark, [(k, [rng.gauss(0, 1) for _ in range(3)]) for k in range(150)]).withColumn("y", (F.col("id") % 3).cast("int"))
+    found = classify.permutation_test(noise, "id", cols, "y", 200).head()
+    assert found.p > 0.05 and found.verdict == "at chance" and abs(found.balanced_accuracy - 1 / 3) < 0.15
 
 
 def test_nulls_of_blobs_and_of_noise(spark):
