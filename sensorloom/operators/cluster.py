@@ -18,7 +18,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators import cohort, replicates
+from sensorloom.operators import cohort, normal, replicates, stats
 
 BLOCK = 2_000
 
@@ -236,74 +236,125 @@ def shuffle_null(df: DataFrame, key: str, columns: Sequence[str], k: int, reps:
 
 
 def copula_null(df: DataFrame, key: str, columns: Sequence[str], k: int, draws: int = 200, starts: int = 5, seed: int = 0) -> DataFrame:
-    """Silhouette of k-means against draws with the columns' marginals and correlation but no clusters, each fitted anew."""
+    """Silhouette of k-means against draws with the columns' marginals and correlation but no clusters, each brought to
+    standard scores and fitted anew."""
     own = replicates.points(df, key, columns)
     observed = replicates.quality(own, replicates.fit_runs(own, [0], k, starts, seed=seed))[0].silhouette
     rows = replicates.points(gaussian_copula_draws(df, key, columns, draws, seed), "row", columns, "rep")
-    found = replicates.quality(rows, replicates.fit_runs(rows, range(draws), k, starts, seed=seed))
+    scaled = replicates.standard_scores(rows, range(draws))
+    found = replicates.quality(rows, replicates.fit_runs(rows, range(draws), k, starts, seed=seed, deal=scaled), scaled)
     return _null_summary(df.sparkSession, observed, {r: q.silhouette for r, q in found.items()}, True)
 
 
-def gaussian_copula_draws(df: DataFrame, key: str, columns: Sequence[str], draws: int, seed: int = 0) -> DataFrame:
-    """(rep, row, columns): draws with the columns' own marginals and the correlation of their normal scores.
+#: Draws of a task's chunk, values of a marginal's block, and looked-up values of a group.
+DRAWS, VALUES, LOOKUPS = 20_000, 65_536, 2_000_000
 
-    Normal scores come from places among each column's quantiles; the small covariance is factored on the driver; normals
-    are drawn by Spark and go back through the quantiles, joined by lines. Quantiles are all values where rows are
-    ``QUANTILES`` or fewer, else so many evenly spaced ones. Tasks map and sum on Arrow batches: as expressions, the query
-    over 64 columns did not end in 170 seconds on 500 rows here.
-    """
-    from statistics import NormalDist
-
-    n = df.count()
-    knots = max(2, min(n, QUANTILES))
-    steps = [k / (knots - 1) for k in range(knots)]
-    quantiles = df.agg(*(F.percentile(c, F.array(*map(F.lit, steps))).alias(c) for c in columns)).head()
-    normal = NormalDist()
-    points = [normal.inv_cdf((k + 0.5) / knots) for k in range(knots)]
 
-    width, names = len(columns), list(columns)
-    own = [list(quantiles[c]) for c in columns]
+def normal_covariance(df: DataFrame, key: str, columns: Sequence[str]) -> tuple[np.ndarray, list[int]]:
+    """Covariance of the columns' normal scores (of mid-rank less one half over the number of values), over rows with both,
+    and the number of values of each column. Ranks are running sums over distinct values; runs until it returns."""
+    width = len(columns)
+    long = _by_column(df.select(F.col(key).alias("key"), *columns), ["key"], columns)
+    sizes = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    n = [sizes.get(j, 0) for j in range(width)]
+    ranked = stats.mid_ranks(long, ["column"], "value")
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per task and pair of columns, over rows with both: count, sums, sums of squares, sum of products of scores."""
-        total = np.zeros((4, width, width))
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([_doubles(batch.column(k)) for k in range(width)], 1)
-            z = np.stack([_interpolated(x[:, k], own[k], points) for k in range(width)], 1)
-            there = ~np.isnan(z)
-            z, there = np.where(there, z, 0.0), there.astype(float)
-            total += np.stack([there.T @ there, z.T @ there, (z * z).T @ there, z.T @ z])
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
-
-    parts = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(sums, "s array<double>")
-    at = {r.pos: r.v for r in parts.select(F.posexplode("s").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).collect()}
-    count, one, square, product = np.array([at.get(k, 0.0) for k in range(4 * width * width)]).reshape(4, width, width)
-    spread = np.sqrt(np.maximum(count * square - one**2, 0.0))
-    both = spread * spread.T
-    m = np.where(both > 0, (count * product - one * one.T) / np.where(both > 0, both, 1.0), 0.0)
-    np.fill_diagonal(m, 1.0)
-    low = np.linalg.cholesky(m + 1e-9 * np.eye(width))
-    base = df.sparkSession.range(draws * n).select((F.col("id") / n).cast("bigint").alias("rep"), (F.col("id") % n).alias("row"), *(F.randn(seed + k).alias(f"e{k}") for k in range(width)))
-
-    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            z = np.stack([_doubles(batch.column(k + 2)) for k in range(width)], 1) @ low.T
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(_interpolated(z[:, k], points, own[k])) for k in range(width))], ["rep", "row", *names])
+            of = batch["column"].to_numpy()
+            z = normal.inverse((batch["rank"].to_numpy(zero_copy_only=False).astype(float) - 0.5) / np.array(n, float)[of])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["column"], pa.array(z)], ["key", "column", "z"])
+
+    kind = df.schema[key].dataType.simpleString()
+    scores = ranked.select("key", "column", "rank").mapInArrow(scored, f"key {kind}, column int, z double")
+    rows = scores.groupBy("key").agg(F.collect_list("column").alias("j"), F.collect_list("z").alias("z")).withColumn("_g", F.lit(0))
 
-    return base.mapInArrow(mixed, "rep bigint, row bigint, " + ", ".join(f"`{c}` double" for c in names))
+    def sums(batch: pa.RecordBatch, runs: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+        z, there = np.zeros((2, batch.num_rows, width))
+        of = np.repeat(np.arange(batch.num_rows), np.diff(batch["j"].offsets.to_numpy()))
+        j = batch["j"].flatten().to_numpy()
+        z[of, j], there[of, j] = batch["z"].flatten().to_numpy(), 1.0
+        yield 0, np.stack([there.T @ there, z.T @ there, z.T @ z]).ravel()
 
+    total = replicates.Spread(rows, 1, False).sums([0], sums).get(0, np.zeros(3 * width * width))
+    count, one, product = total.reshape(3, width, width)
+    return (product - one * one.T / np.maximum(count, 1)) / np.maximum(count - 1, 1), n
 
-QUANTILES = 1_024
 
+def _by_column(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(ids, column: its place among ``columns``, value) of what isn't null."""
+    each = F.array(*(F.struct(F.lit(j).alias("column"), F.col(c).cast("double").alias("value")) for j, c in enumerate(columns)))
+    return df.select(*ids, F.explode(each).alias("e")).select(*ids, "e.column", "e.value").where("value is not null")
 
-def _doubles(column: pa.Array) -> np.ndarray:
-    """Null as NaN."""
-    return column.to_numpy(zero_copy_only=False).astype(float)
 
+def marginal_blocks(df: DataFrame, columns: Sequence[str], size: int) -> DataFrame:
+    """(column, block, values): all values of each column in order, ``size`` of them and the one that follows to a block."""
+    long = _by_column(df, [], columns)
+    counted = stats.running_sums(long.groupBy("column", "value").agg(F.count("*").alias("ties")), ["column"], "value", ["ties"])
+    places = counted.select("column", "value", F.explode(F.sequence(F.col("ties_upto") - F.col("ties"), F.col("ties_upto") - 1)).alias("at"))
+    # The first value of a block is also the one behind the block before.
+    both = places.select("column", "value", "at", F.explode(F.array_distinct(F.array(F.floor(F.col("at") / size), F.floor((F.greatest(F.col("at"), F.lit(1)) - 1) / size)))).alias("block"))
+    return both.groupBy("column", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("values"))
 
-def _interpolated(x: np.ndarray, at: Sequence[float], to: Sequence[float]) -> np.ndarray:
-    """Linear interpolation between fixed points, constant outside."""
-    return np.where(x <= at[0], float(to[0]), np.interp(x, at, to))
+
+def drawn(seed: int, chunk: int, rows: int, low: np.ndarray) -> np.ndarray:
+    """Uniform marginals of a chunk's draws with the correlation that ``low`` factors."""
+    return normal.cdf(np.random.default_rng([seed, chunk]).standard_normal((rows, len(low))) @ low.T)
+
+
+def gaussian_copula_draws(df: DataFrame, key: str, columns: Sequence[str], draws: int, seed: int = 0, values: int = VALUES) -> DataFrame:
+    """(rep, row, columns): draws with the columns' own marginals and the covariance of their normal scores.
+
+    The small covariance is factored on the driver. A chunk of draws is made by a seed of its own; each uniform is a place
+    among all sorted values of its column, between two of which the value lies on a line. Places go packed to the block of
+    values that holds them and the values go back to their chunk: no column is whole in any task, and there are no knots.
+    """
+    spark, n, width, names = df.sparkSession, df.count(), len(columns), list(columns)
+    kinds = "rep bigint, row bigint, " + ", ".join(f"`{c}` double" for c in names)
+    if not n * draws:
+        return spark.createDataFrame([], kinds)
+    covariance, sizes = normal_covariance(df, key, columns)
+    low = np.linalg.cholesky(covariance + 1e-9 * np.eye(width))
+    blocks = marginal_blocks(df, columns, values)
+    salts = max(1, -(-draws * min(n, values) // LOOKUPS))
+    total, most = n * draws, np.maximum(np.array(sizes), 1) - 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in batch["id"].to_pylist():
+                at = drawn(seed, chunk, min(DRAWS, total - chunk * DRAWS), low) * most
+                out = []
+                for j in range(width):
+                    below = at[:, j].astype(np.int64)
+                    block = below // values
+                    order = np.argsort(block, kind="stable")
+                    for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                        out.append((j, int(block[part[0]]), chunk % salts, chunk, part.astype("<u4").tobytes(), (at[part, j] - block[part[0]] * values).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["column", "block", "salt", "chunk", "rows", "at"])
+
+    def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        known = held["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        found = []
+        for at in asked["at"]:
+            at = np.frombuffer(at.as_buffer(), "<f8")
+            below = at.astype(np.int64)
+            share = at - below
+            found.append((known[below] * (1 - share) + known[np.minimum(below + 1, len(known) - 1)] * share).tobytes())
+        return pa.Table.from_arrays([*(asked[c].combine_chunks() for c in ("chunk", "column", "rows")), pa.array(found, pa.binary())], ["chunk", "column", "rows", "values"])
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        chunk = key[0].as_py()
+        ids = np.arange(chunk * DRAWS, min(total, (chunk + 1) * DRAWS))
+        x = np.full((width, len(ids)), np.nan)
+        for j, rows, found in zip(table["column"].to_pylist(), table["rows"].to_pylist(), table["values"].to_pylist(), strict=True):
+            x[j, np.frombuffer(rows, "<u4")] = np.frombuffer(found, "<f8")
+        return pa.Table.from_arrays([pa.array(ids // n), pa.array(ids % n), *(pa.array(v, from_pandas=True) for v in x)], ["rep", "row", *names])
+
+    asked = spark.range(0, -(-total // DRAWS)).mapInArrow(ask, "column int, block bigint, salt bigint, chunk bigint, rows binary, at binary")
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    by = ["column", "block", "salt"]
+    found = asked.groupBy(*by).cogroup(salted.groupBy(*by)).applyInArrow(answer, "chunk bigint, column int, rows binary, values binary")
+    return found.groupBy("chunk").applyInArrow(whole, kinds)
 
 
 def principal_components(df: DataFrame, key: str, columns: Sequence[str], anchor: str, k: int = 2) -> tuple[DataFrame, DataFrame]:

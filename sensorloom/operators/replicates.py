@@ -121,6 +121,22 @@ def shuffled_columns(seed: int = 0) -> Deal:
     return deal
 
 
+def standard_scores(rows: DataFrame, runs: Sequence[int]) -> Deal:
+    """Features of each run less their mean, over their population deviation (0 where they are all alike)."""
+
+    def step(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+        x = matrix(batch["x"])
+        for r, at in _parts(batch, mine):
+            yield r, np.r_[len(at), x[at].sum(0), (x[at] ** 2).sum(0)]
+
+    scale = {}
+    for r, v in sums_by_run(rows, runs, step).items():
+        mean, square = np.split(v[1:] / max(v[0], 1.0), 2)
+        var = square - mean**2
+        scale[r] = mean, np.where(var > 1e-12, np.sqrt(np.maximum(var, 0.0)), 1.0)
+    return lambda keys, x, r: (x - scale[r][0]) / scale[r][1]
+
+
 class Spread(NamedTuple):
     """Rows to scan for runs: ``groups`` scans side by side, each for the runs of its turn."""
 
@@ -341,7 +357,7 @@ def fit_runs(rows: DataFrame, runs: Sequence[int], k: int | dict[int, int], star
     for r in runs:
         own = np.ones(len(keys), bool) if of is None else of == r
         w = np.ones(own.sum()) if weight is None else weight(keys[own], r)
-        m, of_run = masks.get(r), x[own] if deal is None else deal(keys, x, r)
+        m, of_run = masks.get(r), x[own] if deal is None else deal(keys[own], x[own], r)
         for s in range(starts):
             now[r, s] = _starts(of_run * (1.0 if m is None else m), w if w.sum() > 0 else np.ones(len(w)), number[r], hash((seed, r, s)) % (1 << 32))
     cost = dict.fromkeys(now, math.inf)
@@ -355,7 +371,7 @@ def fit_runs(rows: DataFrame, runs: Sequence[int], k: int | dict[int, int], star
             for one in mine:
                 by_run.setdefault(one // starts, []).append(one)
             for r, at in _parts(batch, list(by_run)):
-                own = whole[at] if deal is None else deal(keys, whole, r)
+                own = whole[at] if deal is None else deal(keys[at], whole[at], r)
                 w = np.ones(len(at)) if weight is None else weight(keys[at], r)
                 for one in by_run[r]:
                     fit = fits[one]
@@ -410,7 +426,7 @@ def quality(rows: DataFrame, fits: dict[int, Fit], deal: Deal | None = None) ->
     def labelled(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         whole = matrix(batch["x"])
         for r, at in _parts(batch, mine):
-            x = whole[at] if deal is None else deal(batch["key"].to_numpy(), whole, r)
+            x = whole[at] if deal is None else deal(batch["key"].to_numpy()[at], whole[at], r)
             yield r, x if fits[r].mask is None else x[:, fits[r].mask], fits[r].distances(x).argmin(1)
 
     return validity(rows, {r: len(f.centres) for r, f in fits.items()}, labelled)

@@ -147,6 +147,42 @@ def test_nulls_of_blobs_and_of_noise(spark):
     assert cluster.copula_null(table_of(spark, blobs(90)), "id", cols, 3, 19, 3).head().p < 0.2
 
 
+def test_normal_distribution():
+    from statistics import NormalDist
+
+    from sensorloom.operators import normal
+
+    x = np.linspace(-7, 7, 1001)
+    assert np.abs(normal.cdf(x) - [NormalDist().cdf(v) for v in x]).max() < 1e-13
+    p = np.r_[1e-9, 1e-5, np.linspace(0.001, 0.999, 999), 1 - 1e-5, 1 - 1e-9]
+    assert np.abs(normal.inverse(p) - [NormalDist().inv_cdf(v) for v in p]).max() < 1e-6
+
+
+def test_copula_draws_lie_on_the_whole_marginals(spark):
+    """Every drawn value is the interpolation between two of all sorted values, whatever the size of a block."""
+    rng = np.random.default_rng(4)
+    n, cols = 5_000, ["x0", "x1", "x2"]
+    x = rng.gamma(2.0, 1.0, (n, 3))
+    x[:, 1] = x[:, 0] + rng.normal(size=n)
+    x[:, 2] = np.round(x[:, 2])  # many ties
+    d = table_of(spark, list(enumerate(x.tolist())))
+    order = lambda v: (np.searchsorted(np.sort(v), v, "left") + np.searchsorted(np.sort(v), v, "right") + 1) / 2
+    from sensorloom.operators import normal
+
+    want = np.cov(np.stack([normal.inverse((order(x[:, j]) - 0.5) / n) for j in range(3)]))
+    covariance, sizes = cluster.normal_covariance(d, "id", cols)
+    assert np.abs(covariance - want).max() < 1e-9 and sizes == [n] * 3
+    low = np.linalg.cholesky(covariance + 1e-9 * np.eye(3))
+    for values in (cluster.VALUES, 700):
+        got = cluster.gaussian_copula_draws(d, "id", cols, 6, 9, values).toPandas().sort_values(["rep", "row"])
+        assert len(got) == 6 * n and not got.isnull().any().any()
+        u = np.concatenate([cluster.drawn(9, k, min(cluster.DRAWS, 6 * n - k * cluster.DRAWS), low) for k in range(2)])
+        for j, c in enumerate(cols):
+            at = u[:, j] * (n - 1)
+            assert np.abs(got[c].to_numpy() - np.interp(at, np.arange(n), np.sort(x[:, j]))).max() < 1e-9
+    assert cluster.gaussian_copula_draws(d.limit(0), "id", cols, 3).count() == 0
+
+
 def test_logistic_has_no_slope_left(spark):
     rng = np.random.default_rng(5)
     n = 150
