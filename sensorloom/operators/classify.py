@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import portable_hash
-from sensorloom.operators import replicates, stats
-from sensorloom.operators.cluster import vectors
+from sensorloom.operators import replicates, stats, trees
 from sensorloom.session import written
 
 
@@ -42,16 +37,6 @@ def fold_scores(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("r
     return d.select(*(out.get(c, F.col(c)) for c in df.columns))
 
 
-def boosted(min_leaf: int = 2, iterations: int = 20) -> Estimator:
-    """Gradient-boosted trees, one against the rest."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=iterations, maxDepth=3, minInstancesPerNode=min_leaf, seed=0))
-
-
-def forest(trees: int = 100, weight: str | None = None, seed: int = 0) -> Estimator:
-    more = {"weightCol": weight} if weight else {}
-    return RandomForestClassifier(numTrees=trees, seed=seed, **more)
-
-
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """n / (k * n_c) for each row of class c."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n")).collect()
@@ -70,40 +55,23 @@ def logistic_out_of_fold(df: DataFrame, key: str, columns: Sequence[str], label:
     return out.select(F.col("key").alias(key), F.col("run").alias("rep"), "fold", "actual", "predicted", "probability")
 
 
-def _shares(model: DataFrame) -> Column:
-    """Class shares of a fitted model's rows; of one-against-rest trees, the logistic of each margin, over their sum."""
-    if "probability" in model.columns:
-        return vector_to_array("probability")
-    each = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-2 * v)))
-    return F.transform(each, lambda v: v / F.aggregate(each, F.lit(0.0), lambda a, x: a + x))
-
-
-def out_of_fold(df: DataFrame, key: str, columns: Sequence[str], label: str, make: Callable[[int], Estimator], keep: Sequence[str] = ()) -> DataFrame:
-    """Pooled predictions of rows by models of the other folds; ``df`` has rep and fold. Labels are codes 0..k-1."""
-    d = written(vectors(fold_scores(df, columns), columns).withColumn("label", F.col(label).cast("double")), "folds")
-    sizes = {(r["rep"], r["fold"]): r["count"] for r in d.groupBy("rep", "fold").count().collect()}
-    out = []
-    for rep, fold in sorted(sizes):
-        train = d.where((F.col("rep") == rep) & (F.col("fold") != fold))
-        model = make(sum(n for (r, f), n in sizes.items() if r == rep and f != fold)).fit(train)
-        got = model.transform(d.where((F.col("rep") == rep) & (F.col("fold") == fold)))
-        out.append(got.select(key, "rep", "fold", F.col(label).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"), _shares(got).alias("probability"), *keep))
-    return functools.reduce(DataFrame.unionByName, out)
-
-
-def out_of_bag(df: DataFrame, key: str, columns: Sequence[str], label: str, weight: str, bags: int = 5, trees: int = 50, seed: int = 0) -> DataFrame:
-    """(key, actual, predicted): each row by the forests of the bags it isn't in, by their mean shares. A bag draws rows with
-    replacement (Poisson) and grows a forest; trees of one bag share its rows, so a row is out of whole forests, which
-    Spark ML's own trees don't tell."""
-    d = written(vectors(df, columns).withColumn("label", F.col(label).cast("double")), "bags")
-    votes = None
-    for b in range(bags):
-        times = poisson_weight(F.col(key), F.lit(b), seed)
-        model = forest(trees, "_w", seed + b).fit(d.withColumn("_w", F.col(weight) * times).where(times > 0))
-        got = model.transform(d.where(times == 0)).select(key, F.col(label).cast("int").alias("actual"), F.posexplode(vector_to_array("probability")).alias("c", "p"))
-        votes = got if votes is None else votes.unionByName(got)
-    mean = votes.groupBy(key, "actual", "c").agg(F.avg("p").alias("p"))
-    return mean.groupBy(key, "actual").agg(F.max_by("c", F.struct("p", -F.col("c"))).cast("int").alias("predicted"))
+def forest_out_of_bag(df: DataFrame, key: str, columns: Sequence[str], label: str, n_trees: int = 500, depth: int = trees.DEPTH, balanced: bool = True, seed: int = 0) -> DataFrame:
+    """(key, actual, predicted, probability, votes): each row by the trees of a forest that didn't draw it. Rows with a
+    missing feature are left out; a row that all trees drew has no prediction."""
+    rows, classes = trees.binned(df, key, columns, label)
+    forest = trees.grow_forest(rows, classes, n_trees, balanced, depth, seed=seed)
+    return trees.forest_votes(rows, forest, classes).withColumnRenamed("key", key)
+
+
+def boosted_out_of_fold(df: DataFrame, key: str, columns: Sequence[str], label: str, leaves: Sequence[int], folds: int = 5, repeats: int = 1, iterations: int = 20, seed: int = 0) -> DataFrame:
+    """(rep, fold, leaf, key, actual, predicted, probability) by boosted trees of the other folds, for each leaf size; all
+    repeats, folds and leaf sizes share their passes."""
+    rows, classes = trees.binned(df, key, columns, label)
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    own = replicates.Labels({}, seed)
+    dealt = replicates.dealt_folds(rows, own, [-1 - rep for rep in range(repeats)], [counts.get(c, 0) for c in range(classes)], folds, seed)
+    model = trees.boost(rows, classes, dealt, repeats, folds, leaves, iterations)
+    return trees.boosted_shares(rows, model, dealt).withColumnRenamed("key", key)
 
 
 def class_metrics(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:

@@ -152,9 +152,10 @@ class Spread(NamedTuple):
         scans = [rows.withColumn("_g", F.lit(g)) for g in range(groups)]
         return cls(functools.reduce(DataFrame.union, scans), groups, parts == 1)
 
-    def sums(self, runs: Sequence[int], step: Step) -> dict[int, np.ndarray]:
-        """The sum of ``step``'s arrays for each run: inside tasks, then by run as whole arrays. Rows of a single task need
-        no second sum."""
+    def sums(self, runs: Sequence[int], step: Step, finish: Callable[[int, np.ndarray], np.ndarray] | None = None) -> dict[int, np.ndarray]:
+        """The sum of ``step``'s arrays for each run, or what ``finish`` makes of it: inside tasks, then by run as whole
+        arrays. Rows of a single task need no second sum."""
+        alone = self.alone
         turns = [list(runs)[g :: self.groups] for g in range(self.groups)]
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,14 +166,17 @@ class Spread(NamedTuple):
                     own = batch if (turn == g).all() else batch.filter(pa.array(turn == g))
                     for run, values in step(own, turns[g]):
                         total[run] = total[run] + values if run in total else values
+            if alone and finish:
+                total = {run: finish(run, v) for run, v in total.items()}
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<f8").tobytes() for v in total.values()], pa.binary())], ["run", "sums"])
 
         def whole(key: tuple, table: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(v.as_buffer(), "<f8") for v in table["sums"])
+            total = finish(key[0].as_py(), total) if finish else total
             return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["run", "sums"])
 
         parts = self.rows.mapInArrow(partial, "run int, sums binary")
-        got = (parts if self.alone else parts.groupBy("run").applyInArrow(whole, "run int, sums binary")).toArrow()
+        got = (parts if alone else parts.groupBy("run").applyInArrow(whole, "run int, sums binary")).toArrow()
         return {run: np.frombuffer(v, "<f8") for run, v in sorted(zip(got["run"].to_pylist(), got["sums"].to_pylist(), strict=True))}
 
 

@@ -50,6 +50,36 @@ def mid_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "rank")
     return df.join(value_ranks(df, by, value).select(*by, value, F.col("rank").alias(name)), [*by, value])
 
 
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of each column, linear between two values: the same as ``percentile``'s, null for a column of nulls.
+
+    Places are running sums over distinct values, so no task holds a column; two values for each share come to the driver.
+    """
+    found = group_quantiles(df.withColumn("_all", F.lit(0)), "_all", columns, shares)
+    got = {(r["variable"], r["k"]): r["value"] for r in found.collect()}
+    return {c: [got.get((c, k)) for k in range(len(shares))] for c in columns}
+
+
+def group_quantiles(df: DataFrame, by: str, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(by, variable, n, k, value): the quantile of each share (k: its place among them) of each column in each group, by
+    selection of ranks. Runs until it returns, as ``running_sums`` writes its ranges."""
+    long = unpivot(df.select(by, *(F.col(c).cast("double").alias(c) for c in columns)), [by], columns)
+    placed = running_sums(long.groupBy(by, "variable", "value").agg(F.count("*").alias("ties")), [by, "variable"], "value", ["ties"])
+    total = placed.groupBy(by, "variable").agg(F.max("ties_upto").alias("n"))
+    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(float(q)) * (F.col("n") - 1)).alias("at")) for k, q in enumerate(shares))))
+    wanted = total.select(by, "variable", "n", asked.alias("w")).select(by, "variable", "n", "w.k", "w.at")
+    # Groups, columns and shares are few: all their places as one list for each group and column.
+    lists = wanted.groupBy(by, "variable", "n").agg(F.collect_list(F.struct("k", "at")).alias("all"))
+    inside = lambda place: (place >= F.col("ties_upto") - F.col("ties")) & (place < F.col("ties_upto"))
+    low = lambda x: F.floor(x["at"])
+    high = lambda x: F.least(F.floor(x["at"]) + 1, F.col("n") - 1)
+    share = lambda x: x["at"] - F.floor(x["at"])
+    met = placed.join(lists, [by, "variable"]).withColumn("hit", F.filter("all", lambda x: inside(low(x)) | inside(high(x)))).where(F.size("hit") > 0)
+    parts = F.transform("hit", lambda x: F.struct(x["k"].alias("k"), F.when(inside(low(x)), 1 - share(x)).otherwise(0.0).alias("a"), F.when(inside(high(x)), share(x)).otherwise(0.0).alias("b")))
+    each = met.select(by, "variable", "n", "value", F.explode(parts).alias("p"))
+    return each.groupBy(by, "variable", "n", "p.k").agg(F.sum(F.col("value") * (F.col("p.a") + F.col("p.b"))).alias("value")).select(by, "variable", "n", "k", "value")
+
+
 def _ranked(df: DataFrame, by: Sequence[str], value: str, group: str) -> tuple[DataFrame, DataFrame]:
     """Rank sums by group, and total and tie term by variable."""
     ranks = value_ranks(df, by, value)

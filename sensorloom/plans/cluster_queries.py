@@ -148,7 +148,7 @@ def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.interval(cluster.stability(_scored(spark, sf_dir)[1], "pid", FEATURES, 3), "kind", "ari")
 
 
-REPS = 99
+REPS = 999
 
 
 @query(f"""{V}, o AS (SELECT vec_id, label, run, row_number() OVER (PARTITION BY run ORDER BY h // 10000, h, vec_id) AS place FROM (SELECT vec_id, label, run, {portable_hash_sql('vec_id', 'run')} AS h FROM v, (SELECT unnest(range({REPS})) AS run))),
@@ -172,7 +172,7 @@ def shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def copula_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.copula_null(_scored(spark, sf_dir)[1], "pid", FEATURES, 3)
+    return cluster.copula_null(_scored(spark, sf_dir)[1], "pid", FEATURES, 3, 1_000)
 
 
 @query()
@@ -329,7 +329,7 @@ def logistic_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accuracy_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced accuracy of classes told from cohort features, its interval, and p by refits on permuted labels."""
     d = _scored(spark, sf_dir)[1].withColumn("y", label3())
-    return classify.permutation_test(d, "pid", FEATURES, "y", reps=100)
+    return classify.permutation_test(d, "pid", FEATURES, "y")
 
 
 _ARMS = {"account": ["bal"], "orders": ["n_orders", "mean_price", "max_price"]}
@@ -353,25 +353,25 @@ def feature_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boosted_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both leaf sizes where the rare class is small in a fold; recall, precision and macro area from the trees' shares."""
-    d = classify.stratified_folds(_scored(spark, sf_dir)[1].withColumn("y", label3()), "pid", "y", 3)
-    rare = d.groupBy("y").count().agg(F.min("count").alias("n")).select(classify.leaf_sizes(F.col("n") * 2 / 3).alias("sizes")).head()
+    """Both leaf sizes where the rare class is small in a fold; recall, precision and macro area from the trees' shares, over
+    three repeats of five folds."""
+    d = _scored(spark, sf_dir)[1].withColumn("y", label3())
+    rare = d.groupBy("y").count().agg(F.min("count").alias("n")).select(classify.leaf_sizes(F.col("n") * 4 / 5).alias("sizes")).head()
+    leaves = list(rare["sizes"] or ())
+    oof = written(classify.boosted_out_of_fold(d, "pid", FEATURES, "y", leaves, 5, 3), "oof")
     out = []
-    for leaf in rare["sizes"] if rare else []:
-        oof = written(classify.out_of_fold(d, "pid", FEATURES, "y", lambda n, leaf=leaf: classify.boosted(leaf, 5)), "oof")
-        auc = classify.macro_auc(oof, "actual", "probability", 3).head()
-        out.append(classify.class_metrics(oof, "actual", "predicted").withColumns({"leaf": F.lit(leaf), "macro_auc": F.lit(auc["macro_auc"])}))
+    for leaf in leaves:
+        own = oof.where(F.col("leaf") == leaf)
+        auc = classify.macro_auc(own, "actual", "probability", 3).head()
+        out.append(classify.class_metrics(own, "actual", "predicted").withColumns({"leaf": F.lit(leaf), "macro_auc": F.lit(auc["macro_auc"])}))
     return functools.reduce(DataFrame.unionByName, out)
 
 
 @query()
-def forest_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of a class-balanced forest over folds and out of bag."""
-    d = classify.stratified_folds(_scored(spark, sf_dir)[1].withColumn("y", label3()), "pid", "y", 3)
-    weighed = classify.balanced_weights(d, "y")
-    folds = classify.class_metrics(classify.out_of_fold(weighed, "pid", FEATURES, "y", lambda n: classify.forest(50, "weight")), "actual", "predicted")
-    bags = classify.class_metrics(classify.out_of_bag(weighed, "pid", FEATURES, "y", "weight"), "actual", "predicted")
-    return folds.withColumn("kind", F.lit("folds")).unionByName(bags.withColumn("kind", F.lit("bags")))
+def forest_out_of_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of 500 class-balanced trees, each row by the trees that didn't draw it."""
+    d = _scored(spark, sf_dir)[1].withColumn("y", label3())
+    return classify.class_metrics(classify.forest_out_of_bag(d, "pid", FEATURES, "y"), "actual", "predicted")
 
 
 @query()
