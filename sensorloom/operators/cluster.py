@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import cohort, normal, replicates, stats
 
-BLOCK = 2_000
+#: Rows of a group of exact distances, and of a step inside it.
+BLOCK, STEP = 4_000, 1_000
 
 
 def vectors(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
@@ -51,7 +52,8 @@ def assign(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[flo
 def name_clusters(df: DataFrame, cluster: str, lows: str, highs: str) -> DataFrame:
     """(cluster, name): the greatest median of ``lows`` is Hypo-Prone, of the rest the greatest of ``highs`` Spiker, then
     Stable; ties go to the lower number."""
-    m = df.groupBy(cluster).agg(F.median(lows).alias("l"), F.median(highs).alias("h"))
+    own = stats.group_quantiles(df, cluster, list(dict.fromkeys([lows, highs])), [0.5])
+    m = own.groupBy(cluster).agg(*(F.max(F.when(F.col("variable") == c, F.col("value"))).alias(name) for name, c in (("l", lows), ("h", highs))))
     first = m.orderBy(F.desc("l"), cluster).limit(1).select(cluster).withColumn("name", F.lit("Hypo-Prone"))
     rest = m.join(first, cluster, "left_anti")
     second = rest.orderBy(F.desc("h"), cluster).limit(1).select(cluster).withColumn("name", F.lit("Spiker"))
@@ -84,33 +86,46 @@ def dispersion_indices(df: DataFrame, columns: Sequence[str], cluster: str) -> D
 def silhouettes(df: DataFrame, key: str, columns: Sequence[str], cluster: str) -> DataFrame:
     """(key, cluster, silhouette) by Euclidean distances; 0 in a cluster of one row.
 
-    Rows are dealt into blocks of bounded size. Each block meets every other one inside a task, where sums of distances by
-    cluster are made, never pairs. The work is that of all distances and what is shuffled grows with rows times blocks: this
-    is for thousands of rows; for many use ``squared_silhouette``.
+    Rows are dealt into groups of about ``BLOCK`` rows, and pairs of groups are the tiles of a triangular grid: each tile is a
+    task of its own that makes every distance between its two groups once and adds it to both rows' sums by cluster. A row
+    goes to as many tiles as the grid is wide, so what is shuffled grows with rows times groups and the work with all
+    distances; for many rows use ``squared_silhouette``. Pairs are never emitted.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
-    blocks = max(1, math.ceil(df.count() / BLOCK))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    packed = dealt.groupBy("b").agg(F.collect_list(F.struct("key", "cluster", "x")).alias("rows"))
-    targets = packed.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("t", F.col("b").alias("from"), F.col("rows").alias("other"))
-    pairs = packed.join(targets, packed["b"] == targets["t"])
+    rows = df.select(F.col(key).alias("key"), F.col(cluster).cast("int").alias("cluster"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    side = max(1, math.ceil(df.count() / BLOCK))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(side)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    tiled = dealt.withColumn("o", other).select(F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), "g", "key", "cluster", "x")
     kind = df.schema[key].dataType.simpleString()
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = lambda s: s.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1)
-        for batch in batches:
-            for same, own, other in zip(batch["same"].to_pylist(), batch["rows"], batch["other"], strict=True):
-                a, b = own.values, other.values
-                x, y = matrix(a), matrix(b)
-                labels = np.array(b.field("cluster").to_pylist())
-                d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)))
+    def sums(tile: tuple, table: pa.Table) -> pa.Table:
+        first, second = (k.as_py() for k in tile)
+        table = table.combine_chunks()
+        g, labels = table["g"].to_numpy(), table["cluster"].to_numpy()
+        x = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(g), -1)
+        names, code = np.unique(labels, return_inverse=True)
+        hot = (code[:, None] == np.arange(len(names))).astype(float)
+        square, total = (x * x).sum(1), np.zeros((len(g), len(names)))
+        count = np.zeros((len(g), len(names)), np.int64)
+        one, two = np.flatnonzero(g == first), np.flatnonzero(g == second)
+        for i in range(0, len(one), STEP):
+            m = one[i : i + STEP]
+            for j in range(i if first == second else 0, len(two), STEP):
+                n = two[j : j + STEP]
+                d = np.sqrt(np.maximum(0, square[m][:, None] - 2 * x[m] @ x[n].T + square[n]))
+                same = first == second and i == j
                 if same:
                     np.fill_diagonal(d, 0.0)
-                for c in np.unique(labels).tolist():
-                    m = labels == c
-                    yield pa.RecordBatch.from_arrays([a.field("key"), a.field("cluster").cast(pa.int32()), pa.array([c] * len(x), pa.int32()), pa.array(d[:, m].sum(1)), pa.array([int(m.sum())] * len(x), pa.int64())], ["key", "cluster", "other", "total", "n"])
-
-    each = pairs.select("rows", "other", (F.col("b") == F.col("from")).alias("same")).mapInArrow(sums, f"key {kind}, cluster int, other int, total double, n bigint")
+                total[m] += d @ hot[n]
+                count[m] += hot[n].sum(0).astype(np.int64)
+                if not same:
+                    total[n] += d.T @ hot[m]
+                    count[n] += hot[m].sum(0).astype(np.int64)
+        of, label = np.nonzero(count)
+        take = pa.array(of)
+        return pa.Table.from_arrays([table["key"].take(take), table["cluster"].take(take), pa.array(names[label].astype(np.int32)), pa.array(total[of, label]), pa.array(count[of, label])], ["key", "cluster", "other", "total", "n"])
+
+    each = tiled.groupBy("a", "b").applyInArrow(sums, f"key {kind}, cluster int, other int, total double, n bigint")
     each = each.groupBy("key", "cluster", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     own = F.col("cluster") == F.col("other")
     d = each.groupBy("key", "cluster").agg(F.sum(F.when(own, F.col("total") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
@@ -376,9 +391,8 @@ def top_loadings(loadings: DataFrame, n: int = 5) -> DataFrame:
 
 def quartiles(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """(by, variable, n, median, iqr) of each column in each group."""
-    d = df.unpivot([by], list(columns), "variable", "value")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return d.groupBy(by, "variable").agg(F.count("value").alias("n"), q.alias("q")).select(by, "variable", "n", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    q = stats.group_quantiles(df, by, columns, [0.25, 0.5, 0.75]).groupBy(by, "variable", "n").agg(*(F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"q{k}") for k in range(3)))
+    return q.select(by, "variable", "n", F.col("q1").alias("median"), (F.col("q2") - F.col("q0")).alias("iqr"))
 
 
 def frozen(df: DataFrame, key: str, columns: Sequence[str], k: int, lows: str, highs: str, starts: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators import stats
+
 
 class GuardError(ValueError):
     """A table breaks a rule that later steps rely on."""
@@ -72,9 +74,9 @@ def statistics(df: DataFrame, columns: Sequence[str], functions: Mapping[str, ob
 
 
 def fill_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls of each column become its exact median."""
-    s = statistics(df, columns, {"median": F.median})
-    return df.select(*(F.coalesce(c, s[c, "median"]).alias(c) if c in columns else c for c in df.columns))
+    """Nulls of each column become its exact median, which is selected by rank; a column of nulls stays."""
+    middle = stats.quantiles(df, columns, [0.5])
+    return df.select(*(F.coalesce(c, F.lit(middle[c][0]).cast("double")).alias(c) if c in columns else c for c in df.columns))
 
 
 def standard_scores(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame:
@@ -197,7 +199,7 @@ def artifact_flags(df: DataFrame, step: float = 40.0, minutes: float = 60.0, fla
 
 def matched_medians(a: DataFrame, b: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """(by, variable, rows and median in either cohort, gap): how a group's features correspond between two cohorts."""
-    side = lambda d, n, m: d.unpivot([by], list(columns), "variable", "value").groupBy(by, "variable").agg(F.count("value").alias(n), F.median("value").alias(m))
+    side = lambda d, n, m: stats.group_quantiles(d, by, columns, [0.5]).select(by, "variable", F.col("n").alias(n), F.col("value").alias(m))
     d = side(a, "n_first", "first").join(side(b, "n_second", "second"), [by, "variable"])
     return d.withColumn("gap", F.col("second") - F.col("first"))
 

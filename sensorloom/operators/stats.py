@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators import chances
 from sensorloom.session import written
 
 
@@ -90,9 +91,9 @@ def _ranked(df: DataFrame, by: Sequence[str], value: str, group: str) -> tuple[D
 
 
 def kruskal_wallis(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFrame:
-    """H with tie correction, number of groups and rows, eta squared and, for three groups, p = exp(-H/2).
+    """H with tie correction, number of groups and rows, eta squared, and p by chi-squared with one degree less than groups.
 
-    All values tied: H is null.
+    All values tied: H is null. One group: p is null.
     """
     sums, total = _ranked(df, by, value, group)
     n = F.col("total").cast("double")
@@ -101,13 +102,13 @@ def kruskal_wallis(df: DataFrame, by: Sequence[str], value: str, group: str) ->
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / F.when(correction > 0, correction)
     d = d.withColumn("h", h)
     eta = F.greatest(F.lit(0.0), (F.col("h") - F.col("k") + 1) / (n - F.col("k")))
-    p = F.when(F.col("k") == 3, F.exp(-F.col("h") / 2))
+    p = F.when(F.col("k") > 1, chances.chi_squared_p(F.greatest("h", F.lit(0.0)), F.col("k") - 1))
     return d.select(*by, F.col("total").alias("n"), "k", "h", eta.alias("eta2"), p.alias("p"))
 
 
-def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str, first: object, second: object) -> DataFrame:
+def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str, first: object, second: object, p: bool = False) -> DataFrame:
     """U of the first group, rank-biserial 1 - 2U/(n1 n2), Cliff's delta (its negative) and z with tie and continuity
-    correction (null when all values are tied)."""
+    correction (null when all values are tied); with ``p`` also p: ``mann_whitney_p``."""
     d = df.where(F.col(group).isin(first, second))
     sums, total = _ranked(d, by, value, group)
     part = lambda g, c: F.sum(F.when(F.col(group) == g, F.col(c)))
@@ -116,7 +117,29 @@ def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str, first
     d = d.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie") / (n * (n - 1))))
     z = F.greatest(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, F.lit(0.0)) / F.when(sd > 0, sd)
-    return d.select(*by, "n1", "n2", "u", (1 - 2 * F.col("u") / (n1 * n2)).alias("rank_biserial"), (2 * F.col("u") / (n1 * n2) - 1).alias("cliffs_delta"), z.alias("z"))
+    d = d.select(*by, "n1", "n2", "u", (1 - 2 * F.col("u") / (n1 * n2)).alias("rank_biserial"), (2 * F.col("u") / (n1 * n2) - 1).alias("cliffs_delta"), z.alias("z"), "tie")
+    return mann_whitney_p(d).drop("tie") if p else d.drop("tie")
+
+
+#: Groups up to which U without ties has its exact distribution: the smaller and the larger one.
+SMALL, LARGE = 8, 200
+
+
+def mann_whitney_p(rows: DataFrame) -> DataFrame:
+    """Adds the two-sided p of rows (n1, n2, u, z, tie): exact where no values are tied, the smaller group has ``SMALL`` rows
+    at most and the larger ``LARGE``, else normal.
+
+    The exact distributions are a small table: of each pair of sizes that comes up, a row for each U up to the middle.
+    """
+    exact = (F.col("tie") == 0) & (F.least("n1", "n2") <= SMALL) & (F.greatest("n1", "n2") <= LARGE)
+    d = rows.withColumn("_exact", exact)
+    sizes = [(a, b) for a in range(1, SMALL + 1) for b in range(a, LARGE + 1)]
+    there = {(r["a"], r["b"]) for r in d.where("_exact").select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct().limit(len(sizes)).collect()}
+    table = [(a, b, u, min(1.0, 2 * c)) for a, b in sorted(there) for u, c in enumerate(exact_u(a, b)[: a * b // 2 + 1])]
+    known = rows.sparkSession.createDataFrame(table, "_a bigint, _b bigint, _u bigint, _p double")
+    low = F.least(F.col("u"), F.col("n1") * F.col("n2") - F.col("u")).cast("bigint")
+    met = d.join(F.broadcast(known), F.col("_exact") & (F.least("n1", "n2") == F.col("_a")) & (F.greatest("n1", "n2") == F.col("_b")) & (low == F.col("_u")), "left")
+    return met.select(*rows.columns, F.coalesce("_p", chances.normal_p(F.col("z"))).alias("p"), F.coalesce("_exact", F.lit(False)).alias("exact"))
 
 
 def normal_p(z: float) -> float:
@@ -158,11 +181,6 @@ def with_p(rows: DataFrame, p: Callable[..., float], inputs: Sequence[str], name
     return rows.mapInPandas(run, rows.withColumn(name, F.lit(None).cast("double")).schema)
 
 
-def two_sided(rows: DataFrame, z: str = "z", name: str = "p") -> DataFrame:
-    """Adds the two-sided normal p of a summary table's z."""
-    return with_p(rows, normal_p, [z], name)
-
-
 def exact_u(n1: int, n2: int) -> list[float]:
     """Cumulative probabilities of U without ties, for small groups: counts of the partitions of each U."""
     ways = [1] + [0] * (n1 * n2)
@@ -200,7 +218,7 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
 def spearman_p(rho: DataFrame) -> DataFrame:
     """Adds t and its two-sided p to rows (n, rho)."""
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0)))
-    return with_p(rho.withColumns({"t": t, "df": F.col("n") - 2}), student_p, ["t", "df"])
+    return rho.withColumns({"t": t, "df": F.col("n") - 2}).withColumn("p", chances.student_p(F.col("t"), F.col("df")))
 
 
 def cohens_d(value: str, group: Column) -> Column:
@@ -230,14 +248,29 @@ def odds_ratio(a: Column, b: Column) -> dict[str, Column]:
 
 
 def fisher_exact(n11: int, n10: int, n01: int, n00: int) -> float:
-    """Two-sided p: the probability of all tables with the same margins that are at most as likely."""
+    """Two-sided p: the probability of all tables with the same margins that are at most as likely.
+
+    From the most likely table outwards to both sides, each chance from its neighbour's; a side ends where what follows
+    adds nothing, so the work grows with the spread of the cell and not with the margins.
+    """
     n11, n10, n01, n00 = map(int, (n11, n10, n01, n00))
     row, col, n = n11 + n10, n11 + n01, n11 + n10 + n01 + n00
+    low, high = max(0, row + col - n), min(row, col)
+    top = min(max((row + 1) * (col + 1) // (n + 2), low), high)
+    up = lambda k: (row - k) * (col - k) / ((k + 1) * (n - row - col + k + 1))
     log = lambda k: math.lgamma(k + 1)
-    base = log(row) + log(n - row) + log(col) + log(n - col) - log(n)
-    chance = lambda k: base - log(k) - log(row - k) - log(col - k) - log(n - row - col + k)
-    own = chance(n11)
-    return min(1.0, sum(math.exp(chance(k)) for k in range(max(0, row + col - n), min(row, col) + 1) if chance(k) <= own + 1e-7))
+    chance = lambda k: log(row) + log(n - row) + log(col) + log(n - col) - log(n) - log(k) - log(row - k) - log(col - k) - log(n - row - col + k)
+    own, first = math.exp(chance(n11) - chance(top)) * (1 + 1e-7), math.exp(chance(top))
+    total = 1.0 if own >= 1.0 else 0.0
+    for way, end in ((1, high), (-1, low)):
+        k, share = top, 1.0
+        while k != end:
+            share *= up(k) if way > 0 else 1 / up(k - 1)
+            k += way
+            total += share if share <= own else 0.0
+            if share < 1e-18 * max(total, own):
+                break
+    return min(1.0, total * first)
 
 
 def least_squares(df: DataFrame, y: str, terms: dict[str, Column]) -> dict[str, tuple[float, float, int]]:

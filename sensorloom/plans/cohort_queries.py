@@ -9,7 +9,7 @@ from sensorloom.functions import columns as fx
 from sensorloom.operators import cohort, stats
 from sensorloom.plans.registering import register
 from sensorloom.plans.views import ANALYSIS, HOUR, LABEL3, READINGS, analysis, label3, offset, readings
-from sensorloom.session import table
+from sensorloom.session import table, written
 
 QUERIES, SQL = {}, {}
 query = register(QUERIES, SQL)
@@ -159,11 +159,13 @@ def eav_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{A} SELECT nation, count(*) AS n, count(n_orders) AS n_with, round(median(bal), 6) AS med_bal, round(avg(bal), 6) AS mean_bal, count(DISTINCT segment) AS n_segments, round(median(mean_price), 6) AS med_price,
   round(quantile_cont(bal, 0.025), 6) AS p025, round(quantile_cont(bal, 0.25), 6) AS p25, round(quantile_cont(bal, 0.75), 6) AS p75, round(quantile_cont(bal, 0.975), 6) AS p975 FROM a GROUP BY 1""")
 def group_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p: F.percentile("bal", F.lit(p))
-    return analysis(spark, sf_dir).groupBy("nation").agg(
-        F.count("*").alias("n"), F.count("n_orders").alias("n_with"), F.median("bal").alias("med_bal"), F.avg("bal").alias("mean_bal"), F.countDistinct("segment").alias("n_segments"), F.median("mean_price").alias("med_price"),
-        q(0.025).alias("p025"), q(0.25).alias("p25"), q(0.75).alias("p75"), q(0.975).alias("p975"),
-    )
+    d = written(analysis(spark, sf_dir), "analysis")
+    shares = [0.5, 0.025, 0.25, 0.75, 0.975]
+    q = stats.group_quantiles(d, "nation", ["bal", "mean_price"], shares)
+    at = lambda c, k, name: F.max(F.when((F.col("variable") == c) & (F.col("k") == k), F.col("value"))).alias(name)
+    middle = q.groupBy("nation").agg(at("bal", 0, "med_bal"), at("mean_price", 0, "med_price"), *(at("bal", k, name) for k, name in enumerate(("p025", "p25", "p75", "p975"), 1)))
+    counts = d.groupBy("nation").agg(F.count("*").alias("n"), F.count("n_orders").alias("n_with"), F.avg("bal").alias("mean_bal"), F.countDistinct("segment").alias("n_segments"))
+    return counts.join(middle, "nation", "left")
 
 
 _SEG = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")

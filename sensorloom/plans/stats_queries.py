@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import local_hour
-from sensorloom.operators import cohort, series, stats
+from sensorloom.operators import chances, cohort, series, stats
 from sensorloom.plans.registering import register
 from sensorloom.plans.series_queries import BASE, GRID, R
 from sensorloom.plans.views import ANALYSIS, HOUR, LABEL3, analysis, label3, offset, readings
@@ -61,9 +61,30 @@ def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.mann_whitney(_long(spark, sf_dir), ["variable"], "value", "c", 0, 1)
 
 
-@query()
+_Z = "greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * ((n + 1) - tie / (n * (n - 1))))"
+
+
+@query(f"""{MW}, z AS (SELECT variable, {_Z} AS z FROM u) SELECT variable, round(z, 6) AS z, round({chances.normal_p_sql('z')}, 6) AS p FROM z""")
 def mann_whitney_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.two_sided(stats.mann_whitney(_long(spark, sf_dir), ["variable"], "value", "c", 0, 1)).select("variable", "z", "p")
+    return stats.mann_whitney(_long(spark, sf_dir), ["variable"], "value", "c", 0, 1, p=True).select("variable", "z", "p")
+
+
+@query()
+def mann_whitney_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances of two classes in every nation and segment: cells of a few rows, whose p is exact where nothing is tied."""
+    d = analysis(spark, sf_dir).select("nation", "segment", label3("person_id").alias("c"), F.col("bal").alias("value"))
+    return stats.mann_whitney(d.where("value is not null"), ["nation", "segment"], "value", "c", 0, 1, p=True)
+
+
+#: Four groups of persons, the last one rare.
+_FOUR = "CASE WHEN person_id % 10 = 0 THEN 3 ELSE person_id % 3 END"
+_H4 = KW.replace(f"{L} AS c", f"{_FOUR} AS c")
+
+
+@query(f"{_H4} SELECT variable, n::BIGINT AS n, kk AS k, round(h, 6) AS h, round(greatest(0, (h - kk + 1) / (n - kk)), 6) AS eta2, round({chances.chi_squared_p_sql('greatest(h, 0)', 3)}, 6) AS p FROM h")
+def kruskal_four_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _long(spark, sf_dir).withColumn("c", F.when(F.col("person_id") % 10 == 0, 3).otherwise(F.col("person_id") % 3))
+    return stats.kruskal_wallis(d, ["variable"], "value", "c")
 
 
 @query(f"""WITH a0 AS ({ANALYSIS}), a AS (SELECT nation, bal AS x, max_price AS y FROM a0 WHERE max_price IS NOT NULL),
@@ -73,7 +94,10 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.spearman(analysis(spark, sf_dir).select("nation", "bal", "max_price"), "bal", "max_price", ["nation"])
 
 
-@query()
+@query(f"""WITH a0 AS ({ANALYSIS}), a AS (SELECT nation, bal AS x, max_price AS y FROM a0 WHERE max_price IS NOT NULL),
+k AS (SELECT nation, rank() OVER (PARTITION BY nation ORDER BY x) + (count(*) OVER (PARTITION BY nation, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY nation ORDER BY y) + (count(*) OVER (PARTITION BY nation, y) - 1) / 2 AS ry FROM a),
+r AS (SELECT nation, count(*) AS n, corr(rx, ry) AS rho FROM k GROUP BY 1), t AS (SELECT *, rho * sqrt((n - 2) / nullif(1 - rho * rho, 0)) AS t, n - 2 AS df FROM r)
+SELECT nation, n, round(rho, 6) AS rho, round(t, 6) AS t, df, round({chances.student_p_sql('t', 'df')}, 6) AS p FROM t""")
 def spearman_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.spearman_p(stats.spearman(analysis(spark, sf_dir).select("nation", "bal", "max_price"), "bal", "max_price", ["nation"]))
 
@@ -98,7 +122,15 @@ def odds_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis(spark, sf_dir).groupBy("nation").agg(*(c.alias(k) for k, c in cells.items()))
 
 
-@query()
+_LF = lambda k: f"lgamma(({k}) + 1)"
+_CELL = "(" + " + ".join(map(_LF, ("n11 + n10", "n01 + n00", "n11 + n01", "n10 + n00"))) + "".join(f" - {_LF(k)}" for k in ("n11 + n10 + n01 + n00", "{0}", "n11 + n10 - {0}", "n11 + n01 - {0}", "n00 - n11 + {0}")) + ")"
+
+
+@query(f"""WITH a AS ({ANALYSIS}), t AS (SELECT nation, count(*) FILTER (x AND y) AS n11, count(*) FILTER (x AND NOT y) AS n10, count(*) FILTER (NOT x AND y) AS n01, count(*) FILTER (NOT x AND NOT y) AS n00
+  FROM (SELECT nation, bal > 5000 AS x, person_id % 2 = 0 AS y FROM a) GROUP BY 1),
+e AS (SELECT *, unnest(range(greatest(0, n11 - n00), least(n11 + n10, n11 + n01) + 1)) AS k FROM t),
+q AS (SELECT nation, sum(exp({_CELL.format('k')})) FILTER ({_CELL.format('k')} <= {_CELL.format('n11')} + 1e-7) AS p FROM e GROUP BY 1)
+SELECT t.*, round(n11 * n00 / nullif(n10 * n01, 0), 6) AS odds_ratio, round(least(1, p), 6) AS p FROM t JOIN q USING (nation)""")
 def fisher_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.with_p(odds_ratios(spark, sf_dir), stats.fisher_exact, ["n11", "n10", "n01", "n00"])
 

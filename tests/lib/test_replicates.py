@@ -220,3 +220,21 @@ def test_top_loadings_and_recurrence(spark):
     assert {r.arm: r["count"] for r in runs.select("arm", "run").distinct().groupBy("arm").count().collect()} == {"set 1": 3, "set 2": 3, "leave one out": 3, "bisecting": 1, "mixture": 1}
     share = {r.id: r.frequency for r in cluster.recurrence(runs, "id", "flag").collect()}
     assert min(share[k] for k in range(0, 60, 3)) > 0.5 and max(share[k] for k in range(1, 60, 3)) < 0.5
+
+
+def test_silhouettes_over_many_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(130, 3)), np.r_[rng.integers(0, 3, 129), 9]
+    x[:, 0] += y
+    d = table_of(spark, list(enumerate(x.tolist()))).join(spark.createDataFrame([(k, int(c)) for k, c in enumerate(y)], "id long, y int"), "id")
+    far = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    want = {}
+    for k in range(130):
+        mean = {c: far[k, y == c].sum() / ((y == c).sum() - (c == y[k])) for c in set(y.tolist()) if (y == c).sum() > (c == y[k])}
+        a, b = mean.get(y[k]), min(v for c, v in mean.items() if c != y[k])
+        want[k] = 0.0 if a is None else (b - a) / max(a, b)
+    for block, step in ((10_000, 1_000), (40, 7), (9, 4)):
+        monkeypatch.setattr(cluster, "BLOCK", block)
+        monkeypatch.setattr(cluster, "STEP", step)
+        got = {r.id: r.silhouette for r in cluster.silhouettes(d, "id", ["x0", "x1", "x2"], "y").collect()}
+        assert len(got) == 130 and max(abs(got[k] - want[k]) for k in want) < 1e-9

@@ -67,12 +67,10 @@ def test_planted_clusters(spark):
 def test_planted_classes(spark):
     d = classify.stratified_folds(planted(spark), "id", "y", 3)
     assert d.groupBy("y", "fold").count().where("count <> 10").count() == 0
-    for oof in (classify.logistic_out_of_fold(d, "id", ["a", "b"], "y", 3, True), classify.out_of_fold(d, "id", ["a", "b"], "y", lambda n: classify.boosted(2, 2))):
+    for oof in (classify.logistic_out_of_fold(d, "id", ["a", "b"], "y", 3, True), classify.boosted_out_of_fold(planted(spark), "id", ["a", "b"], "y", [2], 3, 1, 6)):
         assert classify.balanced_accuracy(classify.class_metrics(oof, "actual", "predicted")).head().balanced_accuracy > 0.95
         assert classify.macro_auc(oof, "actual", "probability", 3).head().macro_auc > 0.99
         assert all(abs(sum(r.probability) - 1) < 1e-9 for r in oof.collect())
-    weighed = classify.balanced_weights(d, "y")
-    assert classify.balanced_accuracy(classify.class_metrics(classify.out_of_bag(weighed, "id", ["a", "b"], "y", "weight", 3, 5), "actual", "predicted")).head().balanced_accuracy > 0.9
 
 
 def test_permutations_of_planted_and_random_labels(spark):
@@ -155,3 +153,57 @@ def test_copula_keeps_marginals(spark):
     got = cluster.gaussian_copula_draws(d, "id", ["a", "b"], 3).agg(F.corr("a", "b").alias("r"), F.min("a").alias("lo"), F.max("a").alias("hi")).head()
     assert got.r > 0.9 and got.lo >= min(r[1] for r in rows) - 1e-9 and got.hi <= max(r[1] for r in rows) + 1e-9
     assert not math.isnan(got.r)
+
+
+def test_chances_are_those_of_the_distributions(spark):
+    from statistics import NormalDist
+
+    from sensorloom.operators import chances
+
+    z = [0.0, 0.3, 1.0, 1.96, 2.9, 3.1, 4.2, 5.5, 8.0, 20.0]
+    got = [r.p for r in spark.createDataFrame([(v,) for v in z], "z double").select(chances.normal_p(F.col("z")).alias("p")).collect()]
+    assert all(math.isclose(a, math.erfc(v / math.sqrt(2)), rel_tol=1e-9, abs_tol=1e-300) or v > 1.9 and math.isclose(a, math.erfc(v / math.sqrt(2)), rel_tol=1e-7) for a, v in zip(got, z))
+    # Chi-squared: one degree is a squared normal, two exponential; more by the recurrence of its density's integral.
+    rows = [(h, d) for h in (0.0, 0.5, 3.0, 9.0, 40.0) for d in range(1, 12)]
+    got = {(r.h, r.d): r.p for r in spark.createDataFrame(rows, "h double, d int").withColumn("p", chances.chi_squared_p(F.col("h"), F.col("d"))).collect()}
+    want = {(h, 1): math.erfc(math.sqrt(h / 2)) for h, _ in rows} | {(h, 2): math.exp(-h / 2) for h, _ in rows}
+    for h, d in rows:
+        if d > 2:
+            want[h, d] = want[h, d - 2] + (h / 2) ** (d / 2 - 1) * math.exp(-h / 2) / math.gamma(d / 2)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in rows)
+    rows = [(t, d) for t in (0.0, 0.1, 1.0, 2.2, -3.0, 9.0) for d in (1, 2, 3, 7, 30, 151, 2_000, 9_999, 10_001, 300_000)]
+    got = {(r.t, r.d): r.p for r in spark.createDataFrame(rows, "t double, d int").withColumn("p", chances.student_p(F.col("t"), F.col("d"))).collect()}
+    # By Simpson's rule, whose steps are too wide for very many degrees of freedom.
+    assert all(abs(got[t, d] - stats.student_p(t, d)) < 1e-7 for t, d in rows if d < 100_000)
+    assert abs(got[2.2, 300_000] - 2 * NormalDist().cdf(-2.2)) < 1e-5
+
+
+def test_small_samples_are_exact(spark):
+    import itertools
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    for g in range(12):
+        n1, n2 = rng.choice([1, 2, 3, 4]), rng.choice([1, 3, 5, 6])
+        values = rng.sample(range(1000), n1 + n2)
+        rows += [(g, int(k >= n1), float(v)) for k, v in enumerate(values)]
+        u = lambda own: sum(a > b for a in own for b in set(values) - set(own))  # noqa: B023, E731
+        every = [u(c) for c in itertools.combinations(values, n1)]
+        mine = u(values[:n1])
+        low = min(mine, n1 * n2 - mine)
+        want[g] = min(1.0, 2 * sum(x <= low for x in every) / len(every))
+    rows += [(50, 0, 1.0), (50, 0, 2.0), (50, 1, 2.0), (50, 1, 3.0)]
+    got = {r.g: r for r in stats.mann_whitney(spark.createDataFrame(rows, "g int, c int, value double"), ["g"], "value", "c", 0, 1, p=True).collect()}
+    assert all(got[g].exact and abs(got[g].p - want[g]) < 1e-12 for g in want)
+    assert not got[50].exact and abs(got[50].p - math.erfc(got[50].z / math.sqrt(2))) < 1e-9
+
+
+def test_fisher_from_the_mode_outwards():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b, c, d = (rng.choice([0, 1, 2, 5, 17, 60]) for _ in range(4))
+        row, col, n = a + b, a + c, a + b + c + d
+        chance = {k: math.comb(row, k) * math.comb(n - row, col - k) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        p = sum(v for v in chance.values() if v <= chance[a] * (1 + 1e-7)) / math.comb(n, col)
+        assert abs(stats.fisher_exact(a, b, c, d) - p) < 1e-9
+    assert 0 < stats.fisher_exact(2_501_000, 2_500_000, 2_500_000, 2_500_000) < 1
