@@ -22,12 +22,53 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 @query("SELECT user_id AS pid, count(*) AS n, count(DISTINCT ts) AS n_ts, round(avg(45 + value), 6) AS mean_g FROM events GROUP BY 1")
 def csv_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings written as CSV and read back by declared types; a subset of participants is then a pushed filter."""
+    """Readings written as CSV and read back by declared types."""
+    return _per_participant(readers.readings_csv(spark, _csv(spark, sf_dir)))
+
+
+@query("SELECT user_id AS pid, count(*) AS n, count(DISTINCT ts) AS n_ts, round(avg(45 + value), 6) AS mean_g FROM events WHERE user_id % 5 = 0 AND user_id < 500 GROUP BY 1")
+def csv_key_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a list of participants, which the scan of the CSV takes as its filter."""
+    return _per_participant(readers.readings_csv(spark, _csv(spark, sf_dir), list(range(0, 500, 5))))
+
+
+def _per_participant(r: DataFrame) -> DataFrame:
+    return r.groupBy("pid").agg(F.count("*").alias("n"), F.countDistinct("ts").alias("n_ts"), F.avg("g").alias("mean_g"))
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> str:
     path = _folder(spark, "readings")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     out = readings(spark, sf_dir).select(F.col("pid").alias("participant_id"), iso.alias("start_datetime"), F.col("g").alias("glucose_value_mg_dL"))
     sinks.whole_table(out, path, "csv")
-    return readers.readings_csv(spark, path).groupBy("pid").agg(F.count("*").alias("n"), F.countDistinct("ts").alias("n_ts"), F.avg("g").alias("mean_g"))
+    return path
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> str:
+    """A folder for each participant with a file of two sensors, or of the second alone and in another order."""
+    path = _folder(spark, "subjects")
+    r = readings(spark, sf_dir).select("pid", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), F.col("g").cast("string").alias("Sensor A"), (F.col("g") - 45).cast("string").alias("Sensor B"))
+    for part, columns in ((0, ["Timestamp", "Sensor A", "Sensor B"]), (1, ["Sensor B", "Timestamp"])):
+        own = r.where(F.col("pid") % 2 == part).select("pid", *columns)
+        own.repartition("pid").write.partitionBy("pid").mode("append").csv(path, header=True)
+    return path
+
+
+_SUBJECTS = "SELECT user_id AS pid, count(*) AS n, round(avg(CASE WHEN user_id % 2 = 0 AND n > 50 THEN 45 + value ELSE value END), 6) AS mean_g FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+
+
+@query(f"{_SUBJECTS} GROUP BY 1")
+def subject_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-subject files whose columns differ, a task each."""
+    r = readers.subject_files(spark, _subjects(spark, sf_dir), "Sensor A", "Sensor B", pattern=r"pid=(\d+)")
+    return r.groupBy("pid").agg(F.count("*").alias("n"), F.avg("g").alias("mean_g"))
+
+
+@query(f"{_SUBJECTS} WHERE user_id < 20 GROUP BY 1")
+def subject_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of some subjects alone."""
+    r = readers.subject_files(spark, _subjects(spark, sf_dir), "Sensor A", "Sensor B", pattern=r"pid=(\d+)", keys=list(range(20)))
+    return r.groupBy("pid").agg(F.count("*").alias("n"), F.avg("g").alias("mean_g"))
 
 
 @query("SELECT CASE c_nationkey % 3 WHEN 0 THEN 'UAB' WHEN 1 THEN 'UW' ELSE 'UCSD' END AS clinical_site, count(*) AS n FROM customer GROUP BY 1")

@@ -58,6 +58,12 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in any store that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """From now on batches between Spark and Python hold at most so many bytes, so that tables with long texts don't fill
     the memory beside the heap; for jobs that go through many such stages in one session."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorloom.functions.columns import instant, numeric, reading_value
+from sensorloom.sources.subjects import subject_rows
 
 def _frame() -> T.StructType:
     text = T.StringType()
@@ -49,12 +49,14 @@ def trimmed_header(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def readings_csv(spark: SparkSession, path: str) -> DataFrame:
+def readings_csv(spark: SparkSession, path: str, keys: Sequence[int] | None = None) -> DataFrame:
     """(pid, ts, rid, g) from participant_id, start_datetime (ISO-8601) and glucose_value_mg_dL; what can't be parsed is null.
 
-    ``rid`` orders records of one time by their place in the input.
+    ``rid`` orders records of one time by their place in the input. With ``keys`` the scan leaves out all other participants
+    before it parses the rest of a line: the filter is pushed below the numbering.
     """
     raw = delimited(spark, path, "participant_id bigint, start_datetime string, glucose_value_mg_dL string")
+    raw = raw if keys is None else raw.where(F.col("participant_id").isin(list(keys)))
     return raw.select(F.col("participant_id").alias("pid"), instant(F.col("start_datetime")).alias("ts"), F.monotonically_increasing_id().alias("rid"), numeric(F.col("glucose_value_mg_dL")).alias("g"))
 
 
@@ -93,19 +95,11 @@ def activity_documents(spark: SparkSession, path: str) -> DataFrame:
     return d.select("pid", instant(frame["start_date_time"]).alias("start_ts"), instant(frame["end_date_time"]).alias("end_ts"), F.col("item.activity_name").alias("name"), numeric(F.col("item.base_movement_quantity.value")).alias("amount"))
 
 
-def subject_files(spark: SparkSession, path: str, first: str, second: str, least: int = 50, pattern: str = r"(\d+)") -> DataFrame:
+def subject_files(spark: SparkSession, path: str, first: str, second: str, least: int = 50, pattern: str = r"(\d+)", keys: Sequence[int] | None = None) -> DataFrame:
     """(pid, ts, g) of per-subject CSVs: the first sensor's column where a subject has more than ``least`` values of it,
-    else the second's.
-
-    Files may have their columns in another order, or lack some: those with one header are read together, by its names.
-    A file is one subject's, so its text fits a row while headers are looked for.
-    """
-    heads = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.rtrim(F.regexp_replace(F.substring_index("value", "\n", 1), "\r", "")).alias("head"))
-    kinds = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
-    parts = [spark.read.csv(sorted(k["files"]), header=True, enforceSchema=False).withColumn("pid", subject_id(pattern)) for k in kinds if k["head"]]
-    raw = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    missing = [c for c in (first, second, "Timestamp") if c not in raw.columns]
-    raw = raw.withColumns({c: F.lit(None).cast("string") for c in missing})
+    else the second's. Each file is opened once, by its own task, and its columns are met by name (``subjects``); with
+    ``keys`` only the files of those subjects are."""
+    raw = subject_rows(spark, path, ["Timestamp", first, second], pattern, keys=keys)
     a, b = numeric(F.col(f"`{first}`")), numeric(F.col(f"`{second}`"))
     own = F.count(a).over(Window.partitionBy("pid")) > least
     return raw.select("pid", F.try_to_timestamp("Timestamp").alias("ts"), F.when(own, a).otherwise(b).alias("g")).where(F.col("g").isNotNull())

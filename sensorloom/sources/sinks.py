@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from sensorloom.operators.cohort import GuardError
+from sensorloom.session import there
 
 
 def whole_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",") -> None:
@@ -17,12 +18,11 @@ def whole_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",")
 
 
 def computed_once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``; where there is none, what ``make`` gives is written there first."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The table at ``path``; where there is none, what ``make`` gives is written there first. A folder that a job left before
+    its end, which has no mark of success, is none."""
+    if not there(spark, f"{path}/_SUCCESS"):
         whole_table(make(), path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def publish_checked(df: DataFrame, path: str, ours: str, theirs: str, least: float = 0.999) -> float:
@@ -36,10 +36,14 @@ def publish_checked(df: DataFrame, path: str, ours: str, theirs: str, least: flo
 
 def replicates_left(spark: SparkSession, path: str, wanted: Iterable[int]) -> list[int]:
     """Replicate numbers that the table at ``path`` lacks."""
-    try:
-        done = {r["rep"] for r in spark.read.parquet(path).select("rep").distinct().collect()}
-    except AnalysisException:
-        done = set()
+    done = set()
+    if there(spark, path):
+        try:
+            done = {r["rep"] for r in spark.read.parquet(path).select("rep").distinct().collect()}
+        except AnalysisException as e:
+            # A folder without any replicate yet; anything else is an error.
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
     return [r for r in wanted if r not in done]
 
 

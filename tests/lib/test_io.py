@@ -47,6 +47,36 @@ def test_subject_files_with_other_columns(spark, tmp_path):
     assert sorted((r.pid, r.g) for r in got) == [(1, 1.0), (2, 10.0), (3, 200.0)]
 
 
+def test_a_key_opens_its_file_alone(spark, tmp_path):
+    """Another subject's file can't even be parsed: nothing fails as long as it isn't opened."""
+    import pytest
+
+    from sensorloom.sources.subjects import subject_rows
+
+    (tmp_path / "S-1.csv").write_text("Timestamp,A GL,B GL\n2024-01-01 00:00:00,1,2\n")
+    (tmp_path / "S-2.csv").write_text("Timestamp,A GL,B GL\n2024-01-01 00:00:00,1,2,3,4,5\n")
+    (tmp_path / "S-3.csv").write_text("")
+    path = str(tmp_path)
+    assert [(r.pid, r.g) for r in readers.subject_files(spark, path, "A GL", "B GL", least=0, keys=[1, 3]).collect()] == [(1, 1.0)]
+    with pytest.raises(Exception, match="columns"):
+        readers.subject_files(spark, path, "A GL", "B GL", least=0).collect()
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = subject_rows(spark, path, ["A GL", "none"])
+        assert [tuple(r) for r in rows.where("pid = 1").collect()] == [(1, "1", None)]
+        assert [tuple(r) for r in rows.where("pid in (1, 3) and `A GL` = '1'").collect()] == [(1, "1", None)]
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
+def test_keys_are_pushed_to_the_scan(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("participant_id,start_datetime,glucose_value_mg_dL\n1,2024-01-01T00:00:00Z,100\n2,2024-01-01T00:00:00Z,90\n")
+    d = readers.readings_csv(spark, str(tmp_path), keys=[2, 9])
+    plan = d._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(participant_id, [2,9])]" in plan and [r.g for r in d.collect()] == [90.0]
+
+
 def test_computed_once(spark, tmp_path):
     made = []
     make = lambda: made.append(1) or spark.range(3)
@@ -55,6 +85,15 @@ def test_computed_once(spark, tmp_path):
     assert made == [1]
 
 
+def test_a_job_that_died_counts_as_none(spark, tmp_path):
+    path = tmp_path / "half"
+    spark.range(7).write.parquet(str(path))
+    (path / "_SUCCESS").unlink()
+    assert sinks.computed_once(spark, str(path), lambda: spark.range(3)).count() == 3
+    (tmp_path / "empty").mkdir()
+    assert all(sinks.replicates_left(spark, str(tmp_path / name), [0, 1]) == [0, 1] for name in ("none", "empty"))
+
+
 def test_written_tables_can_go(spark):
     from sensorloom.session import discard, written
 
