@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import portable_hash
@@ -200,6 +203,44 @@ def arms(df: DataFrame, sets: Mapping[str, Sequence[str]]) -> list[tuple[str, Da
     return [*((name, same, list(own)) for name, own in sets.items()), ("both", same, every), (f"{first}, all rows", df.dropna(subset=list(sets[first])), list(sets[first]))]
 
 
+class Rung(NamedTuple):
+    """An arm of a ladder: its features, and which rows it is for (all where None)."""
+
+    arm: str
+    columns: Sequence[str]
+    where: Column | None = None
+
+
+def ladder(df: DataFrame, key: str, label: str, rungs: Sequence[Rung], least: int = 25) -> DataFrame:
+    """(rung, arm, n, n_classes, smallest, status, chosen) of arms in order: rows that are of the arm and complete in its
+    features, the smallest of the classes that ``df`` has, and whether it is large enough. The first that is, is chosen; a
+    skipped arm says why. All arms are counted in one aggregation."""
+    counted = df.where(F.col(label).isNotNull()).groupBy(label).agg(*(F.count_if(_in_rung(r)).alias(f"r{k}") for k, r in enumerate(rungs)))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("rung"), F.lit(r.arm).alias("arm"), F.col(f"r{k}").alias("c")) for k, r in enumerate(rungs))))
+    d = counted.select(each.alias("e")).select("e.*").groupBy("rung", "arm").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("n_classes"), F.min("c").alias("smallest"))
+    d = d.withColumn("status", evaluable(F.col("smallest"), least))
+    first = F.min(F.when(F.col("status") == "ok", F.col("rung"))).over(Window.partitionBy(F.lit(0)))
+    return d.withColumn("chosen", F.coalesce(F.col("rung") == first, F.lit(False)))
+
+
+def _in_rung(rung: Rung) -> Column:
+    whole = functools.reduce(operator.and_, (F.col(c).isNotNull() for c in rung.columns))
+    return whole if rung.where is None else whole & F.coalesce(rung.where, F.lit(False))
+
+
+def fit_ladder(df: DataFrame, key: str, label: str, rungs: Sequence[Rung], least: int = 25, reps: int = 200, folds: int = 5, seed: int = 0) -> DataFrame:
+    """``ladder`` with the graded accuracy of the chosen arm; the other arms have none. No arm is fitted where none is large
+    enough."""
+    steps = written(ladder(df, key, label, rungs, least), "ladder")
+    chosen = [r["rung"] for r in steps.where("chosen").collect()]
+    if not chosen:
+        return steps.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("balanced_accuracy", "double"), ("p", "double"), ("verdict", "string"))))
+    own = rungs[chosen[0]]
+    got = permutation_test(df.where(_in_rung(own)), key, list(own.columns), label, reps, folds, seed=seed)
+    found = got.select(F.lit(chosen[0]).alias("rung"), "balanced_accuracy", "p", "verdict")
+    return steps.join(found, "rung", "left")
+
+
 def compare_arms(df: DataFrame, key: str, sets: Mapping[str, Sequence[str]], label: str, reps: int = 39, folds: int = 5, seed: int = 0) -> DataFrame:
     """A row for each arm of ``arms``: its graded accuracy, the branch of its interval against the first arm's, whether all
     together beats each arm by itself, and which arm leads."""

@@ -314,10 +314,13 @@ def threshold_sweep(df: DataFrame, value: str, label: Column) -> DataFrame:
     return d.select("*", (F.col("hits") / any_).alias("jaccard"), (F.col("hits") / F.col("n_selected")).alias("precision"), (F.col("hits") / F.nullif(F.lit(positives), F.lit(0))).alias("recall"))
 
 
-def decisions(values: DataFrame, rules: dict[str, tuple[Column, float, bool]]) -> DataFrame:
-    """One row for each rule (value, limit, whether below the limit trips) over a one-row table of values."""
-    rows = [F.struct(F.lit(name).alias("rule"), v.alias("value"), F.lit(limit).alias("limit_value"), (v < limit if below else v > limit).alias("tripped")) for name, (v, limit, below) in rules.items()]
-    return values.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+def decisions(values: DataFrame, rules: Sequence[tuple[str, float, bool]]) -> DataFrame:
+    """(rule, value, limit_value, tripped) over a table (rule, value): rules are data (name, limit, whether below the limit
+    trips). A rule without a value comes back with none and isn't tripped."""
+    known = values.sparkSession.createDataFrame(list(rules), "rule string, limit_value double, below boolean")
+    d = known.join(values.select("rule", F.col("value").cast("double").alias("value")), "rule", "left")
+    tripped = F.when(F.col("below"), F.col("value") < F.col("limit_value")).otherwise(F.col("value") > F.col("limit_value"))
+    return d.select("rule", "value", "limit_value", F.coalesce(tripped, F.lit(False)).alias("tripped"))
 
 
 def mean_of(columns: Sequence[Column]) -> Column:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import local_hour
-from sensorloom.operators import chances, cohort, series, stats
+from sensorloom.operators import chances, cluster, cohort, series, stats
+from sensorloom.plans import cohort_queries
 from sensorloom.plans.registering import register
 from sensorloom.plans.series_queries import BASE, GRID, R
 from sensorloom.plans.views import ANALYSIS, HOUR, LABEL3, analysis, label3, offset, readings
-from sensorloom.session import table
+from sensorloom.session import table, written
 
 QUERIES, SQL = {}, {}
 query = register(QUERIES, SQL)
@@ -180,16 +183,28 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sweep(spark, sf_dir)
 
 
-@query(f"{SWEEP}, j AS (SELECT max(hits / (n + pos - hits)) AS best, max(hits / pos) AS reach FROM d), v AS (SELECT * FROM j), q AS (SELECT user_id, avg((45 + value < 70)::INT) AS low, bool_or(45 + value < 54 AND event_id % 2 = 0) AS a, bool_or(45 + value < 54 AND event_id % 2 = 1) AS b FROM events GROUP BY 1) SELECT 'T2' AS rule, round(best, 6) AS value, round(0.7, 6) AS limit_value, best < 0.7 AS tripped FROM v UNION ALL SELECT 'T3', round(reach, 6), round(0.3, 6), reach > 0.3 FROM v UNION ALL SELECT 'T1', round(avg((low >= 0.3)::INT), 6), round(0.7, 6), avg((low >= 0.3)::INT) < 0.7 FROM q UNION ALL SELECT 'T4', round(avg((a AND b)::INT), 6), round(0.6, 6), avg((a AND b)::INT) < 0.6 FROM q")
+#: The limits of the decision table, and whether a value below trips.
+RULES = (("T1", 0.7, True), ("T2", 0.7, True), ("T3", 0.3, False), ("T4", 0.6, True))
+
+
+@query(f"""{SWEEP}, j AS (SELECT max(hits / (n + pos - hits)) AS v FROM d),
+m AS (SELECT user_id AS pid, event_id % 5 AS run, avg((45 + value < 70)::INT) >= 0.25 AS flag FROM events GROUP BY 1, 2), c AS (SELECT pid, avg(flag::INT) AS f FROM m GROUP BY 1),
+o AS (SELECT sum(abs(l_quantity)) AS q, sum(l_extendedprice) AS p, any_value(l_partkey) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey),
+x AS (SELECT avg(((q % 10 >= 4 AND (q * 7) % 10 >= 4) OR (k % 2 = 0 AND p >= 20000 AND q <= 30))::INT) AS v FROM o),
+h AS (SELECT bool_or(ts < timestamp '2024-01-16') AS a, bool_or(ts >= timestamp '2024-01-16') AS b FROM events WHERE value < 10 GROUP BY user_id),
+v AS (SELECT 'T1' AS rule, avg((f >= 0.8)::INT) AS value, 0.7 AS limit_value, true AS below FROM c WHERE f > 0 UNION ALL SELECT 'T2', v, 0.7, true FROM j UNION ALL SELECT 'T3', v, 0.3, false FROM x UNION ALL SELECT 'T4', avg((a AND b)::INT), 0.6, true FROM h)
+SELECT rule, round(value, 6) AS value, round(limit_value::DOUBLE, 6) AS limit_value, CASE WHEN below THEN value < limit_value ELSE value > limit_value END AS tripped FROM v""")
 def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T1 recurrence of the core, T2 best rule, T3 share of artifacts, T4 share present in both halves; shares of the given
-    readings stand for them."""
-    v = _sweep(spark, sf_dir).agg(F.max("jaccard").alias("best"), F.max("recall").alias("reach"))
-    g = F.col("g")
-    r = readings(spark, sf_dir).groupBy("pid").agg(F.avg((g < 70).cast("double")).alias("low"), F.max((g < 54) & (F.col("rid") % 2 == 0)).alias("even"), F.max((g < 54) & (F.col("rid") % 2 == 1)).alias("odd"))
-    w = r.agg(F.avg((F.col("low") >= 0.3).cast("double")).alias("recurrence"), F.avg((F.col("even") & F.col("odd")).cast("double")).alias("both")).head()
-    rules = {"T1": (F.lit(w["recurrence"]), 0.7, True), "T2": (F.col("best"), 0.7, True), "T3": (F.col("reach"), 0.3, False), "T4": (F.lit(w["both"]), 0.6, True)}
-    return stats.decisions(v, rules)
+    """T1: share of the core (member in 80 % of runs) among all that are a member in any; T2: best overlap of a threshold
+    rule; T3: share of artifacts; T4: share present in both halves. Each is written by its operator and judged by rules."""
+    r = readings(spark, sf_dir)
+    runs = r.groupBy("pid", F.pmod("rid", F.lit(5)).alias("run")).agg((F.avg((F.col("g") < 70).cast("double")) >= 0.25).alias("flag"))
+    core = cluster.recurrence(runs, "pid", "flag").where("frequency > 0").agg(F.avg(F.col("core").cast("double")).alias("value"))
+    best = _sweep(spark, sf_dir).agg(F.max("jaccard").alias("value"))
+    faults = cohort_queries.artifact_flags(spark, sf_dir).agg(F.avg(F.col("artifact").cast("double")).alias("value"))
+    halves = cohort_queries.half_presence(spark, sf_dir).where("discovery + validation > 0").agg(F.avg(F.col("both_halves").cast("double")).alias("value"))
+    each = [d.select(F.lit(rule).alias("rule"), F.col("value").cast("double").alias("value")) for rule, d in (("T1", core), ("T2", best), ("T3", faults), ("T4", halves))]
+    return stats.decisions(written(functools.reduce(DataFrame.unionByName, each), "values"), RULES)
 
 
 _SITE = f"""{R}, {GRID}, {BASE}, h AS (SELECT pid, {HOUR} AS hour, baseline, g - baseline AS excursion FROM base), o AS (SELECT pid, avg(baseline) AS mb, avg(excursion) AS me FROM h GROUP BY 1),

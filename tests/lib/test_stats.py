@@ -207,3 +207,22 @@ def test_fisher_from_the_mode_outwards():
         p = sum(v for v in chance.values() if v <= chance[a] * (1 + 1e-7)) / math.comb(n, col)
         assert abs(stats.fisher_exact(a, b, c, d) - p) < 1e-9
     assert 0 < stats.fisher_exact(2_501_000, 2_500_000, 2_500_000, 2_500_000) < 1
+
+
+def test_ladder_takes_the_first_arm_that_is_large_enough(spark):
+    rng = random.Random(3)
+    rows = [(k, k % 2, float(k % 2) + rng.gauss(0, 0.1), None if k % 3 else 1.0 * k, k % 10 == 0) for k in range(120)]
+    d = spark.createDataFrame(rows, "id long, y int, a double, b double, fasted boolean")
+    rungs = [classify.Rung("fasted", ["a"], F.col("fasted")), classify.Rung("paired", ["a", "b"]), classify.Rung("all", ["a"])]
+    got = {r.arm: r for r in classify.fit_ladder(d, "id", "y", rungs, reps=9, folds=3).collect()}
+    assert got["fasted"].status == "skipped: smallest class 0" and got["fasted"].n == 12 and got["fasted"].balanced_accuracy is None
+    assert got["paired"].status == "skipped: smallest class 20" and got["all"].chosen and not got["paired"].chosen
+    assert got["all"].balanced_accuracy > 0.95 and got["all"].p == 0.1
+    none = classify.fit_ladder(d, "id", "y", rungs[:2]).collect()
+    assert len(none) == 2 and not any(r.chosen for r in none)
+
+
+def test_decisions_by_rules_as_data(spark):
+    d = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("c", None)], "rule string, value double")
+    got = {r.rule: (r.value, r.tripped) for r in stats.decisions(d, [("a", 0.6, True), ("b", 0.6, False), ("c", 0.1, True), ("d", 0.1, True)]).collect()}
+    assert got == {"a": (0.5, True), "b": (0.5, False), "c": (None, False), "d": (None, False)}
