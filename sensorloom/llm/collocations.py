@@ -19,7 +19,7 @@ are a slice of their own. An empty table gives no phrases.
 
 from __future__ import annotations
 
-import pickle
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm import double_array
-from sensorloom.llm.slices import bits_of, buckets_for, bytes_of, frequent, hashes_of, joined, packed, slice_table, unpacked, words_of
+from sensorloom.llm.slices import bits_of, buckets_for, bytes_of, frequent, hashes_of, joined, packed, slice_table, trim, unpacked, words_of
 from sensorloom.llm.token_table import mix
 from sensorloom.llm.vectors import SCHEMA, entries, rows_of, tree_sum
 from sensorloom.session import discard, written
@@ -146,7 +146,10 @@ def _level(k: int, buckets: int, last: bool):
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(text.raw[at])])
                 langs = pa.DictionaryArray.from_arrays(pa.array(text.lang[begin].astype(np.int32)), pa.array(text.langs)).cast(pa.string())
                 out.append(_found(base, -1, [None], payload=[packed(pa.RecordBatch.from_arrays([langs, texts], ["lang", "text"]))]))
-        return pa.concat_tables(out) if out else _FOUND.empty_table()
+        out = pa.concat_tables(out) if out else _FOUND.empty_table()
+        del text, tokens, first, which
+        trim()
+        return out
 
     return run
 
@@ -167,29 +170,39 @@ def _candidates(slices: DataFrame, least: int, buckets: int) -> tuple[DataFrame,
 
 def _trie(key: tuple, table: pa.Table) -> pa.Table:
     """A block's phrases with their numbers, and a row (number -1) with the packed trie."""
-    table = table.combine_chunks()
     block, n = key[0].as_py(), table.num_rows
-    text = Text(table["lang"].combine_chunks(), table["phrase"].combine_chunks())
+    langs, phrases = (table[c].combine_chunks() for c in ("lang", "phrase"))
+    text = Text(langs, phrases)
     known, which = np.unique(text.words, return_inverse=True)
-    lengths = np.diff(text.bounds)
-    words = np.zeros((n, 3), np.int64)
+    lengths, bounds = np.diff(text.bounds), text.bounds
+    del text
+    words = np.zeros((n, 3), np.int32)
     for j in range(3):
         some = np.flatnonzero(lengths > j)
-        words[some, j] = which[text.bounds[some] + j]
+        words[some, j] = which[bounds[some] + j]
+    del which, bounds
     trie = double_array.build(words, lengths)
-    body = zstandard.ZstdCompressor(level=1).compress(pickle.dumps((n, known, trie.base, trie.check, trie.number)))
-    return pa.Table.from_arrays(
-        [pa.array([block] * (n + 1), pa.int64()), pa.array([*range(n), -1], pa.int64()), pa.array([*table["lang"].to_pylist(), None], pa.string()), pa.array([*table["phrase"].to_pylist(), None], pa.string()), pa.array([*[None] * n, body], pa.binary())],
-        ["block", "number", "lang", "phrase", "trie"],
-    )
+    del words, lengths
+    head = struct.pack("<QQQ", n, len(known), len(trie.base))
+    body = zstandard.ZstdCompressor(level=1).compress(b"".join([head, known.tobytes(), *(x.astype("<i4").tobytes() for x in (trie.base, trie.check, trie.number))]))
+    last = lambda column: pa.concat_arrays([column, pa.nulls(1, column.type)])
+    numbers = np.arange(n + 1)
+    numbers[n] = -1
+    tries = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([body], pa.binary())])
+    del trie, known
+    trim()
+    return pa.Table.from_arrays([pa.array(np.full(n + 1, block)), pa.array(numbers), last(langs), last(phrases), tries], ["block", "number", "lang", "phrase", "trie"])
 
 
 class Counter:
-    """A block's trie in a task, and what was counted so far."""
+    """A block's trie in a task, and what was counted so far. Its arrays are views of one buffer."""
 
     def __init__(self, body: bytes):
-        n, known, *arrays = pickle.loads(zstandard.ZstdDecompressor().decompress(body))
-        self.numbers, self.trie, self.counts = double_array.Numbers(known), double_array.DoubleArray(*arrays), np.zeros(n, np.int64)
+        data = zstandard.ZstdDecompressor().decompress(body)
+        n, known, slots = struct.unpack_from("<QQQ", data)
+        arrays = [np.frombuffer(data, "<i4", slots, 24 + 8 * known + 4 * slots * k) for k in range(3)]
+        self.numbers, self.trie = double_array.Numbers(np.frombuffer(data, "<u8", known, 24)), double_array.DoubleArray(*arrays)
+        self.counts = np.zeros(n, np.int64)
 
     def add(self, text: Text) -> None:
         """All places of a text go through the trie together, a word at each level."""
@@ -219,7 +232,9 @@ def _counted(slices: DataFrame, tries: DataFrame) -> DataFrame:
             for batch in batches:
                 for payload in batch["payload"]:
                     counter.add(_text(payload.as_buffer()))
-            yield rows_of(counter.counts, block, TaskContext.get().partitionId())
+            counts, counter = counter.counts, None
+            trim()
+            yield rows_of(counts, block, TaskContext.get().partitionId())
 
         summed = written(entries(tree_sum(slices.select("payload").mapInArrow(count, SCHEMA), parts)), "counts")
         shared.destroy()
@@ -231,7 +246,7 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     """(lang, phrase, k, f): all phrases of 2 to 3 words with f >= ``least`` and the words in them, with exact counts; and
     (lang, n): all word occurrences."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    slices, buckets = slice_table(rows, "text", "slices"), buckets_for(rows)
+    slices, buckets = slice_table(rows, "text", "slices"), 2 * buckets_for(rows)
     found, sizes = _candidates(slices, least, buckets)
     blocks = 1 + found.count() // block
     dealt = found.withColumn("block", F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)))

@@ -34,22 +34,22 @@ class DoubleArray:
 def build(words: np.ndarray, lengths: np.ndarray) -> DoubleArray:
     """The trie of distinct sequences: ``words`` has one in each row, the first ``lengths`` of a row count."""
     n = len(words)
-    symbols = np.stack([words >> LOW, words & ((1 << LOW) - 1)], 2).reshape(n, -1).astype(np.int64)
     node, nodes = np.zeros(n, np.int64), 1
-    parents, by, ends = [], [], np.full(n, 0, np.int64)
-    for d in range(symbols.shape[1]):
+    parents, by = [], []
+    for d in range(2 * words.shape[1]):
         rows = np.flatnonzero(2 * lengths > d)
         if not len(rows):
             break
-        kinds, which = np.unique(node[rows] << 32 | symbols[rows, d], return_inverse=True)
-        parents.append(kinds >> 32)
-        by.append(kinds & 0xFFFFFFFF)
+        own = words[rows, d // 2].astype(np.int64)
+        kinds, which = np.unique(node[rows] << 32 | (own & ((1 << LOW) - 1) if d % 2 else own >> LOW), return_inverse=True)
+        parents.append((kinds >> 32).astype(np.int32))
+        by.append((kinds & 0xFFFFFFFF).astype(np.int32))
         node[rows] = nodes + which
         nodes += len(kinds)
     ends = node
     parent, symbol = np.concatenate(parents), np.concatenate(by)  # of nodes 1, 2 ...
     base_of = _placed(parent, symbol, nodes)
-    slot = np.zeros(nodes, np.int64)
+    slot = np.zeros(nodes, np.int32)
     slot[1:] = base_of[parent] + symbol
     size = int(slot.max()) + int(symbol.max()) + 2
     size = max(size, int(base_of.max()) + int(symbol.max()) + 2)
@@ -67,10 +67,10 @@ def _placed(parent: np.ndarray, symbol: np.ndarray, nodes: int) -> np.ndarray:
     first = np.r_[0, np.cumsum(sizes)][:-1]
     inner = np.flatnonzero(sizes)
     inner = inner[np.argsort(-sizes[inner], kind="stable")]
-    room = 2 * len(parent) + int(symbol.max()) + 64
-    taken, claim = np.zeros(room, bool), np.full(room, -1, np.int64)
+    room = 3 * len(parent) // 2 + int(symbol.max()) + 64
+    taken, claim = np.zeros(room, bool), np.full(room, -1, np.int32)
     taken[0] = True
-    base = np.zeros(nodes, np.int64)
+    base = np.zeros(nodes, np.int32)
     a = 0
     while a < len(inner):
         # Nodes of about one size, with no more children than an eighth of the slots.
@@ -94,7 +94,7 @@ def _placed(parent: np.ndarray, symbol: np.ndarray, nodes: int) -> np.ndarray:
             left, tries = left[~good], tries + 1
             if tries % 60 == 0:
                 taken = np.r_[taken, np.zeros(len(taken) // 2, bool)]
-                claim = np.r_[claim, np.full(len(taken) - len(claim), -1)]
+                claim = np.r_[claim, np.full(len(taken) - len(claim), -1, np.int32)]
     return base
 
 

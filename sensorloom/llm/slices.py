@@ -11,6 +11,9 @@ The number of buckets follows the input, so a bucket holds as much at any size.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import struct
 from collections.abc import Callable, Iterator
 
@@ -70,6 +73,25 @@ def hashes_of(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool)
     return out
 
 
+@functools.cache
+def _allocator():
+    """The C library, where it can give memory back."""
+    try:
+        library = ctypes.CDLL(None)
+        library.malloc_trim  # noqa: B018
+        return library
+    except (AttributeError, OSError):
+        return None
+
+
+def trim() -> None:
+    """Gives back what a task's arrays held, as the worker lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _allocator() is not None:
+        _allocator().malloc_trim(0)
+
+
 def slice_table(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """A written row (base, payload) for each slice; payloads hold all columns of ``docs``."""
 
@@ -113,23 +135,28 @@ def _count(least: int, width: int, first: bool):
             sizes.append(n)
             tokens.append(np.frombuffer(payload, np.uint8, width * n, 5).reshape(n, width))
             counts.append(np.frombuffer(payload, f"<u{size}", n, 5 + width * n).astype(np.uint32))
-        whole = np.zeros((sum(sizes), 8), np.uint8)
-        whole[:, :width] = np.concatenate(tokens)
+        total = sum(sizes)
+        whole, ends = np.zeros((total, 8), np.uint8), np.cumsum(sizes)
+        for own, end in zip(tokens, ends.tolist(), strict=True):
+            whole[end - len(own) : end, :width] = own
         del tokens
-        token = whole.view("<u8").ravel()
-        order = np.argsort(token)
-        ranked = token[order]
+        order = np.argsort(whole.view("<u8").ravel())
+        ranked = whole.view("<u8").ravel()[order]
+        del whole
         heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        enough = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), heads) >= least
-        often = np.empty(len(token), bool)
-        often[order] = np.repeat(enough, np.diff(np.r_[heads, len(token)]))
+        del ranked
+        enough = np.add.reduceat(np.concatenate(counts)[order], heads, dtype=np.int64) >= least
+        often = np.empty(total, bool)
+        often[order] = np.repeat(enough, np.diff(np.r_[heads, total]))
         bits = [np.packbits(x).tobytes() for x in np.split(often, np.cumsum(sizes)[:-1])]
         columns = [table["base"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(bits, pa.binary())]
         if first:
             # Of equal tokens the one of the first row.
-            mark = np.zeros(len(token), bool)
+            mark = np.zeros(total, bool)
             mark[np.minimum.reduceat(order, heads)] = True
             columns.append(pa.array([np.packbits(x).tobytes() for x in np.split(mark, np.cumsum(sizes)[:-1])], pa.binary()))
+        del order, heads
+        trim()
         return pa.Table.from_arrays(columns, ["base", "bucket", "bits", "firsts"][: len(columns)])
 
     return run
