@@ -7,16 +7,21 @@ base kinds). A context word within ``NEAR`` characters before a span raises its
 a higher score to start with. Positions count code points, ends are exclusive.
 
 A null text is empty; so an empty or null text has no spans, and a null id passes. Repeated rows are judged each by
-itself. Nothing is shuffled and no Python runs, so a long text costs its own length and only its own task. The patterns
-are possessive and begin only where a run of their characters begins, so that no text makes them go back and forth.
+itself. Nothing is shuffled and no Python runs, so a long text costs its own length and only its own task (``redact``: its
+length times its spans). The patterns are possessive and begin only where a run of their characters begins, so that no text
+makes them go back and forth.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEAR = 40
+#: Matches of a text whose places are summed up together.
+CHUNK = 256
 
 #: Proposing patterns. \G (where the last match ended) keeps a proposal that begins right behind another.
 PATTERNS = {
@@ -80,21 +85,41 @@ def _valid(kind: str, text: Column) -> Column:
 _SPAN = "struct<kind:string,first:int,last:int,text:string,score:double>"
 
 
-def _spans(kind: str, text: Column, matches: Column, gaps: Column) -> Column:
-    """Valid spans of a kind, in order. ``gaps``: the pieces before, between and behind the matches."""
-    width = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("w"), m.alias("m")))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _placed(pairs: Column) -> Column:
+    """(first, m, before) of the matches ``m`` among pairs of gap and match: places are running sums of lengths, first over
+    chunks of ``CHUNK`` pairs and then inside each; ``before``: the ``NEAR`` characters that stand before a match, which come
+    from the gap and what is kept of the pairs before it, never from the text. So a text with many matches costs its length."""
+    chunks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int"))
+    of = lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK))
+    totals = F.transform(chunks, lambda c: F.aggregate(of(c), F.lit(0), lambda a, x: a + x["g"] + x["w"]))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(totals, begin, lambda a, t: F.struct((a["at"] + t).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+    kept = lambda t: F.right(t, F.lit(NEAR))
+    # Each pair has a character at least, so as many pairs as characters say all.
+    tail = lambda c: kept(F.array_join(F.transform(F.slice(pairs, F.greatest(c * CHUNK - NEAR, F.lit(0)) + 1, F.least(c * CHUNK, F.lit(NEAR))), lambda x: F.concat(x["near"], x["m"])), ""))
 
     def walk(a: Column, x: Column) -> Column:
-        first = a["at"] + x["g"]
-        return F.struct((first + x["w"]).alias("at"), F.array_append(a["found"], F.struct(first.alias("first"), x["m"].alias("m"))).alias("found"))
+        first, before = a["at"] + x["g"], kept(F.concat(a["tail"], x["near"]))
+        one = F.struct(first.alias("first"), x["m"].alias("m"), before.alias("before"))
+        return F.struct((first + x["w"]).alias("at"), kept(F.concat(before, x["m"])).alias("tail"), F.array_append(a["out"], one).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,m:string>>").alias("found"))
-    found = F.aggregate(F.filter(width, lambda x: x["m"].isNotNull()), start, walk, lambda a: a["found"])
+    none = F.array().cast("array<struct<first:int,m:string,before:string>>")
+    inside = lambda s, c: F.aggregate(of(c), F.struct(s.alias("at"), tail(c).alias("tail"), none.alias("out")), walk, lambda a: a["out"])
+    return F.flatten(F.transform(starts, inside))
+
+
+def _spans(kind: str, matches: Column, gaps: Column) -> Column:
+    """Valid spans of a kind, in order. ``gaps``: the pieces before, between and behind the matches."""
+    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), F.right(g, F.lit(NEAR)).alias("near"), F.length(m).alias("w"), m.alias("m")))
+    found = _bound(F.filter(pairs, lambda x: x["m"].isNotNull()), _placed)
 
     def scored(x: Column) -> Column:
-        low = F.greatest(x["first"] - NEAR, F.lit(0))
-        near = F.lower(F.substring(text, low + 1, x["first"] - low)).rlike(CONTEXT[kind])
-        score = F.lit(SCORES[kind]) + F.when(near, CONTEXT_GAIN).otherwise(0.0)
+        score = F.lit(SCORES[kind]) + F.when(F.lower(x["before"]).rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), x["first"].alias("first"), (x["first"] + F.length(x["m"])).alias("last"), x["m"].alias("text"), F.least(F.lit(1.0), score).alias("score")).cast(_SPAN)
 
     return F.transform(F.filter(found, lambda x: _valid(kind, x["m"])), scored)
@@ -110,7 +135,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
     for kind in kinds:
         rows = rows.withColumn(f"g_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split("text", PATTERNS[kind], -1)).otherwise(none))
     # A text without matches takes the short way.
-    spans = [F.when(F.size(f"m_{kind}") > 0, _spans(kind, F.col("text"), F.col(f"m_{kind}"), F.col(f"g_{kind}"))).otherwise(F.array().cast(f"array<{_SPAN}>")) for kind in kinds]
+    spans = [F.when(F.size(f"m_{kind}") > 0, _spans(kind, F.col(f"m_{kind}"), F.col(f"g_{kind}"))).otherwise(F.array().cast(f"array<{_SPAN}>")) for kind in kinds]
     return rows.select(F.col("id").alias(id_col), F.concat(*spans).alias("spans"))
 
 

@@ -55,6 +55,22 @@ def test_edges(spark):
     check(spark, texts)
 
 
+def test_many_matches_in_one_text(spark):
+    """50,000 matches take seconds; places hold over the bounds of chunks, near and far from each other."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    dense = "".join(rng.choice(["mail ab@cd.co ", "ab@cd.co ", "é 1.2.3.4,", "call +49 30 1234567 ", "x" * 90 + " a@b.c "]) for _ in range(3_000))
+    check(spark, [dense, "a@b.c " * 257, "a@b.c " * 256, "a@b.c_" * 600])
+    rows = spark.createDataFrame([(1, "mail ab@cd.co " * 50_000)], "doc_id long, text string")
+    began = time.time()
+    r = pii.digest(pii.find_pii(rows)).collect()[0]
+    assert r.n_email == 50_000 and abs(r.score_sum - 50_000) < 1e-6 and time.time() - began < 60
+    plain = pii.find_pii(spark.createDataFrame([(1, "".join(f"w{k} ab@cd.co " + "-" * (k % 50) for k in range(900)) + "mail" + " " * 35 + "a@b.c" + " " * 40 + "a@b.c")], "doc_id long, text string")).collect()[0].spans
+    assert [round(x.score, 6) for x in plain[-2:]] == [1.0, 0.8] and {round(x.score, 6) for x in plain[:-2]} == {0.8}
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(st.sampled_from(list("a.@-+_ 0123456789(é")), max_size=40), min_size=200, max_size=200))
 def test_random(spark, texts):
