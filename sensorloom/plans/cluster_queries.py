@@ -344,13 +344,12 @@ def arm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, (rows.agg(F.lit(name).alias("arm"), F.count("*").alias("n"), F.sum("person_id").alias("ids")) for name, rows, _ in arms))
 
 
-#: From the narrowest arm to the widest: few persons, one segment (as the fasted ones), two measurements side by side, one.
-_RUNGS = (
-    classify.Rung("few", ["bal", "mean_price", "max_price"], (F.col("segment") == "BUILDING") & (F.col("n_orders") > 20)),
-    classify.Rung("one segment", ["bal", "mean_price", "max_price"], F.col("segment") == "BUILDING"),
-    classify.Rung("paired", ["bal", "n_orders"]),
-    classify.Rung("account", ["bal"]),
-)
+def _rungs() -> list[classify.Rung]:
+    """From the narrowest arm to the widest: few persons, one segment (as the fasted ones), two measurements side by side, one."""
+    own, whole = F.col("segment") == "BUILDING", ["bal", "mean_price", "max_price"]
+    return [classify.Rung("few", whole, own & (F.col("n_orders") > 20)), classify.Rung("one segment", whole, own), classify.Rung("paired", ["bal", "n_orders"]), classify.Rung("account", ["bal"])]
+
+
 _RUNG = lambda k, arm, where: f"SELECT {k} AS rung, '{arm}' AS arm, y, count(*) FILTER ({where}) AS c FROM a GROUP BY y"
 _WHOLE = "bal IS NOT NULL AND mean_price IS NOT NULL AND max_price IS NOT NULL"
 
@@ -363,13 +362,13 @@ SELECT *, CASE WHEN smallest >= 25 THEN 'ok' ELSE 'skipped: smallest class ' ||
 def arm_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which arm of a ladder is the first with 25 rows in its smallest class, and why those before it aren't."""
     d = analysis(spark, sf_dir).withColumn("y", F.pmod(F.col("nation"), F.lit(3)).cast("int"))
-    return classify.ladder(d, "person_id", "y", _RUNGS)
+    return classify.ladder(d, "person_id", "y", _rungs())
 
 
 @query()
 def fitted_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = analysis(spark, sf_dir).withColumn("y", F.pmod(F.col("nation"), F.lit(3)).cast("int"))
-    return classify.fit_ladder(d, "person_id", "y", _RUNGS)
+    return classify.fit_ladder(d, "person_id", "y", _rungs())
 
 
 @query()
