@@ -99,7 +99,7 @@ def student_p(t: Column, df: Column) -> Column:
     x, half = df / (df + t * t), F.lit(0.5)
     near = _beta(x, df / 2, half)
     far = 1 - _beta(1 - x, half, df / 2)
-    few = F.when(t == 0, 1.0).when(x < (df / 2 + 1) / (df / 2 + 2.5), near).otherwise(far)
+    few = F.when(x >= 1, 1.0).when(x < (df / 2 + 1) / (df / 2 + 2.5), near).otherwise(far)
     many = normal_p((8 * df + 1) / (8 * df + 3) * F.sqrt(df * F.log(1 + t * t / df)))
     return F.when(df > 0, F.when(df > MANY, many).otherwise(few))
 

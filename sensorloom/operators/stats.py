@@ -216,8 +216,9 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def spearman_p(rho: DataFrame) -> DataFrame:
-    """Adds t and its two-sided p to rows (n, rho)."""
-    t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0)))
+    """Adds t and its two-sided p to rows (n, rho); null where rho is 1 or -1 but for rounding."""
+    rest = 1 - F.col("rho") * F.col("rho")
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.when(rest > 1e-12, rest))
     return rho.withColumns({"t": t, "df": F.col("n") - 2}).withColumn("p", chances.student_p(F.col("t"), F.col("df")))
 
 

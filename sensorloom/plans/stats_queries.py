@@ -99,7 +99,7 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH a0 AS ({ANALYSIS}), a AS (SELECT nation, bal AS x, max_price AS y FROM a0 WHERE max_price IS NOT NULL),
 k AS (SELECT nation, rank() OVER (PARTITION BY nation ORDER BY x) + (count(*) OVER (PARTITION BY nation, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY nation ORDER BY y) + (count(*) OVER (PARTITION BY nation, y) - 1) / 2 AS ry FROM a),
-r AS (SELECT nation, count(*) AS n, corr(rx, ry) AS rho FROM k GROUP BY 1), t AS (SELECT *, rho * sqrt((n - 2) / nullif(1 - rho * rho, 0)) AS t, n - 2 AS df FROM r)
+r AS (SELECT nation, count(*) AS n, corr(rx, ry) AS rho FROM k GROUP BY 1), t AS (SELECT *, CASE WHEN 1 - rho * rho > 1e-12 THEN rho * sqrt((n - 2) / (1 - rho * rho)) END AS t, n - 2 AS df FROM r)
 SELECT nation, n, round(rho, 6) AS rho, round(t, 6) AS t, df, round({chances.student_p_sql('t', 'df')}, 6) AS p FROM t""")
 def spearman_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.spearman_p(stats.spearman(analysis(spark, sf_dir).select("nation", "bal", "max_price"), "bal", "max_price", ["nation"]))
