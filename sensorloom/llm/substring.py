@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.slices import bits_of, buckets_for, bytes_of, frequent, hashes_of, joined, packed, slice_table, unpacked, words_of
+from sensorloom.llm.slices import bits_of, buckets_for, bytes_of, frequent, hashes_of, joined, packed, slice_table, trim, unpacked, words_of
 from sensorloom.llm.token_table import _WHITE as WHITE
 from sensorloom.llm.token_table import mix
 from sensorloom.session import discard, written
@@ -117,6 +117,17 @@ class Level:
         return np.searchsorted(self.bounds, first, "right") - 1, first, last
 
 
+def _trimmed(run: Callable[[int, bytes, pa.Table], pa.Table]) -> Callable[[int, bytes, pa.Table], pa.Table]:
+    """``run``, after which the worker gives back what a slice took."""
+
+    def of(base: int, payload: bytes, found: pa.Table) -> pa.Table:
+        out = run(base, payload, found)
+        trim()
+        return out
+
+    return of
+
+
 def _no_rows(schema: pa.Schema) -> pa.Table:
     return schema.empty_table()
 
@@ -167,12 +178,12 @@ def _levelled(slices: DataFrame, text_col: str, window: int, buckets: int) -> Da
     *parts, _ = levels(window)
     for length in parts:
         found = frequent(units, lambda p, n=length, c=column: (lambda x: (x.tokens, x.counts))(Level(p, window, n, c)), 2, buckets)
-        before, units = units, written(joined(units, found, _narrowed(window, length, column, buckets), "base bigint, payload binary"), "regions")
+        before, units = units, written(joined(units, found, _trimmed(_narrowed(window, length, column, buckets)), "base bigint, payload binary"), "regions")
         if before is not slices:
             discard(before)
         column = None
     found = frequent(units, lambda p, c=column: (lambda x: (x.tokens, x.counts))(Level(p, window, window, c)), 2, buckets)
-    spans = written(joined(units, found, _repeated(window, column, buckets), "base bigint, doc binary, first binary, last binary"), "spans")
+    spans = written(joined(units, found, _trimmed(_repeated(window, column, buckets)), "base bigint, doc binary, first binary, last binary"), "spans")
     if units is not slices:
         discard(units)
     return spans
@@ -198,7 +209,7 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW)
 
 def _finished(rows: DataFrame, text_col: str, window: int, run: Callable, schema) -> DataFrame:
     slices, buckets = slice_table(rows, text_col, "slices"), buckets_for(rows)
-    return joined(slices, _levelled(slices, text_col, window, buckets), run, schema)
+    return joined(slices, _levelled(slices, text_col, window, buckets), _trimmed(run), schema)
 
 
 def _staying(words: list[bytes], first: list[int], last: list[int]) -> bytes:
