@@ -35,14 +35,16 @@ ANALYSIS = """
   SELECT c.c_custkey AS person_id, c.c_nationkey AS nation, c.c_acctbal AS bal, c.c_mktsegment AS segment,
          o.n_orders, o.mean_price, o.max_price, o.first_day
   FROM customer c LEFT JOIN (
-    SELECT o_custkey, count(*) AS n_orders, avg(o_totalprice) AS mean_price, max(o_totalprice) AS max_price, min(o_orderdate)::DATE AS first_day
+    SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice::DECIMAL(24, 6))::DOUBLE / nullif(count(o_totalprice), 0) AS mean_price, max(o_totalprice) AS max_price, min(o_orderdate)::DATE AS first_day
     FROM orders GROUP BY 1) o ON c.c_custkey = o.o_custkey"""
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each person: customers with what their orders add up to (null without orders)."""
+    """One row for each person: customers with what their orders add up to (null without orders). Prices are summed as
+    decimals, so that equal orders give equal means in any order of the rows: ranks depend on which means are tied."""
+    mean = F.sum(F.col("o_totalprice").cast("decimal(24,6)")).cast("double") / F.nullif(F.count("o_totalprice"), F.lit(0))
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("person_id")).agg(
-        F.count("*").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("max_price"), F.min("o_orderdate").cast("date").alias("first_day")
+        F.count("*").alias("n_orders"), mean.alias("mean_price"), F.max("o_totalprice").alias("max_price"), F.min("o_orderdate").cast("date").alias("first_day")
     )
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("segment"))
     return people.join(orders, "person_id", "left")

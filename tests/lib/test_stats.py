@@ -226,3 +226,22 @@ def test_decisions_by_rules_as_data(spark):
     d = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("c", None)], "rule string, value double")
     got = {r.rule: (r.value, r.tripped) for r in stats.decisions(d, [("a", 0.6, True), ("b", 0.6, False), ("c", 0.1, True), ("d", 0.1, True)]).collect()}
     assert got == {"a": (0.5, True), "b": (0.5, False), "c": (None, False), "d": (None, False)}
+
+
+def test_equal_orders_are_tied_whatever_their_row_order(spark, tmp_path):
+    import duckdb
+
+    from sensorloom.plans import stats_queries, views
+
+    prices = [0.1, 0.2, 0.3]
+    spark.createDataFrame([(k, 0, 1.0, "A") for k in (1, 2)], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = [(c, x) for c, own in ((1, prices), (2, prices[::-1])) for x in own]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_totalprice double").coalesce(1)
+    orders.selectExpr("*", "timestamp'2024-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    assert len({r["mean_price"] for r in views.analysis(spark, str(tmp_path)).collect()}) == 1
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(stats_queries.SQL["mid_ranks"]).fetchall()
+    got = [(r["person_id"], r["variable"], r["rank"]) for r in stats_queries.QUERIES["mid_ranks"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {r[2] for r in got if r[1] == "mean_price"} == {1.5}
