@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators import cohort, normal, replicates, stats
+from sensorloom.session import written
 
 #: Rows of a group of exact distances, and of a step inside it.
 BLOCK, STEP = 4_000, 1_000
@@ -252,10 +253,11 @@ def shuffle_null(df: DataFrame, key: str, columns: Sequence[str], k: int, reps:
 
 def copula_null(df: DataFrame, key: str, columns: Sequence[str], k: int, draws: int = 200, starts: int = 5, seed: int = 0) -> DataFrame:
     """Silhouette of k-means against draws with the columns' marginals and correlation but no clusters, each brought to
-    standard scores and fitted anew."""
+    standard scores and fitted anew. Up to ``HELD`` values the draws are made where they are stored, without a shuffle."""
     own = replicates.points(df, key, columns)
     observed = replicates.quality(own, replicates.fit_runs(own, [0], k, starts, seed=seed))[0].silhouette
-    rows = replicates.points(gaussian_copula_draws(df, key, columns, draws, seed), "row", columns, "rep")
+    small = 0 < df.count() * len(columns) <= HELD
+    rows = drawn_blocks(df, key, columns, draws, seed) if small else replicates.points(gaussian_copula_draws(df, key, columns, draws, seed), "row", columns, "rep")
     scaled = replicates.standard_scores(rows, range(draws))
     found = replicates.quality(rows, replicates.fit_runs(rows, range(draws), k, starts, seed=seed, deal=scaled), scaled)
     return _null_summary(df.sparkSession, observed, {r: q.silhouette for r, q in found.items()}, True)
@@ -263,6 +265,8 @@ def copula_null(df: DataFrame, key: str, columns: Sequence[str], k: int, draws:
 
 #: Draws of a task's chunk, values of a marginal's block, and looked-up values of a group.
 DRAWS, VALUES, LOOKUPS = 20_000, 65_536, 2_000_000
+#: Values of all marginals up to which they are sent to the tasks that draw (8 bytes each).
+HELD = 16_000_000
 
 
 def normal_covariance(df: DataFrame, key: str, columns: Sequence[str]) -> tuple[np.ndarray, list[int]]:
@@ -314,7 +318,43 @@ def marginal_blocks(df: DataFrame, columns: Sequence[str], size: int) -> DataFra
 
 def drawn(seed: int, chunk: int, rows: int, low: np.ndarray) -> np.ndarray:
     """Uniform marginals of a chunk's draws with the correlation that ``low`` factors."""
-    return normal.cdf(np.random.default_rng([seed, chunk]).standard_normal((rows, len(low))) @ low.T)
+    return normal.quick_cdf(np.random.default_rng([seed, chunk]).standard_normal((rows, len(low))) @ low.T)
+
+
+def drawn_blocks(df: DataFrame, key: str, columns: Sequence[str], draws: int, seed: int = 0) -> DataFrame:
+    """The draws of ``gaussian_copula_draws`` as a written table of blocks (run, first: row of the run, rows, values: 4-byte
+    floats by row). The sorted values of the columns, ``HELD`` at most, are broadcast. Rows with a missing value are left out."""
+    spark, n, width = df.sparkSession, df.count(), len(columns)
+    covariance, sizes = normal_covariance(df, key, columns)
+    low, total = np.linalg.cholesky(covariance + 1e-9 * np.eye(width)), n * draws
+    counted = _by_column(df, [], columns).groupBy("column", "value").agg(F.count("*").alias("ties")).toArrow()
+    of, value, ties = (counted[c].to_numpy() for c in ("column", "value", "ties"))
+    known = []
+    for j in range(width):
+        own = np.flatnonzero(of == j)
+        own = own[np.argsort(value[own])]
+        known.append(np.repeat(value[own], ties[own]) if len(own) else np.array([np.nan]))
+    shared, most = spark.sparkContext.broadcast(known), np.maximum(np.array(sizes), 1) - 1
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in batch["id"].to_pylist():
+                ids = np.arange(chunk * DRAWS, min(total, (chunk + 1) * DRAWS))
+                at = drawn(seed, chunk, len(ids), low) * most
+                x = np.empty((len(ids), width), "<f4")
+                for j, values in enumerate(shared.value):
+                    below = at[:, j].astype(np.int64)
+                    share = at[:, j] - below
+                    x[:, j] = values[below] * (1 - share) + values[np.minimum(below + 1, len(values) - 1)] * share
+                run, row, good = ids // n, ids % n, ~np.isnan(x).any(1)
+                for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(run)) + 1):
+                    own = part[good[part]]
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([pa.array([int(run[part[0]])], pa.int32()), pa.array([int(row[part[0]])], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([x[own].tobytes()], pa.binary())], ["run", "first", "rows", "values"])
+
+    chunks = -(-total // DRAWS)
+    tasks = min(chunks, max(spark.sparkContext.defaultParallelism, chunks // 64))
+    return written(spark.range(0, chunks, 1, tasks).mapInArrow(draw, "run int, first bigint, rows int, values binary"), "draws")
 
 
 def gaussian_copula_draws(df: DataFrame, key: str, columns: Sequence[str], draws: int, seed: int = 0, values: int = VALUES) -> DataFrame:

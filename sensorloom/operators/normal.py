@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 _TERMS = 130
@@ -17,6 +19,31 @@ def cdf(x: np.ndarray) -> np.ndarray:
     return np.clip(0.5 + total * density(near), 0.0, 1.0)
 
 
+_STEP = 1 / 128
+
+
+@functools.cache
+def _knots() -> np.ndarray:
+    """Taylor coefficients of ``cdf`` at places ``_STEP`` apart, a row for each order."""
+    x = np.arange(-960, 961) * _STEP
+    f = density(x)
+    return np.stack([cdf(x), f, -x * f / 2, (x * x - 1) * f / 6, (3 * x - x**3) * f / 24])
+
+
+def quick_cdf(x: np.ndarray) -> np.ndarray:
+    """``cdf`` to about 1e-14 from a table, for millions of values."""
+    near = np.clip(x, -7.5, 7.5)
+    at = np.rint(near / _STEP).astype(np.int64)
+    h = near - at * _STEP
+    at += 960
+    terms = _knots()
+    out = terms[4][at]
+    for k in (3, 2, 1, 0):
+        out *= h
+        out += terms[k][at]
+    return np.clip(out, 0.0, 1.0, out=out)
+
+
 def density(x: np.ndarray) -> np.ndarray:
     return np.exp(-0.5 * x * x) / np.sqrt(2 * np.pi)
 

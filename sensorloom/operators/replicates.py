@@ -28,6 +28,8 @@ from sensorloom.session import written
 
 #: Rows of a run that starting centres are picked from, and rows of a block.
 SAMPLE, TASK_ROWS = 256, 50_000
+#: Rows whose distances to all centres of a run are held at once.
+CHUNK = 4_096
 #: The distribution function of Poisson(1), in millionths and a little.
 POISSON = (367_879, 735_759, 919_699, 981_012, 996_340, 999_406)
 
@@ -47,7 +49,8 @@ def hashes(keys: np.ndarray, rep: int, seed: int = 0) -> np.ndarray:
 
 def poisson_draws(seed: int = 0) -> Weight:
     """How often a row is drawn in a run: Poisson(1)."""
-    return lambda keys, run: np.searchsorted(POISSON, hashes(keys, run, seed), side="right").astype(float)
+    times = np.searchsorted(POISSON, np.arange(1_000_003), side="right").astype(float)
+    return lambda keys, run: times[hashes(keys, run, seed)]
 
 
 def halves(seed: int = 0, second: bool = False) -> Weight:
@@ -63,7 +66,7 @@ def points(df: DataFrame, key: str, columns: Sequence[str], run: str | None = No
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
 
 
 def _parts(batch: pa.RecordBatch, runs: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -73,6 +76,10 @@ def _parts(batch: pa.RecordBatch, runs: Sequence[int]) -> Iterator[tuple[int, np
         yield from ((r, every) for r in runs)
         return
     own, runs = batch["run"].to_numpy(), set(runs)
+    if len(own) and (own == own[0]).all():
+        if int(own[0]) in runs:
+            yield int(own[0]), np.arange(len(own))
+        return
     order = np.argsort(own, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
         if len(part) and int(own[part[0]]) in runs:
@@ -99,8 +106,17 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of rows; of a table ``in_blocks``, its blocks."""
+    """Batches of rows; of a table ``in_blocks`` or of drawn blocks (run, first, rows, values), its blocks."""
     for batch in batches:
+        if "values" in batch.schema.names:
+            for k, (run, first, rows, held) in enumerate(zip(*(batch[c] for c in ("run", "first", "rows", "values")), strict=True)):
+                x = pa.array(np.frombuffer(held.as_buffer(), "<f4"))
+                n = rows.as_py()
+                columns = [pa.array(np.arange(first.as_py(), first.as_py() + n)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, len(x) // n, np.int32)), x), pa.array(np.full(n, run.as_py(), np.int32))]
+                if "_g" in batch.schema.names:
+                    columns.append(pa.array(np.full(n, batch["_g"][k].as_py(), np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, ["key", "x", "run", "_g"][: len(columns)])
+            continue
         if "packed" not in batch.schema.names:
             yield batch
             continue
@@ -115,7 +131,7 @@ def shuffled_columns(seed: int = 0) -> Deal:
     def deal(keys: np.ndarray, x: np.ndarray, run: int) -> np.ndarray:
         out = np.empty_like(x)
         for j in range(x.shape[1]):
-            out[:, j] = x[np.random.default_rng([seed, run, j, int(keys[0]) % (1 << 32)]).permutation(len(x)), j]
+            out[:, j] = np.random.default_rng([seed, run, j, int(keys[0]) % (1 << 32)]).permutation(x[:, j])
         return out
 
     return deal
@@ -338,15 +354,45 @@ def _starts(sample: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.nd
     return np.array(picked)
 
 
+def _nearest_sums(x: np.ndarray, w: np.ndarray | None, fits: Sequence[Fit]) -> list[np.ndarray]:
+    """Of each fit (all of one run, so of one mask and number of centres): cost, and sizes and sums of the rows nearest to
+    each centre (the first of equals). All fits share a product of the rows with their centres, a few rows at a time."""
+    mask, k = fits[0].mask, len(fits[0].centres)
+    every = np.concatenate([f.centres for f in fits])
+    c = every if mask is None else every[:, mask]
+    cost, sizes, sums = np.zeros(len(fits)), np.zeros(len(every)), np.zeros(every.shape)
+    for a in range(0, len(x), CHUNK):
+        own = x[a : a + CHUNK]
+        seen = own if mask is None else own[:, mask]
+        far = (c * c).sum(1)[:, None] - 2 * (c @ seen.T)
+        norm, held = np.einsum("ij,ij->i", seen, seen), np.empty_like(far)
+        times = 1.0 if w is None else w[a : a + CHUNK]
+        for f in range(len(fits)):
+            least, near = far[f * k].copy(), np.zeros(len(own), np.int16)
+            for j in range(1, k):
+                other = far[f * k + j]
+                near[other < least] = j
+                np.minimum(least, other, out=least)
+            held[f * k : (f + 1) * k] = (near == np.arange(k, dtype=np.int16)[:, None]) * times
+            cost[f] += (np.maximum(least + norm, 0.0) * times).sum()
+        sizes += held.sum(1)
+        sums += held @ own
+    return [np.r_[cost[f], sizes[f * k : (f + 1) * k], sums[f * k : (f + 1) * k].ravel()] for f in range(len(fits))]
+
+
 def fit_runs(rows: DataFrame, runs: Sequence[int], k: int | dict[int, int], starts: int = 1, weight: Weight | None = None, masks: dict[int, np.ndarray] | None = None, iterations: int = 50, seed: int = 0, deal: Deal | None = None) -> dict[int, Fit]:
     """K-means of every run, the best of several starts by cost, all runs and starts in the same passes.
 
-    ``rows`` is what ``points`` makes, or ``in_blocks`` with ``deal``; ``k`` may differ between runs. A cluster that gets no
+    ``rows`` is what ``points`` makes, ``in_blocks`` with ``deal``, or blocks of drawn rows; ``k`` may differ between runs. A cluster that gets no
     row keeps its centre.
     """
     masks, number = masks or {}, k if isinstance(k, dict) else dict.fromkeys(runs, k)
-    d = rows if "packed" in rows.columns else rows.select("key", "x", *(["run"] if "run" in rows.columns else []))
-    if "packed" in rows.columns:
+    d = rows if {"packed", "values"} & set(rows.columns) else rows.select("key", "x", *(["run"] if "run" in rows.columns else []))
+    if "values" in rows.columns:
+        # Drawn rows are in no order: the first of each run will do.
+        heads = lambda batches: (b.slice(0, max(0, SAMPLE - b["key"][0].as_py())) for b in _pieces(batches))
+        sample = d.where(F.col("first") < SAMPLE).mapInArrow(heads, "key bigint, x array<float>, run int").toArrow()
+    elif "packed" in rows.columns:
         sample = d.mapInArrow(_pieces, "key bigint, x array<double>").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toArrow()
     elif "run" in rows.columns:
         ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy("run").orderBy(F.xxhash64("key"), "key"))).where(F.col("_r") <= SAMPLE)
@@ -376,14 +422,8 @@ def fit_runs(rows: DataFrame, runs: Sequence[int], k: int | dict[int, int], star
                 by_run.setdefault(one // starts, []).append(one)
             for r, at in _parts(batch, list(by_run)):
                 own = whole[at] if deal is None else deal(keys[at], whole[at], r)
-                w = np.ones(len(at)) if weight is None else weight(keys[at], r)
-                for one in by_run[r]:
-                    fit = fits[one]
-                    far = fit.distances(own)
-                    near = far.argmin(1)
-                    held = np.zeros((len(fit.centres), len(at)))
-                    held[near, np.arange(len(at))] = w
-                    yield one, np.r_[(w * far[np.arange(len(at)), near]).sum(), held.sum(1), (held @ own).ravel()]
+                w = None if weight is None else weight(keys[at], r)
+                yield from zip(by_run[r], _nearest_sums(own, w, [fits[one] for one in by_run[r]]), strict=True)
 
         for run, got in spread.sums(list(fits), step).items():
             at = divmod(run, starts)

@@ -238,3 +238,35 @@ def test_silhouettes_over_many_tiles(spark, monkeypatch):
         monkeypatch.setattr(cluster, "STEP", step)
         got = {r.id: r.silhouette for r in cluster.silhouettes(d, "id", ["x0", "x1", "x2"], "y").collect()}
         assert len(got) == 130 and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_null_draws_are_stored_as_small_blocks(spark, monkeypatch):
+    """The draws of the null are those of the operator, and no shuffled or full-width copy of them is written."""
+    sizes = []
+    real = cluster.written
+    monkeypatch.setattr(cluster, "written", lambda df, name: sizes.append((name, df.columns)) or real(df, name))
+    d, cols = table_of(spark, blobs(150)), ["x0", "x1"]
+    monkeypatch.setattr(cluster, "DRAWS", 100)
+    blocks = cluster.drawn_blocks(d, "id", cols, 4, 3)
+    assert sizes == [("draws", ["run", "first", "rows", "values"])]
+    n = d.count()
+    want = cluster.gaussian_copula_draws(d, "id", cols, 4, 3).toPandas().sort_values(["rep", "row"])[cols].to_numpy()
+    got = np.full(want.shape, np.nan)
+    for r in blocks.collect():
+        at = r["run"] * n + r["first"]
+        got[at : at + r["rows"]] = np.frombuffer(r["values"], "<f4").reshape(r["rows"], -1)
+    assert np.allclose(got, want, rtol=1e-6, atol=1e-6)
+    monkeypatch.setattr(cluster, "gaussian_copula_draws", lambda *a: 1 / 0)
+    assert cluster.copula_null(d, "id", cols, 3, 5, 2).head()["reps"] == 5
+
+
+def test_fits_of_a_run_share_a_product():
+    rng = np.random.default_rng(1)
+    x, w = rng.normal(size=(9_000, 4)), rng.integers(0, 3, 9_000).astype(float)
+    for mask in (None, np.array([True, False, True, True])):
+        fits = [replicates.Fit(rng.normal(size=(3, 4)), 0.0, mask) for _ in range(5)]
+        for fit, got in zip(fits, replicates._nearest_sums(x, w, fits), strict=True):
+            far = fit.distances(x)
+            near = far.argmin(1)
+            held = (near == np.arange(3)[:, None]) * w
+            assert np.allclose(got, np.r_[(w * far.min(1)).sum(), held.sum(1), (held @ x).ravel()])
