@@ -30,6 +30,8 @@ from sensorloom.session import written
 SAMPLE, TASK_ROWS = 256, 50_000
 #: Rows whose distances to all centres of a run are held at once.
 CHUNK = 4_096
+#: Bytes of sums that leave a task in one batch.
+SENT = 8 << 20
 #: The distribution function of Poisson(1), in millionths and a little.
 POISSON = (367_879, 735_759, 919_699, 981_012, 996_340, 999_406)
 
@@ -184,7 +186,13 @@ class Spread(NamedTuple):
                         total[run] = total[run] + values if run in total else values
             if alone and finish:
                 total = {run: finish(run, v) for run, v in total.items()}
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<f8").tobytes() for v in total.values()], pa.binary())], ["run", "sums"])
+            while total:
+                part, held = {}, 0
+                while total and held < SENT:
+                    run, values = total.popitem()
+                    part[run] = values.astype("<f8").tobytes()
+                    held += len(part[run])
+                yield pa.RecordBatch.from_arrays([pa.array(list(part), pa.int32()), pa.array(list(part.values()), pa.binary())], ["run", "sums"])
 
         def whole(key: tuple, table: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(v.as_buffer(), "<f8") for v in table["sums"])
@@ -590,6 +598,38 @@ def dealt_cases(labels: Labels, folds: Folds) -> Cases:
     return of
 
 
+class _Curved:
+    """Slope and curvature of the multinomial loss, as what tasks have to send: shares of a row add up to one, so the last
+    class follows from the others, and each block of the rest is symmetric, as is their order."""
+
+    def __init__(self, classes: int, width: int):
+        self.classes, self.width, self.free = classes, width, max(1, classes - 1)
+        self.blocks = [(a, b) for a in range(self.free) for b in range(a + 1)]
+        self.upper = np.triu_indices(width)
+
+    def sums(self, z: np.ndarray, p: np.ndarray, hot: np.ndarray, w: np.ndarray) -> np.ndarray:
+        k = self.free
+        slope = ((p[:, :k] - hot[:, :k]) * w[:, None]).T @ z
+        bend = [(z.T @ (z * (w * p[:, a] * ((a == b) - p[:, b]))[:, None]))[self.upper] for a, b in self.blocks]
+        return np.concatenate([slope.ravel(), *bend])
+
+    def whole(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slope and curvature over the weights of all classes."""
+        k, n, wide = self.free, self.classes, self.width
+        slope = np.zeros((n, wide))
+        slope[:k] = sums[: k * wide].reshape(k, wide)
+        bend = np.zeros((n, n, wide, wide))
+        for (a, b), own in zip(self.blocks, sums[k * wide :].reshape(len(self.blocks), -1), strict=True):
+            block = np.zeros((wide, wide))
+            block[self.upper] = own
+            bend[a, b] = bend[b, a] = block + np.triu(block, 1).T
+        if n > 1:
+            slope[-1] = -slope[:k].sum(0)
+            bend[-1, :k] = bend[:k, -1] = -bend[:k, :k].sum(0)
+            bend[-1, -1] = -bend[-1, :k].sum(0)
+        return slope.ravel(), bend.transpose(0, 2, 1, 3).reshape(n * wide, n * wide)
+
+
 def logistic_runs(rows: DataFrame, classes: int, folds: int, balanced: bool = False, ridge: float = 1.0, iterations: int = 25, runs: Sequence[int] | None = None, cases: Cases | None = None) -> Logistic:
     """Multinomial logistic regression for every run and fold left out, by Newton steps in shared passes.
 
@@ -622,6 +662,7 @@ def logistic_runs(rows: DataFrame, classes: int, folds: int, balanced: bool = Fa
             counts[r, f] = rest[:classes]
             model.weights[r, f] = np.zeros((classes, len(mean) + 1))
     width = len(next(iter(model.mean.values()), ())) + 1
+    packed = _Curved(classes, width)
     size, keep = classes * width, np.tile(np.r_[np.ones(width - 1), 0.0], classes)
     last, back, active = {}, {}, set(model.weights)
     for _ in range(iterations):
@@ -638,13 +679,8 @@ def logistic_runs(rows: DataFrame, classes: int, folds: int, balanced: bool = Fa
                         n = counts[r, f]
                         w = (n.sum() / (classes * np.maximum(n, 1)))[y[own]] if balanced else np.ones(len(own))
                         hot = (y[own][:, None] == np.arange(classes)).astype(float)
-                        slope = ((p - hot) * w[:, None]).T @ z
-                        bend = np.empty((classes, width, classes, width))
-                        for a in range(classes):
-                            for b in range(a + 1):
-                                bend[a, :, b] = bend[b, :, a] = z.T @ (z * (w * p[:, a] * ((a == b) - p[:, b]))[:, None])
                         loss = -(w * np.log(np.maximum(p[np.arange(len(own)), y[own]], 1e-300))).sum()
-                        yield r * folds + f, np.r_[loss, slope.ravel(), bend.ravel()]
+                        yield r * folds + f, np.r_[loss, packed.sums(z, p, hot, w)]
 
         for run, got in spread.sums(sorted({r for r, _ in active}), step).items():
             at = divmod(run, folds)
@@ -657,8 +693,8 @@ def logistic_runs(rows: DataFrame, classes: int, folds: int, balanced: bool = Fa
                 active.discard(at)
                 continue
             last[at], back[at] = loss, w
-            slope = got[1 : size + 1] + ridge * keep * w
-            bend = got[size + 1 :].reshape(size, size) + np.diag(ridge * keep + 1e-9)
+            slope, bend = packed.whole(got[1:])
+            slope, bend = slope + ridge * keep * w, bend + np.diag(ridge * keep + 1e-9)
             move = np.linalg.lstsq(bend, slope, rcond=1e-12)[0]
             model.weights[at] = (w - move).reshape(classes, width)
             if np.abs(move).max() < 1e-7:

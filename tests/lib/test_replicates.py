@@ -270,3 +270,23 @@ def test_fits_of_a_run_share_a_product():
             near = far.argmin(1)
             held = (near == np.arange(3)[:, None]) * w
             assert np.allclose(got, np.r_[(w * far.min(1)).sum(), held.sum(1), (held @ x).ravel()])
+
+
+def test_curvature_is_sent_without_what_follows_from_it():
+    rng = np.random.default_rng(2)
+    for classes, width in ((1, 3), (2, 4), (3, 16), (5, 2)):
+        z, w = rng.normal(size=(200, width)), rng.random(200)
+        p = rng.random((200, classes))
+        p /= p.sum(1, keepdims=True)
+        hot = np.eye(classes)[rng.integers(0, classes, 200)]
+        packed = replicates._Curved(classes, width)
+        sent = packed.sums(z, p, hot, w)
+        slope, bend = packed.whole(sent)
+        want = np.empty((classes, width, classes, width))
+        for a in range(classes):
+            for b in range(classes):
+                want[a, :, b] = z.T @ (z * (w * p[:, a] * ((a == b) - p[:, b]))[:, None])
+        assert np.allclose(slope, (((p - hot) * w[:, None]).T @ z).ravel()) and np.allclose(bend.reshape(want.shape), want)
+        assert len(sent) <= classes * width * (classes * width + 3) / 2
+    # The size that accuracy_permutations sends for a fold: 3 classes, 15 features.
+    assert len(replicates._Curved(3, 16).sums(np.ones((1, 16)), np.full((1, 3), 1 / 3), np.eye(3)[:1], np.ones(1))) == 440
