@@ -24,6 +24,8 @@ from sensorloom.operators import replicates, stats
 from sensorloom.session import written
 
 BINS = 64
+#: Bytes of histograms that a task adds up at once: trees of a level beyond that are further passes.
+HELD = 128 << 20
 #: Levels below the root.
 DEPTH = 10
 
@@ -121,6 +123,19 @@ class Forest(NamedTuple):
     seed: int
 
 
+def _waves(runs: Sequence[int], sizes: Sequence[int], most: int) -> Iterator[list[int]]:
+    """The runs in order, in parts whose sizes come to ``most`` bytes; a larger one is a part of its own."""
+    part, held = [], 0
+    for run, size in zip(runs, sizes, strict=True):
+        if part and held + size > most:
+            yield part
+            part, held = [], 0
+        part.append(run)
+        held += size
+    if part:
+        yield part
+
+
 def grow_forest(rows: DataFrame, classes: int, trees: int = 500, balanced: bool = True, depth: int = DEPTH, least: int = 1, seed: int = 0, bins: int = BINS) -> Forest:
     """A forest on ``binned`` rows: each tree on Poisson draws of the rows, each node on about the square root of the
     features, drawn by tree and node. ``balanced`` weighs a row by n / (classes * rows of its class)."""
@@ -162,7 +177,9 @@ def grow_forest(rows: DataFrame, classes: int, trees: int = 500, balanced: bool
             gain, feature, cut, left, right = _best(total.reshape(n, some, bins, classes + 1), _purity, least)
             return np.c_[gain, chosen(t, grown[t].open)[np.arange(n), feature], cut, left[:, :-1], right[:, :-1]].ravel()
 
-        for t, got in spread.sums(active, step, finish).items():
+        sizes = [8 * len(grown[t].open) * some * bins * (classes + 1) for t in active]
+        found = {t: got for wave in _waves(active, sizes, HELD * spread.groups) for t, got in spread.sums(wave, step, finish).items()}
+        for t, got in found.items():
             tree = grown[t]
             got = got.reshape(len(tree.open), -1)
             good = got[:, 0] > 1e-9

@@ -1,3 +1,4 @@
+import random
 """Trees of many runs in shared passes: planted classes, noise, and one tree against its definition."""
 
 import numpy as np
@@ -102,3 +103,26 @@ def test_more_tasks_same_trees(spark):
     one = trees.grow_forest(rows, classes, 5, depth=4)
     many = trees.grow_forest(rows.repartition(3), classes, 5, depth=4)
     assert all((a.feature == b.feature).all() and (a.cut == b.cut).all() for a, b in zip(one.trees, many.trees, strict=True))
+
+
+def test_waves_bound_what_a_task_holds():
+    from sensorloom.operators import trees
+
+    assert list(trees._waves([3, 4, 5, 7], [5, 5, 20, 1], 10)) == [[3, 4], [5], [7]]
+    assert list(trees._waves([], [], 10)) == []
+
+
+def test_trees_in_waves_are_the_same(spark, monkeypatch):
+    from sensorloom.operators import replicates, trees
+
+    rng = random.Random(4)
+    d = spark.createDataFrame([(k, rng.random(), rng.random(), k % 3) for k in range(200)], "id long, a double, b double, y int")
+    rows, classes = trees.binned(d, "id", ["a", "b"], "y")
+    one = trees.grow_forest(rows, classes, 4, depth=3)
+    parts = []
+    real = replicates.Spread.sums
+    monkeypatch.setattr(replicates.Spread, "sums", lambda self, runs, *more: parts.append(len(runs)) or real(self, runs, *more))
+    monkeypatch.setattr(trees, "HELD", 1)
+    many = trees.grow_forest(rows, classes, 4, depth=3)
+    assert max(parts) == 1
+    assert all((a.feature == b.feature).all() and (a.cut == b.cut).all() for a, b in zip(one.trees, many.trees, strict=True))
