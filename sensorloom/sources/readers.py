@@ -97,7 +97,7 @@ def activity_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def subject_files(spark: SparkSession, path: str, first: str, second: str, least: int = 50, pattern: str = r"(\d+)", keys: Sequence[int] | None = None) -> DataFrame:
     """(pid, ts, g) of per-subject CSVs: the first sensor's column where a subject has more than ``least`` values of it,
-    else the second's. Each file is opened once, by its own task, and its columns are met by name (``subjects``); with
+    else the second's. Each file is opened once and its columns are met by name (``subjects``); with
     ``keys`` only the files of those subjects are."""
     raw = subject_rows(spark, path, ["Timestamp", first, second], pattern, keys=keys)
     a, b = numeric(F.col(f"`{first}`")), numeric(F.col(f"`{second}`"))

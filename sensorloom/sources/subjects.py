@@ -1,7 +1,8 @@
 """A data source of folders with one delimited file a subject, whose columns may be in any order or missing.
 
-A partition is a file. Its header is read first, by the task that reads the file, and columns are taken by name; the file
-then streams through in blocks. The subject's number comes from the path. A filter on it, pushed down or given as ``keys``,
+A partition is a bundle of files, of at most ``FILES`` and about ``BYTES``, so that a task's start is shared by many small files;
+few files are spread over ``TASKS``. A file's header is read first, by the task that reads the file, and columns are taken by
+name; the file then streams through in blocks. The subject's number comes from the path. A filter on it, pushed down or given as ``keys``,
 leaves only the files of those subjects: no other file is opened. Files are found through ``pyarrow.fs``, so any store that
 it knows will do. An empty file has no rows; a path without a number gives a null subject.
 """
@@ -25,12 +26,29 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
+#: Files and bytes of a task, and tasks that few files are spread over.
+FILES, BYTES, TASKS = 1_000, 32 << 20, 64
+
+
 @dataclass
-class SubjectFile(InputPartition):
-    """One subject's file."""
+class SubjectBundle(InputPartition):
+    """Files of a task: (subject, path)."""
+
+    files: list[tuple[int | None, str]]
+
 
-    pid: int | None
-    path: str
+def bundles(files: Sequence[tuple[int | None, str, int]]) -> Iterator[SubjectBundle]:
+    """Bundles of (subject, path, bytes) in order; a file isn't divided."""
+    most = min(FILES, -(-len(files) // TASKS))
+    part, held = [], 0
+    for pid, path, size in files:
+        if part and (len(part) >= most or held + size > BYTES):
+            yield SubjectBundle(part)
+            part, held = [], 0
+        part.append((pid, path))
+        held += size
+    if part:
+        yield SubjectBundle(part)
 
 
 class SubjectReader(DataSourceReader):
@@ -42,7 +60,7 @@ class SubjectReader(DataSourceReader):
     def _only(self, keys: set) -> None:
         self.keys = keys if self.keys is None else self.keys & keys
 
-    def partitions(self) -> list[SubjectFile]:
+    def partitions(self) -> list[SubjectBundle]:
         store, root = FileSystem.from_uri(self.path if ":/" in self.path else f"file://{self.path}")
         found = []
         for info in store.get_file_info(FileSelector(root, recursive=True)):
@@ -50,15 +68,16 @@ class SubjectReader(DataSourceReader):
                 number = re.search(self.pattern, info.path[len(root) :])
                 pid = int(number[1]) if number else None
                 if self.keys is None or pid in self.keys:
-                    found.append(SubjectFile(pid, info.path))
-        return sorted(found, key=lambda p: p.path)
+                    found.append((pid, info.path, info.size))
+        return list(bundles(sorted(found, key=lambda p: p[1])))
 
-    def read(self, partition: SubjectFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: SubjectBundle) -> Iterator[pa.RecordBatch]:
         store, _ = FileSystem.from_uri(self.path if ":/" in self.path else f"file://{self.path}")
-        with store.open_input_stream(partition.path) as stream:
-            names = pa.csv.ConvertOptions(include_columns=self.columns, include_missing_columns=True, column_types=dict.fromkeys(self.columns, pa.string()), strings_can_be_null=True, null_values=[""])
-            for block in pa.csv.open_csv(stream, parse_options=pa.csv.ParseOptions(delimiter=self.sep), convert_options=names):
-                yield pa.RecordBatch.from_arrays([pa.array([partition.pid] * block.num_rows, pa.int64()), *(block[c].cast(pa.string()) for c in self.columns)], ["pid", *self.columns])
+        names = pa.csv.ConvertOptions(include_columns=self.columns, include_missing_columns=True, column_types=dict.fromkeys(self.columns, pa.string()), strings_can_be_null=True, null_values=[""])
+        for pid, path in partition.files:
+            with store.open_input_stream(path) as stream:
+                for block in pa.csv.open_csv(stream, parse_options=pa.csv.ParseOptions(delimiter=self.sep), convert_options=names):
+                    yield pa.RecordBatch.from_arrays([pa.array([pid] * block.num_rows, pa.int64()), *(block[c].cast(pa.string()) for c in self.columns)], ["pid", *self.columns])
 
 
 class FilteringReader(SubjectReader):

@@ -137,3 +137,13 @@ def test_streams(spark, tmp_path):
     assert [(r.n, r.nadir) for r in run(lambda s: streams.low_sessions(s), "lows", "complete")] == [(3, 60.0)]
     assert [r.delta for r in run(streams.step_flags, "flags")] == [-40.0, 38.0, 40.0]
     assert len(run(streams.deduplicated, "once")) == 6
+
+
+def test_small_files_share_tasks(monkeypatch):
+    from sensorloom.sources import subjects
+
+    files = [(k, f"/f{k:06}", 10) for k in range(200_000)]
+    parts = list(subjects.bundles(files))
+    assert len(parts) == 200 and [f for p in parts for f in p.files] == [f[:2] for f in files]
+    assert len(list(subjects.bundles(files[:64]))) == 64 and list(subjects.bundles([])) == []
+    assert [len(p.files) for p in subjects.bundles([(k, "", subjects.BYTES // 2) for k in range(640)])] == [2] * 320
