@@ -3,15 +3,16 @@
 A merge joins the two neighbours whose bytes together have the lowest rank, the leftmost first, until no pair has one. As
 the rank of a piece is its id, the map from a pair of ids to the id of both is all that a merge needs.
 
-``fold_words`` is that fold in Spark's higher-order functions: words are arrays of byte ids, the rank map is one literal
-(an array of hash slots, each with its few pairs), and ``aggregate`` folds the merges. It encodes the head of the
-vocabulary: the words most frequent in a bounded sample, at most ``HEAD``. Their ids go to all tasks. The remaining
-distinct words of each task are folded by the same ranked merges in Python: words outside of the head are as many as the
-corpus makes, so a table of all of them could be neither sent to all tasks nor joined to every occurrence (README has
-figures). Which words are in the head changes the speed only.
-
-A null text is empty and has no ids. A null id passes, repeated rows repeat, an empty table gives none. A word of any
-length is folded in n log n steps. Nothing is shuffled but the sample's words.
+``folded`` is that fold in Spark's higher-order functions: words are arrays of bytes, the rank map is a literal (a hash
+table without collisions, as arrays), and ``aggregate`` folds the merges over a state that keeps each token with the rank
+of its pair, so a merge looks up two pairs only. Every word of up to ``LONG`` bytes is encoded by it, in the stage that
+reads the texts: a first step in Python cuts texts into words and numbers those that its task meets, each new word goes
+through the fold once, and a second step puts the ids in the places of the numbers. The words most frequent in a bounded
+sample are folded beforehand and sent to all tasks; which words these are changes the speed only. The fold's steps grow
+with the square of a word's length, so words beyond ``LONG`` bytes are folded by ``fold``, with the same merges.
+
+A null text is empty and has no ids. A null id passes, repeated rows repeat, an empty table gives none. Nothing is shuffled
+but the sample's words.
 """
 
 from __future__ import annotations
@@ -25,19 +26,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm.pieces import split_pieces
 from sensorloom.llm.text import in_slices
-from sensorloom.llm.token_store import id_bytes, sampled_texts
+from sensorloom.llm.token_store import sampled_texts
 
-HEAD = 4_096
-SAMPLE_DOCS = 256
-SLOTS = 1 << 15
+#: Words folded beforehand, and the documents they are taken from.
+HEAD = 131_072
+SAMPLE_DOCS = 4_096
 SLICE_BYTES = 2_000_000
-#: Distinct words a task keeps the ids of; dropped at its end.
-CACHE = 100_000
+#: Distinct words a task keeps the numbers of; beyond it they are dropped but for the head.
+CACHE = 250_000
+#: Longest word in bytes that is folded by higher-order functions.
+LONG = 4_096
+#: Hash table of the pairs: a bucket's shift turns the low bits of its pairs into free places.
+BUCKETS = 65_537
+PLACES = 1 << 18
+#: A token of the fold: rank of its pair with the next one (17 bits), place (29 bits), id (17 bits). No id and no rank: NONE.
+NONE = (1 << 17) - 1
+RANK, PLACE = 46, 17
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,6 +55,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@functools.cache
+def id_pieces(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = load_ranks(path)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
+
+
 @functools.cache
 def pair_ranks(path: str) -> tuple[list[int], dict[int, int], list[bytes]]:
     """Ids of the 256 bytes; (left id << 17 | right id) -> id of both; the bytes of each id."""
@@ -56,48 +75,93 @@ def pair_ranks(path: str) -> tuple[list[int], dict[int, int], list[bytes]]:
             a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
             if a is not None and b is not None:
                 pairs[a << 17 | b] = rank
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    return [ranks[bytes([k])] for k in range(256)], pairs, pieces
+    return [ranks[bytes([k])] for k in range(256)], pairs, id_pieces(path)
 
 
-def rank_literal(path: str) -> tuple[Column, Column]:
-    """Two literals: ids of the bytes; hash slots of (left << 34 | right << 17 | both)."""
+@functools.cache
+def rank_arrays(path: str) -> tuple[str, str, str, str]:
+    """As JSON: tokens of the first byte of each two, tokens of a last byte, shifts of the buckets, entries (pair << 17 | both)."""
     first, pairs, _ = pair_ranks(path)
-    slots: list[list[int]] = [[] for _ in range(SLOTS)]
-    for pair, both in pairs.items():
-        slots[pair % SLOTS].append(pair << 17 | both)
-    return F.from_json(F.lit(json.dumps(first)), "array<int>"), F.from_json(F.lit(json.dumps(slots)), "array<array<bigint>>")
+    twos = [pairs.get(a << 17 | b, NONE) << RANK | a for a in first for b in first]
+    keys, both = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+    order = np.argsort(keys % BUCKETS, kind="stable")
+    keys, both = keys[order], both[order]
+    bounds = np.searchsorted(keys % BUCKETS, np.arange(BUCKETS + 1))
+    shifts, entries = np.zeros(BUCKETS, np.int64), np.full(PLACES, -1, np.int64)
+    rng = np.random.default_rng(0)
+    for b in np.argsort(-np.diff(bounds), kind="stable").tolist():
+        own = keys[bounds[b] : bounds[b + 1]]
+        if not len(own):
+            break
+        at = own & PLACES - 1
+        while (entries[at ^ shifts[b]] >= 0).any():
+            shifts[b] = rng.integers(PLACES)
+        entries[at ^ shifts[b]] = own << 17 | both[bounds[b] : bounds[b + 1]]
+    return json.dumps(twos), json.dumps([NONE << RANK | a for a in first]), json.dumps(shifts.tolist()), json.dumps(entries.tolist())
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
+def _with(value: Column, like: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once; the result has the type of ``like``."""
+    return F.aggregate(F.array(value), like, lambda _, x: use(x))
+
+
+def _folded(word: Column, twos: Column, lasts: Column, shifts: Column, entries: Column) -> Column:
+    """Ids of one word. The state is an array of tokens between two that belong to no pair."""
+    n, low17 = F.size(word), _long(NONE)
+
+    def ranked(a: Column, b: Column) -> Column:
+        """Rank of the pair of two ids, in its place of a token."""
+
+        def held(pair: Column) -> Column:
+            at = pair.bitwiseAND(_long(PLACES - 1)).bitwiseXOR(F.get(shifts, (pair % BUCKETS).cast("int"))).cast("int")
+            rank = lambda e: F.when(F.shiftright(e, 17) == pair, F.shiftleft(e.bitwiseAND(low17), RANK)).otherwise(_long(NONE << RANK))
+            return _with(F.get(entries, at), _long(0), rank)
 
+        return _with(F.shiftleft(a, 17).bitwiseOR(b), _long(0), held)
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    def begun(b: Column, k: Column) -> Column:
+        token = F.when(k < n - 1, F.get(twos, F.shiftleft(b, 8).bitwiseOR(F.get(word, k + 1)))).otherwise(F.get(lasts, b))
+        return token.bitwiseOR(F.shiftleft(k.cast("bigint") + _long(2), PLACE))
+
+    def merged(tokens: Column, low: Column) -> Column:
+        def at_place(both: Column, at: Column) -> Column:
+            before = lambda t: ranked(t.bitwiseAND(low17), both).bitwiseOR(t.bitwiseAND(_long((1 << RANK) - 1)))
+            left = _with(F.get(tokens, at - 2), _long(0), before)
+            new = ranked(both, F.get(tokens, at + 1).bitwiseAND(low17)).bitwiseOR(F.shiftleft(at.cast("bigint"), PLACE)).bitwiseOR(both)
+            behind = F.transform(F.slice(tokens, at + 2, n), lambda t: t - _long(1 << PLACE))
+            return _with(F.array(F.slice(tokens, F.lit(1), at - 2), F.array(left, new), behind), tokens, F.flatten)
+
+        place = F.shiftright(low, PLACE).bitwiseAND(_long((1 << 29) - 1)).cast("int")
+        return _with(F.shiftright(low, RANK), tokens, lambda both: _with(place, tokens, lambda at: at_place(both, at)))
+
+    step = lambda tokens, _: _with(F.array_min(tokens), tokens, lambda low: F.when(low >= _long(NONE << RANK), tokens).otherwise(merged(tokens, low)))
+    ends = [F.array(_long(NONE << RANK | place << PLACE | NONE)) for place in (0, (1 << 29) - 1)]
+    start = F.flatten(F.array(ends[0], F.transform(word, begun), ends[1]))
+    return F.aggregate(word, start, step, lambda tokens: F.transform(F.slice(tokens, F.lit(2), F.size(tokens) - 2), lambda t: t.bitwiseAND(low17).cast("int")))
+
+
+def folded(words: Column, path: str) -> Column:
+    """The ids of each of an array of words, which are arrays of bytes (0 to 255); null for null."""
+    literals = [F.from_json(F.lit(text), "array<bigint>") for text in rank_arrays(path)]
+
+    def use(held: list[Column]) -> Column:
+        if len(held) == len(literals):
+            return F.transform(words, lambda w: _folded(w, *held))
+        return F.get(F.transform(F.array(literals[len(held)]), lambda x: use([*held, x])), F.lit(0))
+
+    return use([])
 
 
 def fold_words(words: DataFrame, path: str, word_col: str = "word") -> DataFrame:
     """``words`` with ``ids``: the ids of each binary word, folded by higher-order functions."""
-    first, slots = rank_literal(path)
     spelled = F.hex(F.col(word_col))
     code = lambda k: F.conv(F.substring(spelled, 2 * k - 1, F.lit(2)), 16, 10).cast("int")
-    start = F.when(F.length(word_col) > 0, F.transform(F.sequence(F.lit(1), F.length(word_col)), lambda k: F.element_at(first, code(k) + 1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-
-    def both(ids: Column, k: Column) -> Column:
-        """Id of the k-th pair of neighbours, null if it has none."""
-        pair = F.shiftleft(F.element_at(ids, k.cast("int")), 17).bitwiseOR(F.element_at(ids, (k + 1).cast("int")))
-        held = F.filter(F.element_at(slots, (pair % SLOTS + 1).cast("int")), lambda x: F.shiftright(x, 17) == pair)
-        return F.get(held, F.lit(0)).bitwiseAND(F.lit((1 << 17) - 1))
-
-    def merge(ids: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda k: both(ids, k))
-        placed = _bound(found, lambda f: F.struct(F.array_min(f).alias("low"), F.array_position(f, F.array_min(f)).cast("int").alias("at")))
-        joined = lambda p: F.concat(F.slice(ids, F.lit(1), p["at"] - 1), F.array(p["low"]), F.slice(ids, p["at"] + 2, F.size(ids)))
-        return _bound(placed, lambda p: F.when(p["low"].isNull(), ids).otherwise(joined(p)))
-
-    step = lambda ids, _: F.when(F.size(ids) > 1, merge(ids)).otherwise(ids)
-    rounds = F.sequence(F.lit(1), F.greatest(F.length(word_col), F.lit(1)))
-    return words.withColumn("ids", F.aggregate(rounds, start, step).cast("array<int>"))
+    spread = F.when(F.length(word_col) > 0, F.transform(F.sequence(F.lit(1), F.length(word_col)), code)).otherwise(F.array().cast("array<int>"))
+    return words.withColumn("ids", F.get(folded(F.array(spread), path), F.lit(0)))
 
 
 def fold(word: bytes, first: list[int], pairs: dict[int, int]) -> list[int]:
@@ -134,48 +198,82 @@ def fold(word: bytes, first: list[int], pairs: dict[int, int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-class Encoder:
-    """Encodes texts in one Python worker; distinct words are folded once and kept."""
+def spread_words(words: list[bytes]) -> pa.Array:
+    """Words as arrays of their bytes; null for words beyond ``LONG``."""
+    bounds = np.r_[0, np.cumsum(np.fromiter((len(w) if len(w) <= LONG else 0 for w in words), np.int64, len(words)))].astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(w for w in words if len(w) <= LONG), np.uint8).astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array(bounds, mask=np.r_[[len(w) > LONG for w in words], False].astype(bool)), values)
 
-    def __init__(self, path: str):
-        self.first, self.pairs, self.pieces = pair_ranks(path)
-        self.known: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        for word in words:
-            self.known[word] = id_bytes(fold(word, self.first, self.pairs), 4)
+class Numbering:
+    """Numbers the distinct words that a task meets, the head's first."""
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        pieces, bounds = split_pieces(texts)
-        self.learn(list(set(pieces).difference(self.known)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    def __init__(self, head: list[bytes]):
+        self.head = head
+        self.known = {word: k for k, word in enumerate(head)}
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def number(self, words: list[bytes]) -> tuple[int, list[bytes], np.ndarray]:
+        """The first new number, the new words in order, and the number of every word."""
+        if len(self.known) > len(self.head) + CACHE:
+            self.known = {word: k for k, word in enumerate(self.head)}
+        first = len(self.known)
+        fresh = list(set(words).difference(self.known))
+        self.known.update(zip(fresh, range(first, first + len(fresh))))
+        return first, fresh, np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
 
 
-@functools.cache
-def encoder_of(path: str) -> Encoder:
-    """One encoder for each Python worker."""
-    return Encoder(path)
+class IdTable:
+    """The ids of numbered words in one array."""
+
+    def __init__(self):
+        self.ids, self.bounds, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 15, np.int64), 0
+
+    def add(self, first: int, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Words from number ``first`` on; what was there goes."""
+        held, self.count = int(self.bounds[first]), first + len(lengths)
+        while held + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        while self.count >= len(self.bounds):
+            self.bounds = np.r_[self.bounds, np.zeros_like(self.bounds)]
+        self.ids[held : held + len(ids)] = ids
+        self.bounds[first + 1 : self.count + 1] = held + np.cumsum(lengths)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the words with these numbers, joined."""
+        begin = self.bounds[numbers]
+        lengths = self.bounds[numbers + 1] - begin
+        ends = np.cumsum(lengths)
+        if not len(ends):
+            return self.ids[:0]
+        return self.ids[np.repeat(begin - ends + lengths, lengths) + np.arange(ends[-1])]
 
 
-def head_words(docs: DataFrame, path: str, id_col: str, text_col: str) -> dict[bytes, bytes]:
-    """Ids of the most frequent words of a bounded sample of documents, folded in Spark."""
-    spark: SparkSession = docs.sparkSession
+def head_words(docs: DataFrame, path: str, id_col: str, text_col: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The most frequent words of a bounded sample of documents, their ids joined, and how many each has; folded in Spark."""
     sample = sampled_texts(docs, id_col, text_col, SAMPLE_DOCS)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(split_pieces(batch["text"].to_pylist())[0], pa.binary())], ["word"])
+            texts = batch["text"].to_pylist()
+            for a, b in in_slices(texts, SLICE_BYTES):
+                words = [w for w in split_pieces(texts[a:b])[0] if len(w) <= 64]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], ["word"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch["word"].to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([words], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), spread_words(words))], ["words", "spread"])
 
-    words = sample.mapInArrow(split, "word binary").groupBy("word").count().orderBy(F.desc("count"), "word").limit(HEAD)
-    words = spark.createDataFrame(words.select("word").collect(), "word binary")
-    return {bytes(r.word): np.array(r.ids, "<u4").tobytes() for r in fold_words(words, path).collect()}
+    counted = sample.mapInArrow(split, "word binary").groupBy("word").count().orderBy(F.desc("count"), "word").limit(HEAD)
+    dealt = counted.select("word").repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism), "word")
+    rows = dealt.mapInArrow(gather, "words array<binary>, spread array<array<int>>").select("words", folded(F.col("spread"), path).alias("ids")).toArrow()
+    words, ids, lengths = [], [], []
+    for batch in rows.to_batches():
+        words += batch["words"].flatten().to_pylist()
+        own = batch["ids"].flatten()
+        ids.append(own.flatten().to_numpy())
+        lengths.append(own.value_lengths().to_numpy())
+    return [bytes(w) for w in words], np.concatenate(ids or [np.zeros(0, np.int32)]), np.concatenate(lengths or [np.zeros(0, np.int32)])
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", arrays: bool = False) -> DataFrame:
@@ -183,23 +281,48 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     ``arrays`` also the ids and the decoded bytes."""
     head = docs.sparkSession.sparkContext.broadcast(head_words(docs, path, id_col, text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * arrays
+    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers of each text's words; the new words of a slice of texts stand with its first text."""
+        numbering = Numbering(head.value[0])
         for batch in batches:
             ids, texts = batch["id"], batch["text"].to_pylist()
             for a, b in in_slices(texts, SLICE_BYTES):
-                if len(encoder.known) < HEAD or len(encoder.known) > CACHE:
-                    encoder.known = dict(head.value)
-                coded = encoder.encode(texts[a:b])
-                plain = [encoder.decode(c) for c in coded]
-                out = [ids.slice(a, b - a), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in coded]), pa.array([hashlib.sha256(p).hexdigest() for p in plain])]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if arrays:
-                    out += [pa.array([np.frombuffer(c, "<i4") for c in coded], pa.list_(pa.int32())), pa.array(plain, pa.binary())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(out, names)
-        encoder_of(path).known = {}
-
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+                words, bounds = split_pieces(texts[a:b])
+                first, fresh, numbers = numbering.number(words)
+                new = pa.ListArray.from_arrays(pa.array([0, len(fresh)] + [len(fresh)] * (b - a - 1), pa.int32()), spread_words(fresh))
+                long = pa.array([[w for w in fresh if len(w) > LONG]] + [[]] * (b - a - 1), pa.list_(pa.binary()))
+                places = pa.array([numbers[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), places, pa.array([first] * (b - a), pa.int32()), new, long], ["id", "numbers", "first", "fresh", "long"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids in the places of the numbers, and what they decode to."""
+        pieces = id_pieces(path)
+        table = IdTable()
+        table.add(0, head.value[1], head.value[2])
+        for batch in batches:
+            outer, firsts = batch["fresh"], batch["first"].to_numpy()
+            lists, cuts, coded = outer.values, outer.offsets.to_numpy(), []
+            for k, numbers in enumerate(batch["numbers"]):
+                new = lists.slice(cuts[k], cuts[k + 1] - cuts[k])
+                if len(new) and new.null_count:
+                    start, pairs, _ = pair_ranks(path)
+                    long = iter(batch["long"][k].as_py())
+                    own = [fold(next(long), start, pairs) if x is None else x for x in new.to_pylist()]
+                    new = pa.array(own, pa.list_(pa.int32()))
+                if len(new):
+                    table.add(int(firsts[k]), new.flatten().to_numpy(), new.value_lengths().to_numpy())
+                coded.append(table.of(np.frombuffer(numbers.as_buffer(), np.int32)))
+            plain = [b"".join(map(pieces.__getitem__, c.tolist())) for c in coded]
+            out = [batch["id"], pa.array(list(map(len, coded)), pa.int64()), pa.array([hashlib.sha256(c.astype("<u4")).hexdigest() for c in coded], pa.string()), pa.array([hashlib.sha256(p).hexdigest() for p in plain], pa.string())]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if arrays:
+                out += [pa.array(coded, pa.list_(pa.int32())), pa.array(plain, pa.binary())]
+                names += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    numbered = rows.mapInArrow(number, f"id {id_type}, numbers binary, first int, fresh array<array<int>>, long array<binary>")
+    coded = numbered.withColumn("fresh", folded(F.col("fresh"), path))
+    schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * arrays
+    return coded.mapInArrow(join, schema).withColumnRenamed("id", id_col)

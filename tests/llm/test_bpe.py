@@ -47,3 +47,37 @@ def test_documents(spark, sf_dir):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256, list(r.ids)) == want[r.doc_id]
         assert bytes(r.decoded) == REAL.decode_bytes(list(r.ids))
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_every_word_is_folded_in_spark(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a word left the fold")
+
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdeéß漢1.", k=rng.randrange(1, 20))) for _ in range(200)) for _ in range(20)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, "b" * 300, ""])], "doc_id long, text string")
+    monkeypatch.setattr(bpe, "fold", refuse)
+    out = bpe.encode_documents(docs, PATH, arrays=True)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 2 and "aggregate(" in plan
+    for r, t in zip(out.orderBy("doc_id").collect(), [*texts, "b" * 300, ""], strict=True):
+        assert list(r.ids) == REAL.encode_ordinary(t)
+
+
+def test_long_words(spark):
+    texts = ["x" * bpe.LONG, "ab" * (bpe.LONG // 2) + "c", "short " + "=" * 9_000 + " x", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in bpe.encode_documents(docs, PATH, arrays=True).collect():
+        assert list(r.ids) == REAL.encode_ordinary(texts[r.doc_id] or "")
+
+
+def test_numbers_start_again_behind_the_head(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 5)
+    numbering, table = bpe.Numbering([b"a", b"bc"]), bpe.IdTable()
+    table.add(0, np.array([97, 98, 99], np.int32), np.array([1, 2]))
+    rng = random.Random(1)
+    for _ in range(50):
+        words = [bytes(rng.choices(b"abcd", k=rng.randrange(0, 4))) for _ in range(rng.randrange(0, 9))]
+        first, fresh, numbers = numbering.number(words)
+        table.add(first, np.frombuffer(b"".join(fresh), np.uint8).astype(np.int32), np.array([len(w) for w in fresh], np.int64))
+        assert bytes(table.of(numbers).tolist()) == b"".join(words)
