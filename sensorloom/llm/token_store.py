@@ -47,7 +47,7 @@ BLOCK_BYTES = 2_000_000
 SLICE_BYTES = 2_000_000
 #: A table of so many shards (12 bytes each) is sent to all tasks; a longer one is joined by a shuffle.
 BROADCAST_SHARDS = 200_000
-#: Distinct pieces a Python worker keeps the ids of.
+#: Distinct pieces a Python worker keeps the ids of, and as many older ones, which come back when they are met.
 CACHE = 400_000
 _HEAD = struct.Struct("<4sBBH32sI")
 
@@ -71,13 +71,17 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers of ``width`` bytes."""
         pieces, bounds = split_pieces(texts)
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new = list(set(pieces).difference(self.known))
+        if self.older:
+            self.known |= {p: ids for p, ids in zip(new, map(self.older.get, new)) if ids is not None}
+            new = [p for p in new if p not in self.known]
         for piece, got in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
             self.known[piece] = id_bytes(got.ids, self.width)
         get = self.known.__getitem__

@@ -58,3 +58,21 @@ def test_other_dictionary_is_refused():
     block = token_store.pack([(1, 1, b"")], 2, bytes(32))
     with pytest.raises(ValueError):
         token_store.Packed(block, b"12345678")
+
+
+def test_older_pieces_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE", 20)
+    encoder = token_store.PieceEncoder(PATH)
+    plain, asked = encoder.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, pieces, **more):
+            asked.extend(pieces)
+            return plain.encode_batch_fast(pieces, **more)
+
+    encoder.tokenizer = Counted()
+    for k in range(12):
+        text = f"the same words stay {' '.join(chr(97 + k) * j for j in range(1, 11))}"
+        ids = np.frombuffer(encoder.encode([text])[0], f"<u{encoder.width}")
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert asked.count(" same") == 1 and len(encoder.known) + len(encoder.older) < 80
