@@ -13,6 +13,9 @@ with the square of a word's length, so words beyond ``LONG`` bytes are folded by
 
 A null text is empty and has no ids. A null id passes, repeated rows repeat, an empty table gives none. Nothing is shuffled
 but the sample's words.
+
+Decoding is ``decoded``, also in higher-order functions: each word's ids become bytes once, beside its fold, and a text's
+bytes are those of its words in order. Words beyond ``LONG`` are decoded where they are folded.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.llm.memory import trim
 from sensorloom.llm.pieces import split_pieces
 from sensorloom.llm.text import in_slices
 from sensorloom.llm.token_store import sampled_texts
@@ -39,6 +43,8 @@ SAMPLE_DOCS = 4_096
 SLICE_BYTES = 2_000_000
 #: Distinct words a task keeps the numbers of; beyond it they are dropped but for the head.
 CACHE = 250_000
+#: Words of a text that are looked up at once.
+PART = 100_000
 #: Longest word in bytes that is folded by higher-order functions.
 LONG = 4_096
 #: Hash table of the pairs: a bucket's shift turns the low bits of its pairs into free places.
@@ -109,39 +115,42 @@ def _with(value: Column, like: Column, use: Callable[[Column], Column]) -> Colum
     return F.aggregate(F.array(value), like, lambda _, x: use(x))
 
 
+def _if(true: Column, a: Column, b: Column) -> Column:
+    return F.call_function("if", true, a, b)
+
+
 def _folded(word: Column, twos: Column, lasts: Column, shifts: Column, entries: Column) -> Column:
-    """Ids of one word. The state is an array of tokens between two that belong to no pair."""
-    n, low17 = F.size(word), _long(NONE)
+    """Ids of one word. The state is an array of tokens; a token's place is that of its first byte, so no merge moves it."""
+    n, low17, none = F.size(word), _long(NONE), _long(NONE << RANK)
+    gone, end = _long(-1), _long(NONE << RANK | ((1 << 29) - 1) << PLACE | NONE)
 
-    def ranked(a: Column, b: Column) -> Column:
+    def ranked(pair: Column) -> Column:
         """Rank of the pair of two ids, in its place of a token."""
 
-        def held(pair: Column) -> Column:
-            at = pair.bitwiseAND(_long(PLACES - 1)).bitwiseXOR(F.get(shifts, (pair % BUCKETS).cast("int"))).cast("int")
-            rank = lambda e: F.when(F.shiftright(e, 17) == pair, F.shiftleft(e.bitwiseAND(low17), RANK)).otherwise(_long(NONE << RANK))
-            return _with(F.get(entries, at), _long(0), rank)
+        def held(p: Column) -> Column:
+            at = p.bitwiseAND(_long(PLACES - 1)).bitwiseXOR(F.get(shifts, (p % BUCKETS).cast("int"))).cast("int")
+            return _with(F.get(entries, at), _long(0), lambda e: _if(F.shiftright(e, 17) == p, F.shiftleft(e.bitwiseAND(low17), RANK), none))
 
-        return _with(F.shiftleft(a, 17).bitwiseOR(b), _long(0), held)
+        return _with(pair, _long(0), held)
 
     def begun(b: Column, k: Column) -> Column:
-        token = F.when(k < n - 1, F.get(twos, F.shiftleft(b, 8).bitwiseOR(F.get(word, k + 1)))).otherwise(F.get(lasts, b))
-        return token.bitwiseOR(F.shiftleft(k.cast("bigint") + _long(2), PLACE))
+        token = _if(k < n - 1, F.get(twos, F.shiftleft(b, 8).bitwiseOR(F.get(word, k + 1))), F.get(lasts, b))
+        return token.bitwiseOR(F.shiftleft(k.cast("bigint"), PLACE))
 
     def merged(tokens: Column, low: Column) -> Column:
-        def at_place(both: Column, at: Column) -> Column:
-            before = lambda t: ranked(t.bitwiseAND(low17), both).bitwiseOR(t.bitwiseAND(_long((1 << RANK) - 1)))
-            left = _with(F.get(tokens, at - 2), _long(0), before)
-            new = ranked(both, F.get(tokens, at + 1).bitwiseAND(low17)).bitwiseOR(F.shiftleft(at.cast("bigint"), PLACE)).bitwiseOR(both)
-            behind = F.transform(F.slice(tokens, at + 2, n), lambda t: t - _long(1 << PLACE))
-            return _with(F.array(F.slice(tokens, F.lit(1), at - 2), F.array(left, new), behind), tokens, F.flatten)
+        both = F.shiftright(low, RANK)
+
+        def at_place(at: Column) -> Column:
+            left = lambda t: ranked(F.shiftleft(t.bitwiseAND(low17), 17).bitwiseOR(both)).bitwiseOR(t.bitwiseAND(_long((1 << RANK) - 1)))
+            behind = F.coalesce(F.get(tokens, at + 1), end).bitwiseAND(low17)
+            new = ranked(F.shiftleft(both, 17).bitwiseOR(behind)).bitwiseOR(low.bitwiseAND(_long((1 << RANK) - (1 << PLACE)))).bitwiseOR(both)
+            one = lambda t, k: _if(k > at, t, _if(k < at - 2, t, _if(k == at - 1, new, _if(k == at, gone, left(t)))))
+            return F.array_remove(F.transform(tokens, one), gone)
 
-        place = F.shiftright(low, PLACE).bitwiseAND(_long((1 << 29) - 1)).cast("int")
-        return _with(F.shiftright(low, RANK), tokens, lambda both: _with(place, tokens, lambda at: at_place(both, at)))
+        return _with(F.array_position(tokens, low).cast("int"), tokens, at_place)
 
-    step = lambda tokens, _: _with(F.array_min(tokens), tokens, lambda low: F.when(low >= _long(NONE << RANK), tokens).otherwise(merged(tokens, low)))
-    ends = [F.array(_long(NONE << RANK | place << PLACE | NONE)) for place in (0, (1 << 29) - 1)]
-    start = F.flatten(F.array(ends[0], F.transform(word, begun), ends[1]))
-    return F.aggregate(word, start, step, lambda tokens: F.transform(F.slice(tokens, F.lit(2), F.size(tokens) - 2), lambda t: t.bitwiseAND(low17).cast("int")))
+    step = lambda tokens, _: _with(F.array_min(tokens), tokens, lambda low: _if(low >= none, tokens, merged(tokens, low)))
+    return F.aggregate(word, F.transform(word, begun), step, lambda tokens: F.transform(tokens, lambda t: t.bitwiseAND(low17).cast("int")))
 
 
 def folded(words: Column, path: str) -> Column:
@@ -156,6 +165,13 @@ def folded(words: Column, path: str) -> Column:
     return use([])
 
 
+def decoded(words: Column, path: str) -> Column:
+    """The bytes of each of an array of words, which are arrays of ids; null for null."""
+    pieces = F.split(F.lit(",".join(piece.hex() for piece in id_pieces(path))), ",")
+    spelled = lambda ids, held: F.unhex(F.array_join(F.transform(ids, lambda k: F.get(held, k)), ""))
+    return F.get(F.transform(F.array(pieces), lambda held: F.transform(words, lambda ids: spelled(ids, held))), F.lit(0))
+
+
 def fold_words(words: DataFrame, path: str, word_col: str = "word") -> DataFrame:
     """``words`` with ``ids``: the ids of each binary word, folded by higher-order functions."""
     spelled = F.hex(F.col(word_col))
@@ -223,10 +239,10 @@ class Numbering:
 
 
 class IdTable:
-    """The ids of numbered words in one array."""
+    """The ids of numbered words, or the bytes that they decode to, in one array."""
 
-    def __init__(self):
-        self.ids, self.bounds, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 15, np.int64), 0
+    def __init__(self, kind: type = np.int32):
+        self.ids, self.bounds, self.count = np.zeros(1 << 16, kind), np.zeros(1 << 15, np.int64), 0
 
     def add(self, first: int, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Words from number ``first`` on; what was there goes."""
@@ -239,7 +255,9 @@ class IdTable:
         self.bounds[first + 1 : self.count + 1] = held + np.cumsum(lengths)
 
     def of(self, numbers: np.ndarray) -> np.ndarray:
-        """The ids of the words with these numbers, joined."""
+        """What the words with these numbers have, joined."""
+        if len(numbers) > PART:
+            return np.concatenate([self.of(numbers[k : k + PART]) for k in range(0, len(numbers), PART)])
         begin = self.bounds[numbers]
         lengths = self.bounds[numbers + 1] - begin
         ends = np.cumsum(lengths)
@@ -248,8 +266,16 @@ class IdTable:
         return self.ids[np.repeat(begin - ends + lengths, lengths) + np.arange(ends[-1])]
 
 
-def head_words(docs: DataFrame, path: str, id_col: str, text_col: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The most frequent words of a bounded sample of documents, their ids joined, and how many each has; folded in Spark."""
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, joined, and how many each value has."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return raw[bounds[0] : bounds[-1]], np.diff(bounds)
+
+
+def head_words(docs: DataFrame, path: str, id_col: str, text_col: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent words of a bounded sample of documents, their ids joined and how many each has, the bytes that
+    these decode to joined and how many; folded and decoded in Spark."""
     sample = sampled_texts(docs, id_col, text_col, SAMPLE_DOCS)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,20 +292,25 @@ def head_words(docs: DataFrame, path: str, id_col: str, text_col: str) -> tuple[
 
     counted = sample.mapInArrow(split, "word binary").groupBy("word").count().orderBy(F.desc("count"), "word").limit(HEAD)
     dealt = counted.select("word").repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism), "word")
-    rows = dealt.mapInArrow(gather, "words array<binary>, spread array<array<int>>").select("words", folded(F.col("spread"), path).alias("ids")).toArrow()
-    words, ids, lengths = [], [], []
+    rows = dealt.mapInArrow(gather, "words array<binary>, spread array<array<int>>").select("words", folded(F.col("spread"), path).alias("ids")).withColumn("plain", decoded(F.col("ids"), path)).toArrow()
+    words, ids, lengths, plain, sizes = [], [], [], [], []
     for batch in rows.to_batches():
         words += batch["words"].flatten().to_pylist()
         own = batch["ids"].flatten()
         ids.append(own.flatten().to_numpy())
         lengths.append(own.value_lengths().to_numpy())
-    return [bytes(w) for w in words], np.concatenate(ids or [np.zeros(0, np.int32)]), np.concatenate(lengths or [np.zeros(0, np.int32)])
+        raw, size = flat_bytes(batch["plain"].flatten())
+        plain.append(raw)
+        sizes.append(size)
+    joined = lambda parts, kind: np.concatenate(parts or [np.zeros(0, kind)])
+    return words, joined(ids, np.int32), joined(lengths, np.int32), joined(plain, np.uint8), joined(sizes, np.int32)
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", arrays: bool = False) -> DataFrame:
     """Per row: id, n_tokens, digests of the ids (little-endian unsigned 32-bit) and of the bytes decoded from them; with
     ``arrays`` also the ids and the decoded bytes."""
     head = docs.sparkSession.sparkContext.broadcast(head_words(docs, path, id_col, text_col))
+    trim()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -295,34 +326,39 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 long = pa.array([[w for w in fresh if len(w) > LONG]] + [[]] * (b - a - 1), pa.list_(pa.binary()))
                 places = pa.array([numbers[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), places, pa.array([first] * (b - a), pa.int32()), new, long], ["id", "numbers", "first", "fresh", "long"])
+        trim()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids in the places of the numbers, and what they decode to."""
-        pieces = id_pieces(path)
-        table = IdTable()
+        table, spelled = IdTable(), IdTable(np.uint8)
         table.add(0, head.value[1], head.value[2])
+        spelled.add(0, head.value[3], head.value[4])
         for batch in batches:
             outer, firsts = batch["fresh"], batch["first"].to_numpy()
-            lists, cuts, coded = outer.values, outer.offsets.to_numpy(), []
+            lists, cuts, shown, coded, plain = outer.values, outer.offsets.to_numpy(), batch["plain"].values, [], []
             for k, numbers in enumerate(batch["numbers"]):
-                new = lists.slice(cuts[k], cuts[k + 1] - cuts[k])
+                new, out = (x.slice(cuts[k], cuts[k + 1] - cuts[k]) for x in (lists, shown))
                 if len(new) and new.null_count:
-                    start, pairs, _ = pair_ranks(path)
+                    start, pairs, pieces = pair_ranks(path)
                     long = iter(batch["long"][k].as_py())
                     own = [fold(next(long), start, pairs) if x is None else x for x in new.to_pylist()]
+                    out = pa.array([b"".join(map(pieces.__getitem__, x)) if o is None else o for x, o in zip(own, out.to_pylist(), strict=True)], pa.binary())
                     new = pa.array(own, pa.list_(pa.int32()))
                 if len(new):
                     table.add(int(firsts[k]), new.flatten().to_numpy(), new.value_lengths().to_numpy())
-                coded.append(table.of(np.frombuffer(numbers.as_buffer(), np.int32)))
-            plain = [b"".join(map(pieces.__getitem__, c.tolist())) for c in coded]
+                    spelled.add(int(firsts[k]), *flat_bytes(out))
+                at = np.frombuffer(numbers.as_buffer(), np.int32)
+                coded.append(table.of(at))
+                plain.append(spelled.of(at))
             out = [batch["id"], pa.array(list(map(len, coded)), pa.int64()), pa.array([hashlib.sha256(c.astype("<u4")).hexdigest() for c in coded], pa.string()), pa.array([hashlib.sha256(p).hexdigest() for p in plain], pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if arrays:
-                out += [pa.array(coded, pa.list_(pa.int32())), pa.array(plain, pa.binary())]
+                out += [pa.array(coded, pa.list_(pa.int32())), pa.array([p.tobytes() for p in plain], pa.binary())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(out, names)
+        trim()
 
     numbered = rows.mapInArrow(number, f"id {id_type}, numbers binary, first int, fresh array<array<int>>, long array<binary>")
-    coded = numbered.withColumn("fresh", folded(F.col("fresh"), path))
+    coded = numbered.withColumn("fresh", folded(F.col("fresh"), path)).withColumn("plain", decoded(F.col("fresh"), path))
     schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * arrays
     return coded.mapInArrow(join, schema).withColumnRenamed("id", id_col)

@@ -11,9 +11,6 @@ The number of buckets follows the input, so a bucket holds as much at any size.
 
 from __future__ import annotations
 
-import ctypes
-import functools
-import gc
 import struct
 from collections.abc import Callable, Iterator
 
@@ -23,6 +20,7 @@ import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from sensorloom.llm.memory import trim
 from sensorloom.llm.token_table import SLICE_BYTES as HASHED_BYTES
 from sensorloom.llm.token_table import slices_of, word_hashes
 from sensorloom.session import written
@@ -73,25 +71,6 @@ def hashes_of(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool)
     return out
 
 
-@functools.cache
-def _allocator():
-    """The C library, where it can give memory back."""
-    try:
-        library = ctypes.CDLL(None)
-        library.malloc_trim  # noqa: B018
-        return library
-    except (AttributeError, OSError):
-        return None
-
-
-def trim() -> None:
-    """Gives back what a task's arrays held, as the worker lives on."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if _allocator() is not None:
-        _allocator().malloc_trim(0)
-
-
 def slice_table(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """A written row (base, payload) for each slice; payloads hold all columns of ``docs``."""
 

@@ -6,6 +6,7 @@ import public_tokenizers as P
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sensorloom.llm import bpe
 from sensorloom.session import table
@@ -81,3 +82,23 @@ def test_numbers_start_again_behind_the_head(monkeypatch):
         first, fresh, numbers = numbering.number(words)
         table.add(first, np.frombuffer(b"".join(fresh), np.uint8).astype(np.int32), np.array([len(w) for w in fresh], np.int64))
         assert bytes(table.of(numbers).tolist()) == b"".join(words)
+
+
+def test_texts_are_decoded_in_spark(spark, monkeypatch):
+    words = [b"", b" the", "漢".encode(), "é".encode()[:1], bytes(range(256)), b" Donaudampfschiff"]
+    rows = spark.createDataFrame([([bpe.fold(w, *bpe.pair_ranks(PATH)[:2]) for w in words] + [None],)], "w array<array<int>>")
+    assert list(map(bytes, rows.select(bpe.decoded(F.col("w"), PATH).alias("p")).head().p[:-1])) == words
+    assert rows.select(bpe.decoded(F.col("w"), PATH).alias("p")).head().p[-1] is None
+
+    class Refuse(list):
+        def __getitem__(self, k):
+            raise AssertionError("decoded in Python")
+
+    texts = ["the 漢字 é \n  ab's", "", None, "strawberries " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(bpe, "PART", 7)
+    out = bpe.encode_documents(docs, PATH, arrays=True)
+    assert "unhex(" in out._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(bpe, "id_pieces", lambda _: Refuse([b""]))
+    for r in out.collect():
+        assert bytes(r.decoded).decode() == (texts[r.doc_id] or "")
