@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.llm.memory import trim
 from sensorloom.llm.text import byte_values, space_words
 from sensorloom.llm.token_table import DEN, NUM, K, may_be_similar, token_table
 from sensorloom.session import discard, written
@@ -100,6 +101,7 @@ def _similar(k: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]],
                 shared = len(one & two)
                 match.append(den * shared >= num * (len(one) + len(two) - shared))
             yield batch.select(["a"]).filter(pa.array(match, pa.bool_()))
+        trim()
 
     return run
 

@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.llm.memory import release, releasing, trim
 from sensorloom.session import written
 
 K = 5
@@ -290,6 +291,9 @@ def _send(buckets: int, k: int, num: int, den: int, lines: bool, width: int, ske
                 rows = list(rows_of(base, head, sets))
                 base += len(of)
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(_SENT.types)], schema=_SENT)
+                del head, rows, sets, units, of
+            release()
+        trim()
 
     return run
 
@@ -339,7 +343,7 @@ def _count(width: int):
                     rows.append((base, part_of, struct.pack(_PACK, base, b - a) + _reply(place[a:b], many[a:b], token[a:b], width)))
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(_COUNTED.types)], schema=_COUNTED)
 
-    return run
+    return releasing(run)
 
 
 def _orders(token: np.ndarray, many: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -400,7 +404,7 @@ def _gather(num: int, den: int, width: int, orders: int, whole: bool):
             out = out.append_column(f"p{k + 1}", _lists(token[order][prefix], kept, there))
         return out.filter(pa.compute.greater(out["n"], 0)) if "line" in carried.schema.names else out
 
-    return run
+    return releasing(run)
 
 
 def token_table(rows: DataFrame, k: int = K, num: int = NUM, den: int = DEN, lines: bool = False, width: int = 6, orders: int = 3, whole: bool = True, sketch: int = 4) -> DataFrame:

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.llm.memory import trim
 from sensorloom.llm.text import alnum_words, byte_values
 from sensorloom.session import written
 
@@ -140,6 +141,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _known().clear()
     at = np.flatnonzero(total.sum(0))
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["bucket", "clean", "toxic"])
+    del total
+    trim()
 
 
 def _strength(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> Column:
@@ -183,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     out.append(sorted(features(w) & shared.value))
             yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(x, pa.list_(pa.int32())) for x in (plain, one, two))], ["label", "plain", "one", "two"])
         _known().clear()
+        trim()
 
     got = chosen.select("label", "text").mapInArrow(sparse, "label int, plain array<int>, one array<int>, two array<int>").toArrow()
     return _descend(got, sorted(kept), penalty)
@@ -227,6 +231,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shared.value.score(t) for t in byte_values(batch["text"])], pa.float64())], ["id", "score"])
         shared.value.met.clear()
+        trim()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
@@ -240,5 +245,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", least: flo
             texts = byte_values(batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([shared.value.score(t) < least for t in texts], pa.bool_()))
         shared.value.met.clear()
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
