@@ -87,7 +87,8 @@ def pair_ranks(path: str) -> tuple[list[int], dict[int, int], list[bytes]]:
 @functools.cache
 def rank_arrays(path: str) -> tuple[str, str, str, str]:
     """As JSON: tokens of the first byte of each two, tokens of a last byte, shifts of the buckets, entries (pair << 17 | both)."""
-    first, pairs, _ = pair_ranks(path)
+    # Not kept: the driver needs the arrays alone.
+    first, pairs, _ = pair_ranks.__wrapped__(path)
     twos = [pairs.get(a << 17 | b, NONE) << RANK | a for a in first for b in first]
     keys, both = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
     order = np.argsort(keys % BUCKETS, kind="stable")
@@ -103,7 +104,11 @@ def rank_arrays(path: str) -> tuple[str, str, str, str]:
         while (entries[at ^ shifts[b]] >= 0).any():
             shifts[b] = rng.integers(PLACES)
         entries[at ^ shifts[b]] = own << 17 | both[bounds[b] : bounds[b + 1]]
-    return json.dumps(twos), json.dumps([NONE << RANK | a for a in first]), json.dumps(shifts.tolist()), json.dumps(entries.tolist())
+    del pairs, keys, both, order, bounds
+    out = json.dumps(twos), json.dumps([NONE << RANK | a for a in first]), json.dumps(shifts.tolist()), json.dumps(entries.tolist())
+    del twos, shifts, entries
+    trim()
+    return out
 
 
 def _long(value: int) -> Column:

@@ -189,7 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         trim()
 
     got = chosen.select("label", "text").mapInArrow(sparse, "label int, plain array<int>, one array<int>, two array<int>").toArrow()
-    return _descend(got, sorted(kept), penalty)
+    model = _descend(got, sorted(kept), penalty)
+    del got
+    trim()
+    return model
 
 
 def _matrix(column: pa.ChunkedArray, place: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
