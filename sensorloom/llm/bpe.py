@@ -3,8 +3,9 @@
 A merge joins the two neighbours whose bytes together have the lowest rank, the leftmost first, until no pair has one. As
 the rank of a piece is its id, the map from a pair of ids to the id of both is all that a merge needs.
 
-``folded`` is that fold in Spark's higher-order functions: words are arrays of bytes, the rank map is a literal (a hash
-table without collisions, as arrays), and ``aggregate`` folds the merges over a state that keeps each token with the rank
+``folded`` is that fold in Spark's higher-order functions: words are arrays of bytes, the rank map is a hash table without
+collisions, as arrays of one row that ``with_tables`` broadcasts to the rows that have words (as literals the arrays would be
+spelled out in each description of the plan, which the driver makes again at every stage and keeps), and ``aggregate`` folds the merges over a state that keeps each token with the rank
 of its pair, so a merge looks up two pairs only. Every word of up to ``LONG`` bytes is encoded by it, in the stage that
 reads the texts: a first step in Python cuts texts into words and numbers those that its task meets, each new word goes
 through the fold once, and a second step puts the ids in the places of the numbers. The words most frequent in a bounded
@@ -24,7 +25,6 @@ import base64
 import functools
 import hashlib
 import heapq
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,8 +85,8 @@ def pair_ranks(path: str) -> tuple[list[int], dict[int, int], list[bytes]]:
 
 
 @functools.cache
-def rank_arrays(path: str) -> tuple[str, str, str, str]:
-    """As JSON: tokens of the first byte of each two, tokens of a last byte, shifts of the buckets, entries (pair << 17 | both)."""
+def rank_arrays(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the first byte of each two, tokens of a last byte, shifts of the buckets, entries (pair << 17 | both)."""
     # Not kept: the driver needs the arrays alone.
     first, pairs, _ = pair_ranks.__wrapped__(path)
     twos = [pairs.get(a << 17 | b, NONE) << RANK | a for a in first for b in first]
@@ -104,13 +104,20 @@ def rank_arrays(path: str) -> tuple[str, str, str, str]:
         while (entries[at ^ shifts[b]] >= 0).any():
             shifts[b] = rng.integers(PLACES)
         entries[at ^ shifts[b]] = own << 17 | both[bounds[b] : bounds[b + 1]]
-    del pairs, keys, both, order, bounds
-    out = json.dumps(twos), json.dumps([NONE << RANK | a for a in first]), json.dumps(shifts.tolist()), json.dumps(entries.tolist())
-    del twos, shifts, entries
+    out = np.array(twos, np.int64), np.array([NONE << RANK | a for a in first], np.int64), shifts, entries
+    del pairs, keys, both, order, bounds, twos
     trim()
     return out
 
 
+def with_tables(rows: DataFrame, path: str, where: Column) -> DataFrame:
+    """``rows`` with ``ranks``, the arrays that ``folded`` takes, and ``pieces``, the bytes of each id in hex, where ``where``
+    holds; null elsewhere."""
+    ranks = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in rank_arrays(path)], ["twos", "lasts", "shifts", "entries"])
+    pieces = pa.array([[piece.hex() for piece in id_pieces(path)]], pa.list_(pa.string()))
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(pa.table({"ranks": ranks, "pieces": pieces}))), where, "left")
+
+
 def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
@@ -158,21 +165,22 @@ def _folded(word: Column, twos: Column, lasts: Column, shifts: Column, entries:
     return F.aggregate(word, F.transform(word, begun), step, lambda tokens: F.transform(tokens, lambda t: t.bitwiseAND(low17).cast("int")))
 
 
-def folded(words: Column, path: str) -> Column:
+def folded(words: Column, ranks: Column) -> Column:
     """The ids of each of an array of words, which are arrays of bytes (0 to 255); null for null."""
-    literals = [F.from_json(F.lit(text), "array<bigint>") for text in rank_arrays(path)]
+    names = ("twos", "lasts", "shifts", "entries")
 
     def use(held: list[Column]) -> Column:
-        if len(held) == len(literals):
+        if len(held) == len(names):
             return F.transform(words, lambda w: _folded(w, *held))
-        return F.get(F.transform(F.array(literals[len(held)]), lambda x: use([*held, x])), F.lit(0))
+        return F.get(F.transform(F.array(ranks[names[len(held)]]), lambda x: use([*held, x])), F.lit(0))
 
     return use([])
 
 
-def decoded(words: Column, path: str) -> Column:
-    """The bytes of each of an array of words, which are arrays of ids; null for null."""
-    pieces = F.split(F.lit(",".join(piece.hex() for piece in id_pieces(path))), ",")
+def decoded(words: Column, path: str, pieces: Column | None = None) -> Column:
+    """The bytes of each of an array of words, which are arrays of ids; null for null. Without ``pieces`` they are a literal."""
+    if pieces is None:
+        pieces = F.split(F.lit(",".join(piece.hex() for piece in id_pieces(path))), ",")
     spelled = lambda ids, held: F.unhex(F.array_join(F.transform(ids, lambda k: F.get(held, k)), ""))
     return F.get(F.transform(F.array(pieces), lambda held: F.transform(words, lambda ids: spelled(ids, held))), F.lit(0))
 
@@ -182,7 +190,9 @@ def fold_words(words: DataFrame, path: str, word_col: str = "word") -> DataFrame
     spelled = F.hex(F.col(word_col))
     code = lambda k: F.conv(F.substring(spelled, 2 * k - 1, F.lit(2)), 16, 10).cast("int")
     spread = F.when(F.length(word_col) > 0, F.transform(F.sequence(F.lit(1), F.length(word_col)), code)).otherwise(F.array().cast("array<int>"))
-    return words.withColumn("ids", F.get(folded(F.array(spread), path), F.lit(0)))
+    held = with_tables(words.select(F.struct("*").alias("row"), F.array(spread).alias("spread")), path, F.lit(True))
+    coded = held.select("row", F.get(folded(F.col("spread"), F.col("ranks")), F.lit(0)).alias("coded"))
+    return coded.select(*(F.col("row")[c].alias(c) for c in words.columns if c != "ids"), F.col("coded").alias("ids"))
 
 
 def fold(word: bytes, first: list[int], pairs: dict[int, int]) -> list[int]:
@@ -297,7 +307,9 @@ def head_words(docs: DataFrame, path: str, id_col: str, text_col: str) -> tuple[
 
     counted = sample.mapInArrow(split, "word binary").groupBy("word").count().orderBy(F.desc("count"), "word").limit(HEAD)
     dealt = counted.select("word").repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism), "word")
-    rows = dealt.mapInArrow(gather, "words array<binary>, spread array<array<int>>").select("words", folded(F.col("spread"), path).alias("ids")).withColumn("plain", decoded(F.col("ids"), path)).toArrow()
+    held = with_tables(dealt.mapInArrow(gather, "words array<binary>, spread array<array<int>>"), path, F.size("spread") > 0)
+    coded = held.select("words", folded(F.col("spread"), F.col("ranks")).alias("ids"), "pieces")
+    rows = coded.select("words", "ids", decoded(F.col("ids"), path, F.col("pieces")).alias("plain")).toArrow()
     words, ids, lengths, plain, sizes = [], [], [], [], []
     for batch in rows.to_batches():
         words += batch["words"].flatten().to_pylist()
@@ -364,6 +376,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         trim()
 
     numbered = rows.mapInArrow(number, f"id {id_type}, numbers binary, first int, fresh array<array<int>>, long array<binary>")
-    coded = numbered.withColumn("fresh", folded(F.col("fresh"), path)).withColumn("plain", decoded(F.col("fresh"), path))
+    held = with_tables(numbered, path, F.size("fresh") > 0)
+    coded = held.withColumn("fresh", folded(F.col("fresh"), F.col("ranks"))).withColumn("plain", decoded(F.col("fresh"), path, F.col("pieces"))).drop("ranks", "pieces")
     schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * arrays
     return coded.mapInArrow(join, schema).withColumnRenamed("id", id_col)

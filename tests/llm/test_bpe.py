@@ -102,3 +102,13 @@ def test_texts_are_decoded_in_spark(spark, monkeypatch):
     monkeypatch.setattr(bpe, "id_pieces", lambda _: Refuse([b""]))
     for r in out.collect():
         assert bytes(r.decoded).decode() == (texts[r.doc_id] or "")
+
+
+def test_plans_do_not_spell_out_the_tables(spark):
+    docs = spark.createDataFrame([(1, "the 漢字 é \n  ab's"), (2, None), (3, "")], "doc_id long, text string")
+    out = bpe.encode_documents(docs, PATH, arrays=True)
+    assert len(out._jdf.queryExecution().toString()) < 200_000
+    words = spark.createDataFrame([(b" the", 1, [5]), (b"", 2, [6])], "word binary, spread int, ids array<int>")
+    held = bpe.fold_words(words, PATH)
+    assert len(held._jdf.queryExecution().toString()) < 200_000
+    assert sorted(map(tuple, held.select("word", "spread", "ids").collect())) == [(b"", 2, []), (b" the", 1, REAL._encode_single_piece(b" the"))]
