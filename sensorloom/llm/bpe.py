@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.memory import trim
+from sensorloom.llm.memory import release, trim
 from sensorloom.llm.pieces import split_pieces
 from sensorloom.llm.text import in_slices
 from sensorloom.llm.token_store import sampled_texts
@@ -334,15 +334,21 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Numbers of each text's words; the new words of a slice of texts stand with its first text."""
         numbering = Numbering(head.value[0])
+
+        def numbered(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+            words, bounds = split_pieces(texts)
+            first, fresh, numbers = numbering.number(words)
+            new = pa.ListArray.from_arrays(pa.array([0, len(fresh)] + [len(fresh)] * (len(texts) - 1), pa.int32()), spread_words(fresh))
+            long = pa.array([[w for w in fresh if len(w) > LONG]] + [[]] * (len(texts) - 1), pa.list_(pa.binary()))
+            places = pa.array([numbers[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+            return pa.RecordBatch.from_arrays([ids, places, pa.array([first] * len(texts), pa.int32()), new, long], ["id", "numbers", "first", "fresh", "long"])
+
         for batch in batches:
             ids, texts = batch["id"], batch["text"].to_pylist()
             for a, b in in_slices(texts, SLICE_BYTES):
-                words, bounds = split_pieces(texts[a:b])
-                first, fresh, numbers = numbering.number(words)
-                new = pa.ListArray.from_arrays(pa.array([0, len(fresh)] + [len(fresh)] * (b - a - 1), pa.int32()), spread_words(fresh))
-                long = pa.array([[w for w in fresh if len(w) > LONG]] + [[]] * (b - a - 1), pa.list_(pa.binary()))
-                places = pa.array([numbers[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), places, pa.array([first] * (b - a), pa.int32()), new, long], ["id", "numbers", "first", "fresh", "long"])
+                # The words of a slice are gone before the next one is split.
+                yield numbered(ids.slice(a, b - a), texts[a:b])
+            release()
         trim()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

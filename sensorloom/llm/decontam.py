@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm.fm_index import FMIndex
+from sensorloom.llm.memory import release, trim
 from sensorloom.llm.text import ALNUM, alnum_words, byte_values, in_slices
 from sensorloom.session import written
 
@@ -191,6 +192,8 @@ def _searched(docs: DataFrame, text_col: str, blocks: Iterator[tuple[Block, bool
                         pa.array([sorted({*(x or ()), *y}) for x, y in zip(had, found, strict=True)], pa.list_(pa.string())),
                     ]
                     yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *out], part.schema.names)
+                release()
+            trim()
 
         now = now.mapInArrow(search, schema)
         if not last:
@@ -250,6 +253,8 @@ def remove_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 column = pa.array([None if w else x.decode() for x, w in zip(new, was[a:b], strict=True)], pa.string())
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([column if k == at else part.column(k) for k in range(part.num_columns)], part.schema.names)
+            release()
+        trim()
 
     return docs.mapInArrow(cut, docs.schema).select(*fields)
 
