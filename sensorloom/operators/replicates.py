@@ -147,14 +147,24 @@ def standard_scores(rows: DataFrame, runs: Sequence[int]) -> Deal:
         for r, at in _parts(batch, mine):
             yield r, np.r_[len(at), x[at].sum(0), (x[at] ** 2).sum(0)]
 
-    scale = {}
-    for r, v in sums_by_run(rows, runs, step).items():
-        mean, square = np.split(v[1:] / max(v[0], 1.0), 2)
-        var = square - mean**2
-        scale[r] = mean, np.where(var > 1e-12, np.sqrt(np.maximum(var, 0.0)), 1.0)
+    scale = {r: _scale(v) for r, v in sums_by_run(rows, runs, step).items()}
     return lambda keys, x, r: (x - scale[r][0]) / scale[r][1]
 
 
+def _scale(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation (1 where values are all alike) from the number of rows, their sums and sums of squares."""
+    mean, square = np.split(total[1:] / max(total[0], 1.0), 2)
+    var = square - mean**2
+    return mean, np.where(var > 1e-12, np.sqrt(np.maximum(var, 0.0)), 1.0)
+
+
+def to_standard_scores(x: np.ndarray) -> None:
+    """``standard_scores`` of a table that is all in memory, in place."""
+    mean, deviation = _scale(np.r_[len(x), x.sum(0), np.einsum("ij,ij->j", x, x)])
+    x -= mean
+    x /= deviation
+
+
 class Spread(NamedTuple):
     """Rows to scan for runs: ``groups`` scans side by side, each for the runs of its turn."""
 
@@ -362,6 +372,10 @@ def _starts(sample: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.nd
     return np.array(picked)
 
 
+def _start_seed(seed: int, run: int, start: int) -> int:
+    return hash((seed, run, start)) % (1 << 32)
+
+
 def _nearest_sums(x: np.ndarray, w: np.ndarray | None, fits: Sequence[Fit]) -> list[np.ndarray]:
     """Of each fit (all of one run, so of one mask and number of centres): cost, and sizes and sums of the rows nearest to
     each centre (the first of equals). All fits share a product of the rows with their centres, a few rows at a time."""
@@ -397,9 +411,9 @@ def fit_runs(rows: DataFrame, runs: Sequence[int], k: int | dict[int, int], star
     masks, number = masks or {}, k if isinstance(k, dict) else dict.fromkeys(runs, k)
     d = rows if {"packed", "values"} & set(rows.columns) else rows.select("key", "x", *(["run"] if "run" in rows.columns else []))
     if "values" in rows.columns:
-        # Drawn rows are in no order: the first of each run will do.
+        # Drawn rows are in no order: the first of each run will do, whatever order their blocks are read in.
         heads = lambda batches: (b.slice(0, max(0, SAMPLE - b["key"][0].as_py())) for b in _pieces(batches))
-        sample = d.where(F.col("first") < SAMPLE).mapInArrow(heads, "key bigint, x array<float>, run int").toArrow()
+        sample = d.where(F.col("first") < SAMPLE).mapInArrow(heads, "key bigint, x array<float>, run int").toArrow().sort_by([("run", "ascending"), ("key", "ascending")])
     elif "packed" in rows.columns:
         sample = d.mapInArrow(_pieces, "key bigint, x array<double>").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toArrow()
     elif "run" in rows.columns:
@@ -417,7 +431,7 @@ def fit_runs(rows: DataFrame, runs: Sequence[int], k: int | dict[int, int], star
         w = np.ones(own.sum()) if weight is None else weight(keys[own], r)
         m, of_run = masks.get(r), x[own] if deal is None else deal(keys[own], x[own], r)
         for s in range(starts):
-            now[r, s] = _starts(of_run * (1.0 if m is None else m), w if w.sum() > 0 else np.ones(len(w)), number[r], hash((seed, r, s)) % (1 << 32))
+            now[r, s] = _starts(of_run * (1.0 if m is None else m), w if w.sum() > 0 else np.ones(len(w)), number[r], _start_seed(seed, r, s))
     cost = dict.fromkeys(now, math.inf)
     active, spread = set(now), Spread.of(d, len(now))
     for _ in range(iterations):
@@ -448,6 +462,63 @@ def fit_runs(rows: DataFrame, runs: Sequence[int], k: int | dict[int, int], star
     return {r: Fit(now[r, s], float(cost[r, s]), masks.get(r)) for r, s in best.items()}
 
 
+def _nearest(x: np.ndarray, norm: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre (the first of equals) of rows with the squared lengths given, and how much farther the next one is."""
+    far = (-2 * centres) @ x.T
+    far += (centres * centres).sum(1)[:, None]
+    near, first, second = np.zeros(len(x), np.int16), far[0], np.full(len(x), np.inf)
+    for j in range(1, len(centres)):
+        np.copyto(near, j, where=far[j] < first)
+        np.minimum(second, np.maximum(first, far[j]), out=second)
+        first = np.minimum(first, far[j])
+    return near, np.sqrt(np.maximum(second + norm, 0.0)) - np.sqrt(np.maximum(first + norm, 0.0))
+
+
+def fit_held(x: np.ndarray, k: int, starts: int, run: int, iterations: int = 50, seed: int = 0) -> Fit:
+    """What ``fit_runs`` finds for a run whose rows are all in memory, in random order.
+
+    A row is looked at again only when centres have moved so far since that another one may be nearer: by the triangle
+    inequality not before they moved by what the next centre was farther than the nearest. So late steps see few rows, and
+    sums of clusters change by the rows that left and came.
+    """
+    norm, sample = np.einsum("ij,ij->i", x, x), x[:SAMPLE]
+    # More than distances and their sums are off by rounding.
+    doubt = 1e-7 * (1 + x.shape[1]) * (1 + math.sqrt(norm.max()))
+    best = None
+    for s in range(starts):
+        centres, cost = _starts(sample, np.ones(len(sample)), k, _start_seed(seed, run, s)), math.inf
+        # The way that centres may have gone before a row has to be looked at, and the way they went.
+        near, until, gone = np.full(len(x), -1, np.int16), np.full(len(x), -np.inf), 0.0
+        sizes, sums = np.zeros(k), np.zeros(centres.shape)
+        for _ in range(iterations):
+            again = np.flatnonzero(until < gone)
+            for a in range(0, len(again), CHUNK):
+                at = again[a : a + CHUNK]
+                if at[-1] - at[0] == len(at) - 1:
+                    at = slice(at[0], at[-1] + 1)
+                rows = x[at]
+                own, farther = _nearest(rows, norm[at], centres)
+                until[at] = farther + (gone - doubt)
+                old = near[at]
+                moved = np.flatnonzero(own != old)
+                if len(moved):
+                    to = np.arange(k, dtype=np.int16)[:, None]
+                    turn = (own[moved] == to).astype(float) - (old[moved] == to)
+                    sizes += turn.sum(1)
+                    sums += turn @ (rows if len(moved) == len(rows) else rows[moved])
+                    near[at] = own
+            cost = norm.sum() - 2 * (centres * sums).sum() + (sizes * (centres * centres).sum(1)).sum()
+            new = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1e-300)[:, None], centres)
+            moves, centres = new - centres, new
+            # The nearest centre may have come off by the greatest move, another one nearer by the next.
+            gone += np.sort(np.sqrt((moves**2).sum(1)))[-2:].sum()
+            if np.abs(moves).max() < 1e-9:
+                break
+        if best is None or cost < best.cost:
+            best = Fit(centres, float(cost))
+    return best
+
+
 def assigned(rows: DataFrame, fits: dict[int, Fit], extra: Sequence[str] = ()) -> DataFrame:
     """(run, key, cluster, extra): each row's nearest centre in every run; the first of equals."""
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in extra)
@@ -484,31 +555,50 @@ def quality(rows: DataFrame, fits: dict[int, Fit], deal: Deal | None = None) ->
     return validity(rows, {r: len(f.centres) for r, f in fits.items()}, labelled)
 
 
+def _hot(near: np.ndarray, k: int) -> np.ndarray:
+    return (near == np.arange(k)[:, None]).astype(float)
+
+
+def _cluster_sums(x: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """For each cluster its number of rows, the sum of their squared lengths and of their features."""
+    held = _hot(near, k)
+    return np.c_[held.sum(1), held @ (x * x).sum(1), held @ x]
+
+
+def _silhouettes(x: np.ndarray, near: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Squared-Euclidean silhouettes of rows from the ``_cluster_sums`` of all rows."""
+    n, q, s = sums[:, 0], sums[:, 1], sums[:, 2:]
+    total = n * (x * x).sum(1)[:, None] + q - 2 * x @ s.T
+    at = np.arange(len(x))
+    own = total[at, near] / np.maximum(n[near] - 1, 1)
+    far = np.where(n > 0, total / np.maximum(n, 1), np.inf)
+    far[at, near] = np.inf
+    other = far.min(1)
+    return np.where((n[near] > 1) & np.isfinite(other), (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0.0)
+
+
+def held_silhouette(x: np.ndarray, fit: Fit) -> float:
+    """The silhouette of ``quality`` for a run whose rows are all in memory."""
+    parts = [x[a : a + CHUNK] for a in range(0, len(x), CHUNK)]
+    near = [fit.distances(own).argmin(1) for own in parts]
+    sums = sum(_cluster_sums(own, at, len(fit.centres)) for own, at in zip(parts, near, strict=True))
+    return float(sum(_silhouettes(own, at, sums).sum() for own, at in zip(parts, near, strict=True)) / len(x))
+
+
 def validity(rows: DataFrame, sizes: dict[int, int], labelled: Callable[[pa.RecordBatch, Sequence[int]], Iterator[tuple[int, np.ndarray, np.ndarray]]]) -> dict[int, Quality]:
     """The same for any labels below ``sizes``: (run, x, labels) of a batch."""
     spread, runs = Spread.of(rows, len(sizes)), list(sizes)
-    hot = lambda near, k: (near == np.arange(k)[:, None]).astype(float)
 
     def sums(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
         for r, x, near in labelled(batch, mine):
-            held = hot(near, sizes[r])
-            yield r, np.c_[held.sum(1), held @ (x * x).sum(1), held @ x].ravel()
+            yield r, _cluster_sums(x, near, sizes[r]).ravel()
 
     by = {r: v.reshape(sizes[r], -1) for r, v in spread.sums(runs, sums).items()}
 
     def mean(batch: pa.RecordBatch, mine: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
         for r, x, near in labelled(batch, mine):
-            held = hot(near, sizes[r])
-            n, q, s = by[r][:, 0], by[r][:, 1], by[r][:, 2:]
-            total = n * (x * x).sum(1)[:, None] + q - 2 * x @ s.T
-            at = np.arange(len(x))
-            own = total[at, near] / np.maximum(n[near] - 1, 1)
-            far = np.where(n > 0, total / np.maximum(n, 1), np.inf)
-            far[at, near] = np.inf
-            other = far.min(1)
-            value = np.where((n[near] > 1) & np.isfinite(other), (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0.0)
-            middle = s / np.maximum(n, 1)[:, None]
-            yield r, np.r_[value.sum(), held @ np.sqrt(((x - middle[near]) ** 2).sum(1))]
+            middle = by[r][:, 2:] / np.maximum(by[r][:, 0], 1)[:, None]
+            yield r, np.r_[_silhouettes(x, near, by[r]).sum(), _hot(near, sizes[r]) @ np.sqrt(((x - middle[near]) ** 2).sum(1))]
 
     out = {}
     for r, v in spread.sums(runs, mean).items():

@@ -290,3 +290,57 @@ def test_curvature_is_sent_without_what_follows_from_it():
         assert len(sent) <= classes * width * (classes * width + 3) / 2
     # The size that accuracy_permutations sends for a fold: 3 classes, 15 features.
     assert len(replicates._Curved(3, 16).sums(np.ones((1, 16)), np.full((1, 3), 1 / 3), np.eye(3)[:1], np.ones(1))) == 440
+
+
+def _plain(x, centres, iterations=50):
+    """Steps of k-means over all rows: centres and cost."""
+    for _ in range(iterations):
+        far = ((x[:, None] - centres) ** 2).sum(2)
+        near, cost = far.argmin(1), far.min(1).sum()
+        new = np.array([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        moved, centres = np.abs(new - centres).max(), new
+        if moved < 1e-9:
+            break
+    return centres, cost
+
+
+def test_fits_in_memory_look_again_at_few_rows(monkeypatch):
+    rng = np.random.default_rng(8)
+    seen, real = [], replicates._nearest
+    monkeypatch.setattr(replicates, "_nearest", lambda x, *a: seen.append(len(x)) or real(x, *a))
+    cloud = rng.normal(size=(9_000, 4)) * [3.0, 1.0, 1.0, 0.3]
+    far_off = np.r_[cloud[:2_000], [[1e4, 0, 0, 0], [0, -1e5, 0, 0]]]
+    alike = rng.integers(0, 2, (1_000, 2)).astype(float)
+    for x, k in ((cloud, 3), (cloud, 2), (cloud, 6), (cloud[:300], 1), (far_off, 3), (alike, 3), (alike, 5), (cloud[:2], 3), (np.zeros((50, 2)), 2)):
+        for run in range(3):
+            seen.clear()
+            got = replicates.fit_held(x, k, 4, run, seed=1)
+            head = x[: replicates.SAMPLE]
+            want = [_plain(x, replicates._starts(head, np.ones(len(head)), k, replicates._start_seed(1, run, s))) for s in range(4)]
+            best = min(cost for _, cost in want)
+            size = 1 + (x**2).sum()
+            assert abs(got.cost - best) < 1e-9 * size
+            assert any(np.allclose(got.centres, c, atol=1e-6) for c, cost in want if cost - best < 1e-9 * size)
+    x = rng.normal(size=(20_000, 4))
+    seen.clear()
+    replicates.fit_held(x, 3, 1, 0, seed=2)
+    assert sum(seen) < 15 * len(x)
+
+
+def test_draws_of_a_null_stay_in_their_task(spark, monkeypatch):
+    """The null writes no draw, and finds what passes over written draws find."""
+    rng = np.random.default_rng(6)
+    x = rng.gamma(2.0, 1.0, (150, 3))
+    x[:, 1] += x[:, 0]
+    d, cols = table_of(spark, list(enumerate(x.tolist()))), ["x0", "x1", "x2"]
+    for size in (cluster.DRAWS, 100, 64):
+        monkeypatch.setattr(cluster, "DRAWS", size)
+        blocks = cluster.drawn_blocks(d, "id", cols, 21, 3)
+        scaled = replicates.standard_scores(blocks, range(21))
+        want = replicates.quality(blocks, replicates.fit_runs(blocks, range(21), 3, 4, seed=3, deal=scaled), scaled)
+        got = cluster.held_silhouettes(d, "id", cols, 3, 21, 4, 3)
+        assert list(got) == list(range(21)) and max(abs(got[r] - want[r].silhouette) for r in got) < 1e-9
+    monkeypatch.setattr(cluster, "written", lambda *a: 1 / 0)
+    assert cluster.copula_null(d, "id", cols, 3, 21, 2).head()["reps"] == 21
+    empty = d.withColumn("x2", F.lit(None).cast("double"))
+    assert cluster.held_silhouettes(empty, "id", cols, 3, 21, 4, 3) == {}
