@@ -346,9 +346,10 @@ def _held_draws(df: DataFrame, key: str, columns: Sequence[str], draws: int, see
         at = drawn(seed, chunk, min(DRAWS, total - chunk * DRAWS), low) * most
         x = np.empty(at.shape, "<f4")
         for j, values in enumerate(shared.value):
-            below = at[:, j].astype(np.int64)
-            share = at[:, j] - below
-            x[:, j] = values[below] * (1 - share) + values[np.minimum(below + 1, len(values) - 1)] * share
+            place = at[:, j].copy()
+            below = place.astype(np.int64)
+            share = place - below
+            x[:, j] = values.take(below, mode="clip") * (1 - share) + values.take(below + 1, mode="clip") * share
         return x
 
     return draw

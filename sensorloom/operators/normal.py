@@ -30,18 +30,25 @@ def _knots() -> np.ndarray:
     return np.stack([cdf(x), f, -x * f / 2, (x * x - 1) * f / 6, (3 * x - x**3) * f / 24])
 
 
+#: Values looked up at once, so that what is between stays in the cache.
+_PIECE = 16_384
+
+
 def quick_cdf(x: np.ndarray) -> np.ndarray:
     """``cdf`` to about 1e-14 from a table, for millions of values."""
-    near = np.clip(x, -7.5, 7.5)
-    at = np.rint(near / _STEP).astype(np.int64)
-    h = near - at * _STEP
-    at += 960
-    terms = _knots()
-    out = terms[4][at]
-    for k in (3, 2, 1, 0):
-        out *= h
-        out += terms[k][at]
-    return np.clip(out, 0.0, 1.0, out=out)
+    flat, terms = x.reshape(-1), _knots()
+    out = np.empty(len(flat))
+    for a in range(0, len(flat), _PIECE):
+        near = np.clip(flat[a : a + _PIECE], -7.5, 7.5)
+        at = np.rint(near / _STEP).astype(np.int64)
+        h = near - at * _STEP
+        at += 960
+        own = terms[4].take(at, mode="clip")
+        for k in (3, 2, 1, 0):
+            own *= h
+            own += terms[k].take(at, mode="clip")
+        np.clip(own, 0.0, 1.0, out=out[a : a + _PIECE])
+    return out.reshape(x.shape)
 
 
 def density(x: np.ndarray) -> np.ndarray:

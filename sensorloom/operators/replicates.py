@@ -481,7 +481,8 @@ def fit_held(x: np.ndarray, k: int, starts: int, run: int, iterations: int = 50,
     inequality not before they moved by what the next centre was farther than the nearest. So late steps see few rows, and
     sums of clusters change by the rows that left and came.
     """
-    norm, sample = np.einsum("ij,ij->i", x, x), x[:SAMPLE]
+    norm, sample, buffer = np.einsum("ij,ij->i", x, x), x[:SAMPLE], np.empty((min(CHUNK, len(x)), x.shape[1]))
+    whole = norm.sum()
     # More than distances and their sums are off by rounding.
     doubt = 1e-7 * (1 + x.shape[1]) * (1 + math.sqrt(norm.max()))
     best = None
@@ -494,12 +495,10 @@ def fit_held(x: np.ndarray, k: int, starts: int, run: int, iterations: int = 50,
             again = np.flatnonzero(until < gone)
             for a in range(0, len(again), CHUNK):
                 at = again[a : a + CHUNK]
-                if at[-1] - at[0] == len(at) - 1:
-                    at = slice(at[0], at[-1] + 1)
-                rows = x[at]
-                own, farther = _nearest(rows, norm[at], centres)
+                rows = np.take(x, at, 0, buffer[: len(at)], "clip")
+                own, farther = _nearest(rows, norm.take(at), centres)
                 until[at] = farther + (gone - doubt)
-                old = near[at]
+                old = near.take(at)
                 moved = np.flatnonzero(own != old)
                 if len(moved):
                     to = np.arange(k, dtype=np.int16)[:, None]
@@ -507,7 +506,7 @@ def fit_held(x: np.ndarray, k: int, starts: int, run: int, iterations: int = 50,
                     sizes += turn.sum(1)
                     sums += turn @ (rows if len(moved) == len(rows) else rows[moved])
                     near[at] = own
-            cost = norm.sum() - 2 * (centres * sums).sum() + (sizes * (centres * centres).sum(1)).sum()
+            cost = whole - 2 * (centres * sums).sum() + (sizes * (centres * centres).sum(1)).sum()
             new = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1e-300)[:, None], centres)
             moves, centres = new - centres, new
             # The nearest centre may have come off by the greatest move, another one nearer by the next.
